@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import durable, table
+from .mixing import decisions, keyed, with_copies
 from .near_dedup import near_duplicates
+from .packing import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,3 +49,49 @@ reach AS (
 SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, r.root AS component_id, d.doc_id = r.root AS kept
 FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT node, min(root) AS root FROM reach GROUP BY node) r ON r.node = d.doc_id
 """
+
+
+def tokenizer_file(name: str) -> str:
+    """Where a public vocabulary file is, on any machine of the cluster that has the tokenizer package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op4_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 byte-level ids, each document ended by id 1."""
+    pieces = pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), end_id=1, length=2048)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by source with weights 1, 2, 3, ..., at most three epochs."""
+    slim = durable(keyed(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "key"))
+    mixed = with_copies(slim, decisions(slim, (1, 2, 3), 3))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+ORACLE_SQL["op2_source_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    length(regexp_replace(coalesce(text, ''), '[#$%&*|<>{}=~^_]+', '', 'g')) / greatest(length(coalesce(text, '')), 1)::DOUBLE AS clean,
+    ('0x' || substr(md5(concat_ws('|', '11', doc_id, md5(coalesce(text, '')))), 1, 13))::BIGINT AS h
+  FROM documents),
+k AS (SELECT doc_id, source, size, -ln((h + 1) / 4503599627370496.0::DOUBLE) / (0.25::DOUBLE + 0.75::DOUBLE * clean * clean) AS key FROM d),
+s AS (SELECT source, sum(size)::DOUBLE AS source_size FROM k GROUP BY source),
+w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, sum(source_size) OVER () AS total FROM s),
+o AS (SELECT *, 3 * source_size AS cap,
+    (total - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w),
+t AS (SELECT source, source_size, least(cap, weight * (SELECT min(level) FROM o WHERE level <= cap / weight)) AS target FROM o),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END AS epochs FROM t),
+p AS (SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs,
+    sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id ROWS UNBOUNDED PRECEDING) - k.size / 2.0::DOUBLE AS middle
+  FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
+  (size * (epochs + CASE WHEN middle <= target - epochs * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM p
+"""
