@@ -108,9 +108,9 @@ def decisions(slim: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int =
     keys = inside.groupBy("source", "key").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     last = keys.withColumn("before", before).where(F.col("before") + F.col("words") / 2 <= F.col("rest")).groupBy("source").agg(F.max("key").alias("last_key"))
-    edge = edge.select("source", F.col("bucket").alias("edge"))
-    both = budget.join(edge, budget.source.eqNullSafe(edge.source), "left").drop(edge.source)
-    both = both.join(last, both.source.eqNullSafe(last.source), "left").drop(last.source)
+    edge = edge.select(F.col("source").alias("edge_source"), F.col("bucket").alias("edge"))
+    last = last.withColumnRenamed("source", "last_source")
+    both = budget.join(edge, F.col("source").eqNullSafe(F.col("edge_source")), "left").join(last, F.col("source").eqNullSafe(F.col("last_source")), "left")
     none_left = F.when(F.col("rest") > 0, F.lit(BUCKETS * BUCKETS)).otherwise(F.lit(-1))  # the budget takes all, or nothing
     return durable(both.select("source", "source_size", "target", "epochs", F.coalesce("edge", none_left).cast("long").alias("edge"), "last_key"))
 

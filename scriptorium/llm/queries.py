@@ -86,7 +86,7 @@ o AS (SELECT *, 3 * source_size AS cap,
     (total - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
       / sum(weight) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM w),
-t AS (SELECT source, source_size, least(cap, weight * (SELECT min(level) FROM o WHERE level <= cap / weight)) AS target FROM o),
+t AS (SELECT source, source_size, least(cap, weight * (SELECT level FROM o WHERE level <= cap / weight ORDER BY cap / weight, source NULLS LAST LIMIT 1)) AS target FROM o),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END AS epochs FROM t),
 p AS (SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs,
     sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id ROWS UNBOUNDED PRECEDING) - k.size / 2.0::DOUBLE AS middle
