@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable, table
+from .language import held_out, train, with_language
 from .mixing import decisions, keyed, with_copies
 from .near_dedup import near_duplicates
 from .packing import pack
@@ -95,3 +96,11 @@ SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
   (size * (epochs + CASE WHEN middle <= target - epochs * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM p
 """
+
+
+@query
+def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = with_language(docs.select("doc_id", "text"), train(docs))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), F.col("language.prediction").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.languages").alias("languages"), F.col("language.shares").alias("shares"))
