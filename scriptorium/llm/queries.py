@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language, toxicity
 from .common import durable, table
-from .language import held_out, train, with_language
+from .language import held_out
 from .mixing import decisions, keyed, with_copies
 from .near_dedup import near_duplicates
 from .packing import pack
@@ -102,5 +103,13 @@ FROM p
 def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the documents that are not held out."""
     docs = table(spark, sf_dir, "documents")
-    found = with_language(docs.select("doc_id", "text"), train(docs))
+    found = language.with_language(docs.select("doc_id", "text"), language.train(docs))
     return found.select("doc_id", held_out("doc_id").alias("held_out"), F.col("language.prediction").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.languages").alias("languages"), F.col("language.shares").alias("shares"))
+
+
+@query
+def op5_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labelled documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.with_toxicity(docs.select("doc_id", "text"), toxicity.train(docs, table(spark, sf_dir, "labels")), name="score")
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score").withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
