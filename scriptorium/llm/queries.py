@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, toxicity
+from . import fingerprints, language, toxicity
 from .common import durable, table
 from .language import held_out
 from .mixing import decisions, keyed, with_copies
@@ -113,3 +113,14 @@ def op5_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.with_toxicity(docs.select("doc_id", "text"), toxicity.train(docs, table(spark, sf_dir, "labels")), name="score")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score").withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    found = fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.as_text(F.col("grams")).alias("fingerprint"), fingerprints.as_text(F.col("edited_grams")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("grams"), F.col("edited_grams")).alias("near_edited"), fingerprints.likeness(F.col("grams"), F.col("next.grams")).alias("near_next"),
+    )
