@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, toxicity
+from . import fingerprints, language, pii, toxicity
 from .common import durable, table
 from .language import held_out
 from .mixing import decisions, keyed, with_copies
@@ -124,3 +124,14 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.as_text(F.col("grams")).alias("fingerprint"), fingerprints.as_text(F.col("edited_grams")).alias("edited_fingerprint"),
         fingerprints.likeness(F.col("grams"), F.col("edited_grams")).alias("near_edited"), fingerprints.likeness(F.col("grams"), F.col("next.grams")).alias("near_next"),
     )
+
+
+#: Key of the registered query. Deployments pass their own, from a secret store.
+DEMONSTRATION_KEY = b"demonstration key of the queries"
+
+
+@query
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their personal data replaced by pseudonyms."""
+    found = pii.pseudonymized(table(spark, sf_dir, "documents"), DEMONSTRATION_KEY)
+    return found.select("doc_id", "text", F.size("pii_kinds").alias("n_replaced"), "pii_kinds")
