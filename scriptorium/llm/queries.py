@@ -13,6 +13,7 @@ from .language import held_out
 from .mixing import decisions, keyed, with_copies
 from .near_dedup import near_duplicates
 from .packing import pack
+from .topk import exact_top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -135,3 +136,19 @@ def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their personal data replaced by pseudonyms."""
     found = pii.pseudonymized(table(spark, sf_dir, "documents"), DEMONSTRATION_KEY)
     return found.select("doc_id", "text", F.size("pii_kinds").alias("n_replaced"), "pii_kinds")
+
+
+@query
+def op3_norm_bucketed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products of every 50th vector with all others."""
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5, scale=256)
+
+
+ORACLE_SQL["op3_norm_bucketed_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
