@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, pii, toxicity
+from . import fingerprints, language, pii, toxicity, warc
 from .common import durable, table
 from .language import held_out
 from .mixing import decisions, keyed, with_copies
@@ -152,3 +152,21 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@query
+def op8_warc_index_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back from the archives."""
+    index = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_records(index, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL["op8_warc_index_first"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha256(b) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT d.page_id, d.payload_bytes, d.payload_digest,
+  CASE WHEN f.first < d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f.first < d.page_id THEN f.first END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)
+"""
