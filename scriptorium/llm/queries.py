@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, pii, toxicity, warc
+from . import fingerprints, language, licenses, pii, toxicity, warc
 from .common import durable, table
 from .language import held_out
 from .mixing import decisions, keyed, with_copies
@@ -170,3 +170,10 @@ SELECT d.page_id, d.payload_bytes, d.payload_digest,
   CASE WHEN f.first < d.page_id THEN f.first END AS refers_to
 FROM d LEFT JOIN f USING (payload_digest)
 """
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families of the paragraphs of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.train(docs))
