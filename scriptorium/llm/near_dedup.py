@@ -6,10 +6,12 @@ permutations hash evaluations. Values are cut into bands; documents that agree o
 every link is confirmed on the full sets.
 
 Scale. Documents with equal sets first fall together into classes (a partial aggregation on a 128-bit set key),
-so groups of copies, however large, cost one representative. A band bucket of representatives is checked as a star
-around its smallest member. Only buckets whose members are still in more than one component after that have
-their pairs across components checked, so that no link that could join two components is missed and a large
-group of near copies never becomes all its pairs. Sets are built for candidates only.
+so groups of copies, however large, cost one representative. A band bucket of representatives is not compared pair by
+pair: PIVOTS of its members, drawn by hash, are compared with all others and leave it; buckets whose members are still in
+more than one component go into the next of ROUNDS rounds, with pivots from their largest component. What is open after
+that has its pairs across components compared, but for those that the triangle inequality excludes (1 - similarity is a
+metric, and the distances to the first pivot are known). So no link that could join two components is missed, and a large group of near copies never becomes all its
+pairs. Sets are built for candidates only.
 
 Chance of missing a link at similarity 0.8 with the defaults (40 bands of 5 values): (1 - 0.8**5)**40, about 1e-7.
 
@@ -30,6 +32,8 @@ from .common import durable
 
 #: Candidate ids up to this many (16 MB of longs) are sent to all executors when texts are looked up; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Rounds of pivots, and pivots a bucket and round, before the pairs across components that remain are compared.
+ROUNDS, PIVOTS = 3, 4
 #: Words whose hashes a Python worker remembers.
 MEMO_WORDS = 500_000
 
@@ -129,13 +133,12 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return wanted.mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id"])
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def _compared(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The pairs (a, b) with common and total: sizes of the intersection and the union of their full sets."""
     sets = durable(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k))
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - common
-    return pairs.join(left, "a").join(right, "b").where(100 * common >= percent * union).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
+    return durable(both.select("a", "b", "common", (F.col("na") + F.col("nb") - F.col("common")).alias("total")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -178,31 +181,46 @@ def near_duplicates(
     classes = known.groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     banded = durable(classes.where("bands is not null").select("rep", "n", F.explode("bands").alias("bucket")))
 
-    buckets = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.min(F.struct("rep", "n")).alias("lead")).where("members > 1")
-    close = lambda x, y: (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))  # noqa: E731  sizes that allow a link
-    shared = durable(banded.join(buckets.select("bucket", "lead"), "bucket"))
-    stars = shared.where("rep <> lead.rep").where(close("n", "lead.n")).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    links = durable(_confirmed(durable(stars), docs, k, percent))
-    rooted = durable(components(links))
-
-    # What the stars leave open: pairs in a bucket whose members are in different components.
-    here = shared.join(rooted, shared.rep == rooted.node, "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("part"))
-    lead_of = shared.where("rep = lead.rep").select("bucket", F.col("lead.rep").alias("lead"))
-    lead_part = lead_of.join(rooted, F.col("lead") == F.col("node"), "left").select("bucket", F.coalesce("root", "lead").alias("lead_part"))
-    split = here.join(lead_part, "bucket")
-    open_buckets = split.where("part <> lead_part").select("bucket").distinct()
-    members = durable(split.join(open_buckets, "bucket", "left_semi"))
-    outside = members.where("part <> lead_part")
-    others = members.select("bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("part").alias("part2"), (F.col("part") == F.col("lead_part")).alias("inner2"))
-    more = (
-        outside.join(others, "bucket").where("part <> part2 and (inner2 or rep < rep2)").where(close("n", "n2"))
-        .select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    )
-    more = durable(more)
-    if more.isEmpty():
-        final = rooted
-    else:
-        final = durable(components(links.union(durable(_confirmed(more, docs, k, percent)))))
+    close = (100 * F.col("n") >= percent * F.col("n2")) & (100 * F.col("n2") >= percent * F.col("n"))  # sizes that allow a link
+    full = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    open_ = durable(banded.join(full, "bucket", "left_semi").select("bucket", "rep", "n", F.col("rep").alias("part"), F.lit(None).cast("double").alias("far")))
+    checked = links = final = None
+    for turn in range(ROUNDS + 1):
+        if turn < ROUNDS:
+            main = open_
+            if turn:  # pivots come from the largest component of a bucket
+                sizes = open_.groupBy("bucket", "part").agg(F.count("*").alias("size"))
+                largest = sizes.groupBy("bucket").agg(F.max(F.struct("size", "part")).alias("x")).select("bucket", F.col("x.part").alias("part"))
+                main = open_.join(largest, ["bucket", "part"], "left_semi")
+            drawn = [F.min(F.struct(F.xxhash64("rep", F.lit(turn * PIVOTS + i)), F.col("rep").alias("pivot"), F.col("n").alias("n2"), F.col("part").alias("part2"))).alias(f"p{i}") for i in range(PIVOTS)]
+            pivots = main.groupBy("bucket").agg(*drawn).select("bucket", F.array(*[F.struct(f"p{i}.pivot", f"p{i}.n2", f"p{i}.part2") for i in range(PIVOTS)]).alias("pivots"))
+            starred = durable(open_.join(pivots, "bucket"))
+            pairs = starred.select("rep", "n", "part", F.explode("pivots").alias("p")).select("rep", "n", "part", "p.*").where("part <> part2 and rep <> pivot").where(close)
+            pairs = pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
+        else:
+            # 1 - similarity is a metric: two members whose distances to the bucket's first pivot differ by more than a link spans have none.
+            other = open_.select("bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("part").alias("part2"), F.col("far").alias("far2"))
+            near = F.coalesce(F.abs(F.col("far") - F.col("far2")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
+            pairs = open_.join(other, "bucket").where("part < part2").where(close & near).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
+        pairs = pairs.distinct()
+        pairs = durable(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"))
+        checked = pairs if checked is None else checked.union(pairs)
+        compared = _compared(pairs, docs, k)
+        found = compared.where(100 * F.col("common") >= percent * F.col("total")).select("a", "b")
+        links = found if links is None else links.union(found)
+        final = durable(components(links))
+        if turn == ROUNDS:
+            break
+        # All pairs with the pivots are settled, so they leave; buckets that still hold more than one component stay open.
+        rest = starred.where(~F.array_contains(F.col("pivots.pivot"), F.col("rep")))
+        if not turn:
+            first = F.col("pivots")[0]["pivot"]
+            rest = rest.withColumns({"a": F.least("rep", first), "b": F.greatest("rep", first)}).join(compared, ["a", "b"], "left").withColumn("far", 1 - F.col("common") / F.col("total"))
+        rest = rest.select("bucket", "rep", "n", "far").join(final, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("part"), "far")
+        mixed = rest.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+        open_ = durable(rest.join(mixed, "bucket", "left_semi"))
+        if open_.isEmpty():
+            break
 
     named = classes.join(final, classes.rep == final.node, "left").where("copies > 1 or root is not null").select(*key, F.coalesce("root", "rep").alias("component"))
     # Classes of one document without links keep their own id and need no row here.

@@ -163,9 +163,11 @@ def normalize_text_groups(spark, sf_dir):
 
 
 @query(f"""WITH {_KEYED},
-  g AS (SELECT doc_id, lang, CASE WHEN length(norm) = 0 THEN [] WHEN length(norm) <= 2 THEN [norm] ELSE list_distinct(list_transform(range(1, length(norm)), lambda i: substring(norm, i, 2))) END AS grams FROM k),
-  p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.grams, b.grams)) AS c, len(a.grams) AS x, len(b.grams) AS y FROM g a JOIN g b ON b.doc_id > a.doc_id AND b.doc_id <= a.doc_id + 5 AND a.lang IS NOT DISTINCT FROM b.lang)
-SELECT a, b, round(c::DOUBLE / (x + y - c), 6) AS similarity FROM p WHERE x > 0 AND y > 0 AND c::DOUBLE / (x + y - c) >= 0.82""")
+  g AS (SELECT doc_id, lang, unnest(CASE WHEN length(norm) = 0 THEN [] WHEN length(norm) <= 2 THEN [norm] ELSE list_distinct(list_transform(range(1, length(norm)), lambda i: substring(norm, i, 2))) END) AS gram FROM k),
+  n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+  s AS (SELECT doc_id AS a, doc_id + unnest([1, 2, 3, 4, 5]) AS b, lang, gram FROM g),
+  c AS (SELECT s.a, s.b, count(*) AS c FROM s JOIN g ON g.doc_id = s.b AND g.gram = s.gram AND g.lang IS NOT DISTINCT FROM s.lang GROUP BY ALL)
+SELECT a, b, round(c::DOUBLE / (x.n + y.n - c), 6) AS similarity FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c::DOUBLE / (x.n + y.n - c) >= 0.82""")
 def near_dup_pairs(spark, sf_dir):
     """Near duplicates at most five documents apart, in one language."""
     return merging.adjacent_near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", ["lang"])
