@@ -99,8 +99,7 @@ def _ranges(docs: DataFrame) -> DataFrame:
     shape = docs.agg(F.count("*").alias("n"), F.percentile_approx("id", [i / _CELLS for i in range(_CELLS + 1)], 10_000).alias("q"), F.max("id").alias("high")).first()
     if shape["q"] is None:
         return docs.withColumn("range", F.lit(-1).cast("long"))
-    bounds = sorted(set(shape["q"]) | {shape["high"]})
-    bounds[-1] += 1
+    bounds = sorted({*shape["q"], shape["high"], shape["high"] + 1})
     parts = max(1, round(min(shape["n"] / RANGE_ROWS, MAX_RANGES) / max(1, len(bounds) - 1)))
     edges = F.array(*[F.lit(b).cast("long") for b in bounds])
     cell = F.greatest(F.least(F.size(F.filter(edges, lambda b: b <= F.col("id"))), F.lit(len(bounds) - 1)), F.lit(1))

@@ -1,0 +1,362 @@
+"""Training-data operators against brute force, round trips and edge cases."""
+
+import datetime
+import hashlib
+import hmac
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from scriptorium.llm import fingerprints, language, licenses, mixing, near_dedup, packing, pii, topk, toxicity, warc
+from scriptorium.llm.common import durable
+from scriptorium.llm.queries import tokenizer_file
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, key string, id string, n string, part string, range string, `ids` string, copies string, language string, pii_kinds string"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
+
+
+def _text(rng, n):
+    return " ".join(rng.choice(WORDS) + (rng.choice(WORDS) if rng.random() < 0.5 else "") for _ in range(n))
+
+
+def _rows():
+    rng = random.Random(3)
+    base = [_text(rng, n) for n in (120, 80, 60, 200, 9, 5, 1, 2, 400)]
+    rows = [(i, t, "en", f"s{i % 3}") for i, t in enumerate(base)]
+    for i, t in enumerate(base * 3):  # near copies
+        w = t.split()
+        for _ in range(max(1, len(w) // 25)):
+            w[rng.randrange(len(w))] = rng.choice(WORDS)
+        rows.append((100 + i, " ".join(w), "de", "s1" if i % 4 else None))
+    rows += [(200 + i, base[0], "en", "s0") for i in range(30)]  # exact copies
+    rows += [(300, None, None, "s2"), (301, "", "en", None), (302, " \n\t", "en", "s0"), (303, "123 !!", None, "s1"), (304, "ALPHA beta", "en", "s9"), (305, "alpha BETA", "en", "s9"), (None, "no id here", "en", "s0"), (306, "x" * 50_000, "en", "s0")]
+    rows += [rows[3], rows[3]]  # repeated rows
+    return [(*r, len(r[1] or ""), "a", "b", "c", "d", "e", "f", "g", "h", "i", "j") for r in rows]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return durable(spark.createDataFrame(_rows(), SCHEMA).repartition(3))
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def _shingles(text, k):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates_match_all_pairs(docs, k):
+    rows = [(r["doc_id"], _shingles(r["text"], k)) for r in docs.collect() if r["doc_id"] is not None]
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in rows:
+        for j, b in rows:
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    want = Counter((i, len(s), find(i), find(i) == i) for i, s in rows)
+    got = Counter((r["id"], r["n"], r["component"], r["kept"]) for r in near_dedup.near_duplicates(docs, k=k).collect() if r["id"] is not None)
+    assert got == want
+
+
+def test_near_duplicates_of_a_chain_and_of_a_large_group(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(250):  # variants that are often unlike each other
+        w = list(base)
+        for _ in range(rng.randrange(1, 12)):
+            w[rng.randrange(150)] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    sets = {i: _shingles(t, 2) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()
+    assert {r["id"]: r["component"] for r in found} == {i: find(i) for i in sets}
+
+
+def test_signature_is_unbiased():
+    signer = near_dedup.MinMaxSigner(400, 5, 1)
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 2**63, 1500, dtype=np.uint64)
+    a, b = signer.signature(x[:1000]), signer.signature(x[200:])
+    assert abs((a == b).mean() - 800 / 1500) < 0.05
+
+
+def test_packing_covers_every_id(docs):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    pieces = packing.pack(docs, tokenizer_file("byte_bpe_50k.tiktoken"), length=64).collect()
+    want = Counter()
+    for r in docs.collect():
+        want[r["doc_id"], tuple(tok.encode(r["text"] or "", add_special_tokens=False).ids + [1])] += 1
+    stream = {}
+    for p in pieces:
+        ids = np.frombuffer(p["ids"], "<u4").tolist()
+        assert len(ids) == p["length"] and 0 <= p["offset"] and p["offset"] + p["length"] <= 64
+        for j, x in enumerate(ids):
+            at = p["sequence_id"] * 64 + p["offset"] + j
+            assert at not in stream
+            stream[at] = (p["doc_id"], p["start"] + j, p["doc_tokens"], x)
+    assert sorted(stream) == list(range(len(stream)))  # gapless: only the last sequence is padded
+    got, at = Counter(), 0
+    while at < len(stream):
+        doc, start, n, _ = stream[at]
+        assert start == 0 and [stream[at + j][1] for j in range(n)] == list(range(n))
+        got[doc, tuple(stream[at + j][3] for j in range(n))] += 1
+        at += n
+    assert got == want
+
+
+def test_mixing_meets_targets(docs, empty):
+    keyed = mixing.keyed(docs)
+    slim = durable(keyed.select("doc_id", "source", "size", "key"))
+    decided = mixing.decisions(slim)
+    rows = mixing.with_copies(slim, decided).collect()
+    sizes, taken, target = defaultdict(int), defaultdict(int), {}
+    for r in rows:
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["size"] * r["copies"]
+        target[r["source"]] = r["target"]
+        assert 0 <= r["copies"] <= 3
+    order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    want, fixed = {s: sum(sizes.values()) * weight[s] / sum(weight.values()) for s in order}, set()
+    while over := [s for s in order if s not in fixed and want[s] > 3 * sizes[s] + 1e-9]:
+        fixed |= set(over)
+        left = sum(sizes.values()) - sum(3 * sizes[s] for s in fixed)
+        for s in order:
+            want[s] = 3 * sizes[s] if s in fixed else left * weight[s] / sum(weight[t] for t in order if t not in fixed)
+    largest = max(r["size"] for r in rows)
+    for s in order:
+        assert math.isclose(target[s], want[s], rel_tol=1e-9, abs_tol=1e-9)
+        assert abs(taken[s] - target[s]) <= 3 * largest / 2 + 1  # repeated rows move together
+    again = mixing.with_copies(slim, mixing.decisions(slim)).collect()
+    assert Counter(rows) == Counter(again)
+    none = durable(mixing.keyed(empty).select("source", "size", "key"))
+    assert mixing.with_copies(none, mixing.decisions(none)).count() == 0
+
+
+def _luhn(d):
+    total = 0
+    for i, c in enumerate(reversed(d)):
+        v = int(c) * (1 + i % 2)
+        total += v - 9 if v > 9 else v
+    return total % 10
+
+
+KEY = b"0123456789abcdef0123"
+
+
+def _feistel(values, radices, tweak):
+    h = len(values) // 2
+    left, right, rl, rr = list(values[:h]), list(values[h:]), radices[:h], radices[h:]
+
+    def shifted(half, radix, other, turn):
+        message = f"{tweak}|{turn}|{','.join(map(str, other))}"
+        stream = "".join(hmac.new(KEY, f"{message}#{b}".encode(), hashlib.sha256).hexdigest() for b in range((len(half) - 1) // 16 + 1))
+        return [(v + int(stream[4 * j : 4 * j + 4], 16)) % r for j, (v, r) in enumerate(zip(half, radix))]
+
+    for i in range(pii.ROUNDS):
+        if i % 2 == 0:
+            right = shifted(right, rr, left, i)
+        elif h:
+            left = shifted(left, rl, right, i)
+    return left + right
+
+
+def test_pseudonyms(spark):
+    card, amex = "4111 1111 1111 1111", "378282246310005"
+    text = f"mail Ann.b7@x.org, card {card} or {amex}, bad 4111111111111112; +1 (212) 555-0100, 10.0.0.255, 300.1.1.1, 1999-02-28, 1999-02-30, 28.02.1999; 123-45-6789 000-45-6789 DE89370400440532013000 token = \"0123456789abcdef0123456789abcdef\" end."
+    rows = [(1, text, "x"), (2, f"again {card}.", "y"), (3, None, "z"), (4, "", "z"), (5, "plain text", "z"), (6, text.upper(), "z"), (1, text, "x")]
+    found = pii.pseudonymized(spark.createDataFrame(rows, "doc_id long, text string, pii_kinds string"), KEY).collect()
+    out = {r["doc_id"]: r["text"] for r in found}
+    assert out[3] is None and out[4] == "" and out[5] == "plain text"
+    first = out[1]
+    for gone in (card, amex, "Ann.b7@", "555-0100", "10.0.0.255", "1999-02-28", "28.02.1999", "123-45-6789", "DE89370400440532013000", "0123456789abcdef0123456789abcdef"):
+        assert gone not in first
+    for stays in ("4111111111111112", "300.1.1.1", "1999-02-30", "000-45-6789", "@x.org", "+1 ("):
+        assert stays in first
+    new = re.search(r"card ([\d ]+) or (\d+),", first)
+    assert all(_luhn(x.replace(" ", "")) == 0 for x in new.groups()) and len(new[1]) == len(card)
+    assert new[1] in out[2]  # equal values stay linked
+    payload = [int(c) for c in card.replace(" ", "")[:-1]]
+    assert new[1].replace(" ", "")[:-1] == "".join(map(str, _feistel(payload, [10] * 15, "card:" + ",".join(["10"] * 15))))
+    day = (datetime.date(1999, 2, 28) - datetime.date(1900, 1, 1)).days
+    a, b = _feistel([day % 17, day // 17], [17, 4297], "date")
+    moved = datetime.date(1900, 1, 1) + datetime.timedelta(a + 17 * b)
+    assert moved.isoformat() in first and moved.strftime("%d.%m.%Y") in first
+    iban = re.search(r"DE(\d{20})", first)[1]
+    assert int(iban[2:] + "1314" + iban[:2]) % 97 == 1
+    assert out[6].count("@X.ORG") == 1 and "0123456789ABCDEF" not in out[6]
+    assert [r["text"] for r in found if r["doc_id"] == 1] == [first, first]
+
+
+def test_permutation_is_one_to_one(spark):
+    f = pii.Feistel(KEY)
+    pairs = spark.range(17 * 40).select(F.array((F.col("id") % 17).cast("int"), F.floor(F.col("id") / 17).cast("int")).alias("v"))
+    assert pairs.select(f.permuted(F.col("v"), F.array(F.lit(17), F.lit(40)), F.lit("t")).alias("p")).distinct().count() == 17 * 40
+
+
+def test_fingerprints_match_plain_winnowing(docs, empty):
+    found = fingerprints.fingerprinted(docs).collect()
+    hashes = {r["w"]: r["h"] for r in docs.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(fingerprints.WORD), F.lit(0))).alias("w")).distinct().select("w", F.xxhash64("w").alias("h")).collect()}
+    texts = sorted(((r["doc_id"] if r["doc_id"] is not None else -1, r["text"] or "") for r in docs.collect()))
+    following = {t: texts[(i + 1) % len(texts)][1] for i, t in enumerate(texts)}
+    assert len(found) == len(texts)
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    for r in found:
+        text = r["text"]
+        cut = len(text) // 4
+        assert r["next"]["text"] == following[(r["id"] if r["id"] is not None else -1, text)] or texts.count((r["id"], text)) > 1
+        assert r["edited"] == text[: len(text) - cut] + r["next"]["text"][:cut]
+        words = [hashes[w] for w in re.findall(r"[^\x20\x09-\x0D]+", text.lower())]
+        n, grams = len(words), [(g >> 31, (2**31 - 1) - (g & (2**31 - 1))) for g in r["grams"]]
+        if n == 0:
+            assert grams == []
+        elif n >= 5:
+            positions = [p for _, p in grams]
+            assert positions == sorted(positions) and positions[-1] <= n - 5
+            # Any window of four k-grams holds a chosen one.
+            assert all(any(s <= p < s + 4 for p in positions) for s in range(max(1, n - 4 - 3)))
+    by_text = defaultdict(set)
+    for r in found:
+        by_text[r["text"]].add(tuple(r["grams"]))
+    assert all(len(v) == 1 for v in by_text.values())
+    assert fingerprints.fingerprinted(empty).count() == 0
+    one = spark.createDataFrame([(1, "a b a b a b a b a b a b a b")], "doc_id long, text string")
+    grams = fingerprints.fingerprinted(one).first()["grams"]
+    chosen = [(g >> 31, (2**31 - 1) - (g & (2**31 - 1))) for g in grams]
+    low = min(h for h, _ in chosen)
+    assert {h for h, _ in chosen} == {low}  # equal hashes: the rightmost of each window
+    assert chosen[0][1] >= 2
+
+
+def test_top_k_matches_all_products(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 12)) * rng.uniform(0.1, 3, size=(900, 1))
+    x[100:140] = x[7]
+    rows = [(i, [float(v) for v in x[i]], "q") for i in range(900)] + [(2000, None, "q"), (2001, [1.0, float("nan")] + [0.0] * 10, "q"), (2002, [None] + [1.0] * 11, "q"), (2003, [float("inf")] * 12, "q"), (2050, [0.0] * 12, "q")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, norm string")
+    found = topk.exact_top_k(frame, F.col("id") % 50 == 0, k=5, bucket_rows=100, query_rows=7).collect()
+    ids = list(range(900)) + [2050]
+    v = np.vstack([np.floor(256 * x), np.zeros(12)]).astype(np.int64)
+    want = []
+    for at, i in enumerate(ids):
+        if i % 50 == 0:
+            scores = sorted((-int(v[at] @ v[j]), ids[j]) for j in range(len(ids)) if j != at)[:5]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == sorted(want)
+    few = topk.exact_top_k(frame.where("vec_id < 3"), F.col("id") % 50 == 0).collect()
+    assert [r["rank"] for r in sorted(few, key=lambda r: r["rank"])] == [1, 2]
+    assert topk.exact_top_k(frame.where("vec_id < 0"), F.lit(True)).count() == 0
+
+
+def test_languages(spark, empty):
+    rng = random.Random(1)
+    kinds = {"aa": ["babo", "nalu", "komi", "satu"], "bb": ["strepf", "schlag", "krunz", "pfost"], "cc": ["eaux", "oiseau", "rien", "queue"]}
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(20, 60))), lang) for i in range(240) for lang, words in [list(kinds.items())[i % 3]]]
+    rows = [(j, *r[1:]) for j, r in enumerate(rows)]
+    half = " ".join(kinds["aa"] * 30 + kinds["bb"] * 30)
+    rows += [(900, half, None), (901, None, "aa"), (902, "", "bb"), (903, "123 !?", "cc"), (904, "babo 你好", None), (None, "babo nalu", "aa")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(frame)
+    found = {r["doc_id"]: r["language"] for r in language.with_language(frame, model).collect()}
+    assert all(found[i]["prediction"] == lang for i, _, lang in rows[:240])
+    assert sorted(found[900]["languages"]) == ["aa", "bb"] and abs(found[900]["score"] - 0.5) < 0.15
+    assert all(found[i]["prediction"] == "und" and found[i]["score"] == 0 for i in (901, 902, 903))
+    assert language.with_language(empty, language.train(empty)).count() == 0
+
+
+def test_toxicity_held_out(spark, empty):
+    rng = random.Random(2)
+    bad = ["grobian", "widerling", "schurke", "halunke"]
+    rows, labels = [], []
+    for i in range(900):
+        w = _text(rng, rng.randrange(40, 120)).split()
+        toxic = i % 5 == 0
+        if toxic:
+            for _ in range(4):
+                w.insert(rng.randrange(len(w)), rng.choice(bad))
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    rows += [(2000, None), (2001, ""), (None, "alpha grobian"), (0, rows[0][1])]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels + [(5000, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.train(docs, known)
+    found = toxicity.with_toxicity(docs, model).collect()
+    truth = dict(labels)
+    held = [(r["toxicity"] >= 0.7) == bool(truth[r["doc_id"]]) for r in found if r["doc_id"] in truth and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    assert sum(held) / len(held) > 0.95
+    assert all(0 <= r["toxicity"] <= 1 for r in found)
+    assert all(r["toxicity"] < 0.7 for r in found if r["text"] in (None, ""))
+    assert toxicity.train(docs, known.where("toxic = 0")).score("alpha") == 0
+    assert toxicity.with_toxicity(empty, toxicity.ToxicityModel()).count() == 0
+
+
+def test_warc_round_trip(spark):
+    long = "<p>" + "x" * 200 + "</p>"
+    rows = [(1, "http://a/b c\r\nd", "<p>é</p>"), (2, None, None), (3, "http://x", long), (9, "http://y", long), (4, "http://z", long), (5, "u", "<p>é</p>"), (None, "n", long), (3, "http://x", long), (7, "big", "y" * 3_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    index = warc.write_archives(pages)
+    assert index.count() == len(rows)
+    found = warc.read_records(index).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        html = {i: (h or "").encode() for i, _, h in rows}[r["page_id"]]
+        assert r["payload_bytes"] == len(html) and r["payload_digest"] == hashlib.sha256(html).hexdigest()
+        assert r["payload"] == (b"" if r["record_type"] == "revisit" else html)
+    kind = {(r["page_id"], r["record_type"], r["refers_to"]) for r in found}
+    assert kind == {(1, "response", None), (2, "response", None), (3, "response", None), (9, "revisit", 3), (4, "revisit", 3), (5, "response", None), (None, "response", None), (7, "response", None)}
+    one = warc.read_records(warc.selected(index, F.col("page_id") == 7)).collect()
+    assert len(one) == 1 and len(one[0]["payload"]) == 3_000_000
+    assert warc.read_records(warc.write_archives(pages.where("page_id < 0"))).count() == 0
+
+
+def test_license_scan(spark):
+    rng = random.Random(6)
+    rows = [(i, _text(rng, 30) + "\n" + _text(rng, 20)) for i in range(60)]
+    rows += [(100, "Intro\nReleased under the MIT License."), (101, "Licensed under CC BY-NC 4.0."), (102, "Her driving license was taken at the border."), (103, None), (104, ""), (101, "Licensed under CC BY-NC 4.0."), (105, "x\n" * 2000 + "This work is licensed under the GNU General Public License, version 3.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = licenses.scan(docs, licenses.train(docs)).collect()
+    got = Counter((r["doc_id"], r["line"], r["family"]) for r in found)
+    assert got == Counter({(100, 1, "MIT"): 1, (101, 0, "CC-BY-NC"): 2, (102, 0, None): 1, (105, 2000, "GPL"): 1})
+    assert licenses.scan(docs.where("doc_id < 0"), licenses.train(docs)).count() == 0
+
+
+def test_edge_rows_do_not_break_the_operators(docs, empty):
+    n = docs.count()
+    assert pii.pseudonymized(docs, KEY).count() == n
+    assert language.with_language(docs, language.train(docs)).count() == n
+    assert near_dedup.near_duplicates(docs).count() == n
+    assert near_dedup.near_duplicates(empty).count() == 0
+    assert packing.pack(empty, tokenizer_file("byte_bpe_50k.tiktoken")).count() == 0
+    assert pii.pseudonymized(empty, KEY).count() == 0
