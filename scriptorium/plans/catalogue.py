@@ -163,7 +163,7 @@ def normalize_text_groups(spark, sf_dir):
 
 
 @query(f"""WITH {_KEYED},
-  g AS (SELECT doc_id, lang, unnest(CASE WHEN length(norm) = 0 THEN [] WHEN length(norm) <= 2 THEN [norm] ELSE list_distinct(list_transform(range(1, length(norm)), lambda i: substring(norm, i, 2))) END) AS gram FROM k),
+  g AS (SELECT doc_id, lang, unnest(CASE WHEN length(norm) = 0 THEN [] WHEN length(norm) <= 2 THEN [norm] ELSE list_distinct(list_transform(range(1, length(norm)), lambda i: ch[i] || ch[i + 1])) END) AS gram FROM (SELECT *, string_split(norm, '') AS ch FROM k)),
   n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
   s AS (SELECT doc_id AS a, doc_id + unnest([1, 2, 3, 4, 5]) AS b, lang, gram FROM g),
   c AS (SELECT s.a, s.b, count(*) AS c FROM s JOIN g ON g.doc_id = s.b AND g.gram = s.gram AND g.lang IS NOT DISTINCT FROM s.lang GROUP BY ALL)

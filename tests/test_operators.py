@@ -211,3 +211,23 @@ def test_stream_appends_once(spark, tmp_path):
     assert spark.read.parquet(target).count() == 5
     counted = append.windowed_counts(spark.read.parquet(source), "ts", ["kind"]).first()
     assert counted["n"] == 5
+
+
+def test_corpus_sources(spark, tmp_path, monkeypatch):
+    from scriptorium.sources import corpus
+
+    seed = spark.createDataFrame([("seed",)], "chunk_id string")
+    assert corpus.load(spark, None, None, seed, "NO_SUCH").first()["chunk_id"] == "seed"
+    (tmp_path / "c.jsonl").write_text('{"chunk_id": "c1", "source_priority": 0.5}\n')
+    assert corpus.load(spark, str(tmp_path / "c.json"), None, seed, "NO_SUCH").first()["chunk_id"] == "c1"
+    monkeypatch.setenv("SOME_CORPUS", str(tmp_path / "c.jsonl"))
+    assert corpus.load(spark, "/nowhere", None, seed, "SOME_CORPUS").count() == 1
+    sections_ = spark.createDataFrame([("v", i, f"k{i}", "x" * 3, f"y{i % 2}", "paired") for i in range(3)], "vol string, o int, section_key string, text string, year string, pair_type string")
+    packed = spark.createDataFrame([("v", 1, 1, 2), ("v", 2, 2, 3)], "vol string, pack int, first int, last int")
+    made = corpus.assembled(sections_, packed, ["vol"], "o", "t-v1").orderBy("chunk_id").collect()
+    assert [(r["chunk_id"], r["section_keys"], r["year"], r["pair_types"], r["chars"]) for r in made] == [("v-c00001", ["k0", "k1"], "y0 – y1", "paired:2", 6), ("v-c00002", ["k1", "k2"], "y1 – y0", "paired:2", 6)]
+    rows = spark.createDataFrame([(1, ["b", "zz", "a", "b"]), (2, [])], "id int, keys array<string>")
+    order = spark.createDataFrame([("a", 2), ("b", 1)], "k string, o int")
+    assert {r["id"]: r["keys"] for r in corpus.sorted_by_catalog(rows, "id", "keys", order, "k", ["o"]).collect()} == {1: ["b", "a", "zz"], 2: []}
+    meta = files.vector_index(order, "k", "k")
+    assert corpus.status(rows, meta, meta).first()["mode"] == "dense and sparse"
