@@ -8,7 +8,8 @@ half, permute the vector within exactly that domain; check digits are then compu
 same format, equal values have equal pseudonyms in all documents, and different values of a kind stay different.
 
 What is kept: separators, letter case, the domain of an e-mail address, the country of an IBAN, the country code of a
-telephone number. Dates run from 1900 to 2099 (73,049 = 17 * 4,297 days): yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, mm/dd/yyyy.
+telephone number. Dates run from 1900 to 2099 (73,049 = 17 * 4,297 days): yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, mm/dd/yyyy, and
+dd/mm/yyyy where only that can be meant (such a pseudonym may, rarely, be read as a mm/dd/yyyy one).
 Phone numbers have 8 to 15 digits; secrets are 16 to 128 hexadecimal digits behind a word such as token and = or :.
 
 Scale. All of it is a map over rows in the JVM: no shuffle, no Python. The pattern runs only over texts with a digit or @, and
@@ -30,7 +31,7 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?
 DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/-])"
 IPV4 = r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-PHONE = r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+(?!1)\d{1,3}(?:[ -]?(?:\(\d{1,4}\)|\d{2,4})){2,4}(?!\d|\.\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
+PHONE = r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+(?!1)\d{1,3}(?:[ -]?(?:\(\d{1,4}\)|\d{1,4})){2,5}(?!\d|\.\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
 CARD = r"(?<![\d])(?:\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?!\d)"
 SECRET = r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]{16})(?<=(?i:token|secret|password|passwd|api[_-]?key|apikey|access[_-]?key)[\"' ]{0,3}[=:][\"' ]{0,3})[0-9A-Fa-f]{16,128}(?![0-9A-Za-z])"
 #: In order of precedence at one place.
@@ -150,9 +151,10 @@ def pseudonym(value: Column, feistel: Feistel) -> Column:
     iban = F.when(_mod97(F.concat(account, F.substring(bare, 1, 4))) == 1, spaced)
 
     part = lambda a, b: F.substring(value, a, b)
-    iso = F.when(value.rlike(r"^\d{4}"), F.concat_ws("-", part(1, 4), part(6, 2), part(9, 2))).when(value.contains("."), F.concat_ws("-", part(7, 4), part(4, 2), part(1, 2))).otherwise(F.concat_ws("-", part(7, 4), part(1, 2), part(4, 2)))
+    day_first = value.contains(".") | value.rlike("^(?:1[3-9]|[23][0-9])/")
+    iso = F.when(value.rlike(r"^\d{4}"), F.concat_ws("-", part(1, 4), part(6, 2), part(9, 2))).when(day_first, F.concat_ws("-", part(7, 4), part(4, 2), part(1, 2))).otherwise(F.concat_ws("-", part(7, 4), part(1, 2), part(4, 2)))
     first_day = F.lit("1900-01-01").cast("date")
-    written = lambda d: F.when(value.rlike(r"^\d{4}-"), F.date_format(d, "yyyy-MM-dd")).when(value.rlike(r"^\d{4}/"), F.date_format(d, "yyyy/MM/dd")).when(value.contains("."), F.date_format(d, "dd.MM.yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy"))
+    written = lambda d: F.when(value.rlike(r"^\d{4}-"), F.date_format(d, "yyyy-MM-dd")).when(value.rlike(r"^\d{4}/"), F.date_format(d, "yyyy/MM/dd")).when(value.contains("."), F.date_format(d, "dd.MM.yyyy")).when(day_first, F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy"))
     moved = lambda day: feistel.permuted(F.array(day % 17, F.floor(day / 17).cast("int")), F.array(F.lit(17), F.lit(4297)), F.lit("date"))
     date = _let(F.date_diff(iso.try_cast("date"), first_day), lambda day: F.when(day.between(0, 73048), _let(moved(day), lambda m: _let(F.date_add(first_day, F.element_at(m, 1) + 17 * F.element_at(m, 2)), written))))
 
