@@ -27,6 +27,9 @@ from .common import durable
 #: Fixed value: the pre-tokenizing pattern of the byte-level vocabulary, in its form without backtracking.
 BYTE_LEVEL_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
+#: Bytes of ids that a task gathers before it hands them on.
+FLUSH = 4 << 20
+
 _encoders: dict[tuple[str, str], object] = {}
 
 
@@ -47,10 +50,22 @@ def tokenized(docs: DataFrame, ranks_path: str, end_id: int, id_col: str = "doc_
 
     def run(batches):
         encode, part, end = byte_level_encoder(ranks_path, pattern), TaskContext.get().partitionId(), [end_id]
+        size = np.dtype(kind).itemsize
+
+        def made(docs, ids):
+            return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([part] * len(ids), pa.int32()), pa.array([len(x) // size for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "part", "n", "ids"])
+
         for batch in batches:
-            ids = [np.array(encode(text.as_py() or "") + end, dtype=kind).tobytes() for text in batch.column(1)]
-            count = np.array([len(x) for x in ids], np.int64) // np.dtype(kind).itemsize
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(count), pa.array(ids, pa.binary())], names=["doc_id", "part", "n", "ids"])
+            docs, ids, held = [], [], 0
+            for doc, text in zip(batch.column(0), batch.column(1)):
+                docs.append(doc.as_py())
+                ids.append(np.array(encode(text.as_py() or "") + end, dtype=kind).tobytes())
+                held += len(ids[-1])
+                if held > FLUSH:
+                    yield made(docs, ids)
+                    docs, ids, held = [], [], 0
+            yield made(docs, ids)
+            pa.default_memory_pool().release_unused()
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return durable(slim.mapInArrow(run, "doc_id long, part int, n long, ids binary"))
@@ -65,22 +80,26 @@ def concat_and_cut(tokens: DataFrame, length: int = 2048, wide: bool = False) ->
 
     def run(batches):
         part, at = None, 0
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], names=names)
         for batch in batches:
-            ids_of, parts, bases, all_ids = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
-            rows = []
-            for doc, p, first, raw in zip(ids_of, parts, bases, all_ids):
-                if p != part:
-                    part, at = p, first
-                ids = np.frombuffer(raw.as_buffer(), dtype=kind).astype("<u4")
-                start, n = 0, len(ids)
+            rows, held = [], 0
+            for doc, p, first, raw in zip(batch.column(0), batch.column(1), batch.column(2), batch.column(3)):
+                if p.as_py() != part:
+                    part, at = p.as_py(), first.as_py()
+                ids = np.frombuffer(raw.as_buffer(), dtype=kind)
+                start, n, doc = 0, len(ids), doc.as_py()
                 while start < n:
                     sequence, offset = divmod(at, length)
                     size = min(n - start, length - offset)
-                    rows.append((doc, start, size, ids[start : start + size].tobytes(), n, sequence, offset))
-                    start, at = start + size, at + size
-            columns = list(zip(*rows)) if rows else [[]] * 7
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+                    rows.append((doc, start, size, ids[start : start + size].astype("<u4").tobytes(), n, sequence, offset))
+                    start, at, held = start + size, at + size, held + 4 * size
+                    if held > FLUSH:
+                        yield made(rows)
+                        rows, held = [], 0
+            yield made(rows)
+            pa.default_memory_pool().release_unused()
 
     # One row a partition of the tokens: the bound of what is sent to all executors.
     placed = tokens.join(F.broadcast(base), "part").select("doc_id", "part", "base", "ids")
