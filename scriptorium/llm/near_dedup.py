@@ -8,9 +8,8 @@ every link is confirmed on the full sets.
 Scale. Documents with equal sets first fall together into classes (a partial aggregation on a 128-bit set key),
 so groups of copies, however large, cost one representative. A band bucket of representatives is not compared pair by
 pair: PIVOTS of its members, drawn by hash, are compared with all others and leave it; buckets whose members are still in
-more than one component go into the next of ROUNDS rounds, with pivots from their largest component. What is open after
-that has its pairs across components compared, but for those that the triangle inequality excludes (1 - similarity is a
-metric, and the distances to the first pivot are known). So no link that could join two components is missed, and a large group of near copies never becomes all its
+more than one component go into the next of ROUNDS rounds, with pivots from their largest component. In what is open after
+that, members outside the largest component are compared with their cluster in blocks, inside tasks, and only links come out. So no link that could join two components is missed, and a large group of near copies never becomes all its
 pairs. Sets are built for candidates only.
 
 Chance of missing a link at similarity 0.8 with the defaults (40 bands of 5 values): (1 - 0.8**5)**40, about 1e-7.
@@ -32,10 +31,12 @@ from .common import durable
 
 #: Candidate ids up to this many (16 MB of longs) are sent to all executors when texts are looked up; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Rounds of pivots, and pivots a bucket and round, before the pairs across components that remain are compared.
-ROUNDS, PIVOTS = 3, 4
+#: Rounds of pivots, and pivots a bucket and round, before the members that remain outside are compared in blocks.
+ROUNDS, PIVOTS = 2, 4
+#: Members in a block.
+BLOCK = 256
 #: Words whose hashes a Python worker remembers.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -133,12 +134,55 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return wanted.mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id"])
 
 
-def _compared(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The pairs (a, b) with common and total: sizes of the intersection and the union of their full sets."""
+def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     sets = durable(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k))
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-    return durable(both.select("a", "b", "common", (F.col("na") + F.col("nb") - F.col("common")).alias("total")))
+    return durable(both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"))
+
+
+def _linked_blocks(open_: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) across the components of open buckets (bucket, rep, part).
+
+    Buckets that share members form a cluster. The members outside a cluster's largest component are compared with all of the cluster,
+    block by block: a row is a pair of blocks, spread over the cluster by (cluster, right block), and only links come out.
+    """
+    low = open_.groupBy("bucket").agg(F.min("rep").alias("first"))
+    clusters = durable(components(open_.join(low, "bucket").where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))))
+    members = durable(open_.select("rep", "part").distinct().join(clusters, F.col("rep") == F.col("node")).select("rep", "part", F.col("root").alias("cluster")))
+    sizes = members.groupBy("cluster", "part").agg(F.count("*").alias("size"))
+    shape = sizes.groupBy("cluster").agg(F.max(F.struct("size", "part")).alias("x"), F.sum("size").alias("n")).select("cluster", F.col("x.part").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    sets = durable(_sets(docs, members.select(F.col("rep").alias("id")).distinct(), k))
+    ready = members.join(shape, "cluster").join(sets, members.rep == sets.id).select("cluster", "rep", "part", "blocks", (F.col("part") != F.col("main")).alias("outside"), "shingles")
+    ready = ready.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    pack = F.collect_list(F.struct("rep", "part", "shingles"))  # about BLOCK members
+    right = ready.groupBy("cluster", "block").agg(pack.alias("right"))
+    left = ready.where("outside").groupBy("cluster", F.col("block").alias("left_block"), "blocks").agg(pack.alias("left"))
+    pairs = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(right, ["cluster", "block"]).select("left", "right")
+
+    def run(batches):
+        for batch in batches:
+            a, b = [], []
+            for left, right in zip(batch.column(0), batch.column(1)):
+                values = right.values.field("shingles")
+                shingles = values.values.to_numpy()[values.offsets[0].as_py() : values.offsets[-1].as_py()]
+                sizes = np.diff(values.offsets.to_numpy())
+                order = np.argsort(shingles, kind="stable")
+                shingles, owners = shingles[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+                reps, parts = right.values.field("rep").to_numpy(), right.values.field("part").to_numpy()
+                for member in left:
+                    mine = member["shingles"].values.to_numpy()
+                    lo, hi = np.searchsorted(shingles, mine, "left"), np.searchsorted(shingles, mine, "right")
+                    n = hi - lo
+                    at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                    common = np.bincount(owners[at], minlength=len(sizes))
+                    linked = np.flatnonzero((100 * common >= percent * (len(mine) + sizes - common)) & (parts != member["part"].as_py()))
+                    a += [member["rep"].as_py()] * len(linked)
+                    b += reps[linked].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -183,44 +227,33 @@ def near_duplicates(
 
     close = (100 * F.col("n") >= percent * F.col("n2")) & (100 * F.col("n2") >= percent * F.col("n"))  # sizes that allow a link
     full = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    open_ = durable(banded.join(full, "bucket", "left_semi").select("bucket", "rep", "n", F.col("rep").alias("part"), F.lit(None).cast("double").alias("far")))
+    open_ = durable(banded.join(full, "bucket", "left_semi").select("bucket", "rep", "n", F.col("rep").alias("part")))
     checked = links = final = None
-    for turn in range(ROUNDS + 1):
-        if turn < ROUNDS:
-            main = open_
-            if turn:  # pivots come from the largest component of a bucket
-                sizes = open_.groupBy("bucket", "part").agg(F.count("*").alias("size"))
-                largest = sizes.groupBy("bucket").agg(F.max(F.struct("size", "part")).alias("x")).select("bucket", F.col("x.part").alias("part"))
-                main = open_.join(largest, ["bucket", "part"], "left_semi")
-            drawn = [F.min(F.struct(F.xxhash64("rep", F.lit(turn * PIVOTS + i)), F.col("rep").alias("pivot"), F.col("n").alias("n2"), F.col("part").alias("part2"))).alias(f"p{i}") for i in range(PIVOTS)]
-            pivots = main.groupBy("bucket").agg(*drawn).select("bucket", F.array(*[F.struct(f"p{i}.pivot", f"p{i}.n2", f"p{i}.part2") for i in range(PIVOTS)]).alias("pivots"))
-            starred = durable(open_.join(pivots, "bucket"))
-            pairs = starred.select("rep", "n", "part", F.explode("pivots").alias("p")).select("rep", "n", "part", "p.*").where("part <> part2 and rep <> pivot").where(close)
-            pairs = pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
-        else:
-            # 1 - similarity is a metric: two members whose distances to the bucket's first pivot differ by more than a link spans have none.
-            other = open_.select("bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("part").alias("part2"), F.col("far").alias("far2"))
-            near = F.coalesce(F.abs(F.col("far") - F.col("far2")) <= (100 - percent) / 100 + 1e-9, F.lit(True))
-            pairs = open_.join(other, "bucket").where("part < part2").where(close & near).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
-        pairs = pairs.distinct()
+    for turn in range(ROUNDS):
+        main = open_
+        if turn:  # pivots come from the largest component of a bucket
+            sizes = open_.groupBy("bucket", "part").agg(F.count("*").alias("size"))
+            largest = sizes.groupBy("bucket").agg(F.max(F.struct("size", "part")).alias("x")).select("bucket", F.col("x.part").alias("part"))
+            main = open_.join(largest, ["bucket", "part"], "left_semi")
+        drawn = [F.min(F.struct(F.xxhash64("rep", F.lit(turn * PIVOTS + i)), F.col("rep").alias("pivot"), F.col("n").alias("n2"), F.col("part").alias("part2"))).alias(f"p{i}") for i in range(PIVOTS)]
+        pivots = main.groupBy("bucket").agg(*drawn).select("bucket", F.array(*[F.struct(f"p{i}.pivot", f"p{i}.n2", f"p{i}.part2") for i in range(PIVOTS)]).alias("pivots"))
+        starred = durable(open_.join(pivots, "bucket"))
+        pairs = starred.select("rep", "n", "part", F.explode(F.array_distinct("pivots")).alias("p")).select("rep", "n", "part", "p.*").where("part <> part2 and rep <> pivot").where(close)
+        pairs = pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
         pairs = durable(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"))
         checked = pairs if checked is None else checked.union(pairs)
-        compared = _compared(pairs, docs, k)
-        found = compared.where(100 * F.col("common") >= percent * F.col("total")).select("a", "b")
+        found = _confirmed(pairs, docs, k, percent)
         links = found if links is None else links.union(found)
         final = durable(components(links))
-        if turn == ROUNDS:
-            break
         # All pairs with the pivots are settled, so they leave; buckets that still hold more than one component stay open.
-        rest = starred.where(~F.array_contains(F.col("pivots.pivot"), F.col("rep")))
-        if not turn:
-            first = F.col("pivots")[0]["pivot"]
-            rest = rest.withColumns({"a": F.least("rep", first), "b": F.greatest("rep", first)}).join(compared, ["a", "b"], "left").withColumn("far", 1 - F.col("common") / F.col("total"))
-        rest = rest.select("bucket", "rep", "n", "far").join(final, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("part"), "far")
+        rest = starred.where(~F.array_contains(F.col("pivots.pivot"), F.col("rep"))).select("bucket", "rep", "n")
+        rest = rest.join(final, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("part"))
         mixed = rest.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
         open_ = durable(rest.join(mixed, "bucket", "left_semi"))
         if open_.isEmpty():
             break
+    else:
+        final = durable(components(links.union(_linked_blocks(open_, docs, k, percent))))
 
     named = classes.join(final, classes.rep == final.node, "left").where("copies > 1 or root is not null").select(*key, F.coalesce("root", "rep").alias("component"))
     # Classes of one document without links keep their own id and need no row here.
