@@ -6,41 +6,49 @@ at most about `negatives` paragraphs of the corpus without a licence cue. A held
 least probability from which `precision` of the calibration paragraphs are right. A prediction is confirmed by comparison with
 the notices of its family: the share of the smaller bigram set that both have must reach `overlap`.
 
-Scale. One pattern over whole texts finds paragraphs with a licence cue; only these are cut into grams. Each different
-paragraph is scored once: its grams meet the weights (at most `vocabulary` rows, sent to all executors) and their sums are
-aggregated by paragraph. No Python runs on the executors; fitting is Spark's own, on a bounded sample.
+A paragraph is a line, and so is every run of two lines or more that may belong to one notice: hard-wrapped notices are judged
+as a whole. The run is reported, at its first line, in place of its lines where it is confirmed and at least three more word
+pairs of a notice meet than in any of its lines; a line that is more like another family's notices is still reported by itself.
 
-Edge cases. Null or empty text has no paragraphs. A paragraph is a line. Cues without a known family are reported with
-family null (unknown). Repeated rows are reported as often as they occur. Empty table: no rows. Further columns are ignored.
+Scale. Every line is cut into grams, and its weights are added up in place. Lines that are predicted other than none, hold a
+cue or share three word pairs (a short line: all) with the notices (to complete wrapped ones) go on; each different paragraph of them is scored once: its grams meet the weights (at most `vocabulary` rows, sent to all executors)
+and their sums are aggregated by paragraph. No Python runs on the executors; fitting is Spark's own, on a bounded sample.
+
+Edge cases. Null or empty text has no paragraphs; a blank line ends a run. Paragraphs predicted other than none but not
+confirmed, and cues without a known family, are reported with family null (unknown). Repeated rows are reported as often as they occur. Empty table: no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import durable
 
 #: Notices of licence families.
 NOTICES = {
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "SPDX-License-Identifier: MIT"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the Apache License, Version 2.0. You may obtain a copy of the License at apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0"],
-    "GPL": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version", "SPDX-License-Identifier: GPL-3.0-or-later", "Released under the GNU GPL version 2 license"],
-    "LGPL": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-2.1-or-later"],
-    "BSD": ["Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-3-Clause", "Released under the two-clause BSD license"],
-    "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.", "Licensed under the Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0"],
-    "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
-    "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
-    "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "MIT": ["Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "SPDX-License-Identifier: MIT", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, express or implied", "MIT licensed.", "Distributed under MIT."],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the Apache License, Version 2.0. You may obtain a copy of the License at apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0", "Released under Apache-2.0.", "Available under the terms of Apache 2.0."],
+    "MIT OR Apache-2.0": ["Dual MIT/Apache-2.0.", "Dual licensed under MIT and Apache-2.0.", "Licensed under either of Apache-2.0 or MIT at your option.", "SPDX-License-Identifier: MIT OR Apache-2.0"],
+    "GPL": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version", "SPDX-License-Identifier: GPL-3.0-or-later", "Released under the GNU GPL version 2 license", "Distributed under GPLv3 or later.", "Released under GPLv2.", "Available under the terms of the GPL 3.0.", "Released under GPL-3.0."],
+    "LGPL": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-2.1-or-later", "Distributed under LGPLv3 or later.", "Available under the terms of the LGPL 2.1.", "Released under LGPL-2.1."],
+    "BSD": ["Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-3-Clause", "Released under the two-clause BSD license", "Released under BSD-3-Clause.", "Released under BSD-2-Clause.", "Distributed under BSD."],
+    "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.", "Licensed under the Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0", "Available under the terms of the MPL 2.0.", "Released under MPL-2.0."],
+    "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0", "CC-BY 4.0", "Available under CC-BY-4.0."],
+    "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0", "CC-BY-NC 4.0", "Available under CC-BY-NC-4.0."],
+    "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0", "CC-BY-SA 4.0", "Available under CC-BY-SA-4.0."],
     "public-domain": ["This is free and unencumbered software released into the public domain.", "Released under CC0 1.0 Universal: no copyright, dedicated to the public domain.", "SPDX-License-Identifier: CC0-1.0"],
     "proprietary": ["Copyright. All rights reserved.", "No part of this publication may be reproduced without the prior written permission of the publisher. All rights reserved."],
 }
-#: Sentences with a cue that are no licence notices.
+#: Sentences with a cue or a word of a short form (in German, mit) that are no licence notices.
 OTHERS = [
     "Their driving license was renewed last week at the office.", "She asked for permission to leave the room early.", "The warranty of the washing machine ended in spring.",
     "A licensed guide led the group over the pass.", "The story is in the public library of the town.", "The copyright lawyer gave a talk about music.", "He got a fishing licence for the lake.",
+    "Er kam mit dem Zug und ging mit ihr in die Stadt.", "Mit der Zeit ist das nicht mehr so.", "Wir sind mit dem Wagen auf dem Weg.", "Das ist mit und ohne ihn gut.", "Mit ist.", "Was du mit von auch für.",
+    "It was written by hand at the end of this year.", "This is one or the other of them.", "They were under the bridge by the river.",
 ]
 CUE = r"(?i)licen[cs]|copyright|public domain|all rights reserved|permission is hereby|redistribut|\bspdx\b|creative commons|\bcc0\b|\bcc by\b|\bgnu\b"
 NONE = "none"
@@ -50,6 +58,11 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"), F.lit(0))
 
 
+def _words(text: str) -> list[str]:
+    """words() of a notice."""
+    return re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", text.lower())
+
+
 def bigrams(w: Column) -> Column:
     follow = F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0)))
     return F.slice(F.zip_with(w, follow, lambda a, b: F.concat_ws(" ", a, b)), F.lit(1), F.greatest(F.size(w) - 1, F.lit(0)))
@@ -66,6 +79,20 @@ class LicenseModel:
     weights: list[tuple[str, list[float]]]
     least: float
 
+    def other_than_none(self, w: Column, pairs: Column) -> Column:
+        """Whether the sums of a paragraph's weights put a family above none, from its words and bigrams; as scored() has it, without a join."""
+        if NONE not in self.families:
+            return F.lit(True)
+        none, known = self.families.index(NONE), [gram for gram, _ in self.weights]
+        starts = F.array(*[F.lit(b) for b in self.intercepts])
+        weights = F.map_from_arrays(F.array(*[F.lit(g) for g in known]), F.array(*[F.array(*[F.lit(x) for x in ws]) for _, ws in self.weights])) if known else None
+        if not known:
+            return F.lit(max(self.intercepts) > self.intercepts[none])
+        # A hash lookup drops grams without a weight; the map is met by the few that are left.
+        hits = F.array_distinct(F.concat(F.filter(w, lambda g: g.isin(known)), F.filter(pairs, lambda g: g.isin(known))))
+        sums = F.aggregate(hits, starts, lambda acc, g: F.zip_with(acc, F.element_at(weights, g), lambda a, b: a + b))
+        return F.transform(F.array(sums), lambda m: F.array_max(m) > m[none])[0]
+
     def scored(self, paragraphs: DataFrame) -> DataFrame:
         """paragraph, predicted and probability of distinct paragraphs."""
         spark = paragraphs.sparkSession
@@ -117,15 +144,40 @@ def train(docs: DataFrame, text_col: str = "text", negatives: int = 4000, vocabu
 
 
 def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text", overlap: float = 0.5) -> DataFrame:
-    """doc_id, line (number from 0), paragraph, family (null: unknown), probability and likeness of every paragraph with a cue."""
-    some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(CUE))
-    lines = durable(some.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "paragraph")).where(F.col("paragraph").rlike(CUE)))
-    scored = model.scored(lines.select("paragraph").distinct())
-    notices = docs.sparkSession.createDataFrame([(f, t) for f, ts in NOTICES.items() for t in ts], "predicted string, notice string")
+    """doc_id, line (number from 0), paragraph, family (null: unknown), probability and likeness of every paragraph with a cue or predicted other than none."""
+    spark = docs.sparkSession
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    lines = rows.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
+    cue = F.col("paragraph").rlike(CUE)
+    # Lines that share some word pairs with a notice only complete a wrapped notice.
+    pairs = sorted({" ".join(p) for ts in NOTICES.values() for t in ts for w in [_words(t)] for p in zip(w, w[1:])})
+    near = lambda b: F.size(F.filter(b, lambda g: g.isin(pairs))) >= F.greatest(F.least(F.size(b), F.lit(3)), F.lit(1))
+    # Names bound by lambdas are evaluated once a line, wherever the optimizer puts the filter.
+    judged = F.transform(F.array(words(F.col("paragraph"))), lambda w: F.transform(F.array(bigrams(w)), lambda b: model.other_than_none(w, b) | near(b))[0])[0]
+    some = lines.where(cue | judged).select("row", "doc_id", "line", "paragraph", cue.alias("cue"))
+    # Candidates only, so a document's window holds few lines.
+    some = durable(some.withColumn("run", F.col("line") - F.row_number().over(Window.partitionBy("row").orderBy("line"))))
+    joined = some.groupBy("row", "doc_id", "run").agg(F.array_sort(F.collect_list(F.struct("line", "paragraph"))).alias("of")).where(F.size("of") > 1)
+    joined = durable(joined.select("row", "run", F.array_join(F.transform("of", lambda x: x["paragraph"]), "\n").alias("paragraph")))
+
+    notices = spark.createDataFrame([(f, t) for f, ts in NOTICES.items() for t in ts], "predicted string, notice string")
     notices = notices.groupBy("predicted").agg(F.collect_list(F.array_distinct(bigrams(words(F.col("notice"))))).alias("notices"))
-    mine = F.array_distinct(bigrams(words(F.col("paragraph"))))
-    shares = F.transform("notices", lambda t: F.size(F.array_intersect("mine", t)) / F.greatest(F.least(F.size("mine"), F.size(t)), F.lit(1)))
-    compared = scored.join(F.broadcast(notices), "predicted", "left").withColumn("mine", mine).withColumn("likeness", F.coalesce(F.array_max(shares), F.lit(0.0)))
+    mine = lambda p: F.array_distinct(bigrams(words(F.col(p))))
+    share = lambda t: F.size(F.array_intersect("mine", t)) / F.greatest(F.least(F.size("mine"), F.size(t)), F.lit(1))
+    scored = model.scored(some.select("paragraph").union(joined.select("paragraph")).distinct())
+    compared = scored.join(F.broadcast(notices), "predicted", "left").withColumn("mine", mine("paragraph"))
+    compared = compared.withColumns({"likeness": F.coalesce(F.array_max(F.transform("notices", share)), F.lit(0.0)), "shared": F.coalesce(F.array_max(F.transform("notices", lambda t: F.size(F.array_intersect("mine", t)))), F.lit(0))})
     sure = (F.col("predicted") != NONE) & (F.col("probability") >= model.least) & (F.col("likeness") >= overlap)
-    decided = compared.select("paragraph", F.when(sure, F.col("predicted")).alias("family"), "probability", "likeness")
-    return lines.join(decided, "paragraph").select("doc_id", "line", "paragraph", "family", "probability", "likeness")
+    decided = durable(compared.select("paragraph", "predicted", F.when(sure, F.col("predicted")).alias("family"), "probability", "likeness", "shared"))
+
+    single = some.join(decided, "paragraph")
+    runs = joined.join(decided.where("family IS NOT NULL"), "paragraph").select("row", "run", *[F.col(c).alias(f"run_{c}") for c in ("family", "probability", "likeness", "shared")])
+    best = single.groupBy("row", "run").agg(F.max("shared").alias("best"))
+    runs = runs.join(best, ["row", "run"]).where(F.col("run_shared") > F.col("best") + 2).drop("best")
+    both = single.join(runs, ["row", "run"], "left").join(F.broadcast(notices.select(F.col("predicted").alias("run_family"), F.col("notices").alias("run_notices"))), "run_family", "left")
+    like_run = F.coalesce(F.array_max(F.transform("run_notices", share)), F.lit(0.0))
+    both = both.withColumn("mine", F.when(F.col("run_family").isNotNull(), mine("paragraph"))).withColumn("covered", F.col("run_family").isNotNull() & (F.col("family").isNull() | (like_run >= F.col("likeness")))).drop("mine", "run_notices")
+    alone = both.where(~F.col("covered") & (F.col("cue") | (F.col("predicted") != NONE))).select("doc_id", "line", "paragraph", "family", "probability", "likeness")
+    whole = both.where("covered").groupBy("row", "run", "doc_id", "run_family", "run_probability", "run_likeness").agg(F.array_sort(F.collect_list(F.struct("line", "paragraph"))).alias("of"))
+    whole = whole.select("doc_id", F.col("of")[0]["line"].alias("line"), F.array_join(F.transform("of", lambda x: x["paragraph"]), "\n").alias("paragraph"), F.col("run_family").alias("family"), F.col("run_probability").alias("probability"), F.col("run_likeness").alias("likeness"))
+    return alone.union(whole)
