@@ -8,13 +8,17 @@ records and only the very last sequence of the whole corpus is padded.
 
 Nothing is shuffled but one total a partition. Ids are kept as 16-bit numbers while the vocabulary allows it.
 
-Edge cases. Null text counts as empty: only the end id. A null document id stays null. Repeated rows are packed as
-often as they occur. Empty table: no pieces. Further columns are ignored.
+Edge cases. The literal of an added token (<|endoftext|>) in a text is that token's id, as the tokenizer has it. Null text
+counts as empty: only the end id. A null document id stays null. Repeated rows are packed as often as they occur. Empty table:
+no pieces. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
+import json
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +38,33 @@ _encoders: dict[tuple[str, str], object] = {}
 
 
 def byte_level_encoder(ranks_path: str, pattern: str = BYTE_LEVEL_PATTERN):
-    """A text -> ids function over a file of base64 token and rank lines; one a Python worker is kept."""
+    """A text -> ids function over a file of base64 token and rank lines; one a Python worker is kept.
+
+    The added tokens of the tokenizer's JSON file beside it (same name) are ids of their own wherever a text holds them.
+    """
     import tiktoken
 
     if (ranks_path, pattern) not in _encoders:
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _encoders[ranks_path, pattern] = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[ranks_path, pattern].encode_ordinary
+        added = added_tokens(os.path.splitext(ranks_path)[0] + ".json")
+        ranks = {token: rank for token, rank in ranks.items() if rank not in added.values()}
+        encoding = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+        _encoders[ranks_path, pattern] = functools.partial(encoding.encode, allowed_special="all", disallowed_special=()) if added else encoding.encode_ordinary
+    return _encoders[ranks_path, pattern]
+
+
+def added_tokens(json_path: str) -> dict[str, int]:
+    """Literal and id of the added tokens of a tokenizer file. None without such a file."""
+    if not os.path.exists(json_path):
+        return {}
+    with open(json_path, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens") or []
+    # What the encoder does not do is refused, not left out.
+    odd = [t["content"] for t in found if t.get("lstrip") or t.get("rstrip") or t.get("single_word")]
+    if odd:
+        raise ValueError(f"added tokens that strip or match whole words: {odd}")
+    return {t["content"]: int(t["id"]) for t in found}
 
 
 def tokenized(docs: DataFrame, ranks_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", pattern: str = BYTE_LEVEL_PATTERN, wide: bool = False) -> DataFrame:
