@@ -3,7 +3,7 @@
 Training counts hashed letter trigrams per language over labelled documents. For a document, EM estimates the share of
 each language in its trigrams; languages are then removed, smallest share first, while the penalised likelihood
 (BIC-like: half of `penalty` * ln(trigrams) for each language) does not fall. What remains is the language set; the
-prediction is its largest share.
+prediction is its largest share. No share is too small as such: EM runs to convergence, and the penalty alone decides.
 
 Scale. One pass counts labelled rows per language; at most about `sample` rows a language, chosen by a hash of the id,
 are used for training, so the cost of training is bounded (parameter `sample`). The model is buckets * languages
@@ -48,32 +48,40 @@ class LanguageModel:
     languages: list[str]
     probability: np.ndarray  # buckets x languages
 
-    def infer(self, text: str | None, penalty: float, steps: int = 12) -> tuple[list[str], list[float]]:
-        """The languages of a text and their shares, largest first; two empty lists without a letter."""
+    def infer(self, text: str | None, penalty: float, exact: float = 0.01) -> tuple[list[str], list[float]]:
+        """The languages of a text and their shares, largest first; two empty lists without a letter.
+
+        EM runs until the log likelihood is within `exact` of the penalty of one language from its maximum.
+        """
         grams = trigrams(text)
         if not len(grams) or not self.languages:
             return [], []
         ids, count = np.unique(grams, return_counts=True)
-        p = self.probability[ids]
+        p = np.ascontiguousarray(self.probability[ids].T)
         total = float(count.sum())
+        cost = 0.5 * penalty * np.log(total + 1)
 
-        def fit(of: np.ndarray) -> tuple[np.ndarray, float]:
+        def fit(of: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, float]:
             if len(of) == 1:
-                return np.ones(1), float(count @ np.log(p[:, of[0]]))
-            q, share = p[:, of], np.full(len(of), 1 / len(of))
-            for _ in range(steps):
-                share = share * ((count / (q @ share)) @ q) / total
-            return share, float(count @ np.log(q @ share))
+                return np.ones(1), float(np.log(p[of[0]]) @ count)
+            q = p[of]
+            mixed = share @ q
+            gain = q @ (count / mixed) / total
+            # The likelihood is concave: no mixture is better by more than this.
+            while total * np.log(gain.max()) > exact * cost:
+                before, share = share, share * gain / (share @ gain)
+                if np.array_equal(before, share):
+                    break
+                mixed = share @ q
+                gain = q @ (count / mixed) / total
+            return share, float(np.log(mixed) @ count)
 
         kept = np.arange(len(self.languages))
-        share, likelihood = fit(kept)
-        cost = 0.5 * penalty * np.log(total + 1)
-        if (share < 0.02).any():
-            kept = kept[share >= min(0.02, share.max())]
-            share, likelihood = fit(kept)
+        share, likelihood = fit(kept, np.full(len(kept), 1 / len(kept)))
         while len(kept) > 1:
-            fewer = np.delete(kept, share.argmin())
-            share2, likelihood2 = fit(fewer)
+            least = share.argmin()
+            fewer, start = np.delete(kept, least), np.maximum(np.delete(share, least), 1e-4)
+            share2, likelihood2 = fit(fewer, start / start.sum())
             if likelihood2 + cost < likelihood:
                 break
             kept, share, likelihood = fewer, share2, likelihood2
