@@ -466,7 +466,7 @@ def answered_questions(spark, sf_dir):
     """User turns answered from the documents."""
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     docs = table(spark, sf_dir, "documents")
-    cases = docs.select(F.col("doc_id").alias("item_id"), F.lower("text").alias("sparse"), F.lower(F.left("text", F.lit(400))).alias("dense"), F.lit(0.5).alias("priority"))
+    cases = docs.select(F.col("doc_id").alias("item_id"), F.lower("text").alias("sparse"), F.lower("text").alias("dense"), F.lit(0.5).alias("priority"))
     members = docs.select(F.col("doc_id").alias("item_id"), F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / 1400).cast("int")), lambda i: F.concat(F.col("doc_id").cast("string"), F.lit(":"), i.cast("string"))).alias("members"))
     found = workflow.answered(questions, cases, members, vocabulary=INTENT)
     return found.select("query_id", "intent", "scene", F.size("cases").alias("n_cases"), F.array_join("evidence", ",").alias("evidence"), "passed")
