@@ -448,17 +448,20 @@ def sentence_parts(spark, sf_dir):
 @query()
 def extracted_cases(spark, sf_dir):
     """Prompts, a deterministic stand-in for the model, parsing, acceptance."""
-    chunks = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chunk_id"), F.array(F.col("source"), F.col("lang")).alias("section_keys"), "text", "n_chars")
-    asked = extraction.prompts(chunks, "Extract cases.\n{{payload}}", {"payload": extraction.payload(["chunk_id", "n_chars"])})
+    chunks = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chunk_id"), F.array_distinct(F.array_compact(F.array(F.col("source"), F.col("lang")))).alias("section_keys"), "text")
+    chunks = chunks.withColumn("section_texts", extraction.section_texts(F.col("section_keys"), F.col("text")))
+    asked = extraction.prompts(chunks, "Extract cases.\n{{payload}}", {"payload": extraction.payload(["chunk_id", "section_keys", "text", "section_texts"])})
 
     def model(texts: list[str]) -> list[str]:
         import json
 
         found = json.loads(texts[0].split("\n", 1)[1])
-        score = (found["n_chars"] % 100) / 100
-        return ["```json\n" + json.dumps({"cases": [{"title": f"case of {found['chunk_id']}", "summary": "", "score": str(score), "section_keys": [], "actors": []}], "global_notes": []}) + "\n```"]
+        words, parts = found.get("text", "").split(), found.get("section_texts", {})
+        score = len(set(words)) / max(1, len(words))
+        told = {"title": " ".join(words[:6]), "summary": max(found.get("text", "").split("\n"), key=len), "score": str(score), "section_keys": [k for k, t in parts.items() if t.split()], "actors": []}
+        return ["```json\n" + json.dumps({"cases": [told], "global_notes": []}) + "\n```"]
 
-    return extraction.cases(extraction.answered(asked, model)).select("case_id", "chunk_id", "title", "case_type", "score", "source_priority", F.array_join("section_keys", ",").alias("section_keys"))
+    return extraction.cases(extraction.answered(asked, model)).select("case_id", "chunk_id", "title", F.md5("summary").alias("summary_md5"), "case_type", "score", "source_priority", F.array_join("section_keys", ",").alias("section_keys"))
 
 
 @query()
