@@ -7,17 +7,22 @@ every link is confirmed on the full sets.
 
 Scale. Documents with equal sets first fall together into classes (a partial aggregation on a 128-bit set key),
 so groups of copies, however large, cost one representative. A band bucket of representatives is not compared pair by
-pair: PIVOTS of its members, drawn by hash, are compared with all others and leave it; buckets whose members are still in
-more than one component go into the next of ROUNDS rounds, with pivots from their largest component. In what is open after
-that, members outside the largest component are compared with their cluster in blocks, inside tasks, and only links come out. So no link that could join two components is missed, and a large group of near copies never becomes all its
-pairs. Sets are built for candidates only.
+pair: its first and last member are the pivots, which are compared with all others and leave it; buckets whose members are
+still in more than one component go into the next of ROUNDS rounds, with pivots from their largest component. As pivots
+follow one order in all buckets, a document meets few different ones. In what is open after that, members outside the largest
+component of a cluster are compared with the cluster in blocks of BLOCK_SHINGLES, inside tasks, and only links come out. So no
+link that could join two components is missed, and a large group of near copies never becomes all its pairs; only members
+that stay unlinked although they share buckets are compared with each other one by one. Sets are built once, for candidates
+only. Intermediate tables are compressed files, deleted when they are superseded.
 
-Chance of missing a link at similarity 0.8 with the defaults (40 bands of 5 values): (1 - 0.8**5)**40, about 1e-7.
+Chance of missing a link at similarity 0.8 with the defaults (40 bands of 5 values): (1 - 0.8**5)**40, about 1e-7. Shingles are
+64-bit hashes, and equal sets are told by their size and a 128-bit key.
 
 Edge cases. Null text, or text without words, has an empty set: linked with nothing, its own component. Fewer
-words than k: the whole sequence is the one shingle. Repeated rows of one id get equal results. A null id is
-returned with a null component and kept = true and takes no part in linking. Empty table: empty result. Further
-columns are ignored.
+words than k: the whole sequence is the one shingle. Rows that share an id are documents of their own, linked by their texts
+alone; repeated rows get equal results but for `chosen`. A null id is returned with a null component, kept and chosen, and
+takes no part in linking. A very long text is one set, held whole by the task that builds or compares it (8 bytes a
+distinct shingle). Empty table: empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,14 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import Scratch
 
-#: Candidate ids up to this many (16 MB of longs) are sent to all executors when texts are looked up; more are joined by a shuffle.
+#: Candidates up to this many (some 50 MB) are sent to all executors when texts are looked up; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Rounds of pivots, and pivots a bucket and round, before the members that remain outside are compared in blocks.
-ROUNDS, PIVOTS = 2, 4
-#: Members in a block.
-BLOCK = 256
+#: Rounds of pivots before the members that remain outside are compared in blocks.
+ROUNDS = 2
+#: Shingles in a block (1 MB), about.
+BLOCK_SHINGLES = 1 << 17
+#: Edges that one task replaces by stars (some 200 MB at work).
+EDGES = 1 << 21
 #: Words whose hashes a Python worker remembers.
 MEMO_WORDS = 250_000
 
@@ -74,6 +81,8 @@ class MinMaxSigner:
     """Band keys of a set under `permutations` linear permutations of 32-bit hashes, with minimum and maximum of each."""
 
     def __init__(self, permutations: int, rows: int, seed: int):
+        if permutations % rows:
+            raise ValueError("permutations must be a multiple of rows")
         rng = np.random.default_rng(seed)
         self.a = rng.integers(0, 2**31, permutations, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self.b = rng.integers(0, 2**32, permutations, dtype=np.uint32)
@@ -98,67 +107,72 @@ class MinMaxSigner:
         return key.view(np.int64)
 
 
+_KEY = ["n", "k1", "k2"]
+_SIGNED = "row long, id long, digest long, n long, k1 long, k2 long, bands array<long>"
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
 def _signed(docs: DataFrame, k: int, permutations: int, rows: int, seed: int, least: int) -> DataFrame:
-    """Columns id, n, k1, k2 (set key) and bands (null for sets too small to have a link to another set)."""
+    """row, id, digest, n, k1, k2 (set key) and bands (null for sets too small to have a link to another set) of id, digest, text."""
 
     def run(batches):
         memo, signer = _WordHashes(), MinMaxSigner(permutations, rows, seed)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
             n, k1, k2, bands = [], [], [], []
-            for value in texts:
+            for value in batch.column(3):
                 s = shingle_set(value.as_py(), k, memo)
                 n.append(len(s))
                 k1.append(int(np.add.reduce(_mixed(s * _MIX)).view(np.int64)) if len(s) else 0)
                 k2.append(int(np.add.reduce(_mixed(s ^ _MIX2)).view(np.int64)) if len(s) else 0)
                 bands.append(signer.band_keys(s) if len(s) >= least else None)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["id", "n", "k1", "k2", "bands"],
-            )
+            made = [pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *made], names=["row", "id", "digest", *_KEY, "bands"])
 
-    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, bands array<long>")
+    return docs.select(F.monotonically_increasing_id().alias("row"), "id", "digest", "text").mapInArrow(run, _SIGNED)
 
 
-def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """id and shingles (array of hashes) of the documents named in ids."""
-    n = ids.count()
-    wanted = docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "id", "left_semi")
+def _sets(docs: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """rep, n and shingles (array of hashes) of the candidates (rep, id, digest); repeated rows come out repeatedly."""
+    few = candidates.count() <= BROADCAST_IDS
+    wanted = docs.join(F.broadcast(candidates) if few else candidates, ["id", "digest"]).select("rep", "text")
 
     def run(batches):
         memo = _WordHashes()
         for batch in batches:
             sets = [shingle_set(value.as_py(), k, memo).view(np.int64) for value in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int32()), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "n", "shingles"])
 
-    return wanted.mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id"])
+    return wanted.mapInArrow(run, "rep long, n int, shingles array<long>")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    sets = durable(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k))
-    left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-    return durable(both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"))
+    left, right = (sets.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab")
+    sized = pairs.join(left, "a").join(right, "b").where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
+    both = sized.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("common"))
+    return both.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
-def _linked_blocks(open_: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _linked_blocks(scratch: Scratch, open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) across the components of open buckets (bucket, rep, part).
 
     Buckets that share members form a cluster. The members outside a cluster's largest component are compared with all of the cluster,
-    block by block: a row is a pair of blocks, spread over the cluster by (cluster, right block), and only links come out.
+    block by block: a row is a block of them and a block of the cluster, dealt by (cluster, block), and only links come out.
     """
-    low = open_.groupBy("bucket").agg(F.min("rep").alias("first"))
-    clusters = durable(components(open_.join(low, "bucket").where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))))
-    members = durable(open_.select("rep", "part").distinct().join(clusters, F.col("rep") == F.col("node")).select("rep", "part", F.col("root").alias("cluster")))
-    sizes = members.groupBy("cluster", "part").agg(F.count("*").alias("size"))
-    shape = sizes.groupBy("cluster").agg(F.max(F.struct("size", "part")).alias("x"), F.sum("size").alias("n")).select("cluster", F.col("x.part").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    sets = durable(_sets(docs, members.select(F.col("rep").alias("id")).distinct(), k))
-    ready = members.join(shape, "cluster").join(sets, members.rep == sets.id).select("cluster", "rep", "part", "blocks", (F.col("part") != F.col("main")).alias("outside"), "shingles")
-    ready = ready.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    pack = F.collect_list(F.struct("rep", "part", "shingles"))  # about BLOCK members
-    right = ready.groupBy("cluster", "block").agg(pack.alias("right"))
-    left = ready.where("outside").groupBy("cluster", F.col("block").alias("left_block"), "blocks").agg(pack.alias("left"))
+    low = scratch.table(open_.groupBy("bucket").agg(F.min("rep").alias("first")))
+    clusters = components(scratch, open_.join(low, "bucket").where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")))
+    reps = open_.select("rep", "part").distinct().join(clusters, F.col("rep") == F.col("node"), "left").select("rep", "part", F.coalesce("root", "rep").alias("cluster"))
+    members = scratch.table(reps.join(sets, "rep"))
+    sizes = members.groupBy("cluster", "part").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    main = F.max(F.struct("size", "shingles", "part"))
+    shape = sizes.groupBy("cluster").agg(main.alias("x"), F.sum("shingles").alias("all")).select("cluster", F.col("x.part").alias("main"), "all", (F.col("all") - F.col("x.shingles")).alias("beside"))
+    number = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    shape = scratch.table(shape.select("cluster", "main", number("all").alias("blocks"), number("beside").alias("left_blocks")))
+    ready = members.join(shape, "cluster")
+    of = lambda n: F.pmod(F.xxhash64("rep", F.lit(5)), F.col(n)).cast("int")
+    pack = F.collect_list(F.struct("rep", "part", "shingles"))  # about BLOCK_SHINGLES
+    right = scratch.table(ready.groupBy("cluster", of("blocks").alias("block")).agg(pack.alias("right")))
+    left = scratch.table(ready.where("part <> main").groupBy("cluster", "blocks", of("left_blocks").alias("left_block")).agg(pack.alias("left")))
     pairs = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(right, ["cluster", "block"]).select("left", "right")
 
     def run(batches):
@@ -180,82 +194,143 @@ def _linked_blocks(open_: DataFrame, docs: DataFrame, k: int, percent: int) -> D
                     linked = np.flatnonzero((100 * common >= percent * (len(mine) + sizes - common)) & (parts != member["part"].as_py()))
                     a += [member["rep"].as_py()] * len(linked)
                     b += reps[linked].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_PAIR)
+
+    found = scratch.table(pairs.mapInArrow(run, "a long, b long"))
+    scratch.drop(low, clusters, members, shape, left, right)
+    return found
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes that are not the smallest of their component, and that smallest one, of the edges (a, b)."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        lu, lv = label[u], label[v]
+        apart = lu != lv
+        if not apart.any():
+            break
+        lu, lv = lu[apart], lv[apart]
+        np.minimum.at(label, np.maximum(lu, lv), np.minimum(lu, lv))  # labels are roots here: each hooks to a smaller one
+        while not np.array_equal(label, nearer := label[label]):
+            label = nearer
+    inner = label != np.arange(len(nodes))
+    return nodes[inner], nodes[label[inner]]
+
 
-    return pairs.mapInArrow(run, "a long, b long")
+def _contracted(edges: DataFrame) -> DataFrame:
+    """node, root: within every partition the edges (first and second column) are replaced by a forest of stars."""
 
+    def run(batches):
+        columns = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+        if columns:
+            nodes, roots = forest(*(np.concatenate(c) for c in zip(*columns)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], names=["node", "root"])
+
+    return edges.mapInArrow(run, "node long, root long")
 
-def components(links: DataFrame) -> DataFrame:
-    """node, root for every node of the links (a, b): root is the smallest node that it reaches.
 
-    Alternating large-star and small-star steps; rounds grow with the logarithm of the longest path. Nodes are joined
-    with per-node minima; nothing is collected but one checksum a round.
+def components(scratch: Scratch, links: DataFrame) -> DataFrame:
+    """node, root for every node of the links (a, b) but the roots: root is the smallest node that it reaches.
+
+    Every task replaces its edges, EDGES at most, by stars; then large-star and small-star steps join the stars of different
+    tasks, until nothing changes. Rounds grow with the logarithm of the longest path. A hub is on the long side of a join with
+    one row a node, which AQE can split; nothing is collected but one count and checksum a round.
     """
-    def star(edges: DataFrame, large: bool) -> DataFrame:
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        moved = both.join(low, "u")
-        if large:
-            return moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-
-    edges = durable(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = scratch.table(_contracted(links))
     seen = None
     while True:
-        check = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        tasks = -(-edges.count() // EDGES)
+        before, edges = edges, scratch.table(_contracted(edges.coalesce(max(1, tasks))))
+        scratch.drop(before)
+        if tasks <= 1:  # the stars of a single task are final
+            return edges
+        check = edges.agg(F.count("*"), F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()
         if check == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            return edges
         seen = check
-        edges = durable(star(star(edges, True), False))
-
-
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, permutations: int = 100, rows: int = 5, seed: int = 7
-) -> DataFrame:
-    """One row per document: id, n (set size), component (smallest id reachable over links), kept (id = component).
-
-    Two documents are linked if 100 * intersection >= percent * union of their k-word shingle sets.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    # Sets of a and of b > a shingles have similarity a / b at most, so sets below this size only link with equal sets.
-    least = next(a for a in range(1, 101) if 100 * a >= percent * (a + 1)) if percent < 100 else 2**31
-    signed = durable(_signed(docs, k, permutations, rows, seed, least))
-    known = signed.where("id is not null and n > 0")
-    key = ["n", "k1", "k2"]
-    classes = known.groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    banded = durable(classes.where("bands is not null").select("rep", "n", F.explode("bands").alias("bucket")))
-
-    close = (100 * F.col("n") >= percent * F.col("n2")) & (100 * F.col("n2") >= percent * F.col("n"))  # sizes that allow a link
-    full = banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    open_ = durable(banded.join(full, "bucket", "left_semi").select("bucket", "rep", "n", F.col("rep").alias("part")))
-    checked = links = final = None
+        both = edges.select(F.col("node").alias("u"), F.col("root").alias("v")).union(edges.select(F.col("root").alias("u"), F.col("node").alias("v")))
+        low = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = scratch.table(both.join(low, "u").where("v > u").select(F.col("v").alias("node"), F.col("m").alias("root")))
+        low2 = scratch.table(large.groupBy("node").agg(F.min("root").alias("m")))
+        small = large.join(low2, "node").where("root <> m").select(F.col("root").alias("node"), F.col("m").alias("root")).union(low2.select("node", F.col("m").alias("root")))
+        before, edges = edges, scratch.table(small.distinct())
+        scratch.drop(before, low, large, low2)
+
+
+def _links_of_buckets(scratch: Scratch, open_: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """node, root: the components of representatives that share buckets (bucket, rep, part)."""
+    if open_.isEmpty():
+        return scratch.table(open_.select(F.col("rep").alias("node"), F.col("part").alias("root")))
+    candidates = scratch.table(open_.select("rep").distinct().join(classes.select("rep", "id", "digest"), "rep"))
+    sets = scratch.table(_sets(docs, candidates, k))
+    checked: list[DataFrame] = []
+    labels = None
     for turn in range(ROUNDS):
         main = open_
         if turn:  # pivots come from the largest component of a bucket
             sizes = open_.groupBy("bucket", "part").agg(F.count("*").alias("size"))
-            largest = sizes.groupBy("bucket").agg(F.max(F.struct("size", "part")).alias("x")).select("bucket", F.col("x.part").alias("part"))
+            largest = scratch.table(sizes.groupBy("bucket").agg(F.max(F.struct("size", "part")).alias("x")).select("bucket", F.col("x.part").alias("part")))
             main = open_.join(largest, ["bucket", "part"], "left_semi")
-        drawn = [F.min(F.struct(F.xxhash64("rep", F.lit(turn * PIVOTS + i)), F.col("rep").alias("pivot"), F.col("n").alias("n2"), F.col("part").alias("part2"))).alias(f"p{i}") for i in range(PIVOTS)]
-        pivots = main.groupBy("bucket").agg(*drawn).select("bucket", F.array(*[F.struct(f"p{i}.pivot", f"p{i}.n2", f"p{i}.part2") for i in range(PIVOTS)]).alias("pivots"))
-        starred = durable(open_.join(pivots, "bucket"))
-        pairs = starred.select("rep", "n", "part", F.explode(F.array_distinct("pivots")).alias("p")).select("rep", "n", "part", "p.*").where("part <> part2 and rep <> pivot").where(close)
+        pivots = scratch.table(main.groupBy("bucket").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.min("part").alias("main")))
+        met = open_.join(pivots, "bucket")
+        pairs = met.where("part <> main").select("rep", F.explode(F.array("first", "last")).alias("pivot")).where("rep <> pivot")
         pairs = pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-        pairs = durable(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"))
-        checked = pairs if checked is None else checked.union(pairs)
-        found = _confirmed(pairs, docs, k, percent)
-        links = found if links is None else links.union(found)
-        final = durable(components(links))
+        for known in checked:
+            pairs = pairs.join(known, ["a", "b"], "left_anti")
+        checked.append(scratch.table(pairs))
+        found = _confirmed(checked[-1], sets, percent)
+        if labels is not None:
+            found = found.union(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        before, labels = labels, components(scratch, found)
         # All pairs with the pivots are settled, so they leave; buckets that still hold more than one component stay open.
-        rest = starred.where(~F.array_contains(F.col("pivots.pivot"), F.col("rep"))).select("bucket", "rep", "n")
-        rest = rest.join(final, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("part"))
-        mixed = rest.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-        open_ = durable(rest.join(mixed, "bucket", "left_semi"))
+        rest = met.where("rep <> first and rep <> last").select("bucket", "rep")
+        rest = scratch.table(rest.join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("root", "rep").alias("part")))
+        mixed = scratch.table(rest.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("bucket"))
+        superseded, open_ = open_, scratch.table(rest.join(mixed, "bucket", "left_semi"))
+        scratch.drop(before, superseded, rest, mixed, pivots, *([largest] if turn else []))
         if open_.isEmpty():
             break
     else:
-        final = durable(components(links.union(_linked_blocks(open_, docs, k, percent))))
+        found = _linked_blocks(scratch, open_, sets, percent)
+        before, labels = labels, components(scratch, found.union(labels.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        scratch.drop(before, found)
+    scratch.drop(candidates, sets, open_, *checked)
+    return labels
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, permutations: int = 100, rows: int = 5, seed: int = 7
+) -> DataFrame:
+    """One row per document: id, digest (xxhash64 of the text), n (set size), component (smallest id reachable over links), kept (id = component) and chosen.
+
+    Two documents are linked if 100 * intersection >= percent * union of their k-word shingle sets. Of the rows of a component one alone
+    is `chosen`: one of those with the smallest id.
+    """
+    text = F.col(text_col).cast("string")
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("digest"), text.cast("binary").alias("text"))
+    # Sets of a and of b > a shingles have similarity a / b at most, so sets below this size only link with equal sets.
+    least = next(a for a in range(1, 101) if 100 * a >= percent * (a + 1)) if percent < 100 else 2**31
+    scratch = Scratch(docs.sparkSession, "near-dedup")
+    signed = scratch.table(_signed(docs, k, permutations, rows, seed, least))
+    known = signed.where("id is not null and n > 0")
+    first = F.min(F.struct("id", "row", "digest"))
+    classes = known.groupBy(*_KEY).agg(first.alias("of"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = scratch.table(classes.select(*_KEY, F.col("of.row").alias("rep"), F.col("of.id").alias("id"), F.col("of.digest").alias("digest"), "copies", "bands"))
+
+    banded = classes.where("bands is not null").select("rep", F.explode("bands").alias("bucket"))
+    full = scratch.table(banded.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket"))
+    open_ = scratch.table(banded.join(full, "bucket", "left_semi").select("bucket", "rep", F.col("rep").alias("part")))
+    labels = _links_of_buckets(scratch, open_, docs, classes, k, percent)
 
-    named = classes.join(final, classes.rep == final.node, "left").where("copies > 1 or root is not null").select(*key, F.coalesce("root", "rep").alias("component"))
     # Classes of one document without links keep their own id and need no row here.
-    out = signed.select("id", *key).join(named, key, "left").withColumn("component", F.when(F.col("id").isNull(), F.lit(None).cast("long")).when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "id")))
-    return out.select("id", "n", "component", F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+    linked = labels.select("node", "root").union(labels.select(F.col("root").alias("node"), "root").distinct())
+    named = classes.join(linked, classes.rep == linked.node, "left").where("copies > 1 or root is not null").select(*_KEY, "id", "rep", F.coalesce("root", "rep").alias("root"))
+    grouped = scratch.table(named)
+    best = scratch.table(grouped.groupBy("root").agg(F.min(F.struct("id", "rep")).alias("of")).select("root", F.col("of.id").alias("component"), F.col("of.rep").alias("best")))
+    named = scratch.table(grouped.join(best, "root").select(*_KEY, "component", "best"))
+    scratch.drop(classes, full, labels, grouped, best)
+    own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    out = signed.select("row", "id", "digest", *_KEY).join(named, _KEY, "left").withColumn("component", own)
+    return out.select("id", "digest", "n", "component", F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"), (F.col("id").isNull() | F.coalesce(F.col("row") == F.col("best"), F.lit(True))).alias("chosen"))

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.llm import fingerprints, language, licenses, mixing, near_dedup, packing, pii, topk, toxicity, warc
-from scriptorium.llm.common import durable
+from scriptorium.llm.common import Scratch, durable
 from scriptorium.llm.queries import tokenizer_file
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, key string, id string, n string, part string, range string, `ids` string, copies string, language string, pii_kinds string"
@@ -101,6 +101,33 @@ def test_near_duplicates_of_a_chain_and_of_a_large_group(spark):
     assert {r["id"]: r["component"] for r in found} == {i: find(i) for i in sets}
 
 
+@pytest.mark.parametrize("most", [1, 40, 10**6])
+def test_components_match_plain_search(spark, monkeypatch, most):
+    monkeypatch.setattr(near_dedup, "EDGES", most)
+    rng = random.Random(9)
+    links = [(i, i + 1) for i in range(30)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(45)] + [(500, i) for i in range(501, 540)] + [(7, 7), (600, 599), (599, 600)]
+    root = {x: x for link in links for x in link}
+    while any(root[a] != root[b] for a, b in links):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    scratch = Scratch(spark, "test")
+    found = near_dedup.components(scratch, spark.createDataFrame(links, "a long, b long").repartition(6)).collect()
+    assert sorted((r["node"], r["root"]) for r in found) == sorted((x, y) for x, y in root.items() if x != y)
+    assert near_dedup.components(scratch, spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    a, b, c = ("alpha beta gamma delta epsilon " * 3 + x for x in ("one two three", "four five six", "seven"))
+    a, b, c = (" ".join(f"{w}{x[-1]}" for w in x.split()) for x in (a, b, c))
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, c), (None, a), (8, None), (8, ""), (9, "")]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["id"], r["n"] > 0, r["component"], r["kept"], r["chosen"]) for r in found) == Counter(
+        [(3, True, 3, True, True), (5, True, 3, False, False), (5, True, 5, True, True), (7, True, 7, True, True), (7, True, 7, True, False), (None, True, None, True, True), (8, False, 8, True, True), (8, False, 8, True, True), (9, False, 9, True, True)]
+    )
+    with pytest.raises(ValueError):
+        near_dedup.MinMaxSigner(100, 7, 1)
+
+
 def test_signature_is_unbiased():
     signer = near_dedup.MinMaxSigner(400, 5, 1)
     rng = np.random.default_rng(2)
