@@ -33,10 +33,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
-    gone = durable(near_dedup.near_duplicates(docs, k=5, percent=80).where(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct())
-    small = gone.count() <= near_dedup.BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one document of each group of near duplicates. A row is known by its id and its text, so rows that share an id are told apart."""
+    key = ["doc_id", "__digest"]
+    found = near_dedup.near_duplicates(docs, k=5, percent=80).select(F.col("id").alias("doc_id"), F.col("digest").alias("__digest"), "chosen")
+    marked = durable(found.groupBy(*key).agg(F.max("chosen").alias("__stays"), F.count("*").alias("__n")).where("doc_id is not null and (not __stays or __n > 1)"))
+    of_text = docs.withColumn("__digest", F.xxhash64("text"))
+    gone, twice = marked.where("not __stays").select(*key), marked.where("__stays").select(*key)
+    slim = lambda rows: F.broadcast(rows) if rows.count() <= near_dedup.BROADCAST_IDS else rows
+    stay = of_text.join(slim(gone), key, "left_anti")
+    if not twice.isEmpty():  # repeated rows
+        twice = slim(twice)
+        stay = stay.join(twice, key, "left_anti").union(stay.join(twice, key, "left_semi").dropDuplicates(key))
+    return stay.select(*COLUMNS)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
