@@ -10,7 +10,8 @@ same format, equal values have equal pseudonyms in all documents, and different
 What is kept: separators, letter case, the domain of an e-mail address, the country of an IBAN, the country code of a
 telephone number. Dates run from 1900 to 2099 (73,049 = 17 * 4,297 days): yyyy-mm-dd, yyyy/mm/dd, dd.mm.yyyy, mm/dd/yyyy, and
 dd/mm/yyyy where only that can be meant (such a pseudonym may, rarely, be read as a mm/dd/yyyy one).
-Phone numbers have 8 to 15 digits; secrets are 16 to 128 hexadecimal digits behind a word such as token and = or :.
+Phone numbers have 8 to 15 digits; secrets are 16 to 128 hexadecimal digits behind a word such as token and = or :, and are always
+replaced, even where they look like a card or an account.
 
 Scale. All of it is a map over rows in the JVM: no shuffle, no Python. The pattern runs only over texts with a digit or @, and
 each text is cut once, so very long texts cost in proportion to their length.
@@ -34,8 +35,8 @@ SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w+])\+(?!1)\d{1,3}(?:[ -]?(?:\(\d{1,4}\)|\d{1,4})){2,5}(?!\d|\.\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
 CARD = r"(?<![\d])(?:\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?!\d)"
 SECRET = r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]{16})(?<=(?i:token|secret|password|passwd|api[_-]?key|apikey|access[_-]?key)[\"' ]{0,3}[=:][\"' ]{0,3})[0-9A-Fa-f]{16,128}(?![0-9A-Za-z])"
-#: In order of precedence at one place.
-ANY = "|".join([EMAIL, SECRET, IBAN, DATE, IPV4, SSN, PHONE, CARD])
+#: In order of precedence at one place. The one capturing group is that of a labelled secret.
+ANY = "|".join([EMAIL, f"({SECRET})", IBAN, DATE, IPV4, SSN, PHONE, CARD])
 KINDS = ("email", "iban", "date", "ipv4", "ssn", "phone", "card", "secret")
 
 
@@ -130,17 +131,17 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.regexp_extract_all(text, F.lit("[0-9A-Z]"), F.lit(0)), F.lit(0), step)
 
 
-def kind_of(value: Column) -> Column:
-    """Kind of a match, by its form."""
+def kind_of(value: Column, secret: Column) -> Column:
+    """Kind of a match: secret where its label says so, whatever it looks like, else by its form."""
     return (
-        F.when(value.contains("@"), "email").when(value.rlike(f"^(?:{SSN})$"), "ssn").when(value.rlike(f"^(?:{DATE})$"), "date").when(value.rlike(f"^(?:{IPV4})$"), "ipv4")
+        F.when(secret, "secret").when(value.contains("@"), "email").when(value.rlike(f"^(?:{SSN})$"), "ssn").when(value.rlike(f"^(?:{DATE})$"), "date").when(value.rlike(f"^(?:{IPV4})$"), "ipv4")
         .when(value.rlike(r"^[+(]|^\d{3}[.-]\d{3}[.-]\d{4}$"), "phone").when(value.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]+$") & value.rlike("[G-Z]|^.{0,15}$|^..[0-9]{2}.{11,30}$") & ~value.rlike("^[A-F0-9]{32,}$"), "iban")
         .when(value.rlike(f"^(?:{CARD})$"), "card").otherwise("secret")
     )
 
 
-def pseudonym(value: Column, feistel: Feistel) -> Column:
-    """The pseudonym of a match, or the match itself where validation fails."""
+def pseudonym(value: Column, kind: Column, feistel: Feistel) -> Column:
+    """The pseudonym of a match of this kind, or the match itself where validation fails (never for a secret)."""
     digits = _digits(value)
     email = F.concat(feistel.text(F.substring_index(value, "@", 1), "[0-9A-Za-z]", "email"), F.lit("@"), F.substring_index(value, "@", -1))
 
@@ -177,8 +178,8 @@ def pseudonym(value: Column, feistel: Feistel) -> Column:
     card = F.when(_luhn(digits) == 0, _refilled(value, _let(payload, lambda new: F.concat(new, _text((10 - _luhn(F.concat(new, F.lit("0")))) % 10)))))
 
     secret = feistel.text(value, "[0-9A-Fa-f]", "secret")
-    chosen = lambda kind: F.when(kind == "email", email).when(kind == "iban", iban).when(kind == "date", date).when(kind == "ipv4", ipv4).when(kind == "ssn", ssn).when(kind == "phone", phone).when(kind == "card", card).otherwise(secret)
-    return F.coalesce(_let(kind_of(value), chosen), value)
+    chosen = F.when(kind == "email", email).when(kind == "iban", iban).when(kind == "date", date).when(kind == "ipv4", ipv4).when(kind == "ssn", ssn).when(kind == "phone", phone).when(kind == "card", card).otherwise(secret)
+    return F.coalesce(chosen, value)
 
 
 def pseudonymized(docs: DataFrame, key: bytes, text_col: str = "text", kinds_col: str = "pii_kinds") -> DataFrame:
@@ -186,10 +187,12 @@ def pseudonymized(docs: DataFrame, key: bytes, text_col: str = "text", kinds_col
     feistel = Feistel(key)
     text = F.col(text_col).cast("string")
     some = text.rlike("[0-9@]")
-    found = docs.withColumns({"__found": F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))), "__gaps": F.when(some, F.split(text, ANY, -1))})
-    found = found.withColumn("__new", F.transform("__found", lambda m: F.struct(m.alias("old"), pseudonym(m, feistel).alias("new"))))
+    matches = lambda group: F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(group)))
+    found = docs.withColumns({"__found": matches(0), "__secret": matches(1), "__gaps": F.when(some, F.split(text, ANY, -1))})
+    found = found.withColumn("__kinds", F.zip_with("__found", "__secret", lambda m, s: kind_of(m, s != "")))
+    found = found.withColumn("__new", F.zip_with("__found", "__kinds", lambda m, kind: F.struct(m.alias("old"), kind.alias("kind"), pseudonym(m, kind, feistel).alias("new"))))
     joined = F.array_join(F.zip_with("__gaps", "__new", lambda gap, x: F.concat(gap, F.coalesce(x["new"], F.lit("")))), "")
     replaced = F.filter("__new", lambda x: x["old"] != x["new"])
-    kinds = F.transform(replaced, lambda x: kind_of(x["old"]))
+    kinds = F.transform(replaced, lambda x: x["kind"])
     any_found = F.size(F.coalesce("__found", F.array().cast("array<string>"))) > 0
-    return found.withColumns({text_col: F.when(any_found, joined).otherwise(text), kinds_col: F.when(any_found, kinds).otherwise(F.array().cast("array<string>"))}).drop("__found", "__gaps", "__new")
+    return found.withColumns({text_col: F.when(any_found, joined).otherwise(text), kinds_col: F.when(any_found, kinds).otherwise(F.array().cast("array<string>"))}).drop("__found", "__secret", "__gaps", "__kinds", "__new")
