@@ -15,8 +15,10 @@ most. Blocks are written to the shared folder once.
 
 Edge cases. Vectors that are null, empty, or hold null or non-finite components, rows without an id and queries whose
 dimension no candidate has take no part. Fewer candidates than k: all are returned. Equal scores go to the smaller id. Zero vectors
-and negative thresholds prune nothing. Repeated ids: a query's own id is no candidate, other repeats are all candidates. Exact
-as long as components times scale stay below 2**31; products are added as doubles while they fit 53 bits, else as integers.
+and negative thresholds prune nothing. Repeated ids: a query's own id is no candidate, other repeats are all candidates. Products
+are added as doubles while they fit 53 bits, else as integers of any size. A scaled component beyond 2**62 counts as 2**62, a score
+beyond the range of long as the end of that range. Very long vectors: a bucket holds bucket_rows of them. Empty table: no rows.
+Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import durable
 
 MAX_BUCKETS = 100_000
+#: Scaled components count up to this size.
+LARGEST = 1 << 62
 #: Local cosine from which coordinates prune better than lengths.
 COORDINATE = 0.5
 #: Query blocks that meet one copy of a bucket.
@@ -41,11 +45,14 @@ _BLOCK = "block long, dim int, high double, ids binary, vectors binary"
 
 def _pack(block: int, ids: np.ndarray, vectors: np.ndarray) -> tuple:
     norm = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1).max())
-    return block, vectors.shape[1], float(norm), ids.astype("<i8").tobytes(), vectors.astype("<i4").tobytes()
+    small = np.abs(vectors).max(initial=0) < 2**31
+    return block, vectors.shape[1], float(norm), ids.astype("<i8").tobytes(), vectors.astype("<i4" if small else "<i8").tobytes()
 
 
 def _unpack(row: dict, ids: str = "ids", vectors: str = "vectors") -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(row[ids], "<i8"), np.frombuffer(row[vectors], "<i4").reshape(-1, row["dim"]).astype(np.float64)
+    """ids and integer vectors; components take 4 bytes, or 8 in blocks with large ones."""
+    of = np.frombuffer(row[ids], "<i8")
+    return of, np.frombuffer(row[vectors], "<i4" if len(row[vectors]) == 4 * len(of) * row["dim"] else "<i8").reshape(-1, row["dim"])
 
 
 def _batch(rows: list[tuple], schema: pa.Schema):
@@ -61,8 +68,9 @@ def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null")
     rows = rows.where((F.size("v") > 0) & F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))))
-    rows = rows.withColumn("v", F.transform("v", lambda x: F.floor(x * scale).cast("int")))
-    return rows.select("id", F.size("v").alias("dim"), "v", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("norm"))
+    whole = lambda x: F.when(F.abs(x) < LARGEST / scale, F.floor(x * scale)).otherwise(F.lit(LARGEST) * F.signum(x).cast("long"))
+    rows = rows.withColumn("v", F.transform("v", whole))
+    return rows.select("id", F.size("v").alias("dim"), "v", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("norm"))
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
@@ -95,25 +103,31 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def _products(vectors: np.ndarray, query: np.ndarray, exact: bool) -> np.ndarray:
-    return (vectors @ query).astype(np.int64) if exact else vectors.astype(np.int64) @ query.astype(np.int64)
+def _products(vectors: np.ndarray, floats: np.ndarray, query: np.ndarray, bound: float) -> np.ndarray:
+    """Inner products as int64; bound: no sum of products is beyond it."""
+    if bound < 2**53:
+        return (floats @ query.astype(np.float64)).astype(np.int64)
+    if bound < 2**62:
+        return vectors.astype(np.int64) @ query.astype(np.int64)
+    return np.clip(vectors.astype(object) @ query.astype(object), -(2**63), 2**63 - 1).astype(np.int64)
 
 
 class Bucket:
     """One bucket: vectors by falling length, with their directions."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
-        self.norms = np.sqrt((vectors**2).sum(axis=1))
-        order = np.argsort(-self.norms, kind="stable")
-        self.ids, self.vectors, self.norms = self.ids[order], self.vectors[order], self.norms[order]
-        self.directions = self.vectors / np.maximum(self.norms, 1e-300)[:, None]
-        self.largest = np.abs(self.vectors).max(initial=0)
+        floats = vectors.astype(np.float64)
+        norms = np.sqrt((floats**2).sum(axis=1))
+        order = np.argsort(-norms, kind="stable")
+        self.ids, self.vectors, self.floats, self.norms = ids[order], vectors[order], floats[order], norms[order]
+        self.directions = self.floats / np.maximum(self.norms, 1e-300)[:, None]
+        self.largest = float(np.abs(self.floats).max(initial=0))
 
     def search(self, query_id: int, query: np.ndarray, threshold: float, k: int) -> tuple[np.ndarray, np.ndarray]:
         """ids and scores of the k best that are at least the threshold (-inf: no threshold yet)."""
+        whole, query = query, query.astype(np.float64)
         length = float(np.sqrt((query**2).sum()))
-        exact = self.largest * np.abs(query).max(initial=0) * len(query) < 2**53
+        bound = self.largest * float(np.abs(query).max(initial=0)) * len(query)
         reach = length * (self.norms[0] if len(self.norms) else 0.0)
         if threshold > 0 and reach < threshold * (1 - 1e-12):
             return self.ids[:0], np.empty(0, np.int64)
@@ -135,7 +149,7 @@ class Bucket:
         else:
             some = np.arange(len(self.ids))
         some = some[self.ids[some] != query_id]
-        scores = _products(self.vectors[some], query, exact)
+        scores = _products(self.vectors[some], self.floats[some], whole, bound)
         if threshold > float("-inf"):
             good = scores >= threshold
             some, scores = some[good], scores[good]
@@ -179,7 +193,8 @@ def _with_limits(blocks: DataFrame, first: DataFrame, k: int) -> DataFrame:
             for row in batch.to_pylist():
                 limit = np.array([-np.inf if x["limit"] is None else x["limit"] for x in row["limits"]], "<f8")
                 _, q = _unpack(row, "q_ids", "q_vectors")
-                need = np.where(limit > 0, limit / np.maximum(np.sqrt((q**2).sum(axis=1)), 1e-300), -1.0).min(initial=np.inf)
+                lengths = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
+                need = np.where(limit > 0, limit / np.maximum(lengths, 1e-300), -1.0).min(initial=np.inf)
                 out.append((row["block"], row["dim"], row["q_ids"], row["q_vectors"], limit.tobytes(), float(need)))
             yield _batch(out, pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("q_ids", pa.binary()), ("q_vectors", pa.binary()), ("limits", pa.binary()), ("need", pa.float64())]))
 
@@ -224,8 +239,9 @@ def exact_top_k(
         return pd.Series(np.searchsorted(-highs, -need.to_numpy() * (1 - 1e-12), side="right") - 1)
 
     sent = limited.withColumn("last", last_bucket("need")).where("last >= 1").withColumn("bucket", F.explode(F.sequence(F.lit(1).cast("long"), F.col("last"))))
-    # Each bucket is copied once for every SHARE query blocks, so that no task meets all queries.
+    # Each bucket is copied for SHARE of the query blocks that need it, so that no task meets all queries.
     salts = max(1, -(-q.count() // SHARE))
-    copies = buckets.withColumnRenamed("dim", "dim2").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rest = _search(sent.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")).join(copies, ["bucket", "salt"]).where("dim = dim2"), k)
+    sent = durable(sent.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")))
+    copies = sent.select("bucket", "salt").distinct().join(buckets.withColumnRenamed("dim", "dim2"), "bucket")
+    rest = _search(sent.join(copies, ["bucket", "salt"]).where("dim = dim2"), k)
     return _top(first.select("query_id", "vec_id", "score").union(rest), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
