@@ -9,23 +9,24 @@ Scale. One pass counts labelled rows per language; at most about `sample` rows a
 are used for training, so the cost of training is bounded (parameter `sample`). The model is buckets * languages
 floats, and goes to the executors with the function. Prediction is a map over whole texts.
 
-Edge cases. Null text, or text without a letter: `und`, score 0, empty set. Without any training row every text is `und`.
+Edge cases. Null text, or text without a letter (Unicode category L): `und`, score 0, empty set. A very long text is one array of
+trigram numbers. A column of the input named like the added one is replaced. Without any training row every text is `und`.
 Texts of unknown trigrams are decided by the smoothed model. Repeated rows get equal results. Ties go to the language
 first in order. A null id is never learned from and is not held out.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = regex.compile(r"\P{L}+")
 
 
 def held_out(id_col: str) -> Column:
