@@ -9,8 +9,9 @@ Reading. Selected index rows are dealt by file and stretch of file, sorted by of
 together: gaps up to GAP bytes are read over, a read ends at READ bytes. Each member is parsed as it lies in the
 archive, its payload digest is checked against the header, and what is returned comes from the record.
 
-Scale. Payloads are shuffled once, by digest and a salt, so that a hot payload is spread; per digest only the smallest id is
-aggregated. Payloads are never collected; a task holds one read and one record.
+Scale. Only digests are shuffled, and per digest the smallest id is aggregated; digests that repeat are sent to all executors, or,
+beyond BROADCAST_DIGESTS of them, payloads are shuffled once by digest and a salt, so that a hot payload is spread. Payloads are
+never collected; a task holds one read and one record. A very long page is one record, held whole.
 
 Edge cases. Null html is an empty payload; null url is written as urn:page:<id>. Control characters and blanks in a url are
 escaped. A null page id is written and read as null; it never refers to another page and is never referred to. Rows that repeat the page id of a response
@@ -33,6 +34,10 @@ from pyspark.sql import functions as F
 from .common import durable, shared_folder
 
 SALTS = 32
+#: Repeated digests that may be sent to all executors (some 50 MB); more meet the payloads by a shuffle.
+BROADCAST_DIGESTS = 500_000
+#: Bytes of archives that a task reads back, about.
+TASK = 64 << 20
 GAP, READ, STRETCH = 64 << 10, 8 << 20, 32 << 20
 
 _INDEX = "file string, offset long, length long, url string, payload_digest string, page_id long, record_type string"
@@ -84,10 +89,14 @@ def with_record_type(pages: DataFrame, id_col: str, html_col: str, url_col: str,
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long")})
     first = rows.where((F.col("size") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    both = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left")
+    first = durable(first)
+    if first.count() <= BROADCAST_DIGESTS:
+        both = rows.join(F.broadcast(first), "digest", "left")
+    else:
+        salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left").drop("salt")
     again = F.col("first").isNotNull() & (F.col("page_id") != F.col("first"))
-    return both.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("first"))}).drop("salt", "first")
+    return both.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("first"))}).drop("first")
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", least: int = 100, level: int = 3, folder: str | None = None) -> DataFrame:
@@ -121,7 +130,9 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", html_col: str = "h
 def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records that the index rows name, as they lie in the archives."""
     placed = index.select("file", "offset", "length").withColumn("stretch", F.floor(F.col("offset") / STRETCH))
-    dealt = placed.repartition("file", "stretch").sortWithinPartitions("file", "offset")
+    spark = index.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, (placed.agg(F.sum("length")).first()[0] or 0) // TASK + 1)
+    dealt = placed.repartition(tasks, "file", "stretch").sortWithinPartitions("file", "offset")
 
     def ranges(rows):
         """Neighbouring (file, offset, length) rows that one read covers."""
