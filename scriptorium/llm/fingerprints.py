@@ -1,21 +1,25 @@
 """Document fingerprints by winnowing.
 
-The words of a text (lower-cased; a Han or kana character counts as a word) are hashed, the hashes of k consecutive words
-are combined by doubling (pairs, pairs of pairs, ...), and in every window of w consecutive k-grams the smallest hash is
+The words of a text (lower-cased; a Han or kana character counts as a word) are hashed, a k-gram has the rolling hash of its words,
+sum of h[i + j] * BASE**(k - 1 - j) modulo PRIME, and in every window of w consecutive k-grams the smallest hash is
 chosen, the rightmost of equal ones. Chosen hashes keep their positions. Two texts that share k + w - 1 consecutive
 words share a fingerprint; nothing shorter than k words ever matches.
 
-A k-gram is held as one long: 32 bits of hash, then 31 bits that fall with the position, so that one `least` finds the
+The rolling hash of a run follows from those of its two parts, so all k-grams of a text come from a few passes over whole arrays
+(pairs, pairs of pairs, ...) instead of an update word by word; the values are the same. Multiplications stay below 2**62.
+
+A k-gram is held as one long: 31 bits of hash, then 31 bits that fall with the position, so that one `least` finds the
 smallest hash and its rightmost place. Window minima are built by doubling too.
 
 Scale. Fingerprints are a map. The next document in id order comes from one shuffle of the texts into about equal ranges of
-ids (at most MAX_RANGES), with the first document of each range copied to the end of the range before.
+ids (at most MAX_RANGES; two histograms find them), with the first document of each range copied to the end of the range before.
 
 Only DataFrame functions are used.
 
 Edge cases. Null text counts as empty: empty fingerprint. Fewer than k words: one k-gram of all of them. Two empty
-fingerprints are alike (1.0), an empty and another are not (0.0). Null ids come first; rows of one id are ordered by
-their text. A single document is its own next. Empty table: no rows. Further columns are ignored.
+fingerprints are alike (1.0), an empty and another are not (0.0). Rows without an id are in no order: each is its own next.
+Rows of one id are ordered by their text and share a range. A single document is its own next. A very long text is one row of
+arrays, 8 bytes a word. Empty table: no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +31,12 @@ from .common import durable
 
 #: Words: runs without white space; each Han, hiragana or katakana character by itself.
 WORD = r"[぀-ヿ一-鿿]|[^\x20\x09-\x0D぀-ヿ一-鿿]+"
+#: Fixed values of the rolling hash.
+PRIME, BASE = 2**31 - 1, 1_000_003
 RANGE_ROWS = 1024
 MAX_RANGES = 100_000
-_CELLS = 128
+#: Quantile cells of the ids, and parts of each.
+CELLS, PARTS = 128, 1024
 _LOW31 = (1 << 31) - 1
 
 
@@ -38,7 +45,13 @@ def _from(array: Column, start: int) -> Column:
 
 
 def word_hashes(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
+    """xxhash64 of each word, modulo PRIME."""
+    return F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)), lambda w: F.pmod(F.xxhash64(w), F.lit(PRIME)))
+
+
+def _joined(a: Column, b: Column, width: int) -> Column:
+    """Rolling hashes of longer runs: those of runs `a`, each followed by `width` words with the hashes `b`."""
+    return F.zip_with(a, b, lambda x, y: (x * F.lit(pow(BASE, width, PRIME)) + y) % F.lit(PRIME))
 
 
 def _with_kgrams(df: DataFrame, hashes: str, out: str, k: int) -> DataFrame:
@@ -47,16 +60,17 @@ def _with_kgrams(df: DataFrame, hashes: str, out: str, k: int) -> DataFrame:
     n = F.size(h)
     combined, width, powers = h, 1, {1: h}
     while width * 2 <= k:
-        combined = F.zip_with(combined, _from(combined, width + 1), lambda a, b: F.xxhash64(a, b))
+        combined = _joined(combined, _from(combined, width + 1), width)
         width *= 2
         powers[width] = combined
     done = width
     for p in sorted(powers, reverse=True)[1:]:
         while done + p <= k:
-            combined = F.zip_with(combined, _from(powers[p], done + 1), lambda a, b: F.xxhash64(a, b))
+            combined = _joined(combined, _from(powers[p], done + 1), p)
             done += p
-    grams = F.when(n == 0, F.array().cast("array<bigint>")).when(n < k, F.array(F.xxhash64(h))).otherwise(F.slice(combined, F.lit(1), F.greatest(n - (k - 1), F.lit(1))))
-    packed = F.transform(grams, lambda x, i: F.shiftleft(x.bitwiseAND(F.lit((1 << 32) - 1)), 31) + (F.lit(_LOW31).cast("long") - i))
+    short = F.array(F.aggregate(h, F.lit(0).cast("long"), lambda a, x: (a * F.lit(BASE) + x) % F.lit(PRIME)))
+    grams = F.when(n == 0, F.array().cast("array<bigint>")).when(n < k, short).otherwise(F.slice(combined, F.lit(1), F.greatest(n - (k - 1), F.lit(1))))
+    packed = F.transform(grams, lambda x, i: F.shiftleft(x, 31) + (F.lit(_LOW31).cast("long") - i))
     return df.withColumn(out, packed)
 
 
@@ -95,31 +109,40 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _ranges(docs: DataFrame) -> DataFrame:
-    """docs (id, text) with range: a number that ascends with the id and has about equally many rows for each value."""
-    shape = docs.agg(F.count("*").alias("n"), F.percentile_approx("id", [i / _CELLS for i in range(_CELLS + 1)], 10_000).alias("q"), F.max("id").alias("high")).first()
+    """docs (id, text) with range: a number that ascends with the id and has about RANGE_ROWS rows for each value.
+
+    Ids fall into quantile cells, each cut into equal parts; the parts are counted and joined to ranges by a prefix sum, so ids that
+    cluster within a cell are spread too.
+    """
+    shape = docs.agg(F.count("id").alias("n"), F.percentile_approx("id", [i / CELLS for i in range(CELLS + 1)], 10_000).alias("q")).first()
     if shape["q"] is None:
         return docs.withColumn("range", F.lit(-1).cast("long"))
-    bounds = sorted({*shape["q"], shape["high"], shape["high"] + 1})
-    parts = max(1, round(min(shape["n"] / RANGE_ROWS, MAX_RANGES) / max(1, len(bounds) - 1)))
-    edges = F.array(*[F.lit(b).cast("long") for b in bounds])
-    cell = F.greatest(F.least(F.size(F.filter(edges, lambda b: b <= F.col("id"))), F.lit(len(bounds) - 1)), F.lit(1))
-    low, high = F.element_at(edges, cell).cast("double"), F.element_at(edges, cell + 1).cast("double")
-    within = F.floor((F.col("id").cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * parts)
-    return docs.withColumn("range", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(cell * parts + F.greatest(F.least(within, F.lit(parts - 1)), F.lit(0))).cast("long"))
+    edges = F.array(*[F.lit(b).cast("long") for b in sorted({*shape["q"]})])
+    cell = F.greatest(F.size(F.filter(edges, lambda b: b <= F.col("id"))), F.lit(1))
+    low, high = F.get(edges, cell - 1).cast("double"), F.coalesce(F.get(edges, cell), F.get(edges, cell - 1)).cast("double")
+    within = F.floor((F.col("id").cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * PARTS)
+    docs = docs.withColumn("place", cell * PARTS + F.greatest(F.least(within, F.lit(PARTS - 1)), F.lit(0)))
+    counts = docs.where("id is not null").groupBy("place").agg(F.count("*").alias("rows"))  # CELLS * PARTS rows at most
+    before = F.sum("rows").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    size = max(RANGE_ROWS, shape["n"] // MAX_RANGES + 1)
+    ranges = durable(counts.select("place", F.floor(F.coalesce(before, F.lit(0)) / size).alias("range")))
+    alone = -1 - F.pmod(F.xxhash64("text"), F.lit(MAX_RANGES))  # rows without an id
+    return docs.join(F.broadcast(ranges), "place", "left").withColumn("range", F.coalesce("range", alone).cast("long")).drop("place")
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, derive) -> DataFrame:
     """id, text, what derive adds to each document, and `next`: a struct of the next document's text and derived columns."""
     docs = _ranges(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")))
-    firsts = docs.groupBy("range").agg(F.min("id").alias("id"))  # MAX_RANGES rows and some
+    firsts = docs.where("id is not null").groupBy("range").agg(F.min("id").alias("id"))  # MAX_RANGES rows and some
     order = Window.orderBy("range")
     ends = firsts.select("id", F.col("range").alias("home"), F.coalesce(F.lag("range").over(order), F.max("range").over(Window.partitionBy())).alias("goes_to"))
     ends = durable(ends).withColumnRenamed("id", "first_id")
-    copies = docs.join(F.broadcast(ends), (F.col("range") == F.col("home")) & F.col("id").eqNullSafe(F.col("first_id")))
+    copies = docs.join(F.broadcast(ends), (F.col("range") == F.col("home")) & (F.col("id") == F.col("first_id")))
     rows = docs.withColumn("copy", F.lit(False)).unionByName(copies.select("id", "text", F.col("goes_to").alias("range"), F.lit(True).alias("copy")))
     rows = derive(rows.repartition("range"))
-    ahead = F.lead(F.struct(*[c for c in rows.columns if c not in ("id", "range", "copy")])).over(Window.partitionBy("range").orderBy("copy", F.col("id").asc_nulls_first(), "text"))
-    return rows.withColumn("next", ahead).where(~F.col("copy")).drop("range", "copy")
+    own = F.struct(*[c for c in rows.columns if c not in ("id", "range", "copy")])
+    ahead = F.lead(own).over(Window.partitionBy("range").orderBy("copy", "id", "text"))
+    return rows.withColumn("next", F.when(F.col("id").isNull(), own).otherwise(ahead)).where(~F.col("copy")).drop("range", "copy")
 
 
 def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, w: int = 4) -> DataFrame:

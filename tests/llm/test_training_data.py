@@ -246,46 +246,90 @@ def test_pseudonyms(spark):
     assert [r["text"] for r in found if r["doc_id"] == 1] == [first, first]
 
 
+def test_labelled_secrets_are_always_replaced(spark):
+    values = ["1234567890123456", "4111111111111112", "AB12CDEF0123456789AB", "4111111111111111", "DE89370400440532", "0123456789abcdef"]
+    rows = [(i, f"x token={v} y") for i, v in enumerate(values)] + [(10, "api_key: " + values[2]), (11, 'password="' + values[0] + '"'), (12, values[0] + " and " + values[1])]
+    found = {r["doc_id"]: r for r in pii.pseudonymized(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    for i, text in rows[:-1]:
+        value = re.search(r"[0-9A-Fa-f]{16,}|DE\d+", text)[0]
+        if not value.startswith("DE"):
+            assert value not in found[i]["text"] and found[i]["pii_kinds"] == ["secret"] and len(found[i]["text"]) == len(text)
+    assert found[12]["text"] == rows[-1][1]  # no label and no valid card
+    assert found[0]["text"].split("=")[1].split()[0] == found[11]["text"].split('"')[1]
+
+
 def test_permutation_is_one_to_one(spark):
     f = pii.Feistel(KEY)
     pairs = spark.range(17 * 40).select(F.array((F.col("id") % 17).cast("int"), F.floor(F.col("id") / 17).cast("int")).alias("v"))
     assert pairs.select(f.permuted(F.col("v"), F.array(F.lit(17), F.lit(40)), F.lit("t")).alias("p")).distinct().count() == 17 * 40
 
 
-def test_fingerprints_match_plain_winnowing(docs, empty):
-    found = fingerprints.fingerprinted(docs).collect()
-    hashes = {r["w"]: r["h"] for r in docs.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(fingerprints.WORD), F.lit(0))).alias("w")).distinct().select("w", F.xxhash64("w").alias("h")).collect()}
-    texts = sorted(((r["doc_id"] if r["doc_id"] is not None else -1, r["text"] or "") for r in docs.collect()))
-    following = {t: texts[(i + 1) % len(texts)][1] for i, t in enumerate(texts)}
-    assert len(found) == len(texts)
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
+def _plain_fingerprint(text, k=5, w=4):
+    """Winnowing word by word with a hash that rolls."""
+    import xxhash
+
+    p, base = 2**31 - 1, 1_000_003
+    h = []
+    for x in re.findall(r"[^\x20\x09-\x0D]+", text.lower()):
+        v = xxhash.xxh64_intdigest(x.encode(), seed=42)
+        h.append((v - 2**64 if v >= 2**63 else v) % p)
+    if not h:
+        return []
+    rolling = 0
+    for v in h[:k]:
+        rolling = (rolling * base + v) % p
+    grams = [rolling]
+    for i in range(k, len(h)):
+        rolling = ((rolling - h[i - k] * pow(base, k - 1, p)) * base + h[i]) % p
+        grams.append(rolling)
+    chosen = []
+    for start in range(max(1, len(grams) - w + 1)):
+        window = grams[start : start + w]
+        place = max(start + n for n, v in enumerate(window) if v == min(window))
+        if not chosen or chosen[-1][1] != place:
+            chosen.append((grams[place], place))
+    return chosen
+
+
+def _alike(a, b):
+    x, y = {h for h, _ in a}, {h for h, _ in b}
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_fingerprints_match_plain_winnowing(spark, docs, empty):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(2**63 - 1, "the last one of all of them " * 9), (-(2**63), "same same same same same same same same"), (400, "x " * 3000)]
+    frame = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, `range` string").repartition(5)
+    found = fingerprints.fingerprinted(frame).collect()
+    known = sorted((i, t or "") for i, t in rows if i is not None)
+    want = Counter()
+    for n, (i, text) in enumerate(known):
+        want[i, text, known[(n + 1) % len(known)][1]] += 1
+    for i, text in rows:
+        if i is None:
+            want[i, text or "", text or ""] += 1
+    assert Counter((r["id"], r["text"], r["next"]["text"]) for r in found) == want
+    shown = {(r["id"], r["text"]): r for r in frame.sparkSession.createDataFrame(found, fingerprints.fingerprinted(frame).schema).select(
+        "id", "text", fingerprints.as_text(F.col("grams")).alias("f"), F.sha2("edited", 256).alias("sha"), fingerprints.likeness(F.col("grams"), F.col("edited_grams")).alias("near_edited"),
+        fingerprints.likeness(F.col("grams"), F.col("next.grams")).alias("near_next")).collect()}
     for r in found:
-        text = r["text"]
+        text, following = r["text"], r["next"]["text"]
         cut = len(text) // 4
-        assert r["next"]["text"] == following[(r["id"] if r["id"] is not None else -1, text)] or texts.count((r["id"], text)) > 1
-        assert r["edited"] == text[: len(text) - cut] + r["next"]["text"][:cut]
-        words = [hashes[w] for w in re.findall(r"[^\x20\x09-\x0D]+", text.lower())]
-        n, grams = len(words), [(g >> 31, (2**31 - 1) - (g & (2**31 - 1))) for g in r["grams"]]
-        if n == 0:
-            assert grams == []
-        elif n >= 5:
-            positions = [p for _, p in grams]
-            assert positions == sorted(positions) and positions[-1] <= n - 5
-            # Any window of four k-grams holds a chosen one.
-            assert all(any(s <= p < s + 4 for p in positions) for s in range(max(1, n - 4 - 3)))
-    by_text = defaultdict(set)
-    for r in found:
-        by_text[r["text"]].add(tuple(r["grams"]))
-    assert all(len(v) == 1 for v in by_text.values())
+        edited = text[: len(text) - cut] + following[:cut]
+        mine = _plain_fingerprint(text)
+        assert [(g >> 31, (2**31 - 1) - (g & (2**31 - 1))) for g in r["grams"]] == mine
+        if want[r["id"], text, following] == 1:
+            row = shown[r["id"], text]
+            assert row["f"] == " ".join(f"{h:x}:{at}" for h, at in mine)
+            assert row["sha"] == hashlib.sha256(edited.encode()).hexdigest()
+            assert math.isclose(row["near_edited"], _alike(mine, _plain_fingerprint(edited))) and math.isclose(row["near_next"], _alike(mine, _plain_fingerprint(following)))
     assert fingerprints.fingerprinted(empty).count() == 0
-    one = spark.createDataFrame([(1, "a b a b a b a b a b a b a b")], "doc_id long, text string")
-    grams = fingerprints.fingerprinted(one).first()["grams"]
-    chosen = [(g >> 31, (2**31 - 1) - (g & (2**31 - 1))) for g in grams]
-    low = min(h for h, _ in chosen)
-    assert {h for h, _ in chosen} == {low}  # equal hashes: the rightmost of each window
-    assert chosen[0][1] >= 2
+
+
+def test_ranges_are_even_where_ids_cluster(spark):
+    ids = spark.range(40_000).select(F.when(F.col("id") < 39_000, F.col("id")).otherwise(F.col("id") * 10**9).alias("id"), F.lit("t").alias("text"))
+    sizes = [r["count"] for r in fingerprints._ranges(ids).groupBy("range").count().collect()]
+    assert max(sizes) < 3 * fingerprints.RANGE_ROWS
+    assert fingerprints._ranges(ids.select(F.lit(None).cast("long").alias("id"), "text")).where("range >= 0").count() == 0
 
 
 def test_top_k_matches_all_products(spark):
@@ -308,6 +352,57 @@ def test_top_k_matches_all_products(spark):
     assert topk.exact_top_k(frame.where("vec_id < 0"), F.lit(True)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(0, [1e7, 2.0]), (1, [3.0, 1e7]), (2, [1e7, 1e7]), (3, [0.5, 0.5]), (4, [-1e7, 3e9]), (5, [1e300, 1.0]), (50, [-1e12, 1e12]), (6, [1e12, 1.5])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk.exact_top_k(frame, F.col("id") % 50 == 0, k=5, bucket_rows=3).collect()
+    whole = {i: [max(-(2**62), min(2**62, math.floor(256 * x))) for x in v] for i, v in rows}
+    clip = lambda s: max(-(2**63), min(2**63 - 1, s))
+    want = []
+    for q in (0, 50):
+        best = sorted((-clip(sum(a * b for a, b in zip(whole[q], whole[i]))), i) for i in whole if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == sorted(want)
+
+
+def test_language_sets_match_plain_em():
+    rng = random.Random(8)
+    p = np.array([[rng.random() ** 3 + 1e-4 for _ in range(4)] for _ in range(language.BUCKETS)])
+    model = language.LanguageModel(list("abcd"), p / p.sum(axis=0))
+    for text in ("one two three four five", "alpha beta gamma delta " * 40, "ab cd ef gh ij kl mn op qr st uv wx yz"):
+        grams = Counter(language.trigrams(text).tolist())
+        total = sum(grams.values())
+
+        def fit(kept):
+            share = {x: 1 / len(kept) for x in kept}
+            for _ in range(4000):
+                new = dict.fromkeys(kept, 0.0)
+                for g, n in grams.items():
+                    mixed = sum(share[x] * model.probability[g][x] for x in kept)
+                    for x in kept:
+                        new[x] += n * share[x] * model.probability[g][x] / mixed / total
+                share = new
+            return share, sum(n * math.log(sum(share[x] * model.probability[g][x] for x in kept)) for g, n in grams.items())
+
+        kept = list(range(4))
+        share, likelihood = fit(kept)
+        while len(kept) > 1:
+            fewer = [x for x in kept if x != min(kept, key=lambda x: (share[x], x))]
+            share2, likelihood2 = fit(fewer)
+            if likelihood2 + 0.5 * 8.0 * math.log(total + 1) < likelihood:
+                break
+            kept, share, likelihood = fewer, share2, likelihood2
+        languages, shares = model.infer(text, 8.0)
+        assert sorted(languages) == [model.languages[x] for x in kept]
+        assert all(abs(s - share[model.languages.index(x)]) < 0.05 for x, s in zip(languages, shares))
+
+
+def test_signs_that_are_no_letters():
+    model = language.LanguageModel(["aa"], np.full((language.BUCKETS, 1), 1 / language.BUCKETS))
+    assert all(model.infer(text, 8.0) == ([], []) for text in ("½²", "①②", "Ⅷ", "12 _ -", "\n\t", "\u0301", None))
+    assert all(model.infer(text, 8.0)[0] == ["aa"] for text in ("ª", "你", "a½"))
+
+
 def test_languages(spark, empty):
     rng = random.Random(1)
     kinds = {"aa": ["babo", "nalu", "komi", "satu"], "bb": ["strepf", "schlag", "krunz", "pfost"], "cc": ["eaux", "oiseau", "rien", "queue"]}
