@@ -143,3 +143,26 @@ ROLE_MAP = (('魏国国相', '核心高管/授权执行者'), ('齐国国相', '
  ('候选人', '候选负责人/被评估者'), ('盟友', '协作方/联盟伙伴'), ('长子', '继承候选人/关键接班人'), ('托人复仇者', '委托方/复仇推动者'), ('受命护送者', '受命执行者/安全负责人'), ('制衡者', '制衡方/风险控制者'),
  ('授权者', '授权方/最终批准者'), ('主权者', '最高决策者/组织负责人'), ('贤士', '关键人才/外部资源'), ('变法主导者', '变革负责人/改革推动者'), ('实际操盘者', '实权操盘者/关键执行者'), ('最终决策者', '最高决策者/组织负责人'),
  ('主导者', '主导方/关键推动者'), ('受劝者', '被说服者/决策承压者'), ('被索地者', '被施压方/资源让渡者'))
+
+#: Names of the fields in which a case was met, by what was met there.
+FIELD_NAMES = {'detail': '案例细节', 'tag': '案例标签', 'role': '现代角色', 'view': '视角摘要', 'kind': '案例类型', 'sparse': '关键词线索', 'pattern': '可迁移模式', 'title': '案例标题', 'dense': '语义主线'}
+COMMA = '、'
+REASON = '该案例通过{{fields}}与当前问题形成对应；命中线索包括「{{terms}}」。其可迁移主线是：{{pattern}}'
+
+#: Scenes, topics and what a text with such a topic tells in such a scene.
+MAPPING_REASONS = [
+ (['向上管理', '信任与猜忌'], ['信任'], '该史例强调信任与承诺对组织秩序的作用，可用于判断低信任关系中的行动边界。'),
+ (['谗言与谣言'], ['谗言', '谣言', '信任', '构陷'], '该史例涉及谗言、谣言或信任危机，可映射到现代职场中非正式渠道信息攻击的应对策略。'),
+ (['嫉妒与背叛'], ['嫉妒', '功高震主', '背叛', '猜忌', '反目'], '该史例涉及旧交嫉妒或盟友反目，可映射到现代关系中因地位差距导致的信任瓦解。'),
+ (['合伙与控制权', '站队与表态'], ['联盟'], '该史例体现联盟失衡与反噬风险，可提醒不要把短期优势误判为长期控制力。'),
+ (['团队冲突', '用人与授权'], ['用人'], '该史例对应关键岗位、授权与问责问题，可映射到现代团队管理。')]
+MAPPING_OTHERWISE = '该史例与当前问题在权力关系、信任边界或行动时机上存在可借鉴的结构相似性，但不能机械套用。'
+
+#: Who a question may be about: name, words, role; and the one who asks.
+ACTORS = [('直属领导', ['直属领导', '领导', '上级'], '直接评价与资源分配者'), ('老板/更高层', ['老板', '高层', '大老板'], '更高层权力来源'), ('同事', ['同事', '跨部门'], '横向协作方'),
+ ('下属/团队成员', ['下属', '团队', '核心成员'], '执行与组织稳定相关方'), ('合伙人', ['合伙人', '联合创始人'], '控制权与边界相关方'), ('外部客户/伙伴', ['客户', '供应商', '外部'], '外部压力来源')]
+ASKER = ('我', '提问者', '降低风险并推进目标', '信息不足时容易被动表态')
+ACTOR_GOAL, ACTOR_RISK = '维护自身利益与影响力', '可能误读信号或放大冲突'
+
+#: Answers of a look-up without evidence, and with it.
+NO_COMMENTARY, NO_FACT = '当前未检索到足以支持回答的司马光评论证据。', '当前未检索到足以支持回答的直接史实证据。'

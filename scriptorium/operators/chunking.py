@@ -6,7 +6,7 @@ run of sections), one row of the input each; groups are independent and spread o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _CHUNK = "array<struct<first:int,last:int,size:int>>"
@@ -18,15 +18,6 @@ def ordered_list(rows: DataFrame, group: list[str], order: str, *columns: str) -
     return rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("pieces"))
 
 
-def run_numbers(rows: DataFrame, partition: list[str], order: str, keys: list[str], name: str = "run") -> DataFrame:
-    """Numbers consecutive rows with equal keys: A, B, A are three runs."""
-    w = Window.partitionBy(*partition).orderBy(order)
-    changed = F.lit(False)
-    for key in keys:
-        changed = changed | ~F.col(key).eqNullSafe(F.lag(key).over(w))
-    return rows.withColumn("__new", F.when(F.row_number().over(w) == 1, 1).otherwise(changed.cast("int"))).withColumn(name, F.sum("__new").over(w)).drop("__new")
-
-
 def sized_packs(sizes: Column, target: int) -> Column:
     """Packs of consecutive pieces: a pack ends when the next piece would take it over target. Array of (first, last, size), from 1."""
     start = F.struct(F.array().cast(_CHUNK).alias("done"), F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(0).alias("size"))
@@ -48,8 +39,8 @@ def overlapping_packs(sizes: Column, soft: int = 900, target: int = 1400, hard:
 
     Pieces are joined by one separator each. A pack ends before a piece that would take it over hard, or over target once it has
     reached soft; it ends after a piece with which it reaches hard. The carried piece is left behind where it does not fit with the
-    next one. A piece longer than hard is a pack of its own and is carried nowhere; blank pieces are skipped. The last pack is
-    kept only if something new is in it.
+    next one. A piece longer than hard is a pack of its own and is carried nowhere; blank pieces are skipped. The last pack, and one
+    before a piece longer than hard, is kept only if something new is in it.
     """
     start = F.struct(F.array().cast(_CHUNK).alias("done"), F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(0).alias("size"), F.lit(False).alias("fresh"), F.lit(0).alias("tail"))
     items = F.filter(F.transform(sizes, lambda x, i: F.struct(x.cast("int").alias("n"), (i + 1).alias("i"))), lambda x: x["n"] > 0)
@@ -69,7 +60,7 @@ def overlapping_packs(sizes: Column, soft: int = 900, target: int = 1400, hard:
         carried = F.lit(overlap) & (s["tail"] + n + 1 <= hard)
         first = F.when(ends, F.when(carried, s["last"]).otherwise(i)).when(held, s["first"]).otherwise(i)
         size = F.when(ends, F.when(carried, s["tail"] + n + 1).otherwise(n)).when(held, longer).otherwise(n)
-        done = F.when(ends, flushed).otherwise(s["done"])
+        done = F.when(ends, F.concat(s["done"], chunk(s["first"], s["last"], s["size"]))).otherwise(s["done"])
         grown = state(done, first, i, size, F.lit(True), n)
         # Reaching hard ends the pack at once; its last piece is carried, as something not new.
         full = state(F.concat(done, chunk(first, i, size)), i if overlap else zero, i, n if overlap else zero, F.lit(False), n)
@@ -86,11 +77,49 @@ def character_windows(text: Column, width: int = 1400, overlap: int = 240) -> Co
     return F.when(F.length(text) > 0, cut).otherwise(F.array().cast("array<struct<start:int,text:string>>"))
 
 
-def sentence_parts(sentences: Column, target: int = 1400) -> Column:
-    """Parts of an oversized text: sentences joined up to target; a longer sentence is cut."""
-    pieces = F.flatten(F.transform(sentences, lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.length(s), F.lit(1)) - 1) / target).cast("int")), lambda j: F.substring(s, j * target + 1, F.lit(target)))))
-    packs = sized_packs(F.transform(pieces, F.length), target)
-    return F.transform(packs, lambda p: F.array_join(F.slice(pieces, p["first"], p["last"] - p["first"] + 1), ""))
+def sentence_parts(sentences: Column, text: Column, target: int = 1400) -> Column:
+    """Parts of an oversized text: sentences joined up to target; a longer sentence is cut, and its pieces stand alone. A text without
+    sentences is cut by characters."""
+    cut = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.length(s), F.lit(1)) - 1) / target).cast("int")), lambda j: F.substring(s, j * target + 1, F.lit(target)))
+    pieces = F.flatten(F.transform(sentences, lambda s: F.transform(cut(s), lambda p: F.struct(p.alias("text"), F.when(F.length(s) > target, target).otherwise(F.length(p)).alias("size")))))
+    packs = sized_packs(F.transform(pieces, lambda p: p["size"]), target)
+    joined = F.transform(packs, lambda p: F.array_join(F.transform(F.slice(pieces, p["first"], p["last"] - p["first"] + 1), lambda x: x["text"]), ""))
+    return F.when(F.size(sentences) > 0, joined).otherwise(F.filter(cut(text), lambda p: p != ""))
+
+
+def overlapping_sentence_parts(sentences: Column, text: Column, target: int = 1400, back: int = 3, overlap: int = 240, least: int = 600, hard: int = 1600) -> Column:
+    """Parts of an oversized text that overlap: each goes on up to target and begins `back` sentences before the end of the one before.
+
+    A sentence longer than target is cut into windows of characters. A last part shorter than least joins the one before where both fit hard.
+    """
+    # What is used more than once is bound by a lambda, so that it is worked out once a row.
+    bound = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    sums = F.aggregate(sentences, F.array(F.lit(0)), lambda done, s: F.concat(done, F.array(F.element_at(done, -1) + F.length(s))))  # characters of the first 0, 1, ... sentences
+    spans = "array<struct<first:int,size:int>>"
+
+    def step(state: Column, _: Column) -> Column:
+        at, ends = state["at"], state["ends"]
+        n = F.size(ends) - 1
+        size = F.greatest(F.size(F.filter(ends, lambda e: (e > F.get(ends, at)) & (e <= F.get(ends, at) + target))), F.lit(1))
+
+        def onward(size: Column) -> Column:
+            following = F.when(at + size >= n, n).otherwise(F.greatest(at + 1, at + size - back))
+            return F.struct(following.cast("int").alias("at"), ends.alias("ends"), F.concat(state["done"], F.array(F.struct((at + 1).cast("int").alias("first"), size.cast("int").alias("size")))).alias("done"))
+
+        return F.when(at < n, bound(size, onward)).otherwise(state)
+
+    start = F.struct(F.lit(0).alias("at"), sums.alias("ends"), F.array().cast(spans).alias("done"))
+    found = F.aggregate(sentences, start, step, lambda s: s["done"])
+    windows = lambda t: F.transform(character_windows(t, target, overlap), lambda w: w["text"])
+    whole = F.transform(found, lambda p: F.array_join(F.slice(sentences, p["first"], p["size"]), ""))
+    parts = F.flatten(F.transform(whole, lambda t: F.when(F.length(t) > target, windows(t)).otherwise(F.array(t))))
+
+    def tail_joined(parts: Column) -> Column:
+        last, previous = F.element_at(parts, -1), F.get(parts, F.size(parts) - 2)
+        joins = (F.size(parts) >= 2) & (F.length(last) < least) & (F.length(previous) + F.length(last) <= hard)
+        return F.when(joins, F.concat(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 2, F.lit(0))), F.array(F.concat(previous, last)))).otherwise(parts)
+
+    return F.when(F.size(sentences) > 0, bound(parts, tail_joined)).otherwise(windows(text))
 
 
 def group_windows(rows: DataFrame, group: str, order: str, text: str, separator: str = "\n") -> DataFrame:

@@ -1,8 +1,9 @@
 """Retrieval: lexical and dense ranking, fusion of rankings, expansion of hits to their evidence.
 
-Questions and corpus are both tables; every operator answers all questions at once. Lexical scores come from a join on tokens,
-so work follows the tokens that a question and a text share, and a question never meets a text it shares nothing with.
-Rankings break ties by the corpus ordinal.
+Questions and corpus are both tables; every operator answers all questions at once. Questions are a stated, small set: they are
+counted, and go to all executors up to a bound (beyond it by a shuffle), so the corpus is shuffled at most once, by item, whatever
+the number of questions; partial top-k rankings are kept before anything is shuffled by question. Rankings break ties by the
+corpus ordinal.
 """
 
 from __future__ import annotations
@@ -16,6 +17,15 @@ from scriptorium.functions import tokens as T
 from scriptorium.functions.text import words_in
 
 
+#: Tokens, or vectors, of questions that may be sent to all executors (some 20 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def small_side(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """rows, to be sent to all executors if they are at most `most`."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def ranked(scores: DataFrame, query: str, item: str, score: str, limit: int) -> DataFrame:
     """The `limit` best items of each query: highest score, then smallest item."""
     place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc(score), F.asc(item)))
@@ -32,11 +42,12 @@ def lexical_scores(
     noise is an exact term; it counts long_bonus from three characters on, else short_bonus.
     """
     asked = queries.select(F.col(query), F.explode("tokens").alias("token"))
-    held = corpus.select(F.col(item), "priority", F.explode("tokens").alias("token"))
+    # Once dealt by item, the token join and the sums per (question, item) need no further shuffle.
+    held = corpus.select(F.col(item), "priority", "tokens").repartition(item).select(item, "priority", F.explode("tokens").alias("token"))
     worth = F.when(F.length("token") >= 3, long_bonus).when(F.length("token") == 2, short_bonus).otherwise(0.0)
     if noise := list(noise):
         worth = F.when(F.col("token").isin(noise), 0.0).otherwise(worth)
-    shared = held.join(asked, "token").groupBy(query, item).agg(F.count("*").alias("overlap"), F.sum(worth).alias("bonus"), F.first("priority").alias("priority"))
+    shared = held.join(small_side(asked), "token").groupBy(query, item).agg(F.count("*").alias("overlap"), F.sum(worth).alias("bonus"), F.first("priority").alias("priority"))
     score = F.log1p(F.col("overlap").cast("double")) + F.least(F.lit(cap), "bonus") + F.col("priority") * priority_weight
     return shared.select(query, item, "overlap", F.round(score, digits).alias("score"))
 
@@ -49,10 +60,26 @@ def tag_bonus(tags: Column, question: Column, each: float) -> Column:
 def dense_scores(queries: DataFrame, corpus: DataFrame, query: str = "query_id", item: str = "item_id", digits: int = 6) -> DataFrame:
     """query, item, score: largest inner product over a query's vectors (arrays `vector`) with each item's vector.
 
-    A stated set of queries against all rows: the query side goes to all executors only if Spark finds it small.
+    A stated set of queries against all rows of the corpus, which has one vector an item: nothing is shuffled here but the queries.
     """
-    both = corpus.select(F.col(item), F.col("vector").alias("v")).crossJoin(queries.select(F.col(query), F.col("vector").alias("q")))
-    return both.groupBy(query, item).agg(F.round(F.max(T.dot(F.col("v"), F.col("q"))), digits).alias("score"))
+    asked = queries.groupBy(query).agg(F.collect_list("vector").alias("q"))  # the few vectors of one question
+    best = F.array_max(F.transform("q", lambda q: T.dot(F.col("v"), q)))
+    both = corpus.select(F.col(item), F.col("vector").alias("v")).crossJoin(small_side(asked))
+    return both.select(query, item, F.round(best, digits).alias("score"))
+
+
+def best_per_item(hits: DataFrame, request: str, item: str = "item_id", score: str = "score", limit: int = 12) -> DataFrame:
+    """Rankings of several queries of one request as one: the best score of each item, the `limit` best items of a request."""
+    return ranked(hits.groupBy(request, item).agg(F.max(score).alias(score)), request, item, score, limit)
+
+
+def first_with_hits(branches: list[DataFrame | None], query: str = "query_id") -> DataFrame:
+    """For each question the hits of the first branch that has any (null: a branch that is not available), with the branch number."""
+    usable = [(i, rows.withColumn("branch", F.lit(i))) for i, rows in enumerate(branches) if rows is not None]
+    found = usable[0][1]
+    for _, rows in usable[1:]:
+        found = found.unionByName(rows.join(found.select(query).distinct(), query, "left_anti"))
+    return found
 
 
 def branch_limit(limit: int) -> int:

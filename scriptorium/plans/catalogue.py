@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as X
 from scriptorium.functions import tokens as T
-from scriptorium.operators import audit, chunking, extraction, intent, merging, report, retrieval, sections, tagging
+from scriptorium.operators import audit, chunking, extraction, intent, merging, ordering, report, retrieval, sections, tagging
 from scriptorium.sources import files
 from scriptorium.streaming import append
 
@@ -43,11 +43,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _ranked_documents(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
+def _document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.tokens(F.lower("text")).alias("tokens"))
     corpus = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), T.tokens(F.lower("text")).alias("tokens"), F.lit(0.5).alias("priority"))
-    scores = retrieval.lexical_scores(questions, corpus, noise=NOISE)
-    return retrieval.ranked(scores, "query_id", "item_id", "score", limit)
+    return retrieval.lexical_scores(questions, corpus, noise=NOISE)
 
 
 _LEXICAL = r"""
@@ -63,7 +62,7 @@ _LEXICAL = r"""
 @query(f"WITH {_LEXICAL} SELECT query_id, item_id, overlap, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM lexical) WHERE rank <= 4")
 def token_overlap_topk(spark, sf_dir):
     """The 4 best documents for each benchmark text."""
-    return _ranked_documents(spark, sf_dir, 4)
+    return retrieval.ranked(_document_scores(spark, sf_dir), "query_id", "item_id", "score", 4)
 
 
 @query(r"""
@@ -121,10 +120,10 @@ def retrieval_eval(spark, sf_dir):
 SELECT query_id, item_id, score, branches, rank::INTEGER AS rank FROM r WHERE rank <= 4""")
 def rrf_fusion(spark, sf_dir):
     """Two rankings of the documents, fused."""
-    scores = _ranked_documents(spark, sf_dir, 10**9)
-    plain = scores.select("query_id", "item_id", F.col("overlap").cast("double").alias("score"))
     n = retrieval.branch_limit(4)
-    return retrieval.fused({"scored": scores.where(F.col("rank") <= n), "overlap": retrieval.ranked(plain, "query_id", "item_id", "score", n)}, limit=4)
+    scores = _document_scores(spark, sf_dir)
+    plain = scores.select("query_id", "item_id", F.col("overlap").cast("double").alias("score"))
+    return retrieval.fused({"scored": retrieval.ranked(scores, "query_id", "item_id", "score", n), "overlap": retrieval.ranked(plain, "query_id", "item_id", "score", n)}, limit=4)
 
 
 @query("""WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
@@ -175,9 +174,8 @@ def near_dup_pairs(spark, sf_dir):
 
 @query("SELECT item_id, count(doc_id) AS documents, min(doc_id) AS first_doc FROM benchmark LEFT JOIN documents ON contains(lower(documents.text), lower(benchmark.text)) GROUP BY item_id")
 def benchmark_containment(spark, sf_dir):
-    """The containment join of section 2.8: documents that hold a whole benchmark text. The first word run of five words makes it an equality join; the
-    containment itself is then checked."""
-    key = lambda c: F.regexp_extract(c, r"^\s*(\S+)", 1)
+    """The containment join of section 2.8: documents that hold a whole benchmark text. The longest inner word of a text makes it an equality join on
+    (document, word); the containment itself is checked on the texts of the documents that are left."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("hay"))
     items = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("needle"))
     words = lambda c: F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0))
@@ -185,8 +183,10 @@ def benchmark_containment(spark, sf_dir):
     # An inner word of the item (one with a blank on both sides) is a whole word of any document that contains the item.
     best = F.array_max(F.transform(F.slice(F.col("w"), F.lit(2), F.greatest(F.size("w") - 2, F.lit(0))), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
     inner = inner.withColumn("word", best)
-    by_word = docs.select("doc_id", "hay", F.explode(F.array_distinct(words(F.col("hay")))).alias("word")).join(inner.where("word is not null").select("item_id", "needle", "word"), "word").where(F.contains("hay", F.col("needle"))).select("item_id", "doc_id")
-    short = docs.join(inner.where("word is null"), F.contains("hay", F.col("needle"))).select("item_id", "doc_id")
+    long = inner.where("word is not null").select("item_id", "needle", "word")
+    met = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("hay")))).alias("word")).join(retrieval.small_side(long.select("item_id", "word")), "word").drop("word")
+    by_word = docs.join(met.join(long.select("item_id", "needle"), "item_id"), "doc_id").where(F.contains("hay", F.col("needle"))).select("item_id", "doc_id")
+    short = docs.join(retrieval.small_side(inner.where("word is null")), F.contains("hay", F.col("needle"))).select("item_id", "doc_id")
     return items.join(by_word.union(short), "item_id", "left").groupBy("item_id").agg(F.count("doc_id").alias("documents"), F.min("doc_id").alias("first_doc"))
 
 
@@ -209,9 +209,23 @@ def pack_chunks_sized(spark, sf_dir):
     return lists.select("conv_id", F.posexplode(packs).alias("n", "p")).select("conv_id", (F.col("n") + 1).alias("pack"), "p.first", "p.last", "p.size")
 
 
-@query()
+_LINES = "l AS (SELECT doc_id, list_transform(list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: trim(s, ' ') <> ''), lambda s: length(s)) AS sizes FROM documents)"
+_NO_PACK = "[]::STRUCT(first INTEGER, last INTEGER, size BIGINT)[]"
+_PACK = "[{{'first': {0}::INTEGER, 'last': {1}::INTEGER, 'size': {2}::BIGINT}}]".format
+
+
+@query(f"""WITH RECURSIVE {_LINES},
+  f AS (SELECT doc_id, sizes, 0 AS i, 0 AS first, 0 AS last, 0::BIGINT AS size, FALSE AS fresh, 0::BIGINT AS tail, {_NO_PACK} AS made FROM l
+    UNION ALL
+    SELECT doc_id, sizes, i, CASE WHEN n > 1600 THEN 0 WHEN grown >= 1600 THEN i ELSE begin END, CASE WHEN n > 1600 THEN 0 ELSE i END, CASE WHEN n > 1600 THEN 0 WHEN grown >= 1600 THEN n ELSE grown END, n <= 1600 AND grown < 1600, CASE WHEN n > 1600 THEN 0 ELSE n END,
+      CASE WHEN n > 1600 THEN CASE WHEN first > 0 AND fresh THEN {_PACK('first', 'last', 'size')} ELSE {_NO_PACK} END || {_PACK('i', 'i', 'n')}
+        ELSE CASE WHEN ends THEN {_PACK('first', 'last', 'size')} ELSE {_NO_PACK} END || CASE WHEN grown >= 1600 THEN {_PACK('begin', 'i', 'grown')} ELSE {_NO_PACK} END END
+    FROM (SELECT *, CASE WHEN ends THEN CASE WHEN tail + n + 1 <= 1600 THEN last ELSE i END WHEN first > 0 THEN first ELSE i END AS begin, CASE WHEN ends THEN CASE WHEN tail + n + 1 <= 1600 THEN tail + n + 1 ELSE n END WHEN first > 0 THEN size + n + 1 ELSE n END AS grown
+      FROM (SELECT * EXCLUDE (i), i + 1 AS i, sizes[i + 1] AS n, first > 0 AND (size + sizes[i + 1] + 1 > 1600 OR (size >= 900 AND size + sizes[i + 1] + 1 > 1400)) AS ends FROM f WHERE i < len(sizes)))),
+  m AS (SELECT doc_id, i, unnest(CASE WHEN i = len(sizes) AND first > 0 AND fresh THEN made || {_PACK('first', 'last', 'size')} ELSE made END) AS p, generate_subscripts(CASE WHEN i = len(sizes) AND first > 0 AND fresh THEN made || {_PACK('first', 'last', 'size')} ELSE made END, 1) AS k FROM f)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, k)::INTEGER AS pack, p.first AS first, p.last AS last, p.size::INTEGER AS size FROM m""")
 def pack_chunks_overlap(spark, sf_dir):
-    """Lines of a document in packs with the last line carried over."""
+    """Lines of a document in packs with the last line carried over."""
     lines = F.filter(F.split(X.text_or_empty(F.col("text")), "\n"), lambda s: F.trim(s) != "")
     rows = table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines"))
     packs = rows.select("doc_id", "lines", F.posexplode(chunking.overlapping_packs(F.transform("lines", F.length))).alias("n", "p"))
@@ -327,11 +341,11 @@ def collapse_outputs(spark, sf_dir):
     return merging.collapsed(table(spark, sf_dir, "conversations").withColumn("chars", F.length("text")), "conv_id", ["turn", "chars"], "role")
 
 
-@query("""WITH a AS (SELECT conv_id, role AS name, arg_max(left(text, 30), length(left(text, 30)) * 1000000 - turn) AS role, min(turn) AS f FROM conversations WHERE trim(role) <> '' GROUP BY conv_id, role)
+@query("""WITH a AS (SELECT conv_id, role AS name, arg_max(text, length(text) * 1000000 - turn) AS role, min(turn) AS f FROM conversations WHERE trim(role) <> '' GROUP BY conv_id, role)
 SELECT conv_id, name, role, row_number() OVER (PARTITION BY conv_id ORDER BY f, name)::INTEGER AS place FROM a QUALIFY place <= 5""")
 def merged_speakers(spark, sf_dir):
     """Speakers of a conversation by name, with their longest description, in order of first mention."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("role").alias("name"), F.left("text", F.lit(30)).alias("role"), F.col("turn").alias("position"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("role").alias("name"), F.col("text").alias("role"), F.col("turn").alias("position"))
     return merging.merged_actors(rows, "conv_id")
 
 
@@ -405,15 +419,15 @@ def commentary_links(spark, sf_dir):
 SELECT doc_id, sum(CASE WHEN n = 1 OR new THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS run FROM d""")
 def consecutive_runs(spark, sf_dir):
     """Runs of consecutive documents of a source with one language (A, B, A are three)."""
-    return chunking.run_numbers(table(spark, sf_dir, "documents"), ["source"], "doc_id", ["lang"]).select("doc_id", "run")
+    return ordering.run_numbers(table(spark, sf_dir, "documents"), ["source"], "doc_id", ["lang"]).select("doc_id", "run")
 
 
-@query("""SELECT doc_id, md5(CASE WHEN length(t) > 280 THEN left(t, 277) || '...' ELSE t END) AS brief_md5, left(regexp_replace(regexp_replace(left(t, 60), '[^0-9A-Za-z一-鿿]+', '-', 'g'), '^-+|-+$', '', 'g'), 24) AS slug
+@query("""SELECT doc_id, md5(CASE WHEN length(t) > 280 THEN left(t, 277) || '...' ELSE t END) AS brief_md5, left(regexp_replace(regexp_replace(t, '[^0-9A-Za-z一-鿿]+', '-', 'g'), '^-+|-+$', '', 'g'), 24) AS slug
 FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]+>', '', 'g'), '\\s+', ' ', 'g'), ' ') AS t FROM documents)""".replace("\\\\", "\\"))
 def text_scalars(spark, sf_dir):
     """Normalised, shortened and slugged texts."""
     rows = table(spark, sf_dir, "documents").withColumn("t", X.normalized(F.col("text")))
-    return rows.select("doc_id", F.md5(X.shortened(F.col("t"))).alias("brief_md5"), X.slug(F.left("t", F.lit(60))).alias("slug"))
+    return rows.select("doc_id", F.md5(X.shortened(F.col("t"))).alias("brief_md5"), X.slug(F.col("t")).alias("slug"))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -437,12 +451,38 @@ def folded_merges(spark, sf_dir):
     return merging.folded_near_duplicates(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
 
-@query()
+_SENTENCES = "list_filter(list_transform(regexp_extract_all(text, '[^.!?;\n]+[.!?;]?'), lambda s: trim(s, ' ')), lambda s: s <> '')"
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT doc_id, {_SENTENCES} AS sentences FROM documents WHERE length(text) > 1600),
+  p AS (SELECT doc_id, flatten(list_transform(sentences, lambda s: list_transform(range(0, length(s), 1400), lambda j: {{'text': substring(s, j + 1, 1400), 'size': CASE WHEN length(s) > 1400 THEN 1400 ELSE length(s) END}}))) AS pieces FROM s),
+  f AS (SELECT doc_id, pieces, 1 AS i, 1 AS part, pieces[1].size AS size FROM p
+    UNION ALL SELECT doc_id, pieces, i + 1, CASE WHEN size + pieces[i + 1].size > 1400 THEN part + 1 ELSE part END, CASE WHEN size + pieces[i + 1].size > 1400 THEN pieces[i + 1].size ELSE size + pieces[i + 1].size END FROM f WHERE i < len(pieces))
+SELECT doc_id, (part - 1)::INTEGER AS part, sum(length(pieces[i].text))::INTEGER AS chars, md5(string_agg(pieces[i].text, '' ORDER BY i)) AS text_md5 FROM f GROUP BY doc_id, part""")
 def sentence_parts(spark, sf_dir):
-    """Oversized documents cut at sentences."""
+    """Oversized documents cut at sentences."""
+    rows = table(spark, sf_dir, "documents").where(F.length("text") > 1600)
+    parts = chunking.sentence_parts(X.sentences(F.col("text")), F.col("text"))
+    return rows.select("doc_id", F.posexplode(parts).alias("part", "text")).select("doc_id", "part", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT doc_id, {_SENTENCES} AS sentences FROM documents WHERE length(text) > 1600),
+  e AS (SELECT doc_id, sentences, list_transform(range(0, len(sentences) + 1), lambda i: coalesce(list_sum(list_transform(sentences[1:i], lambda s: length(s))), 0)::BIGINT) AS ends FROM s),
+  f AS (SELECT doc_id, sentences, ends, 0 AS k, -1::BIGINT AS pos, 0::BIGINT AS size, 0::BIGINT AS onward FROM e
+    UNION ALL
+    SELECT doc_id, sentences, ends, k, pos, size, CASE WHEN pos + size >= len(sentences) THEN len(sentences) ELSE greatest(pos + 1, pos + size - 3) END
+    FROM (SELECT doc_id, sentences, ends, k + 1 AS k, onward AS pos, greatest(len(list_filter(ends, lambda x: x > ends[onward + 1] AND x - ends[onward + 1] <= 1400)), 1) AS size FROM f WHERE onward < len(sentences))),
+  w AS (SELECT doc_id, k, array_to_string(sentences[pos + 1 : pos + size], '') AS text FROM f WHERE k > 0),
+  c AS (SELECT doc_id, k, unnest(CASE WHEN length(text) > 1400 THEN range(0, length(text) - 240, 1160) ELSE [0] END) AS o, text FROM w),
+  p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, o) AS part, count(*) OVER (PARTITION BY doc_id) AS n, CASE WHEN length(text) > 1400 THEN substring(text, o + 1, 1400) ELSE text END AS text FROM c),
+  j AS (SELECT *, lead(text) OVER (PARTITION BY doc_id ORDER BY part) AS following FROM p),
+  t AS (SELECT *, bool_or(part = n - 1 AND length(following) < 600 AND length(text) + length(following) <= 1600) OVER (PARTITION BY doc_id) AS joins FROM j)
+SELECT doc_id, (part - 1)::INTEGER AS part, length(x)::INTEGER AS chars, md5(x) AS text_md5 FROM (SELECT *, CASE WHEN joins AND part = n - 1 THEN text || following ELSE text END AS x FROM t) WHERE NOT (joins AND part = n)""")
+def sentence_parts_overlap(spark, sf_dir):
+    """C4: oversized documents cut at sentences, three of them repeated, a short last part joined to the one before."""
     rows = table(spark, sf_dir, "documents").where(F.length("text") > 1600)
-    parts = chunking.sentence_parts(F.regexp_extract_all("text", F.lit(X.LATIN_SENTENCE), F.lit(0)))
-    return rows.select("doc_id", F.posexplode(parts).alias("part", "text")).select("doc_id", "part", F.length("text").alias("chars"))
+    cut = rows.select("doc_id", "text", X.sentences(F.col("text")).alias("sentences")).select("doc_id", F.transform(F.array(F.struct("sentences", "text")), lambda x: chunking.overlapping_sentence_parts(x["sentences"], x["text"]))[0].alias("parts"))
+    return cut.select("doc_id", F.posexplode("parts").alias("part", "text")).select("doc_id", "part", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
 
 
 @query()

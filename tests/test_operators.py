@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from scriptorium.functions import lexicon
-from scriptorium.operators import audit, chunking, extraction, intent, merging, report, retrieval, sections, tagging
+from scriptorium.operators import audit, case_merging, chunking, extraction, intent, merging, ordering, report, retrieval, sections, tagging
 from scriptorium.plans import workflow
 from scriptorium.sources import files
 from scriptorium.streaming import append
@@ -41,7 +41,7 @@ def test_character_windows(spark):
 
 def test_runs_titles_histogram_links(spark):
     rows = spark.createDataFrame([("d", i, k) for i, k in enumerate("ABA")], "doc string, o int, k string")
-    assert [r["run"] for r in chunking.run_numbers(rows, ["doc"], "o", ["k"]).orderBy("o").collect()] == [1, 2, 3]
+    assert [r["run"] for r in ordering.run_numbers(rows, ["doc"], "o", ["k"]).orderBy("o").collect()] == [1, 2, 3]
     row = spark.range(1).select(chunking.merged_titles(F.array(F.lit("a"), F.lit(""), F.lit("b"), F.lit("a"))).alias("t"), chunking.histogram_text(F.array(F.lit("x"), F.lit("y"), F.lit("x"))).alias("h")).first()
     assert row["t"] == "a – b" and row["h"] == "x:2,y:1"
     members = spark.createDataFrame([("m1", "k1"), ("m2", "k9")], "m string, key string")
@@ -231,3 +231,77 @@ def test_corpus_sources(spark, tmp_path, monkeypatch):
     assert {r["id"]: r["keys"] for r in corpus.sorted_by_catalog(rows, "id", "keys", order, "k", ["o"]).collect()} == {1: ["b", "a", "zz"], 2: []}
     meta = files.vector_index(order, "k", "k")
     assert corpus.status(rows, meta, meta).first()["mode"] == "dense and sparse"
+
+
+def _plain_merged(rows):
+    """The fold of near duplicates over cases in corpus order, one by one."""
+    import re
+
+    norm = lambda t: re.sub(r"[^\w]", "", t or "").lower()
+    told = lambda c: " ".join(x for x in (norm(c[f]) for f in ("title", "conflict", "pattern"))).strip()
+    grams = lambda t: {t[i : i + 2] for i in range(len(t) - 1)} if len(t) > 2 else ({t} if t else set())
+
+    def union(a, b):
+        key = lambda c: (c["score"], len(told(c)), len(c["summary"]))
+        x, y = (b, a) if key(b) > key(a) else (a, b)
+        out = dict(x)
+        for f in ("title", "summary", "conflict", "pattern"):
+            out[f] = y[f] if not x[f] or (y[f] and len(y[f]) > len(x[f]) + 20) else x[f]
+        for f in ("sections", "chunks"):
+            out[f] = sorted(set(x[f]) | set(y[f]))
+        out["tags"] = list(dict.fromkeys(x["tags"] + y["tags"]))
+        out["score"], out["priority"] = max(a["score"], b["score"]), max(a["priority"], b["priority"])
+        out["ordinal"], out["position"] = min((a["ordinal"], a["position"]), (b["ordinal"], b["position"]))
+        out["merged"] = a["merged"] + b["merged"] + 1
+        return out
+
+    groups = {}
+    for c in sorted(rows, key=lambda c: c["case_id"]):
+        groups.setdefault((c["actor"], c["kind"], tuple(c["sections"]), norm(c["title"]), norm(c["conflict"])), []).append(c | {"merged": 0})
+    exact = []
+    for of in groups.values():
+        one = of[0]
+        for c in of[1:]:
+            one = union(one, c)
+        exact.append(one)
+    kept = []
+    for c in sorted(exact, key=lambda c: (c["ordinal"], c["position"], c["actor"], -c["score"], c["case_id"])):
+        for i in range(len(kept) - 1, max(-1, len(kept) - 6), -1):
+            k = kept[i]
+            if (k["actor"], k["kind"]) != (c["actor"], c["kind"]):
+                continue
+            overlap = bool(set(k["sections"]) & set(c["sections"]))
+            if not overlap and abs(k["ordinal"] - c["ordinal"]) > 1:
+                continue
+            x, y = grams(norm(told(k))), grams(norm(told(c)))
+            alike = len(x & y) / len(x | y) if x and y else 0
+            if alike >= 0.82 or (overlap and alike >= 0.72):
+                kept[i] = union(k, c)
+                break
+        else:
+            kept.append(c)
+    return kept
+
+
+def test_cases_merge_as_in_a_plain_fold(spark):
+    import random
+
+    rng = random.Random(4)
+    base = ["the king of the north held his gate against the river men", "a minister asked for leave and went home", "three envoys came with gifts and left with promises", "the army crossed at night"]
+    rows = []
+    for i in range(140):
+        words = rng.choice(base).split()
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(len(words))] = rng.choice(["gold", "horse", "letter"])
+        ordinal = i // 3 + (i // 40) * 5
+        rows.append({
+            "case_id": f"c{i:03d}", "actor": rng.choice(["a", "b"]), "kind": rng.choice(["x", "x", "y"]), "title": " ".join(words), "conflict": rng.choice(["", "fear"]), "pattern": "", "summary": "s" * rng.randrange(60),
+            "sections": sorted({f"{ordinal:04d}", f"{ordinal + rng.randrange(2):04d}"}), "chunks": [f"k{ordinal:04d}"], "tags": rng.sample(["t1", "t2", "t3"], 2), "score": rng.randrange(5) / 10, "priority": 0.85, "ordinal": ordinal, "position": rng.randrange(3),
+        })
+    kinds = "case_id string, actor string, kind string, title string, conflict string, pattern string, summary string, sections array<string>, chunks array<string>, tags array<string>, score double, priority double, ordinal int, position int, book string"
+    frame = spark.createDataFrame([[*r.values(), "b"] for r in rows], kinds)
+    want = _plain_merged(rows)
+    got = [r.asDict() for r in case_merging.merged_cases(frame, ["book"]).collect()]
+    shown = lambda c: (c["case_id"], c["actor"], c["kind"], c["title"], c["summary"], tuple(c["sections"]), tuple(c["chunks"]), tuple(c["tags"]), c["score"], c["ordinal"], c["position"], c["merged"])
+    assert sorted(map(shown, got)) == sorted(map(shown, want)) and any(c["merged"] for c in want)
+    assert case_merging.merged_cases(frame.where("false"), ["book"]).count() == 0
