@@ -71,3 +71,21 @@ def markdown(title: str, table: DataFrame, columns: list[str]) -> DataFrame:
     spark = table.sparkSession
     top = reduce(lambda a, b: a.union(b), [spark.range(1).select(F.lit(i).cast("long").alias("number"), F.lit(line).alias("line")) for i, line in enumerate(head)])
     return top.union(table.select((F.monotonically_increasing_id() + len(head)).alias("number"), cells.alias("line")))
+
+
+def corpus_summary(sizes: DataFrame, key: str, size: str, ends: int = 5) -> DataFrame:
+    """Rows of one form: part `all` with count, least, most, mean, median and total of the sizes, and the `ends` smallest and largest keys."""
+    n = F.col(size)
+    row = lambda part, name, *values: [F.lit(part).alias("part"), name.alias(key), *[v.alias(c) for c, v in zip(("n", "least", "most", "mean", "median", "total"), values)]]
+    whole = sizes.agg(F.count("*").alias("c"), F.min(n).alias("a"), F.max(n).alias("b"), F.round(F.avg(n), 1).alias("m"), F.round(F.median(n), 1).alias("d"), F.sum(n).alias("t"))
+    out = whole.select(*row("all", F.lit(None).cast("string"), *[F.col(c) for c in "cabmdt"]))
+    for part, order in (("smallest", n.asc()), ("largest", n.desc())):
+        some = sizes.orderBy(order, key).limit(ends)
+        out = out.unionByName(some.select(*row(part, F.col(key), F.lit(1).cast("long"), n, n, n.cast("double"), n.cast("double"), n)))
+    return out
+
+
+def latency_stats(times: DataFrame, key: str, seconds: str) -> DataFrame:
+    """Count, mean, median, least and most of measured seconds, by what was measured."""
+    s = F.col(seconds)
+    return times.groupBy(key).agg(F.count(s).alias("n"), *[F.round(f(s), 3).alias(f"{name}_s") for name, f in (("mean", F.avg), ("median", F.median), ("min", F.min), ("max", F.max))])

@@ -141,6 +141,12 @@ def histogram_text(values: Column) -> Column:
     return F.array_join(F.transform(unique, lambda u: F.concat(u, F.lit(":"), F.size(F.filter(values, lambda v: v == u)).cast("string"))), ",")
 
 
+def counted_text(value: Column, n: Column) -> Column:
+    """The same from counted values, as an aggregate: one row a distinct value."""
+    pairs = F.array_sort(F.collect_list(F.concat(value, F.lit(":"), n.cast("string"))))
+    return F.array_join(pairs, ",")
+
+
 def links(members: DataFrame, chunks: DataFrame, key: str, id_col: str, chunk_col: str = "chunk_id") -> DataFrame:
     """Every member with the sorted chunks that hold its key; an empty list where none does. chunks: chunk, keys (array)."""
     flat = chunks.select(chunk_col, F.explode("keys").alias(key)).groupBy(key).agg(F.sort_array(F.collect_set(chunk_col)).alias("chunks"))

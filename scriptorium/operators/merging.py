@@ -78,6 +78,21 @@ def adjacent_near_duplicates(rows: DataFrame, order: str, text: str, block: list
     return near.select("a", F.col("o").alias("b"), F.round("similarity", 6).alias("similarity"))
 
 
+def merge_pairs(rows: DataFrame, order: str, section: str, grams: str, block: list[str], reach: int, near: float = 0.82, overlapping: float = 0.72) -> DataFrame:
+    """a, b, overlap, similarity of the pairs that may merge: equal block, next to each other or of one section, similar enough.
+
+    reach: how far apart in order rows of one section can be. Only ordinals and sections are copied; the arrays of grams meet for pairs that
+    are close enough, as an equality join.
+    """
+    key = rows.select(F.col(order).alias("a"), F.col(section).alias("s"), *block)
+    shifted = key.select("a", F.col("s").alias("s1"), *[F.col(c).alias("_" + c) for c in block], F.explode(F.transform(F.sequence(F.lit(1), F.lit(reach)), lambda i: F.col("a") + i)).alias("b"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col("_" + c)) for c in block], F.lit(True))
+    pairs = shifted.join(key.select(F.col("a").alias("b"), "s", *block), "b").where(same).withColumn("overlap", F.coalesce(F.col("s") == F.col("s1"), F.lit(False))).where("overlap or b = a + 1").select("a", "b", "overlap")
+    left, right = (rows.select(F.col(order).alias(x), F.col(grams).alias("g" + x)) for x in "ab")
+    told = pairs.join(left, "a").join(right, "b").withColumn("similarity", T.jaccard(F.col("ga"), F.col("gb")))
+    return told.where((F.col("similarity") >= near) | (F.col("overlap") & (F.col("similarity") >= overlapping))).select("a", "b", "overlap", F.round("similarity", 6).alias("similarity"))
+
+
 def folded_near_duplicates(rows: DataFrame, group: str, order: str, text: str, look_back: int = 5, threshold: float = 0.82) -> DataFrame:
     """group, order, merged_into: each row of a group, in order, merges into the nearest of the last `look_back` kept rows that is
     similar enough, else it is kept (merged_into = order). The fold is Python over one ordered group at a time."""

@@ -14,6 +14,11 @@ from scriptorium.functions.text import contains_any, occurrences, words_in
 def people(text: Column, suffixes: Iterable[str] = lexicon.PEOPLE_SUFFIXES, fallback: Iterable[str] = lexicon.PEOPLE_FALLBACK, most: int = 6) -> Column:
     """Names by suffix (the first `most` hits, without repeats), filled up with the fallback words that occur."""
     hits = F.regexp_extract_all(text, F.lit(f"[一-龥]{{1,4}}(?:{'|'.join(suffixes)})"), F.lit(0))
+    return filled_up(hits, text, fallback, most)
+
+
+def filled_up(hits: Column, text: Column, fallback: Iterable[str], most: int = 6) -> Column:
+    """The first `most` hits without repeats, filled up to `most` with the fallback words that occur."""
     named = F.array_distinct(F.slice(hits, 1, most))
     return F.slice(F.array_union(named, words_in(text, fallback)), 1, most)
 
