@@ -166,3 +166,33 @@ ACTOR_GOAL, ACTOR_RISK = '维护自身利益与影响力', '可能误读信号
 
 #: Answers of a look-up without evidence, and with it.
 NO_COMMENTARY, NO_FACT = '当前未检索到足以支持回答的司马光评论证据。', '当前未检索到足以支持回答的直接史实证据。'
+
+#: What a form of a text adds to its score as modern prose: form, needles, points.
+MODERN_BONUSES = [
+ ('start', ['臣司马光曰'], 6), ('start', ['臣光曰'], -6), ('within', ['公元'], 2), ('match', ['（[初十廿三一二四五六七八九\\d]+日'], 3), ('match', ['（[^）]*公元[^）]*）'], 3), ('match', ['[一二三四五六七八九十]+日'], 1),
+ ('start', ['周威烈王', '秦国', '魏惠王去世', '春季', '夏季', '秋季', '冬季', '当天', '当初', '这时', '此时'], 2), ('short', ['去世', '开始', '再次', '任命', '降到'], 2)]
+MODERN_SHORT = 16
+
+#: How a paragraph of a section is decided. Section numbered, paragraph numbered, what the section holds, the decision before, a further condition: outcome. None: any.
+PARAGRAPH_RULES = [
+ (None, None, None, None, 'known', 'original'),
+ (True, True, 'nothing', None, 'originals', 'guess'),
+ (True, True, 'nothing', None, None, 'original'),
+ (True, True, 'originals', None, 'classical', 'original'),
+ (True, True, 'originals', None, None, 'modern'),
+ (True, False, None, 'original', 'long', 'modern'),
+ (False, None, None, None, 'modern opening', 'modern'),
+ (False, None, None, None, 'classical', 'original'),
+ (None, None, None, None, None, 'guess')]
+CLASSICAL_OPENING, MODERN_OPENING, LONG_PARAGRAPH = '臣光曰', '臣司马光曰', 14
+
+#: Canonical names of roles that contain words: all of, any of, none of, greatest length (None: any), name.
+ROLE_CONTAINS = [
+ (['叛将'], [], [], None, '一线负责人/关键执行者'), ([], ['庶兄', '宗室'], ['/'], None, '继承竞争者/内部挑战者'), (['将'], [], ['/'], 4, '一线负责人/关键执行者')]
+
+#: Modern roles of persons: words of the name (or the role), words of the role, words of the stance, name. One of the role's or the stance's words is enough.
+PERSON_ROLES = [
+ (['蔺相如'], False, ['上卿'], ['避让'], '新晋高位者/主动避让者'), (['廉颇'], False, ['大将'], ['不满', '请罪'], '资深功臣/不满者'), (['门客'], True, [], ['羞耻', '避让', '声誉'], '内部追随者/声誉压力来源')]
+
+#: Roles that the role's or the stance's words move: role, words of the role, words of the stance, name.
+MOVED_ROLES = [('一线负责人/关键执行者', [], ['不满', '功'], '资深功臣/不满者'), ('最高决策者/组织负责人', ['对手'], ['压', '胁'], '外部强势方/压力来源')]

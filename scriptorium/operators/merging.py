@@ -25,29 +25,33 @@ def catalog(chunks: DataFrame, chunk: str = "chunk_id", keys: str = "section_key
     return chunks.groupBy(chunk).agg(F.max(order).alias(order)), last.select("section", F.col(f"at.{order}").alias(order), "at.position")
 
 
-def canonical_role(role: Column, exact: dict[str, str] | None = None, rules=lexicon.ROLE_RULES) -> Column:
+def _first_rule(rules: list[tuple[Column, Column]], otherwise: Column) -> Column:
+    """The value of the first rule (condition, value) that holds."""
+    held = F.array_compact(F.array(*[F.when(condition, value) for condition, value in rules])) if rules else F.array().cast("array<string>")
+    return F.coalesce(F.get(held, F.lit(0)), otherwise)
+
+
+def canonical_role(role: Column, exact: dict[str, str] | None = None, contains=lexicon.ROLE_CONTAINS, rules=lexicon.ROLE_RULES) -> Column:
     """The canonical name of a role: exact names, then rules on what it contains, else the role itself."""
     role = F.trim(F.coalesce(role, F.lit("")))
     exact = lexicon.ROLE_EXACT | {"决策者": "最高决策者/组织负责人"} if exact is None else exact
-    named = F.lit(None).cast("string")
-    if exact:
-        named = F.get(F.filter(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in exact.items()]), lambda x: x["a"] == role), F.lit(0))["b"]
-    plain = ~role.contains("/")
-    found = F.when(role == "", "").when(named.isNotNull(), named).when(role.contains("叛将"), "一线负责人/关键执行者")
-    found = found.when(contains_any(role, ["庶兄", "宗室"]) & plain, "继承竞争者/内部挑战者").when(role.contains("将") & plain & (F.length(role) <= 4), "一线负责人/关键执行者")
-    for needles, canonical in rules:
-        found = found.when(reduce(lambda a, b: a & b, [role.contains(n) for n in needles]), canonical)
-    return found.otherwise(role)
-
-
-def modern_role(role: Column, stance: Column, markers=lexicon.ROLE_MARKERS, names=lexicon.ROLE_MAP) -> Column:
-    """The modern name of an ancient role; the first name that it contains decides, and the stance may move it."""
-    role, stance = F.trim(F.coalesce(role, F.lit(""))), F.coalesce(stance, F.lit(""))
+    table = [([name], [], [], len(name), to) for name, to in exact.items()] + list(contains) + [(list(needles), [], [], None, to) for needles, to in rules]
+    every = lambda words: reduce(lambda a, b: a & b, [role.contains(w) for w in words], F.lit(True))
+    held = [(every(all_of) & (contains_any(role, any_of) if any_of else F.lit(True)) & ~contains_any(role, none_of) & (F.length(role) <= (10**6 if most is None else most)), F.lit(to)) for all_of, any_of, none_of, most, to in table]
+    return _first_rule(held, role)
+
+
+def modern_role(role: Column, stance: Column, name: Column | None = None, markers=lexicon.ROLE_MARKERS, names=lexicon.ROLE_MAP, persons=lexicon.PERSON_ROLES, moves=lexicon.MOVED_ROLES) -> Column:
+    """The modern name of an ancient role: roles that are modern stay, then rules on the person, then the first ancient name that the role
+    contains; the role's or the stance's words may move that one."""
+    role, stance, name = F.trim(F.coalesce(role, F.lit(""))), F.coalesce(stance, F.lit("")), F.lit("") if name is None else F.coalesce(name, F.lit(""))
     pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in names])
     hit = F.get(F.filter(pairs, lambda x: F.contains(role, x["a"])), F.lit(0))["b"]
-    moved = F.when((hit == "一线负责人/关键执行者") & contains_any(stance, ["不满", "功"]), "资深功臣/不满者")
-    moved = moved.when((hit == "最高决策者/组织负责人") & (role.contains("对手") | contains_any(stance, ["压", "胁"])), "外部强势方/压力来源").otherwise(hit)
-    return F.when(role == "", "").when(contains_any(role, markers), role).otherwise(F.coalesce(moved, role))
+    told = lambda of_role, of_stance: contains_any(role, of_role) | contains_any(stance, of_stance)
+    held = [((role == "") | contains_any(role, markers), role)]
+    held += [((contains_any(name, who) | (contains_any(role, who) & F.lit(also_role))) & told(a, b), F.lit(to)) for who, also_role, a, b, to in persons]
+    held += [((hit == of) & told(a, b), F.lit(to)) for of, a, b, to in moves]
+    return _first_rule(held, F.coalesce(hit, role))
 
 
 def normalized_records(rows: DataFrame, texts: list[str], lists: list[str], defaults: dict[str, object]) -> DataFrame:

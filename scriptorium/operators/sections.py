@@ -5,9 +5,12 @@ Lines are rows with a document and an ordinal. Headings and section numbers are
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions import lexicon
 from scriptorium.functions.text import CJK_SENTENCE, SPACE, contains_any, normalized, numbered, text_or_empty
 
 from .tagging import modern_score, translation_like
@@ -51,49 +54,77 @@ def line_kind(text: Column) -> Column:
     )
 
 
-def carried(rows: DataFrame, doc: str, order: str, kind: Column, text: str, levels: list[str]) -> DataFrame:
-    """rows with one column per heading level, outermost first: the text of the last heading of that level, empty again after a heading
-    further out."""
+def carried(rows: DataFrame, doc: str, order: str | list[str], kind: Column, text: str, levels: list[str], reset: bool = True) -> DataFrame:
+    """rows with one column per heading level, outermost first: the text of the last heading of that level; if reset, empty again after a
+    heading further out."""
     rows = rows.withColumn("__kind", kind)
-    ahead = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    order = [order] if isinstance(order, str) else order
+    ahead = Window.partitionBy(doc).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     for i, level in enumerate(levels):
-        outer = F.col("__kind").isin(levels[:i]) if i else F.lit(False)
+        outer = F.col("__kind").isin(levels[:i]) if i and reset else F.lit(False)
         value = F.when(F.col("__kind") == level, F.col(text)).when(outer, F.lit(""))
         rows = rows.withColumn(level, F.coalesce(F.last(value, ignorenulls=True).over(ahead), F.lit("")))
     return rows.drop("__kind")
 
 
-def is_modern(text: Column) -> Column:
-    """More marks of modern than of classical prose, with the bonuses of dates and openings."""
-    plus = lambda condition, n: F.when(condition, n).otherwise(0)
-    opening = F.lit(False)
-    for start in ("周威烈王", "秦国", "魏惠王去世", "春季", "夏季", "秋季", "冬季", "当天", "当初", "这时", "此时"):
-        opening = opening | text.startswith(start)
-    score = modern_score(text) + plus(text.startswith("臣司马光曰"), 6) - plus(text.startswith("臣光曰"), 6) + plus(text.contains("公元"), 2)
-    score = score + plus(text.rlike(r"（[初十廿三一二四五六七八九\d]+日"), 3) + plus(text.rlike("（[^）]*公元[^）]*）"), 3) + plus(text.rlike("[一二三四五六七八九十]+日"), 1)
-    return score + plus(opening, 2) + plus((F.length(text) <= 16) & contains_any(text, ["去世", "开始", "再次", "任命", "降到"]), 2) > 0
+def is_modern(text: Column, bonuses=lexicon.MODERN_BONUSES, short: int = lexicon.MODERN_SHORT) -> Column:
+    """More marks of modern than of classical prose, with what the forms of a text add."""
+    any_of = lambda tests: reduce(lambda a, b: a | b, tests)
+    forms = {
+        "start": lambda words: any_of([text.startswith(w) for w in words]), "within": lambda words: contains_any(text, words), "match": lambda patterns: any_of([text.rlike(p) for p in patterns]),
+        "short": lambda words: (F.length(text) <= short) & contains_any(text, words),
+    }
+    return reduce(lambda score, b: score + F.when(forms[b[0]](b[1]), b[2]).otherwise(0), bonuses, modern_score(text)) > 0
 
 
-def parted(paragraphs: Column, numbered_section: Column) -> Column:
-    """struct(original, modern): the paragraphs of a section, each decided in the context of the ones before.
+_NUMBERED_TEXT = "struct<number:int,volume:string,chapter:string,year:string,line:int,original:array<string>,modern:array<string>,last:string>"
 
-    paragraphs: array of struct(text, numbered, modern, known); modern is is_modern, known says that the text is among the originals.
-    """
-    start = F.struct(F.array().cast("array<string>").alias("original"), F.array().cast("array<string>").alias("modern"), F.lit(None).cast("boolean").alias("last"))
 
-    def step(s: Column, p: Column) -> Column:
-        text, guess = p["text"], p["modern"]
-        empty = (F.size(s["original"]) == 0) & (F.size(s["modern"]) == 0)
-        waiting = (F.size(s["original"]) > 0) & (F.size(s["modern"]) == 0)
-        with_number = F.when(empty, F.lit(False)).when(waiting, ~text.startswith("臣光曰")).otherwise(guess)
-        after = F.when(s["last"].isNull(), guess).when(s["last"], guess).otherwise(guess | (F.length(text) > 14))
-        loose = F.when(text.startswith("臣司马光曰"), F.lit(True)).when(text.startswith("臣光曰"), F.lit(False)).otherwise(guess)
-        modern = F.when(p["known"], F.lit(False)).when(numbered_section & p["numbered"], with_number).when(numbered_section, after).otherwise(loose)
-        return F.struct(
-            F.when(modern, s["original"]).otherwise(F.concat(s["original"], F.array(text))).alias("original"), F.when(modern, F.concat(s["modern"], F.array(text))).otherwise(s["modern"]).alias("modern"), modern.alias("last")
-        )
+def parted(paragraphs: Column, originals: Column, rules=lexicon.PARAGRAPH_RULES) -> Column:
+    """Array of sections (number, titles, line, original, modern): the paragraphs of a stretch, each decided in the context of the ones before.
 
-    return F.aggregate(paragraphs, start, step, lambda s: F.struct(s["original"].alias("original"), s["modern"].alias("modern")))
+    paragraphs: array of struct(line, number, text, modern, known, soft, volume, chapter, year); modern is is_modern, known says that the text
+    is among the originals, soft that a heading stands before it that only repeats a title: there a section ends unless it still lacks
+    its modern text. originals: whether original paragraphs of the volume are known. The rules are a table, tried in order.
+    """
+    none = F.array().cast("array<string>")
+
+    def decided(s: Column, p: Column) -> Column:
+        holds = F.when((F.size(s["original"]) == 0) & (F.size(s["modern"]) == 0), "nothing").when(F.size(s["modern"]) == 0, "originals").otherwise("both")
+        extra = {
+            "known": p["known"], "originals": originals, "classical": p["text"].startswith(lexicon.CLASSICAL_OPENING), "modern opening": p["text"].startswith(lexicon.MODERN_OPENING),
+            "long": p["modern"] | (F.length(p["text"]) > lexicon.LONG_PARAGRAPH),
+        }
+        outcome = {"original": F.lit(False), "modern": F.lit(True), "guess": p["modern"]}
+        found = []
+        for section, paragraph, held, last, condition, result in rules:
+            tests = [F.lit(True)]
+            tests += [] if section is None else [s["number"].isNotNull() == F.lit(section)]
+            tests += [] if paragraph is None else [p["number"].isNotNull() == F.lit(paragraph)]
+            tests += [] if held is None else [holds == held]
+            tests += [] if last is None else [s["last"].eqNullSafe(F.lit(last))]
+            tests += [] if condition is None else [extra[condition]]
+            found.append(F.when(reduce(lambda a, b: a & b, tests), outcome[result]))
+        return F.get(F.array_compact(F.array(*found)), F.lit(0))
+
+    def added(s: Column, p: Column) -> Column:
+        put = lambda modern: F.struct(
+            *[s[c].alias(c) for c in ("number", "volume", "chapter", "year", "line")], F.when(modern, s["original"]).otherwise(F.concat(s["original"], F.array(p["text"]))).alias("original"),
+            F.when(modern, F.concat(s["modern"], F.array(p["text"]))).otherwise(s["modern"]).alias("modern"), F.when(modern, "modern").otherwise("original").alias("last"),
+        ).cast(_NUMBERED_TEXT)
+        return F.get(F.transform(F.array(decided(s, p)), put), F.lit(0))
+
+    def fresh(p: Column) -> Column:
+        return F.struct(p["number"].alias("number"), *[p[c].alias(c) for c in ("volume", "chapter", "year", "line")], none.alias("original"), none.alias("modern"), F.lit(None).cast("string").alias("last")).cast(_NUMBERED_TEXT)
+
+    def step(done: Column, p: Column) -> Column:
+        n = F.size(done)
+        current = F.get(done, n - 1)
+        lacks_modern = (F.size(current["original"]) > 0) & (F.size(current["modern"]) == 0)
+        goes_on = F.concat(F.slice(done, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(added(current, p)))
+        return F.when((n == 0) | (p["soft"] & ~lacks_modern), F.concat(done, F.array(added(fresh(p), p)))).otherwise(goes_on)
+
+    return F.aggregate(paragraphs, F.array().cast(f"array<{_NUMBERED_TEXT}>"), step)
 
 
 def recovered_pairs(parts: Column) -> Column:
@@ -115,34 +146,62 @@ def recovered_pairs(parts: Column) -> Column:
 def volume_sections(lines: DataFrame, originals: DataFrame | None = None, volume: str = "volume_no", order: str = "line", text: str = "text") -> DataFrame:
     """Sections of volume texts. lines: volume, order, text. originals: volume, text of the known original paragraphs.
 
-    A section opens at a new number, or at unnumbered text behind a heading, and closes at headings. Result: volume_no, section_key,
-    section_index, volume_title, chapter_title, year_title, original_text, white_text, pair_type.
+    Paragraphs are cut at [n] marks, and where an original and its translation stand in one. A section opens at a new number, or at unnumbered
+    text behind a heading, and closes at headings; a chapter or year heading that only repeats the head of the title before closes no
+    section that still lacks its modern text. Result: volume_no, section_key, section_index, volume_title, chapter_title, year_title,
+    original_text, white_text, pair_type. The lines of one volume meet in windows; those of one stretch between headings in one row.
     """
-    rows = lines.select(F.col(volume).alias("volume_no"), F.col(order).alias("line"), F.explode(split_numbered(normalized(F.col(text)))).alias("text"))
-    rows = rows.where(~is_noise(F.col("text")))
-    rows = rows.withColumn("kind", line_kind(F.col("text"))).withColumn("nb", number_and_body(F.col("text")))
+    rows = lines.select(F.col(volume).alias("volume_no"), F.col(order).alias("line"), F.posexplode(split_numbered(normalized(F.col(text)))).alias("place", "text")).where(~is_noise(F.col("text")))
     if originals is not None:
         known = originals.select(F.col(volume).alias("volume_no"), F.col("text"), F.lit(True).alias("known")).distinct()
-        rows = rows.join(known, ["volume_no", "text"], "left")
+        rows = _with_inline_pairs(rows, known)
+        there = known.select("volume_no", F.lit(True).alias("originals")).distinct()
+        rows = rows.join(known, ["volume_no", "text"], "left").join(there, "volume_no", "left")
     else:
-        rows = rows.withColumn("known", F.lit(None).cast("boolean"))
-    rows = carried(rows, "volume_no", "line", F.col("kind"), "text", ["volume", "chapter", "year"])
-    w = Window.partitionBy("volume_no").orderBy("line", F.col("nb.number"))
-    heading = F.col("kind") != "content"
-    rows = rows.withColumn("block", F.sum(heading.cast("int")).over(w))
-    number_before = F.last("nb.number", ignorenulls=True).over(Window.partitionBy("volume_no", "block").orderBy("line", F.col("nb.number")).rowsBetween(Window.unboundedPreceding, -1))
-    content_before = F.sum((~heading).cast("int")).over(Window.partitionBy("volume_no", "block").orderBy("line", F.col("nb.number")).rowsBetween(Window.unboundedPreceding, -1))
-    opens = ~heading & ((F.coalesce(content_before, F.lit(0)) == 0) | (F.col("nb.number").isNotNull() & ~F.col("nb.number").eqNullSafe(number_before)))
-    rows = rows.withColumn("opens", opens.cast("int")).withColumn("section", F.sum("opens").over(w)).where(~heading)
-    piece = F.struct("line", F.col("nb.body").alias("text"), F.col("nb.number").isNotNull().alias("numbered"), is_modern(F.col("nb.body")).alias("modern"), F.coalesce("known", F.lit(False)).alias("known"))
-    found = rows.groupBy("volume_no", "section").agg(F.min("nb.number").alias("section_index"), *[F.first(c).alias(f"{c}_title") for c in ("volume", "chapter", "year")], F.array_sort(F.collect_list(piece)).alias("pieces"))
-    found = found.withColumn("p", parted(F.col("pieces"), F.col("section_index").isNotNull()))
-    found = found.withColumn("p", F.when((F.size("p.original") == 0) & (F.size("p.modern") >= 2), recovered_pairs(F.col("p.modern"))).otherwise(F.col("p")))
-    found = found.withColumns({"original_text": F.array_join("p.original", " "), "white_text": F.array_join("p.modern", " ")})
+        rows = rows.withColumns({"known": F.lit(None).cast("boolean"), "originals": F.lit(None).cast("boolean"), "half": F.lit(0)})
+    rows = rows.withColumns({"kind": line_kind(F.col("text")), "nb": number_and_body(F.col("text")), "known": F.coalesce("known", F.lit(False)), "originals": F.coalesce("originals", F.lit(False))})
+    at = ["line", "place", "half"]
+    rows = carried(rows, "volume_no", at, F.col("kind"), "text", ["volume", "chapter", "year"], reset=False)
+    w = Window.partitionBy("volume_no").orderBy(*at)
+    head = lambda c: F.trim(F.substring_index(c, "（", 1))
+    repeats = [(F.col("kind") == level) & (F.lag(level).over(w) != "") & (head(F.lag(level).over(w)) != "") & (head(F.lag(level).over(w)) == head(F.col("text"))) for level in ("chapter", "year")]
+    rows = rows.withColumn("repeats", F.coalesce(repeats[0] | repeats[1], F.lit(False)))
+    rows = rows.withColumns({"block": F.sum(((F.col("kind") != "content") & ~F.col("repeats")).cast("int")).over(w), "headings": F.sum(F.col("repeats").cast("int")).over(w)}).where("kind = 'content'")
+    b = Window.partitionBy("volume_no", "block").orderBy(*at)
+    before = F.last("nb.number", ignorenulls=True).over(b.rowsBetween(Window.unboundedPreceding, -1))
+    opens = (F.row_number().over(b) == 1) | (F.col("nb.number").isNotNull() & ~F.col("nb.number").eqNullSafe(before))
+    rows = rows.withColumns({"stretch": F.sum(opens.cast("int")).over(b), "soft": F.coalesce(F.col("headings") > F.lag("headings").over(b), F.lit(False))})
+    piece = F.struct(*at, F.col("nb.number").alias("number"), F.col("nb.body").alias("text"), is_modern(F.col("nb.body")).alias("modern"), "known", "soft", "volume", "chapter", "year")
+    found = rows.groupBy("volume_no", "block", "stretch", "originals").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    found = found.select("volume_no", "block", "stretch", F.posexplode(parted(F.col("pieces"), F.col("originals"))).alias("part", "p"))
+    found = found.withColumn("section", F.row_number().over(Window.partitionBy("volume_no").orderBy("block", "stretch", "part")))
+    both = F.struct(F.col("p.original").alias("original"), F.col("p.modern").alias("modern"))
+    found = found.withColumn("t", F.when((F.size("p.original") == 0) & (F.size("p.modern") >= 2), recovered_pairs(F.col("p.modern"))).otherwise(both))
+    found = found.withColumns({"original_text": F.array_join("t.original", " "), "white_text": F.array_join("t.modern", " ")}).withColumns({f"{c}_title": F.col(f"p.{c}") for c in ("volume", "chapter", "year")})
     only_heading = (F.col("original_text") == "") & (F.col("white_text").isin(F.col("chapter_title"), F.col("year_title"), F.col("volume_title")) | (line_kind(F.col("white_text")) != "content"))
     pair = F.when((F.col("original_text") != "") & (F.col("white_text") != ""), "paired").when(F.col("original_text") != "", "original_only").otherwise("white_only")
     key = F.concat(F.lpad(F.col("volume_no").cast("string"), 3, "0"), numbered("-s", F.col("section"), 4))
-    return found.where(~only_heading).select("volume_no", key.alias("section_key"), "section_index", "volume_title", "chapter_title", "year_title", "original_text", "white_text", pair.alias("pair_type"))
+    return found.where(~only_heading).select("volume_no", key.alias("section_key"), F.col("p.number").alias("section_index"), "volume_title", "chapter_title", "year_title", "original_text", "white_text", pair.alias("pair_type"))
+
+
+def _with_inline_pairs(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows (volume_no, line, place, text) with paragraphs of an original and its translation cut in two (half 0 and 1).
+
+    Every cut at a blank is a candidate whose left part meets the known originals in an equality join; paragraphs that are originals
+    themselves, and those of volumes without originals, stay whole.
+    """
+    key = ["volume_no", "line", "place"]
+    cuts = F.filter(F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.when(F.substring("text", i, F.lit(1)) == " ", i)), lambda i: i.isNotNull())
+    cut = rows.where(F.contains("text", F.lit(" "))).select(*key, "text", F.explode(cuts).alias("at"))
+    cut = cut.select(*key, "at", F.col("text").alias("whole"), F.trim(F.left("text", F.col("at"))).alias("text"), F.trim(F.substring("text", F.col("at"), F.length("text"))).alias("right")).where("text <> '' and right <> ''")
+    told = cut.join(known, ["volume_no", "text"], "left").join(known.select("volume_no", F.col("text").alias("whole"), F.lit(True).alias("is_original")), ["volume_no", "whole"], "left")
+    told = told.join(known.select("volume_no", F.lit(True).alias("there")).distinct(), "volume_no").where("is_original is null")
+    sure = F.coalesce("known", F.lit(False)) & is_modern(F.col("right"))
+    likely = (F.col("text") == F.col("right")) | (F.right("text", F.lit(1)).isin(*"。！？；”’") & translation_like(F.col("right")))
+    best = told.groupBy(*key).agg(F.max(F.when(sure, F.struct("at", "text", "right"))).alias("sure"), F.min(F.when(likely, F.struct("at", "text", "right"))).alias("likely"))
+    best = best.select(*key, F.coalesce("sure", "likely").alias("pair")).where("pair is not null")
+    halves = F.when(F.col("pair").isNull(), F.array("text")).otherwise(F.array("pair.text", "pair.right"))
+    return rows.join(best, key, "left").select(*key, F.posexplode(halves).alias("half", "text"))
 
 
 def inline_pair(text: Column, is_original: Column) -> Column:
@@ -197,40 +256,58 @@ def flat_elements(html: Column, tags: list[str] = ["h1", "h2", "h3", "p", "block
     return F.filter(out, lambda e: e["text"] != "")
 
 
+BLOCKS = ("h1", "h2", "h3", "p", "blockquote")
+
+
 def parsed_elements(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """id, place, tag, text by a full HTML parser, page by page in the workers: nested and unclosed elements as browsers have them."""
+    """id, place, tag, text: the texts of the blocks of a page, in the order in which they end, page by page in the workers.
+
+    A page is a stream of events (begin, end, text). A begin of a heading or a paragraph ends an open heading or paragraph; a blockquote
+    may hold others. An end tag ends its block and all that is open within. What is open at the end of the page ends there. Text outside
+    of blocks, and in scripts and styles, is left out. Null html has no blocks; a very long page is one event stream.
+    """
     import pyarrow as pa
 
     def run(batches):
         from html.parser import HTMLParser
 
-        class Elements(HTMLParser):
-            targets = {"h1", "h2", "h3", "p", "blockquote"}
-
-            def __init__(self):
+        class Events(HTMLParser):
+            def __init__(self, emit):
                 super().__init__()
-                self.open, self.found = [], []
-
-            def handle_starttag(self, tag, attrs):
-                if tag in self.targets:
-                    self.open.append((tag, []))
-
-            def handle_data(self, data):
-                if self.open and data.strip():
-                    self.open[-1][1].append(" ".join(data.split()))
-
-            def handle_endtag(self, tag):
-                if self.open and self.open[-1][0] == tag:
-                    _, texts = self.open.pop()
-                    if texts:
-                        self.found.append((tag, " ".join(texts)))
+                self.handle_starttag = lambda tag, attrs: emit("begin", tag)
+                self.handle_endtag = lambda tag: emit("end", tag)
+                self.handle_data = lambda data: emit("text", data)
+
+        def blocks(html):
+            stack, done, hidden = [], [], set()
+
+            def close(down_to):
+                while len(stack) > down_to:
+                    tag, words = stack.pop()
+                    if words:
+                        done.append((tag, " ".join(words)))
+
+            def event(kind, what):
+                if kind == "text":
+                    if stack and not hidden:
+                        stack[-1][1].extend(what.split())
+                elif what in ("script", "style"):
+                    (hidden.add if kind == "begin" else hidden.discard)(what)
+                elif what in BLOCKS and kind == "begin":
+                    if stack and stack[-1][0] != "blockquote":
+                        close(len(stack) - 1)
+                    stack.append((what, []))
+                elif what in BLOCKS and any(tag == what for tag, _ in stack):
+                    close(max(n for n, (tag, _) in enumerate(stack) if tag == what))
+
+            parser = Events(event)
+            parser.feed(html)
+            parser.close()
+            close(0)
+            return done
 
         for batch in batches:
-            rows = []
-            for i, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parser = Elements()
-                parser.feed(html or "")
-                rows += [(i, n, tag, text) for n, (tag, text) in enumerate(parser.found)]
+            rows = [(i, n, tag, text) for i, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for n, (tag, text) in enumerate(blocks(html or ""))]
             columns = list(zip(*rows)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.string()))], names=["id", "place", "tag", "text"])
 

@@ -10,6 +10,7 @@ from scriptorium.functions import tokens as T
 from scriptorium.operators import audit, case_merging, chunking, intent, merging, ordering, report, retrieval, sections, tagging
 from scriptorium.sources import corpus, files
 
+from . import build
 from .catalogue import EVENTS, TOPICS, query, table
 
 FALLBACK = ["der", "los", "the"]
@@ -195,3 +196,25 @@ def sorted_keys(spark, sf_dir):
     none = rows.sparkSession.createDataFrame([], "key string, ordinal int")
     return corpus.sorted_by_catalog(rows, "doc_id", "keys", none, "key", ["ordinal"]).select("doc_id", F.array_join("keys", ",").alias("keys"))
 
+
+def _windows(size: int) -> str:
+    return f"""w{size} AS (SELECT conv_id, i, n::BIGINT AS size, 1 AS pack FROM t WHERE i = 1
+    UNION ALL SELECT t.conv_id, t.i, CASE WHEN f.size + t.n > {size} THEN t.n ELSE f.size + t.n END, CASE WHEN f.size + t.n > {size} THEN f.pack + 1 ELSE f.pack END FROM w{size} f JOIN t ON t.conv_id = f.conv_id AND t.i = f.i + 1)"""
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT conv_id, length(coalesce(text, '')) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations), {_windows(1000)}, {_windows(2000)}
+SELECT conv_id, 'w1000' AS mode, pack::INTEGER AS "window", min(i)::INTEGER AS first, max(i)::INTEGER AS last, max(size)::INTEGER AS chars FROM w1000 GROUP BY conv_id, pack
+UNION ALL SELECT conv_id, 'w2000', pack::INTEGER, min(i)::INTEGER, max(i)::INTEGER, max(size)::INTEGER FROM w2000 GROUP BY conv_id, pack
+UNION ALL SELECT conv_id, 'whole', 1, 1, count(*)::INTEGER, sum(n)::INTEGER FROM t GROUP BY conv_id""")
+def window_experiment(spark, sf_dir):
+    """Windows of two sizes and over whole conversations, in one table."""
+    return build.window_experiment(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", [1000, 2000])
+
+
+@query("""WITH d AS (SELECT source, doc_id, lang, coalesce(text, '') AS text, row_number() OVER w = 1 OR lang IS DISTINCT FROM lag(lang) OVER w AS changed FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+  l AS (SELECT source, doc_id, CASE WHEN changed AND coalesce(lang, '') <> '' THEN ['# ' || lang, text] ELSE [text] END AS lines FROM d)
+SELECT source, doc_id, (generate_subscripts(lines, 1) - 1)::INTEGER AS place, md5(unnest(lines)) AS line_md5 FROM l""")
+def changed_headings(spark, sf_dir):
+    """An export of the documents of a source in which the language stands only where it changes."""
+    rows = table(spark, sf_dir, "documents").withColumn("text", X.text_or_empty(F.col("text")))
+    return files.with_changed_headings(rows, "source", "doc_id", ["lang"], "text").select("source", "doc_id", "place", F.md5("line").alias("line_md5"))
