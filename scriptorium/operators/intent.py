@@ -46,6 +46,12 @@ def rewritten(text: Column, model_lines: Column | None = None, least: int = 4, m
     return F.array_distinct(F.concat(F.array(text), extra))
 
 
+def actors(text: Column, table=lexicon.ACTORS, asker: tuple[str, str, str, str] = lexicon.ASKER, goal: str = lexicon.ACTOR_GOAL, risk: str = lexicon.ACTOR_RISK) -> Column:
+    """Array of struct(name, role, goal, risk): the one who asks, then those whose words the question holds."""
+    person = lambda name, role, goal, risk: F.struct(F.lit(name).alias("name"), F.lit(role).alias("role"), F.lit(goal).alias("goal"), F.lit(risk).alias("risk"))
+    return F.array_compact(F.array(person(*asker), *[F.when(contains_any(text, words), person(name, role, goal, risk)) for name, words, role in table]))
+
+
 def conflicts(text: Column, scene: Column, table: dict[str, list[str]] = lexicon.CONFLICTS, most: int = 4) -> Column:
     """Conflicts of the scene, and those that words of the question name."""
     listed = F.lit(None).cast("array<string>")
@@ -68,4 +74,4 @@ def analyzed(questions: DataFrame, text: str = "text", vocabulary: dict[str, lis
     """questions with intent, scene, emotions, conflicts, constraints, summary and queries."""
     t = F.col(text)
     with_scene = questions.withColumns({"intent": rule_intent(t, vocabulary), "scene": best_group(t, scenes, default_scene), "emotions": groups(t, lexicon.EMOTIONS, 6)})
-    return with_scene.withColumns({"conflicts": conflicts(t, F.col("scene")), "constraints": constraints(t), "summary": shortened(F.trim(F.replace(t, F.lit("\n"), F.lit(" "))), 90), "queries": rewritten(t)})
+    return with_scene.withColumns({"conflicts": conflicts(t, F.col("scene")), "constraints": constraints(t), "actors": actors(t), "summary": shortened(F.trim(F.replace(t, F.lit("\n"), F.lit(" "))), 90), "queries": rewritten(t)})

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.functions import text as X
 from scriptorium.functions import tokens as T
-from scriptorium.operators import cases, retrieval
+from scriptorium.operators import cases, intent, retrieval, sections
 
-from .catalogue import _VECTORS, query, table
+from . import workflow
+from .catalogue import INTENT, MARKERS, _VECTORS, _any, query, table
 
 NAMES = {"detail": "detail", "tag": "tag", "role": "role", "view": "view", "kind": "kind", "sparse": "words", "pattern": "pattern", "title": "title", "dense": "meaning"}
 TERM_NOISE = ["that", "with", "the", "and"]
@@ -151,3 +153,65 @@ def search_with_fallback(spark, sf_dir):
     shared = retrieval.lexical_scores(tokens, docs.select("item_id", T.tokens(F.col("hay")).alias("tokens"), F.lit(0.0).alias("priority")))
     branches = [retrieval.ranked(whole, "query_id", "item_id", "score", 4), retrieval.ranked(shared.withColumn("score", F.col("overlap")), "query_id", "item_id", "score", 4)]
     return retrieval.first_with_hits([rows.select("query_id", "item_id") for rows in branches]).select("query_id", "item_id", "branch")
+
+
+def _look_up(name: str, texts: str, of: str) -> str:
+    return rf"""
+  {name}_tokens AS (SELECT doc_id AS item_id, unnest(list_distinct(regexp_extract_all(lower({texts}), '[\p{{L}}\p{{N}}_]+'))) AS token FROM cut WHERE {texts} <> ''),
+  {name}_sums AS (SELECT query_id, item_id, ln(1 + count(*)::DOUBLE) + least(4.5::DOUBLE, sum(CASE WHEN length(token) >= 3 THEN 1.35::DOUBLE WHEN length(token) = 2 THEN 0.9::DOUBLE ELSE 0 END)) + 0.5::DOUBLE * 0.35::DOUBLE AS score FROM asked JOIN {name}_tokens USING (token) WHERE intent = '{of}' GROUP BY query_id, item_id),
+  {name} AS (SELECT query_id, item_id::VARCHAR AS item, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, item_id) AS rank FROM {name}_sums QUALIFY rank <= 4)"""
+
+
+_ROUTES = rf"""WITH {_INDEX}, {_SPARSE}, {_DENSE_TEXT}, {_FUSED},
+  route AS (SELECT item_id AS query_id, text, CASE WHEN {_any(INTENT['out_of_scope'])} AND NOT {_any(INTENT['domain'])} THEN 'out_of_scope' WHEN {_any(INTENT['commentary'])} THEN 'commentary_lookup'
+    WHEN {_any(INTENT['analysis'])} OR {_any(INTENT['first_person'])} THEN 'analysis' WHEN {_any(INTENT['lookup'])} THEN 'factual_lookup' WHEN {_any(INTENT['factual'])} AND length(text) <= 36 THEN 'factual_lookup' ELSE 'analysis' END AS intent FROM benchmark),
+  asked AS (SELECT query_id, intent, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'))) AS token FROM route),
+  placed AS (SELECT doc_id, coalesce(text, '') AS text, least(nullif(strpos(text, 'Licensed'), 0), nullif(strpos(text, 'Released'), 0), nullif(strpos(text, 'All rights'), 0)) AS pos FROM documents),
+  cut AS (SELECT doc_id, trim(CASE WHEN pos IS NULL THEN text ELSE left(text, pos - 1) END, ' ') AS fact, CASE WHEN pos IS NULL THEN '' ELSE trim(substring(text, pos), ' ') END AS comment FROM placed),
+  {_look_up('facts', 'fact', 'factual_lookup')}, {_look_up('comments', 'comment', 'commentary_lookup')},
+  hits AS (SELECT query_id, case_id::VARCHAR AS item, rank FROM found JOIN route USING (query_id) WHERE rank <= 4 AND intent = 'analysis'),
+  answers AS (SELECT conv_id::VARCHAR AS item, conv_id || ':' || turn AS member, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'assistant'),
+  shown AS (SELECT query_id, member, row_number() OVER (PARTITION BY query_id ORDER BY rank, n) AS place FROM hits JOIN answers USING (item) WHERE n <= 2 QUALIFY place <= 6),
+  looked AS (SELECT * FROM facts UNION ALL SELECT * FROM comments),
+  items AS (SELECT query_id, string_agg(item, ',' ORDER BY rank) AS items FROM (SELECT * FROM looked UNION ALL SELECT * FROM hits) GROUP BY query_id),
+  evidence AS (SELECT query_id, string_agg(member, ',' ORDER BY place) AS evidence FROM (SELECT query_id, item AS member, rank AS place FROM looked UNION ALL SELECT * FROM shown) GROUP BY query_id)
+SELECT r.query_id, r.intent, coalesce(i.items, '') AS items, coalesce(e.evidence, '') AS evidence, r.intent = 'out_of_scope' OR e.evidence IS NOT NULL AS passed, CASE WHEN r.intent = 'out_of_scope' OR e.evidence IS NOT NULL THEN 1 ELSE 2 END AS attempts
+FROM route r LEFT JOIN items i USING (query_id) LEFT JOIN evidence e USING (query_id)"""
+
+
+@query(_ROUTES)
+def routed_answers(spark, sf_dir):
+    """Questions by intent to facts, to commentaries, to cases and their turns, or to nothing."""
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", T.tokens(F.lower("text")).alias("tokens"), intent.rule_intent(F.col("text"), INTENT).alias("intent"))
+    cut = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), sections.fact_and_comment(X.text_or_empty(F.col("text")), MARKERS).alias("c"))
+    corpora = {of: cut.where(F.col(f"c.{part}") != "").select("item_id", T.tokens(F.lower(f"c.{part}")).alias("tokens"), F.lit(0.5).alias("priority")) for of, part in (("factual_lookup", "fact"), ("commentary_lookup", "comment"))}
+    hits = retrieval.reranked(cases.fused({"sparse": _sparse(spark, sf_dir), "dense": _dense(spark, sf_dir)}, limit=4), None)
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    listed = F.transform(F.array_sort(F.collect_list("turn")), lambda t: F.concat(F.col("item_id").cast("string"), F.lit(":"), t.cast("string")))
+    members = turns.groupBy(F.col("conv_id").alias("item_id")).agg(listed.alias("members"))  # the answers of one conversation
+    found = workflow.routed(questions, corpora, hits, members)
+    return found.select("query_id", "intent", F.array_join("items", ",").alias("items"), F.array_join("evidence", ",").alias("evidence"), "passed", "attempts")
+
+
+_PEOPLE = [("chief", ["der", "the"], "judge"), ("peer", ["con", "les"], "partner"), ("team", ["und"], "doer")]
+
+
+@query("SELECT item_id, 'me:asker' || " + " || ".join(f"CASE WHEN {_any(words)} THEN ',{name}:{role}' ELSE '' END" for name, words, role in _PEOPLE) + " AS actors FROM benchmark")
+def question_actors(spark, sf_dir):
+    """Who a question may be about."""
+    found = intent.actors(F.col("text"), _PEOPLE, ("me", "asker", "goal", "risk"), "goal", "risk")
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.transform(found, lambda a: F.concat(a["name"], F.lit(":"), a["role"])), ",").alias("actors"))
+
+
+_RULES = [(["power", "trust"], ["the", "les"], "power text"), (["team"], ["und"], "team text")]
+
+
+@query("""WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'power' WHEN 1 THEN 'team' ELSE 'exit' END AS scene, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, CASE WHEN scene = 'power' AND (contains(text, 'the') OR contains(text, 'les')) THEN 'power text' WHEN scene = 'team' AND contains(text, 'und') THEN 'team text' ELSE 'other' END AS reason,
+  CASE WHEN text <> '' THEN CASE WHEN length(text) > 220 THEN left(text, 217) || '...' ELSE text END ELSE 'none' END AS answer FROM d""")
+def mapping_reasons(spark, sf_dir):
+    """Why a text bears on a scene, by rules on its topics, and the short answer of a look-up."""
+    docs = table(spark, sf_dir, "documents").withColumn("text", X.text_or_empty(F.col("text")))
+    scene = F.when(F.col("doc_id") % 3 == 0, "power").when(F.col("doc_id") % 3 == 1, "team").otherwise("exit")
+    topics = X.words_in(F.col("text"), ["the", "les", "und"])
+    return docs.select("doc_id", cases.mapping_reason(scene, topics, _RULES, "other").alias("reason"), cases.lookup_answer(F.filter(F.array("text"), lambda t: t != ""), "none").alias("answer"))

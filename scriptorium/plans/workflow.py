@@ -35,3 +35,31 @@ def answered(questions: DataFrame, cases: DataFrame, members: DataFrame, limit:
     notes = report.checks(F.col("evidence"), F.coalesce(names, empty), F.col("diagram"))
     out = out.withColumn("notes", F.when(F.col("intent") == "out_of_scope", empty).otherwise(notes)).withColumn("passed", F.size("notes") == 0)
     return out.select("query_id", "intent", "scene", "queries", "conflicts", "constraints", "cases", "evidence", "diagram", "notes", "passed")
+
+
+def routed(questions: DataFrame, look_ups: dict[str, DataFrame], case_hits: DataFrame, members: DataFrame, limit: int = 4, per_item: int = 2, in_all: int = 6, attempts: int = 2) -> DataFrame:
+    """query_id, intent, items, evidence, passed and attempts: each question answered by the branch that its intent names.
+
+    questions: query_id, text, tokens, intent. look_ups: corpora (item_id, tokens, priority) by the intent of the questions that look something
+    up in them; their hits are the evidence themselves. Questions of intent `analysis` take case_hits (query_id, case_id, score, rank) and
+    expand them to members (item_id, members). Others, out of scope, retrieve nothing and pass. An answer without evidence does not
+    pass, and is attempted again, `attempts` times in all.
+    """
+    found = []
+    for of, corpus in look_ups.items():
+        asked = questions.where(F.col("intent") == of).select("query_id", "tokens")
+        best = retrieval.ranked(retrieval.lexical_scores(asked, corpus), "query_id", "item_id", "score", limit)
+        found.append(best.select("query_id", F.col("item_id").cast("string").alias("item"), "rank", F.col("item_id").cast("string").alias("member"), F.col("rank").alias("place")))
+    cases_of = case_hits.join(questions.where("intent = 'analysis'").select("query_id"), "query_id").where(F.col("rank") <= limit).select("query_id", F.col("case_id").alias("item_id"), "score", "rank")
+    shown = retrieval.expanded(cases_of, members, per_item=per_item, in_all=in_all)
+    found.append(cases_of.select("query_id", F.col("item_id").cast("string").alias("item"), "rank", F.lit(None).cast("string").alias("member"), F.lit(None).cast("int").alias("place")))
+    found.append(shown.select("query_id", F.lit(None).cast("string").alias("item"), F.lit(None).cast("int").alias("rank"), "member", F.col("place").cast("int").alias("place")))
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
+    listed = lambda order, value: F.transform(F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(order, value)))), lambda x: x[value])  # noqa: E731  a few rows a question
+    lists = every.groupBy("query_id").agg(listed("rank", "item").alias("items"), listed("place", "member").alias("evidence"))
+    none = F.array().cast("array<string>")
+    out = questions.select("query_id", "intent").join(lists, "query_id", "left").withColumns({"items": F.coalesce("items", none), "evidence": F.coalesce("evidence", none)})
+    out = out.withColumn("passed", ~F.col("intent").isin("analysis", *look_ups) | (F.size("evidence") > 0))
+    return out.withColumn("attempts", F.when(F.col("passed"), 1).otherwise(attempts))
