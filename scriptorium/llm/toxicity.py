@@ -15,6 +15,13 @@ characters, chosen by a hash of the id, whatever the size of the tables; only th
 70 KB) go to the executors with the function, and scoring is a map over whole texts. Workers remember the distances of
 up to MEMO_WORDS words.
 
+Ties. A score does not depend on other rows, so equal texts have equal scores. A very long text is one array of word distances. A column
+of the input named like the added one is replaced. Empty table: no rows.
+
+What this departs from. Windows of several words of plain text, in UTF-8, UTF-16 or UTF-32, with dictionaries of 100 kB to 12 MB and five
+settings of the compressor, told toxic from ordinary documents with an area under the curve of 0.54 to 0.81 only: one short word among
+hundreds saves fewer bytes than ordinary windows differ by. So windows are words, coded as above, and the toxic text is reduced first.
+
 Edge cases. Null or empty text: the score of a text without words. No toxic or no ordinary document to learn from:
 score 0 for all. Labels that are null, or repeated for one id, take part as they are. A null id is never learned from and
 is not held out.
@@ -59,15 +66,13 @@ def letters(word: str) -> bytes:
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """A trained dictionary; where there is too little to train on, the samples themselves."""
+    """A trained dictionary; where the trainer finds too little to work on, the samples themselves."""
     import zstandard
 
-    if sum(map(len, samples)) > 4 * size:
-        try:
-            return zstandard.train_dictionary(size, samples).as_bytes()
-        except zstandard.ZstdError:
-            pass
-    return b"".join(samples)[-size:]
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)
 
 
 _memos: dict[int, dict[str, int]] = {}
@@ -121,19 +126,20 @@ class ToxicityModel:
 
 
 def _contexts(texts: list[list[str]], only: set[str] | None) -> dict[str, int]:
-    """Beginnings of 3 to 12 letters, and whole words with a blank, with the number of distinct words before them."""
+    """Beginnings of 3 letters and more, and whole words with a blank, with the number of distinct words before them."""
     seen: dict[str, set[int]] = defaultdict(set)
     for text in texts:
         for before, word in set(zip([""] + text, text)):
             h = hash(before)
-            for part in [word[:k] for k in range(3, min(12, len(word)) + 1)] + [word + " "]:
+            for part in [word[:k] for k in range(3, len(word) + 1)] + [word + " "]:
                 if only is None or part in only:
                     seen[part].add(h)
     return {part: len(found) for part, found in seen.items()}
 
 
-def fit(rows: list[tuple[int, str, int]], toxic_size: int = 8192, ordinary_size: int = 65536, seed: int = 5) -> ToxicityModel:
-    """A model from (id, text, toxic) rows: two thirds train the dictionaries, one third calibrates."""
+def fit(rows: list[tuple[int, str, int]], toxic_size: int = 8192, ordinary_size: int = 65536, ordinary_samples: int = 30_000, seed: int = 5) -> ToxicityModel:
+    """A model from (id, text, toxic) rows: two thirds train the dictionaries (the ordinary one on ordinary_samples stretches of 30 words, drawn
+    at random), one third calibrates."""
     rows = sorted((r[0], words(r[1]), r[2], r[1]) for r in rows)
     learn = [r for r in rows if zlib.crc32(b"fold%d" % r[0]) % 3]
     check = [r for r in rows if not zlib.crc32(b"fold%d" % r[0]) % 3]
@@ -148,7 +154,7 @@ def fit(rows: list[tuple[int, str, int]], toxic_size: int = 8192, ordinary_size:
     def beginning(word: str) -> bytes:
         if word + " " in telling:
             return letters(word)
-        size = max((k for k in range(3, min(12, len(word)) + 1) if word[:k] in telling), default=0)
+        size = max((k for k in range(3, len(word) + 1) if word[:k] in telling), default=0)
         return letters(word)[: 4 * (size + 1)] if size else b""
 
     foul_samples = [x for x in (b"".join(map(beginning, text)) for text in foul) if x]
@@ -156,7 +162,7 @@ def fit(rows: list[tuple[int, str, int]], toxic_size: int = 8192, ordinary_size:
         return ToxicityModel()
     plain_samples = [b"".join(map(letters, text[i : i + 30])) for text in plain for i in range(0, len(text), 30)]
     random.Random(seed).shuffle(plain_samples)
-    model = ToxicityModel(_dictionary(foul_samples * 2, toxic_size), _dictionary(plain_samples[:30_000], ordinary_size))
+    model = ToxicityModel(_dictionary(foul_samples * 2, toxic_size), _dictionary(plain_samples[:ordinary_samples], ordinary_size))
     x, y = np.array([model.features(r[3]) for r in check]), np.array([r[2] for r in check])
     w = np.zeros(x.shape[1])
     for _ in range(50):  # Newton steps of a ridge logistic regression
