@@ -2,8 +2,9 @@
 
 A multinomial logistic regression over binary word 1- and 2-grams with an L1 penalty (so most weights are zero) tells the
 licence family of a paragraph, or that it is none. It is trained on the notices below, each varied by dropping words, and on
-at most about `negatives` paragraphs of the corpus without a licence cue. A held-out part calibrates the unknown class: the
-least probability from which `precision` of the calibration paragraphs are right. A prediction is confirmed by comparison with
+at most about `negatives` paragraphs of the corpus without a licence cue. The unknown class is calibrated on notices that a first
+model has not seen in any form, and on corpus paragraphs it has not seen: the least probability from which `precision` of the
+predictions that the seen notices confirm are right. A prediction is confirmed by comparison with
 the notices of its family: the share of the smaller bigram set that both have must reach `overlap`.
 
 A paragraph is a line, and so is every run of two lines or more that may belong to one notice: hard-wrapped notices are judged
@@ -14,7 +15,8 @@ Scale. Every line is cut into grams, and its weights are added up in place. Line
 cue or share three word pairs (a short line: all) with the notices (to complete wrapped ones) go on; each different paragraph of them is scored once: its grams meet the weights (at most `vocabulary` rows, sent to all executors)
 and their sums are aggregated by paragraph. No Python runs on the executors; fitting is Spark's own, on a bounded sample.
 
-Edge cases. Null or empty text has no paragraphs; a blank line ends a run. Paragraphs predicted other than none but not
+Edge cases. Null or empty text has no paragraphs; a blank line ends a run. Of equally probable families the first by name is predicted.
+A very long text is one array of lines. Paragraphs predicted other than none but not
 confirmed, and cues without a known family, are reported with family null (unknown). Repeated rows are reported as often as they occur. Empty table: no rows. Further columns are ignored.
 """
 
@@ -63,6 +65,12 @@ def _words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", text.lower())
 
 
+def _pairs(text: str) -> set[str]:
+    """bigrams() of a text."""
+    w = _words(text)
+    return {" ".join(p) for p in zip(w, w[1:])}
+
+
 def bigrams(w: Column) -> Column:
     follow = F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0)))
     return F.slice(F.zip_with(w, follow, lambda a, b: F.concat_ws(" ", a, b)), F.lit(1), F.greatest(F.size(w) - 1, F.lit(0)))
@@ -111,10 +119,10 @@ def _variants(spark: SparkSession, copies: int) -> DataFrame:
     rows = [(t, f) for f, ts in NOTICES.items() for t in ts] + [(t, NONE) for t in OTHERS]
     base = spark.createDataFrame(rows, "paragraph string, family string").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies))))
     kept = F.filter(F.split("paragraph", " "), lambda w, i: (F.col("copy") == 0) | (F.pmod(F.xxhash64(w, i, F.col("copy")), F.lit(100)) >= 12))
-    return base.select(F.array_join(kept, " ").alias("paragraph"), "family", F.pmod(F.xxhash64("paragraph", "copy"), F.lit(4)).alias("fold"))
+    return base.select(F.array_join(kept, " ").alias("paragraph"), "family", F.pmod(F.xxhash64("paragraph"), F.lit(4)).alias("fold"))  # all forms of a notice are in one fold
 
 
-def train(docs: DataFrame, text_col: str = "text", negatives: int = 4000, vocabulary: int = 4096, copies: int = 24, precision: float = 0.99) -> LicenseModel:
+def train(docs: DataFrame, text_col: str = "text", negatives: int = 4000, vocabulary: int = 4096, copies: int = 24, precision: float = 0.99, overlap: float = 0.5) -> LicenseModel:
     """Fit on the notices and on about `negatives` paragraphs of the corpus without a cue (one line of a sampled document)."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizer
@@ -127,17 +135,27 @@ def train(docs: DataFrame, text_col: str = "text", negatives: int = 4000, vocabu
     families = sorted([*NOTICES, NONE])
     number = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")).cast("double") - 1
     vector = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=vocabulary, minDF=3, binary=True).fit(rows)
-    ready = vector.transform(rows.where("fold > 0").withColumn("label", number)).select("label", "features")
-    fitted = LogisticRegression(maxIter=40, regParam=0.001, elasticNetParam=1.0, family="multinomial", standardization=False).fit(ready)
-    matrix = fitted.coefficientMatrix.toArray()
-    weights = [(gram, [float(x) for x in matrix[:, i]]) for i, gram in enumerate(vector.vocabulary) if matrix[:, i].any()]
-    model = LicenseModel(families, [float(x) for x in fitted.interceptVector], weights, 0.5)
-    # Calibration: at most some thousand paragraphs that were not trained on.
+    ready = durable(vector.transform(rows.withColumn("label", number)).select("fold", "label", "features"))
+
+    def fitted(on: DataFrame) -> LicenseModel:
+        found = LogisticRegression(maxIter=40, regParam=0.001, elasticNetParam=1.0, family="multinomial", standardization=False).fit(on)
+        matrix = found.coefficientMatrix.toArray()
+        place = {int(label): i for i, label in enumerate(range(matrix.shape[0]))}
+        weights = [(gram, [float(matrix[place[n], i]) if n in place else 0.0 for n in range(len(families))]) for i, gram in enumerate(vector.vocabulary) if matrix[:, i].any()]
+        return LicenseModel(families, [float(found.interceptVector[n]) if n in place else -1e9 for n in range(len(families))], weights, 0.5)
+
+    model = fitted(ready)
+    # Calibration: at most some thousand paragraphs that the first model was not trained on, as far as the notices it has seen confirm them.
     check = rows.where("fold = 0").select("paragraph", "family").distinct()
-    seen = check.join(model.scored(check.select("paragraph").distinct()), "paragraph").where(F.col("predicted") != NONE).select("probability", (F.col("predicted") == F.col("family")).cast("int").alias("right")).collect()
+    told = fitted(ready.where("fold > 0")).scored(check.select("paragraph").distinct())
+    seen = check.join(told, "paragraph").where(F.col("predicted") != NONE).collect()
+    known: dict[str, list[set]] = {}
+    for r in _variants(docs.sparkSession, 0).where("fold > 0").collect():
+        known.setdefault(r["family"], []).append(_pairs(r["paragraph"]))
+    like = lambda mine, of: max((len(mine & t) / max(1, min(len(mine), len(t))) for t in known.get(of, [])), default=0.0)
     right = total = 0
-    for r in sorted(seen, key=lambda r: -r["probability"]):
-        right, total = right + r["right"], total + 1
+    for r in sorted((r for r in seen if like(_pairs(r["paragraph"]), r["predicted"]) >= overlap), key=lambda r: -r["probability"]):
+        right, total = right + (r["predicted"] == r["family"]), total + 1
         if right >= precision * total:
             model.least = min(0.95, r["probability"])
     return model

@@ -1,5 +1,6 @@
-"""Licence notices without a cue word, in short forms and hard-wrapped."""
+"""Licence notices without a cue word, in short forms and hard-wrapped; scores against plain sums of weights."""
 
+import math
 import random
 
 from scriptorium.llm import licenses
@@ -24,3 +25,26 @@ def test_notices_without_cue_and_wrapped_ones(spark):
     assert [(r["line"], r["paragraph"], r["family"]) for r in found if r["doc_id"] == 200] == [(1, WRAPPED, "LGPL")]
     assert {x for x in got if x[0] == 201} == {(201, 0, "MIT"), (201, 1, "Apache-2.0")}
     assert not [x for x in got if x[0] < 100]
+
+
+def test_scores_are_plain_sums_of_weights(spark):
+    rng = random.Random(6)
+    prose = lambda: " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) for _ in range(20))
+    model = licenses.train(spark.createDataFrame([(i, prose()) for i in range(80)], "doc_id long, text string"))
+    weights = dict(model.weights)
+    texts = [notice for notice, _ in SHORT] + [WRAPPED, prose(), "licensed", "", "MIT MIT MIT", "under the terms of the Public License"]
+    rows = spark.createDataFrame([(t,) for t in texts], "paragraph string")
+    found = {r["paragraph"]: r for r in model.scored(rows).collect()}
+    direct = {r["paragraph"]: r["other"] for r in rows.select("paragraph", model.other_than_none(licenses.words(rows.paragraph), licenses.bigrams(licenses.words(rows.paragraph))).alias("other")).collect()}
+    assert len(found) == len(texts)
+    for text in texts:
+        words = licenses._words(text)
+        grams = set(words) | {" ".join(p) for p in zip(words, words[1:])}
+        margins = [b + sum(weights[g][i] for g in grams if g in weights) for i, b in enumerate(model.intercepts)]
+        top = max(margins)
+        assert abs(found[text]["probability"] - 1 / sum(math.exp(m - top) for m in margins)) < 1e-9
+        assert margins[model.families.index(found[text]["predicted"])] >= top - 1e-9
+        assert direct[text] == (top > margins[model.families.index(licenses.NONE)])
+    assert 0 < model.least <= 0.95 and licenses.scan(spark.createDataFrame([], "doc_id long, text string, `row` string, line string, `run` string"), model).count() == 0
+    clash = spark.createDataFrame([(1, "Released under the MIT License.", "a", "b", "c"), (2, None, "a", "b", "c")], "doc_id long, text string, `row` string, line string, `run` string")
+    assert [(r["doc_id"], r["family"]) for r in licenses.scan(clash, model).collect()] == [(1, "MIT")]
