@@ -20,7 +20,7 @@ from scriptorium.functions import lexicon
 from scriptorium.functions import tokens as T
 from scriptorium.functions.text import compact, shortened, text_or_empty
 
-from .retrieval import ranked, small_side
+from .retrieval import ranked, small_side, spread
 
 DEFAULT_PRIORITY = 0.5
 #: Bonus of a long and of a short exact term, their cap, and the weight of the priority, by branch.
@@ -81,7 +81,7 @@ def _fields(named: dict[str, Column], otherwise: str) -> Column:
 def sparse_hits(questions: DataFrame, index: DataFrame, limit: int, names: dict[str, str] = lexicon.FIELD_NAMES, template: str = lexicon.REASON) -> DataFrame:
     """query_id, case_id, score, terms, fields, reason and rank: the `limit` best cases by tokens, terms, tags, roles, views, kind and priority."""
     long, short, cap, weight = SPARSE
-    rows = index.crossJoin(small_side(questions.withColumnRenamed("text", "question")))
+    rows = spread(index, "case_id").crossJoin(small_side(questions.withColumnRenamed("text", "question")))
     question, terms = F.col("question"), F.col("terms")
     viewed = F.filter("views", lambda v: _any_term(terms, v))
     of_kind = (F.col("kind") != "") & F.contains(question, F.col("kind"))
@@ -99,7 +99,7 @@ def sparse_hits(questions: DataFrame, index: DataFrame, limit: int, names: dict[
 def dense_text_hits(questions: DataFrame, index: DataFrame, limit: int, names: dict[str, str] = lexicon.FIELD_NAMES, template: str = lexicon.REASON) -> DataFrame:
     """As sparse_hits, over the dense text: what stands in for a vector search where there is none."""
     long, short, cap, weight = DENSE
-    rows = index.crossJoin(small_side(questions.withColumnRenamed("text", "question")))
+    rows = spread(index, "case_id").crossJoin(small_side(questions.withColumnRenamed("text", "question")))
     terms = F.col("terms")
     phrase = _any_term(F.filter(terms, lambda t: F.length(t) >= LONG_TERM), F.col("dense_text"))
     score = F.log1p(F.size(F.array_intersect("tokens", "dense_tokens")).cast("double")) + term_bonus(terms, F.col("dense_compact"), long, short, cap) + F.when(phrase, PHRASE).otherwise(0.0) + F.col("priority") * weight

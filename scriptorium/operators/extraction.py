@@ -79,3 +79,13 @@ def chunk_outcomes(rows: DataFrame, accepted: DataFrame, chunk: str = "chunk_id"
     counts = accepted.groupBy(chunk).agg(F.count("*").alias("cases_accepted"))
     out = parsed.select(chunk, F.greatest(F.coalesce(F.size("__p.cases"), F.lit(0)), F.lit(0)).alias("cases_returned"), F.coalesce(unique_filled(F.col("__p.global_notes")), F.array().cast("array<string>")).alias("global_notes"), F.col("__p").isNotNull().alias("ok"))
     return out.join(counts, chunk, "left").withColumn("cases_accepted", F.coalesce("cases_accepted", F.lit(0)))
+
+
+def question_rows(cases: DataFrame, model: Callable[[list[str]], list[str]], template: str, n: int = 300, seed: int = 42, case: str = "case_id") -> DataFrame:
+    """query, expected_id, expected_title, case_type: questions that a model asks about a sample of cases (case, title, summary, case_type), each of its
+    lines one; cases for which the model fails give none."""
+    from .audit import sampled
+
+    asked = prompts(sampled(cases, case, n, seed), template, {"title": F.col("title"), "summary": F.col("summary")})
+    lines = F.filter(F.transform(F.split(text_or_empty(F.col("answer")), "\n"), lambda s: F.trim(F.regexp_replace(s, r"^\s*(?:[-*]|\d+[.、)])\s*", ""))), lambda s: s != "")
+    return answered(asked, model).select(F.explode(lines).alias("query"), F.col(case).alias("expected_id"), F.col("title").alias("expected_title"), "case_type")

@@ -26,6 +26,12 @@ def small_side(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt by a key to at least as many tasks as there are cores: what follows costs far more time than its bytes suggest."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def ranked(scores: DataFrame, query: str, item: str, score: str, limit: int) -> DataFrame:
     """The `limit` best items of each query: highest score, then smallest item."""
     place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc(score), F.asc(item)))
@@ -34,21 +40,26 @@ def ranked(scores: DataFrame, query: str, item: str, score: str, limit: int) ->
 
 def lexical_scores(
     queries: DataFrame, corpus: DataFrame, query: str = "query_id", item: str = "item_id", long_bonus: float = 1.35, short_bonus: float = 0.9, cap: float = 4.5,
-    priority_weight: float = 0.35, digits: int = 4, noise: Iterable[str] = (),
+    priority_weight: float = 0.35, digits: int = 4, noise: Iterable[str] = (), tag_weight: float = 0.25,
 ) -> DataFrame:
     """query, item, overlap and score = ln(1 + overlap) + capped bonus of exact terms + priority.
 
     queries: query, tokens (array). corpus: item, tokens (array), priority. A shared token of at least two characters that is no
-    noise is an exact term; it counts long_bonus from three characters on, else short_bonus.
+    noise is an exact term; it counts long_bonus from three characters on, else short_bonus. Where the corpus has tags (array) and the queries have a text, each tag that
+    the text contains adds tag_weight.
     """
     asked = queries.select(F.col(query), F.explode("tokens").alias("token"))
     # Once dealt by item, the token join and the sums per (question, item) need no further shuffle.
-    held = corpus.select(F.col(item), "priority", "tokens").repartition(item).select(item, "priority", F.explode("tokens").alias("token"))
+    tagged = ["tags"] if "tags" in corpus.columns and "text" in queries.columns else []
+    held = spread(corpus.select(F.col(item), "priority", "tokens", *tagged), item).select(item, "priority", *tagged, F.explode("tokens").alias("token"))
     worth = F.when(F.length("token") >= 3, long_bonus).when(F.length("token") == 2, short_bonus).otherwise(0.0)
     if noise := list(noise):
         worth = F.when(F.col("token").isin(noise), 0.0).otherwise(worth)
-    shared = held.join(small_side(asked), "token").groupBy(query, item).agg(F.count("*").alias("overlap"), F.sum(worth).alias("bonus"), F.first("priority").alias("priority"))
+    shared = held.join(small_side(asked), "token").groupBy(query, item).agg(F.count("*").alias("overlap"), F.sum(worth).alias("bonus"), F.first("priority").alias("priority"), *[F.first("tags").alias("tags") for _ in tagged])
     score = F.log1p(F.col("overlap").cast("double")) + F.least(F.lit(cap), "bonus") + F.col("priority") * priority_weight
+    if tagged:
+        shared = shared.join(small_side(queries.select(query, F.col("text").alias("__text"))), query)
+        score = score + tag_bonus(F.col("tags"), F.col("__text"), tag_weight)
     return shared.select(query, item, "overlap", F.round(score, digits).alias("score"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as X
 from scriptorium.functions import tokens as T
-from scriptorium.operators import cases, intent, retrieval, sections
+from scriptorium.operators import case_merging, cases, intent, retrieval, sections
 
 from . import workflow
 from .catalogue import INTENT, MARKERS, _VECTORS, _any, query, table
@@ -215,3 +215,29 @@ def mapping_reasons(spark, sf_dir):
     scene = F.when(F.col("doc_id") % 3 == 0, "power").when(F.col("doc_id") % 3 == 1, "team").otherwise("exit")
     topics = X.words_in(F.col("text"), ["the", "les", "und"])
     return docs.select("doc_id", cases.mapping_reason(scene, topics, _RULES, "other").alias("reason"), cases.lookup_answer(F.filter(F.array("text"), lambda t: t != ""), "none").alias("answer"))
+
+
+@query(r"""WITH q AS (SELECT item_id AS query_id, text, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS token FROM benchmark),
+  d AS (SELECT doc_id AS item_id, lang, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS token FROM documents),
+  s AS (SELECT query_id, item_id, count(*) AS overlap, sum(CASE WHEN length(token) >= 3 THEN 1.35::DOUBLE WHEN length(token) = 2 THEN 0.9::DOUBLE ELSE 0 END) AS bonus, any_value(q.text) AS text, any_value(lang) AS lang FROM q JOIN d USING (token) GROUP BY query_id, item_id),
+  r AS (SELECT query_id, item_id, overlap, round(ln(1 + overlap::DOUBLE) + least(4.5::DOUBLE, bonus) + 0.9::DOUBLE * 0.35::DOUBLE + CASE WHEN lang <> '' AND contains(text, lang) THEN 0.25::DOUBLE ELSE 0 END, 4) AS score FROM s)
+SELECT query_id, item_id, overlap, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INTEGER AS rank FROM r QUALIFY rank <= 4""")
+def tagged_topk(spark, sf_dir):
+    """The best documents by tokens, exact terms, priority and the tags (here the language) that a question names."""
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", T.tokens(F.lower("text")).alias("tokens"))
+    corpus = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), T.tokens(F.lower("text")).alias("tokens"), F.lit(0.9).alias("priority"), F.array_compact(F.array("lang")).alias("tags"))
+    return retrieval.ranked(retrieval.lexical_scores(questions, corpus), "query_id", "item_id", "score", 4)
+
+
+@query()
+def merged_cases(spark, sf_dir):
+    """Documents as cases (title: first sentence; sections: groups of eight; books: languages), exact and near duplicates merged."""
+    docs = table(spark, sf_dir, "documents").withColumn("text", X.text_or_empty(F.col("text")))
+    name = lambda c: F.lpad(c.cast("string"), 12, "0")
+    rows = docs.select(
+        name(F.col("doc_id")).alias("case_id"), F.coalesce("lang", F.lit("")).alias("book"), F.lit("").alias("actor"), F.lit("").alias("kind"), F.coalesce(F.get(X.sentences(F.col("text")), F.lit(0)), F.lit("")).alias("title"), F.lit("").alias("conflict"),
+        F.lit("").alias("pattern"), F.col("text").alias("summary"), F.array(name(F.floor(F.col("doc_id") / 8))).alias("sections"), F.array(name(F.col("doc_id"))).alias("chunks"), F.array_compact(F.array("source")).alias("tags"), (F.col("n_chars") % 7 / 10).alias("score"),
+        F.lit(0.85).alias("priority"), F.col("doc_id").alias("ordinal"), F.lit(0).alias("position"),
+    )
+    found = case_merging.merged_cases(rows, ["book"])
+    return found.select("book", "case_id", "merged", F.size("sections").alias("n_sections"), F.array_join("chunks", ",").alias("chunks"), F.array_join(F.array_sort("tags"), ",").alias("tags"), "score", F.md5("summary").alias("summary_md5"))

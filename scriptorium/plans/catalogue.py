@@ -445,7 +445,13 @@ def star_revenue(spark, sf_dir):
     return rows.groupBy(F.col("n_name").alias("nation")).agg(F.count("*").alias("orders"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
-@query()
+@query(r"""WITH RECURSIVE g AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, CASE WHEN length(norm) = 0 THEN []::VARCHAR[] WHEN length(norm) <= 2 THEN [norm] ELSE list_distinct(list_transform(range(1, length(norm)), lambda j: substring(norm, j, 2))) END AS grams
+    FROM (SELECT conv_id, turn, lower(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}_]', '', 'g')) AS norm FROM conversations)),
+  f AS (SELECT conv_id, 0::BIGINT AS i, NULL::BIGINT AS turn, NULL::BIGINT AS merged_into, []::STRUCT(turn BIGINT, grams VARCHAR[])[] AS kept FROM g WHERE i = 1
+    UNION ALL SELECT conv_id, i, turn, coalesce(into_, turn), CASE WHEN into_ IS NULL THEN kept || [{'turn': turn, 'grams': grams}] ELSE kept END
+    FROM (SELECT g.conv_id, g.i, g.turn, g.grams, f.kept, list_filter(f.kept[-5:], lambda k: len(k.grams) > 0 AND len(g.grams) > 0 AND len(list_intersect(k.grams, g.grams))::DOUBLE / (len(k.grams) + len(g.grams) - len(list_intersect(k.grams, g.grams))) >= 0.82)[-1].turn AS into_
+      FROM f JOIN g ON g.conv_id = f.conv_id AND g.i = f.i + 1))
+SELECT conv_id, turn, merged_into FROM f WHERE i > 0""")
 def folded_merges(spark, sf_dir):
     """Near duplicates of a conversation's turns merged into the last five kept ones."""
     return merging.folded_near_duplicates(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
@@ -485,7 +491,10 @@ def sentence_parts_overlap(spark, sf_dir):
     return cut.select("doc_id", F.posexplode("parts").alias("part", "text")).select("doc_id", "part", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(r"""WITH w AS (SELECT 'd' || doc_id AS chunk_id, text, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS words, list_filter([source, lang], lambda x: x IS NOT NULL) AS keys FROM documents WHERE text IS NOT NULL),
+  a AS (SELECT *, array_to_string(words[1:6], ' ') AS title, len(list_distinct(words)) / len(words)::DOUBLE AS score, list_sort(list_transform(string_split(text, chr(10)), lambda s, i: {'n': -length(s), 'i': i, 's': s}))[1].s AS summary FROM w WHERE len(words) > 0)
+SELECT 'case-' || chunk_id || '-01-' || left(regexp_replace(regexp_replace(title, '[^0-9A-Za-z一-鿿]+', '-', 'g'), '^-+|-+$', '', 'g'), 24) AS case_id, chunk_id, title, md5(trim(summary, ' ')) AS summary_md5, 'other' AS case_type, score, 0.85::DOUBLE AS source_priority,
+  array_to_string(CASE WHEN len(keys) = 2 AND keys[1] = keys[2] THEN keys[1:1] ELSE keys END, ',') AS section_keys FROM a WHERE score >= 0.65""")
 def extracted_cases(spark, sf_dir):
     """Prompts, a deterministic stand-in for the model, parsing, acceptance."""
     chunks = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chunk_id"), F.array_distinct(F.array_compact(F.array(F.col("source"), F.col("lang")))).alias("section_keys"), "text")

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def text_volumes(spark: SparkSession, folder: str, charset: str = "GB18030") -> DataFrame:
-    """volume_no, line, text of the files <digits>.txt below a folder. Other charsets than Spark's own need
-    spark.sql.legacy.javaCharsets, which is set here."""
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    """volume_no, line, text of the files <digits>.txt below a folder, one file at a time in the workers."""
+    import pyarrow as pa
+
+    def decoded(batches):
+        for batch in batches:
+            texts = [content.as_py().decode(charset, "replace") for content in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["stem", "text"])
+
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(folder)
     stem = F.regexp_extract("path", r"/(\d+)\.txt$", 1)
-    named = files.select(stem.alias("stem"), F.decode("content", charset).alias("text")).where("stem <> ''")
+    named = files.select(stem.alias("stem"), "content").where("stem <> ''").mapInArrow(decoded, "stem string, text string")
     return named.select(F.col("stem").cast("int").alias("volume_no"), F.posexplode(F.split("text", r"\r?\n")).alias("line", "text"))
 
 
@@ -47,6 +54,12 @@ def json_rows(spark: SparkSession, path: str, schema: T.StructType | str, array:
     return reader.json(path)
 
 
+def json_family(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = False) -> DataFrame:
+    """Rows of a JSON file of either kind, whatever its name says: an array if the first character that is not blank is [, else JSON lines."""
+    first = spark.read.text(path).select(F.ltrim("value").alias("v")).where("v <> ''").limit(1).collect()
+    return json_rows(spark, path, schema, array=bool(first) and first[0]["v"].startswith("["), strict=strict)
+
+
 def valid(rows: DataFrame, enums: dict[str, list[str]], required: list[str]) -> DataFrame:
     """Rows whose enumerations hold known values and whose required columns are filled."""
     for column, values in enums.items():
@@ -95,7 +108,8 @@ def with_changed_headings(sections: DataFrame, doc: str, order: str, levels: lis
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("errorifexists").option("header", "true").csv(path)
+    """CSV with a header, UTF-8; a byte order mark would stand in every part file, so there is none."""
+    rows.write.mode("errorifexists").option("header", "true").option("escape", "\"").csv(path)
 
 
 def write_json(rows: DataFrame, path: str, append: bool = False) -> None:
@@ -117,3 +131,24 @@ def is_current(spark: SparkSession, built: str, source: str) -> bool:
 def vector_index(vectors: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row that tells whether an index is still that of these rows: n, and a sum of row hashes."""
     return vectors.agg(F.count("*").alias("n"), F.sum(F.xxhash64(id_col, text_col).cast("decimal(38,0)")).cast("string").alias("signature"))
+
+
+def stored_vectors(spark: SparkSession, folder: str, rows: DataFrame, id_col: str, text_col: str, encode: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+    """id, vector of the rows: read from `folder` if they are those of these rows, else encoded in the workers and written there, beside older ones.
+
+    encode: a function of a batch of texts that the workers can import. The version of a table is its signature (vector_index).
+    """
+    told = vector_index(rows, id_col, text_col).first()
+    path = f"{folder}/v-{told['n']}-{told['signature'] or 0}"
+
+    def batches(of):
+        import pyarrow as pa
+
+        for batch in of:
+            vectors = encode([t or "" for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float64()))], names=["id", "vector"])
+
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string")).mapInArrow(batches, "id string, vector array<double>").write.mode("overwrite").parquet(path)
+    return spark.read.schema("id string, vector array<double>").parquet(path)
