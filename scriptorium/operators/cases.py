@@ -58,11 +58,9 @@ def asked(questions: DataFrame, text: str = "text", noise: Iterable[str] = (), c
     return questions.select("query_id", text_or_empty(F.col(text)).alias("text"), T.tokens(F.col(text), pattern).alias("tokens"), terms.alias("terms"))
 
 
-def term_bonus(terms: Column, text: Column, long: float, short: float, cap: float) -> Column:
-    """Capped bonus of the terms that the text contains."""
-    worth = lambda t: F.when(F.length(t) >= LONG_TERM, long).otherwise(short)
-    found = F.filter(terms, lambda t: F.contains(text, t))
-    return F.least(F.lit(cap), F.aggregate(found, F.lit(0.0), lambda a, t: a + worth(t)))
+def term_bonus(found: Column, long: float, short: float, cap: float) -> Column:
+    """Capped bonus of the terms that were found."""
+    return F.least(F.lit(cap), F.aggregate(found, F.lit(0.0), lambda a, t: a + F.when(F.length(t) >= LONG_TERM, long).otherwise(short)))
 
 
 def _any_term(terms: Column, text: Column) -> Column:
@@ -81,46 +79,52 @@ def _fields(named: dict[str, Column], otherwise: str) -> Column:
 def sparse_hits(questions: DataFrame, index: DataFrame, limit: int, names: dict[str, str] = lexicon.FIELD_NAMES, template: str = lexicon.REASON) -> DataFrame:
     """query_id, case_id, score, terms, fields, reason and rank: the `limit` best cases by tokens, terms, tags, roles, views, kind and priority."""
     long, short, cap, weight = SPARSE
-    rows = spread(index, "case_id").crossJoin(small_side(questions.withColumnRenamed("text", "question")))
-    question, terms = F.col("question"), F.col("terms")
-    viewed = F.filter("views", lambda v: _any_term(terms, v))
+    question, hit = F.col("question"), F.col("hit")
+    viewed = F.filter("views", lambda v: _any_term(hit, v))
     of_kind = (F.col("kind") != "") & F.contains(question, F.col("kind"))
+    named = lambda c: F.size(_within(F.col(c), question))
     parts = [
-        F.log1p(F.size(F.array_intersect("tokens", "sparse_tokens")).cast("double")), term_bonus(terms, F.col("sparse_compact"), long, short, cap),
-        F.size(_within(F.col("tags"), question)) * TAG, F.size(_within(F.col("roles"), question)) * ROLE, F.size(viewed) * VIEW, F.when(of_kind, KIND).otherwise(0.0), F.col("priority") * weight,
+        F.log1p(F.size(F.array_intersect("tokens", "sparse_tokens")).cast("double")), term_bonus(hit, long, short, cap),
+        named("tags") * TAG, named("roles") * ROLE, F.size(viewed) * VIEW, F.when(of_kind, KIND).otherwise(0.0), F.col("priority") * weight,
     ]
-    fields = _fields({
-        names["detail"]: _any_term(terms, F.col("sparse_compact")), names["tag"]: F.size(_within(F.col("tags"), question)) > 0, names["role"]: F.size(_within(F.col("roles"), question)) > 0,
-        names["view"]: F.size(viewed) > 0, names["kind"]: of_kind,
-    }, names["sparse"])
-    return _hits(rows, reduce(lambda a, b: a + b, parts), F.col("sparse_compact"), fields, limit, template)
+    fields = _fields({names["detail"]: F.size(hit) > 0, names["tag"]: named("tags") > 0, names["role"]: named("roles") > 0, names["view"]: F.size(viewed) > 0, names["kind"]: of_kind}, names["sparse"])
+    return _explained(_best(questions, index, "sparse_compact", reduce(lambda a, b: a + b, parts), limit), questions, index, "sparse_compact", fields, template)
 
 
 def dense_text_hits(questions: DataFrame, index: DataFrame, limit: int, names: dict[str, str] = lexicon.FIELD_NAMES, template: str = lexicon.REASON) -> DataFrame:
     """As sparse_hits, over the dense text: what stands in for a vector search where there is none."""
     long, short, cap, weight = DENSE
-    rows = spread(index, "case_id").crossJoin(small_side(questions.withColumnRenamed("text", "question")))
-    terms = F.col("terms")
-    phrase = _any_term(F.filter(terms, lambda t: F.length(t) >= LONG_TERM), F.col("dense_text"))
-    score = F.log1p(F.size(F.array_intersect("tokens", "dense_tokens")).cast("double")) + term_bonus(terms, F.col("dense_compact"), long, short, cap) + F.when(phrase, PHRASE).otherwise(0.0) + F.col("priority") * weight
-    return _hits(rows, score, F.col("dense_compact"), dense_fields(terms, names), limit, template)
+    hit = F.col("hit")
+    phrase = _any_term(F.filter(hit, lambda t: F.length(t) >= LONG_TERM), F.col("dense_text"))
+    score = F.log1p(F.size(F.array_intersect("tokens", "dense_tokens")).cast("double")) + term_bonus(hit, long, short, cap) + F.when(phrase, PHRASE).otherwise(0.0) + F.col("priority") * weight
+    return _explained(_best(questions, index, "dense_compact", score, limit), questions, index, "dense_compact", dense_fields(hit, names), template)
+
+
+def vector_hits(questions: DataFrame, index: DataFrame, scores: DataFrame, limit: int, names: dict[str, str] = lexicon.FIELD_NAMES, template: str = lexicon.REASON) -> DataFrame:
+    """The same columns from the scores (query_id, case_id, score) of a vector search."""
+    best = ranked(scores.select("query_id", "case_id", F.round("score", 4).alias("score")), "query_id", "case_id", "score", limit).where("score > 0")
+    return _explained(best, questions, index, "dense_compact", dense_fields(F.col("hit"), names), template)
 
 
 def dense_fields(terms: Column, names: dict[str, str] = lexicon.FIELD_NAMES) -> Column:
     return _fields({names["pattern"]: _any_term(terms, compact(F.col("pattern"))), names["title"]: _any_term(terms, compact(F.col("title")))}, names["dense"])
 
 
-def vector_hits(questions: DataFrame, index: DataFrame, scores: DataFrame, limit: int, names: dict[str, str] = lexicon.FIELD_NAMES, template: str = lexicon.REASON) -> DataFrame:
-    """The same columns from the scores (query_id, case_id, score) of a vector search: only its `limit` best cases meet their texts."""
-    best = ranked(scores, "query_id", "case_id", "score", limit).select("query_id", "case_id", F.col("score").alias("given"))
-    rows = index.join(best, "case_id").join(small_side(questions.withColumnRenamed("text", "question")), "query_id")
-    return _hits(rows, F.col("given"), F.col("dense_compact"), dense_fields(F.col("terms"), names), limit, template)
+def _with_hit(rows: DataFrame, text: str) -> DataFrame:
+    """`hit`: the question's terms that the case's text without blanks holds. A term that any field holds is among them, so all else is asked of these few."""
+    return rows.withColumn("hit", F.filter("terms", lambda t: F.contains(F.col(text), t)))
+
+
+def _best(questions: DataFrame, index: DataFrame, text: str, score: Column, limit: int) -> DataFrame:
+    """query_id, case_id, score, rank: every case meets every question inside its task; only these four columns are ranked and shuffled."""
+    rows = _with_hit(spread(index, "case_id").crossJoin(small_side(questions.withColumnRenamed("text", "question"))), text)
+    return ranked(rows.select("query_id", "case_id", F.round(score, 4).alias("score")), "query_id", "case_id", "score", limit).where("score > 0")
 
 
-def _hits(rows: DataFrame, score: Column, text: Column, fields: Column, limit: int, template: str) -> DataFrame:
-    """The `limit` best of each question, and only then what explains them."""
-    best = ranked(rows.withColumn("score", F.round(score, 4)), "query_id", "case_id", "score", limit).where("score > 0")
-    shown = best.withColumns({"found_terms": F.slice(F.filter("terms", lambda t: F.contains(text, t)), 1, SHOWN_TERMS), "fields": fields})
+def _explained(best: DataFrame, questions: DataFrame, index: DataFrame, text: str, fields: Column, template: str) -> DataFrame:
+    """The few best hits with what explains them."""
+    rows = _with_hit(index.join(best, "case_id").join(small_side(questions.withColumnRenamed("text", "question")), "query_id"), text)
+    shown = rows.withColumns({"found_terms": F.slice("hit", 1, SHOWN_TERMS), "fields": fields})
     return shown.select("query_id", "case_id", "score", F.col("found_terms").alias("terms"), "fields", reason(F.col("fields"), F.col("found_terms"), template).alias("reason"), "rank")
 
 
