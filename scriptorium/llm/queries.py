@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, licenses, pii, toxicity, warc
+from . import alignment, conversations, fingerprints, language, licenses, pii, toxicity, url_rules, warc
 from .common import durable, table
 from .language import held_out
 from .mixing import decisions, keyed, with_copies
@@ -177,3 +177,102 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence families of the paragraphs of all documents."""
     docs = table(spark, sf_dir, "documents")
     return licenses.scan(docs, licenses.train(docs))
+
+
+#: The rules of the registered query.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the rules; a url that no rule fits is allowed."""
+    return url_rules.judged(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
+ORACLE_SQL["op11_url_rules"] = """
+WITH rules(h, p, v) AS (VALUES """ + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES) + r"""),
+u AS (SELECT page_id, row_number() OVER () AS n, CASE WHEN contains(url, '://') THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+w AS (SELECT page_id, n, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u),
+x AS (SELECT page_id, n, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substring(rest, length(raw) + 1), '^[^?#]*') AS path FROM w),
+f AS (SELECT x.*, h || p AS rule, v, row_number() OVER (PARTITION BY n ORDER BY length(h || p) DESC, length(h) DESC, v DESC) AS place
+  FROM x LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM f WHERE place = 1
+"""
+
+
+@query
+def op13_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents aligned between the byte-level and the piece tokenizer, with corpus-wide counts of the linked ids."""
+    return alignment.alignment(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns of conversations damaged by crc32(conv_id:turn) % 20; dropped turns are kept as not present."""
+    text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn"))) % 20
+    body = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(text("text"), "[.!?]", "")).otherwise(text("text"))
+    rows = turns.select("conv_id", "turn", F.when(kind == 4, "user").otherwise(text("role")).alias("role"), body.alias("text"), (kind != 0).alias("present"), F.when(kind == 3, 2).otherwise(1).alias("times"))
+    return rows.withColumn("times", F.explode(F.array_repeat(F.lit(0), F.col("times")))).drop("times")
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, its turns damaged, with the cheapest repair."""
+    return conversations.repaired(damaged(table(spark, sf_dir, "conversations")), present=F.col("present"))[1]
+
+
+def _least(*ways: str) -> str:
+    return f"list_min(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))"
+
+
+def _way(state: int, cost: str, letter: str, said: str, source: str = "v") -> str:
+    return f"CASE WHEN {source}[{state + 1}] IS NOT NULL THEN {{'c': {source}[{state + 1}].c + {cost}, 'a': {source}[{state + 1}].a || '{letter}', 't': {said.format(f'{source}[{state + 1}].t')}}} END"
+
+
+def _with_insert(source: str) -> str:
+    """The states of `source`, or one insert later."""
+    user = [_way(s, "2", "I", "list_append({}, 'user:')", source) for s in (0, 1, 3)]
+    assistant = _way(2, "2", "I", "list_append({}, 'assistant:')", source)
+    return f"[{source}[1], {source}[2], {_least(f'{source}[3]', *user)}, {_least(f'{source}[4]', assistant)}]"
+
+
+def _row_taken() -> str:
+    """The states after one more turn."""
+    same = "{}"
+    keep, user, assistant = "list_append({}, role || ':' || text)", "list_append({}, 'user:' || text)", "list_append({}, 'assistant:' || text)"
+    kept = lambda state, initial: f"CASE WHEN NOT forced AND left(role, 1) = '{initial}' THEN {_way(state, 'more', 'K', keep)} END"
+    put = lambda state, said: f"CASE WHEN NOT forced THEN {_way(state, '2 + more', 'R', said)} END"
+    gone = [_way(s, "3", "D", same) for s in range(4)]
+    return (
+        f"[{gone[0]}, {_least(gone[1], kept(0, 's'))}, {_least(gone[2], *[kept(s, 'u') for s in (0, 1, 3)], *[put(s, user) for s in (0, 1, 3)])}, "
+        f"{_least(gone[3], kept(2, 'a'), put(2, assistant))}]"
+    )
+
+
+_NO_STATE = "NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR[])"
+ORACLE_SQL["op12_conversation_repair"] = f"""
+WITH RECURSIVE o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, row_number() OVER () AS n FROM conversations),
+tables AS (SELECT list_transform(range(256), lambda i: list_reduce(range(9), lambda c, k: CASE WHEN k = 0 THEN c WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT)) AS t),
+k AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM o),
+h AS (SELECT conv_id, turn, role, text, n, xor(list_reduce(list_transform(string_split(s, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 20 AS kind FROM k, tables),
+d AS (SELECT conv_id, turn, n, copy, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE kind WHEN 0 THEN []::INTEGER[] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM h)),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, n, copy) AS i FROM d),
+g AS (SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS again, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM r),
+f AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM g),
+s AS (SELECT *, fault IN ('blank', 'duplicate') AS forced, (fault = 'truncated')::BIGINT AS more FROM f),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, [{{'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]}}, {_NO_STATE}, {_NO_STATE}, {_NO_STATE}] AS v FROM o GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, {_row_taken()} FROM (
+    SELECT conv_id, i, role, text, forced, more, {_with_insert("w")} AS v FROM (
+      SELECT s.conv_id, s.i, s.role, s.text, s.forced, s.more, {_with_insert("walk.v")} AS w FROM walk JOIN s ON s.conv_id IS NOT DISTINCT FROM walk.conv_id AND s.i = walk.i + 1))),
+ends AS (SELECT conv_id, {_with_insert("w")} AS v FROM (SELECT conv_id, {_with_insert("walk.v")} AS w FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1)),
+best AS (SELECT conv_id, {_least("v[1]", "v[4]")} AS x FROM ends),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM s GROUP BY conv_id)
+SELECT b.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, x.c::BIGINT AS cost, x.a AS audit, sha256(array_to_string(x.t, chr(10))) AS repaired_sha256
+FROM best b LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
