@@ -7,6 +7,10 @@
 5. pack: the mix in token sequences of 2048 ids.
 
 Each stage works on all that its predecessor kept and, but for the last, returns the columns of documents.
+
+Edge cases. Null and empty texts go in the first stage, as do texts without a letter. Without any language label that can be learned, all texts
+with a letter stay. Null ids, sources and languages stay; equal ids with different texts are different documents, equal rows one group of near duplicates. Ties
+among near duplicates go to the smallest id. Very long texts stay whole. Empty table: no rows. Columns other than those of documents are dropped.
 """
 
 from __future__ import annotations
@@ -27,9 +31,11 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents in which a language is found."""
-    told = language.with_language(docs, language.train(docs), name="__language")
-    return told.where(F.col("__language.prediction") != "und").select(*COLUMNS)
+    """Keeps the documents in which a language is found. Where no row names a language that could be learned, all that have a letter stay."""
+    model = language.train(docs)
+    told = language.with_language(docs, model, name="__language")
+    found = F.col("__language.prediction") != "und"
+    return told.where(found if model.languages else found | language.has_letter(F.col("text"))).select(*COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +61,7 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or leaves out documents so that sources meet their targets."""
     keyed = mixing.keyed(docs)
-    decided = mixing.decisions(durable(keyed.select("source", "size", "key")))
+    decided = mixing.decisions(durable(keyed.select("source", "size", "key", "tie")))
     taken = mixing.with_copies(keyed, decided).where("copies > 0")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 

@@ -34,6 +34,11 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
+def has_letter(text: Column) -> Column:
+    """Whether a text has a letter (Unicode category L): what tells a text without a language from one that a model without languages cannot tell."""
+    return F.coalesce(text.cast("string").rlike(r"\p{L}"), F.lit(False))
+
+
 def trigrams(text: str | None) -> np.ndarray:
     """Bucket numbers of the letter trigrams of a lower-cased text; words are set off by one blank."""
     clean = _NOT_LETTERS.sub(" ", text.lower()) if text else ""

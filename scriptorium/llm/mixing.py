@@ -14,7 +14,8 @@ last key taken; applying it to documents is a map without a shuffle of texts.
 Only DataFrame functions are used.
 
 Edge cases. Null text has size 0. A null source is a source of its own, last in order. Null ids are allowed. Rows with
-equal id and text draw equal keys and are taken together. A source of size 0 has target 0. Empty table: no rows.
+equal id and text draw equal keys; where a budget ends among them a second key, a hash of a row's place in the table, tells
+which of them are taken, by the same histograms, so that no number of copies moves a target. Those rows are equal, so reruns agree. A source of size 0 has target 0. Empty table: no rows.
 Columns of the input named like the added ones are replaced.
 """
 
@@ -52,9 +53,13 @@ def sampling_key(id_col: Column, text: Column, weight: Column, seed: int) -> Col
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> DataFrame:
-    """docs with size (words) and key."""
+    """docs with size (words), key, and tie, which tells rows of equal key apart; docs is a table, or a deterministic plan over one."""
     text = F.col(text_col).cast("string")
-    return docs.withColumns({"size": word_count(text), "key": sampling_key(F.col(id_col), text, quality(text), seed)})
+    return _tied(docs.drop("tie").withColumns({"size": word_count(text), "key": sampling_key(F.col(id_col), text, quality(text), seed)}))
+
+
+def _tied(rows: DataFrame) -> DataFrame:
+    return rows if "tie" in rows.columns else rows.withColumn("tie", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(BUCKETS**4)))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
@@ -96,7 +101,8 @@ def _join(rows: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def decisions(slim: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
-    """One row a source: source_size, target, epochs, edge and last_key. slim: materialized rows of source, size, key."""
+    """One row a source: source_size, target, epochs, edge, last_key and last_tie. slim: materialized rows of source, size, key, tie."""
+    slim = _tied(slim)
     budget = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(cap))).otherwise(0).cast("long")
     budget = durable(budget.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
@@ -105,19 +111,36 @@ def decisions(slim: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int =
     rows = _join(slim.withColumn("position", _position()), coarse).where(F.floor(F.col("position") / BUCKETS) == F.col("bucket")).drop("bucket")
     edge = durable(_edge_bucket(rows, F.col("position")))
     inside = _join(slim.withColumn("position", _position()), edge).where("position = bucket")
-    keys = inside.groupBy("source", "key").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+    keys = inside.groupBy("source", "key").agg(F.sum("size").alias("words"), F.max("size").alias("each"), F.count("*").alias("n"), F.first("rest").alias("rest"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = keys.withColumn("before", before).where(F.col("before") + F.col("words") / 2 <= F.col("rest")).groupBy("source").agg(F.max("key").alias("last_key"))
+    started = keys.withColumn("before", before).where(F.col("before") + F.col("each") / 2 <= F.col("rest"))
+    room = F.when(F.col("each") > 0, F.least("n", F.floor((F.col("rest") - F.col("before")) / F.col("each") + 0.5))).otherwise(F.col("n"))
+    last = durable(started.groupBy("source").agg(F.max_by(F.struct("key", room.alias("room"), "n"), "key").alias("x")).select("source", F.col("x.key").alias("last_key"), "x.room", "x.n"))
+    last = last.join(_last_tie(slim, last.where("room < n").select("source", "last_key", F.col("room").alias("rest"))), F.col("source").eqNullSafe(F.col("tie_source")), "left") if not last.where("room < n").isEmpty() else last.withColumn("last_tie", F.lit(None).cast("long"))
+    last = last.select("source", "last_key", F.coalesce("last_tie", F.lit(BUCKETS**4)).alias("last_tie"))
     edge = edge.select(F.col("source").alias("edge_source"), F.col("bucket").alias("edge"))
     last = last.withColumnRenamed("source", "last_source")
     both = budget.join(edge, F.col("source").eqNullSafe(F.col("edge_source")), "left").join(last, F.col("source").eqNullSafe(F.col("last_source")), "left")
     none_left = F.when(F.col("rest") > 0, F.lit(BUCKETS * BUCKETS)).otherwise(F.lit(-1))  # the budget takes all, or nothing
-    return durable(both.select("source", "source_size", "target", "epochs", F.coalesce("edge", none_left).cast("long").alias("edge"), "last_key"))
+    return durable(both.select("source", "source_size", "target", "epochs", F.coalesce("edge", none_left).cast("long").alias("edge"), "last_key", "last_tie"))
+
+
+def _last_tie(slim: DataFrame, ends: DataFrame) -> DataFrame:
+    """tie_source and last_tie: the greatest tie that is taken of the `rest` rows of each source's last key. Few sources, each with any number of copies."""
+    equal = _join(slim.select("source", "key", "tie", F.lit(1).alias("size")), durable(ends)).where("key = last_key").drop("key", "last_key")
+    for bucket in (F.floor(F.col("tie") / BUCKETS**3), F.floor(F.col("tie") / BUCKETS**2)):
+        edge = durable(_edge_bucket(equal, bucket).withColumnRenamed("rest", "left"))
+        # What lies before the bucket in which the rest ends is taken, what lies behind it is not.
+        equal = _join(equal.withColumn("at", bucket), edge).where("at = bucket").drop("at", "bucket", "rest").withColumnRenamed("left", "rest")
+    number = F.row_number().over(Window.partitionBy("source").orderBy("tie"))
+    best = equal.withColumn("n", number).where("n <= rest").groupBy("source").agg(F.max("tie").alias("last_tie"))
+    start = edge.select(F.col("source").alias("tie_source"), (F.col("bucket") * BUCKETS**2 - 1).alias("start"))
+    return start.join(best, F.col("tie_source").eqNullSafe(F.col("source")), "left").select("tie_source", F.coalesce("last_tie", "start").alias("last_tie"))
 
 
 def with_copies(rows: DataFrame, decided: DataFrame) -> DataFrame:
     """keyed rows with source_size, target and copies (complete epochs, and one more for those sampled)."""
-    fresh = rows.drop("source_size", "target", "copies", "position", "epochs", "edge", "last_key")
-    both = _join(fresh.withColumn("position", _position()), decided)
-    sampled = (F.col("position") < F.col("edge")) | ((F.col("position") == F.col("edge")) & F.coalesce(F.col("key") <= F.col("last_key"), F.lit(False)))
-    return both.withColumn("copies", F.col("epochs") + sampled.cast("long")).drop("position", "epochs", "edge", "last_key")
+    fresh = rows.drop("source_size", "target", "copies", "position", "epochs", "edge", "last_key", "last_tie")
+    both = _join(_tied(fresh).withColumn("position", _position()), decided)
+    sampled = (F.col("position") < F.col("edge")) | ((F.col("position") == F.col("edge")) & F.coalesce((F.col("key") < F.col("last_key")) | ((F.col("key") == F.col("last_key")) & (F.col("tie") <= F.col("last_tie"))), F.lit(False)))
+    return both.withColumn("copies", F.col("epochs") + sampled.cast("long")).drop("position", "epochs", "edge", "last_key", "last_tie", "tie")

@@ -71,7 +71,7 @@ def op4_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by source with weights 1, 2, 3, ..., at most three epochs."""
-    slim = durable(keyed(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "key"))
+    slim = durable(keyed(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "key", "tie"))
     mixed = with_copies(slim, decisions(slim, (1, 2, 3), 3))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
@@ -146,10 +146,10 @@ def op3_norm_bucketed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL["op3_norm_bucketed_topk"] = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+p AS (SELECT q.n, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.n <> c.n),
+r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank FROM p)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 

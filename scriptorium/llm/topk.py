@@ -15,7 +15,8 @@ most. Blocks are written to the shared folder once.
 
 Edge cases. Vectors that are null, empty, or hold null or non-finite components, rows without an id and queries whose
 dimension no candidate has take no part. Fewer candidates than k: all are returned. Equal scores go to the smaller id. Zero vectors
-and negative thresholds prune nothing. Repeated ids: a query's own id is no candidate, other repeats are all candidates. Products
+and negative thresholds prune nothing. Repeated ids: every row is a query and a candidate of its own, known by its place in the table; only a query's own
+row is no candidate of it, and queries that share an id have k results each. Products
 are added as doubles while they fit 53 bits, else as integers of any size. A scaled component beyond 2**62 counts as 2**62, a score
 beyond the range of long as the end of that range. Very long vectors: a bucket holds bucket_rows of them. Empty table: no rows.
 Further columns are ignored, whatever their names.
@@ -40,13 +41,15 @@ SHARE = 64
 #: Coordinates that are looked at.
 FOCUS = 3
 
-_BLOCK = "block long, dim int, high double, ids binary, vectors binary"
+_BLOCK = "block long, dim int, high double, ids binary, rows binary, vectors binary"
 
 
-def _pack(block: int, ids: np.ndarray, vectors: np.ndarray) -> tuple:
+def _pack(block: int, kept: list[tuple[int, int, np.ndarray]]) -> tuple:
+    """kept: id, row and vector."""
+    ids, rows, vectors = np.array([x[0] for x in kept]), np.array([x[1] for x in kept]), np.stack([x[2] for x in kept])
     norm = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1).max())
     small = np.abs(vectors).max(initial=0) < 2**31
-    return block, vectors.shape[1], float(norm), ids.astype("<i8").tobytes(), vectors.astype("<i4" if small else "<i8").tobytes()
+    return block, vectors.shape[1], float(norm), ids.astype("<i8").tobytes(), rows.astype("<i8").tobytes(), vectors.astype("<i4" if small else "<i8").tobytes()
 
 
 def _unpack(row: dict, ids: str = "ids", vectors: str = "vectors") -> tuple[np.ndarray, np.ndarray]:
@@ -59,18 +62,18 @@ def _batch(rows: list[tuple], schema: pa.Schema):
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
 
-_BLOCK_ARROW = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("high", pa.float64()), ("ids", pa.binary()), ("vectors", pa.binary())])
-_HITS_ARROW = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_BLOCK_ARROW = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("high", pa.float64()), ("ids", pa.binary()), ("rows", pa.binary()), ("vectors", pa.binary())])
+_HITS_ARROW = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """id, dim, v (array of floor(scale * x)) and norm of the rows that take part."""
+    """id, row (a number of its own), dim, v (array of floor(scale * x)) and norm of the rows that take part."""
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null")
     rows = rows.where((F.size("v") > 0) & F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))))
     whole = lambda x: F.when(F.abs(x) < LARGEST / scale, F.floor(x * scale)).otherwise(F.lit(LARGEST) * F.signum(x).cast("long"))
     rows = rows.withColumn("v", F.transform("v", whole))
-    return rows.select("id", F.size("v").alias("dim"), "v", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("norm"))
+    return rows.select("id", F.monotonically_increasing_id().alias("row"), F.size("v").alias("dim"), "v", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("norm"))
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
@@ -80,18 +83,18 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
         held: dict[int, list] = {}
         made = 0
         for batch in batches:
-            for i, dim, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for i, row, dim, v in zip(*(batch.column(n).to_pylist() for n in range(3)), batch.column(3)):
                 kept = held.setdefault(dim, [])
-                kept.append((i, v.values.to_numpy()))
+                kept.append((i, row, v.values.to_numpy()))
                 if len(kept) == size:
-                    yield _batch([_pack(made, np.array([x[0] for x in kept]), np.stack([x[1] for x in kept]))], _BLOCK_ARROW)
+                    yield _batch([_pack(made, kept)], _BLOCK_ARROW)
                     held[dim], made = [], made + 1
         for kept in held.values():
             if kept:
-                yield _batch([_pack(made, np.array([x[0] for x in kept]), np.stack([x[1] for x in kept]))], _BLOCK_ARROW)
+                yield _batch([_pack(made, kept)], _BLOCK_ARROW)
                 made += 1
 
-    return rows.select("id", "dim", "v").mapInArrow(run, _BLOCK)
+    return rows.select("id", "row", "dim", "v").mapInArrow(run, _BLOCK)
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -115,15 +118,15 @@ def _products(vectors: np.ndarray, floats: np.ndarray, query: np.ndarray, bound:
 class Bucket:
     """One bucket: vectors by falling length, with their directions."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray):
         floats = vectors.astype(np.float64)
         norms = np.sqrt((floats**2).sum(axis=1))
         order = np.argsort(-norms, kind="stable")
-        self.ids, self.vectors, self.floats, self.norms = ids[order], vectors[order], floats[order], norms[order]
+        self.ids, self.rows, self.vectors, self.floats, self.norms = ids[order], rows[order], vectors[order], floats[order], norms[order]
         self.directions = self.floats / np.maximum(self.norms, 1e-300)[:, None]
         self.largest = float(np.abs(self.floats).max(initial=0))
 
-    def search(self, query_id: int, query: np.ndarray, threshold: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query_row: int, query: np.ndarray, threshold: float, k: int) -> tuple[np.ndarray, np.ndarray]:
         """ids and scores of the k best that are at least the threshold (-inf: no threshold yet)."""
         whole, query = query, query.astype(np.float64)
         length = float(np.sqrt((query**2).sum()))
@@ -148,7 +151,7 @@ class Bucket:
             some = np.arange(np.searchsorted(-self.norms, -(threshold / length) * (1 - 1e-12), side="right"))
         else:
             some = np.arange(len(self.ids))
-        some = some[self.ids[some] != query_id]
+        some = some[self.rows[some] != query_row]
         scores = _products(self.vectors[some], self.floats[some], whole, bound)
         if threshold > float("-inf"):
             good = scores >= threshold
@@ -163,28 +166,29 @@ def _search(pairs: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                bucket = Bucket(*_unpack(row))
+                ids, vectors = _unpack(row)
+                bucket = Bucket(ids, np.frombuffer(row["rows"], "<i8"), vectors)
                 q_ids, q = _unpack(row, "q_ids", "q_vectors")
                 limits = np.frombuffer(row["limits"], "<f8") if row["limits"] else np.full(len(q_ids), -np.inf)
                 rows = []
-                for i, query, limit in zip(q_ids, q, limits):
-                    ids, scores = bucket.search(i, query, limit, k)
-                    rows += [(int(i), int(a), int(b)) for a, b in zip(ids, scores)]
+                for i, at, query, limit in zip(q_ids, np.frombuffer(row["q_rows"], "<i8"), q, limits):
+                    ids, scores = bucket.search(at, query, limit, k)
+                    rows += [(int(at), int(i), int(a), int(b)) for a, b in zip(ids, scores)]
                 yield _batch(rows, _HITS_ARROW)
 
-    return pairs.select("dim", "ids", "vectors", "q_ids", "q_vectors", "limits").mapInArrow(run, "query_id long, vec_id long, score long")
+    return pairs.select("dim", "ids", "rows", "vectors", "q_ids", "q_rows", "q_vectors", "limits").mapInArrow(run, "query_row long, query_id long, vec_id long, score long")
 
 
 def _top(hits: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def _with_limits(blocks: DataFrame, first: DataFrame, k: int) -> DataFrame:
     """Query blocks with the starting thresholds of their queries, and the least length that may matter to any of them."""
-    worst = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("limit"))
-    rows = blocks.select("block", F.posexplode("q_list").alias("pos", "query_id"))
-    limits = rows.join(worst, "query_id", "left").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("pos", "limit"))).alias("limits"))  # query_rows values a block
+    worst = first.where(F.col("rank") == k).select("query_row", F.col("score").alias("limit"))
+    rows = blocks.select("block", F.posexplode("q_list").alias("pos", "query_row"))
+    limits = rows.join(worst, "query_row", "left").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("pos", "limit"))).alias("limits"))  # query_rows values a block
     both = blocks.join(limits, "block")
 
     def run(batches):
@@ -195,10 +199,10 @@ def _with_limits(blocks: DataFrame, first: DataFrame, k: int) -> DataFrame:
                 _, q = _unpack(row, "q_ids", "q_vectors")
                 lengths = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
                 need = np.where(limit > 0, limit / np.maximum(lengths, 1e-300), -1.0).min(initial=np.inf)
-                out.append((row["block"], row["dim"], row["q_ids"], row["q_vectors"], limit.tobytes(), float(need)))
-            yield _batch(out, pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("q_ids", pa.binary()), ("q_vectors", pa.binary()), ("limits", pa.binary()), ("need", pa.float64())]))
+                out.append((row["block"], row["dim"], row["q_ids"], row["q_rows"], row["q_vectors"], limit.tobytes(), float(need)))
+            yield _batch(out, pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("q_ids", pa.binary()), ("q_rows", pa.binary()), ("q_vectors", pa.binary()), ("limits", pa.binary()), ("need", pa.float64())]))
 
-    return both.select("block", "dim", "q_ids", "q_vectors", "limits").mapInArrow(run, "block long, dim int, q_ids binary, q_vectors binary, limits binary, need double")
+    return both.select("block", "dim", "q_ids", "q_rows", "q_vectors", "limits").mapInArrow(run, "block long, dim int, q_ids binary, q_rows binary, q_vectors binary, limits binary, need double")
 
 
 def exact_top_k(
@@ -216,13 +220,13 @@ def exact_top_k(
     if not order:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     number = rows.sparkSession.createDataFrame([(r["part"], r["block"], i) for i, r in enumerate(order)], "part int, block long, bucket long")
-    buckets = made.join(F.broadcast(number), ["part", "block"]).select("bucket", "dim", "ids", "vectors", "high")
+    buckets = made.join(F.broadcast(number), ["part", "block"]).select("bucket", "dim", "ids", "rows", "vectors", "high")
 
     asked = rows.where(is_query)
     spread = asked.repartition(max(1, parts // 4), "id").sortWithinPartitions("norm", "id")
     q = _blocks(spread, query_rows).withColumn("block", F.monotonically_increasing_id())
     unpacked = F.udf(lambda raw: np.frombuffer(raw, "<i8").tolist(), "array<long>")
-    q = durable(q.select("block", "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), unpacked("ids").alias("q_list")))
+    q = durable(q.select("block", "dim", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("vectors").alias("q_vectors"), unpacked("rows").alias("q_list")))
 
     # The first bucket is one block of bucket_rows vectors: it goes to all query blocks.
     longest = F.broadcast(buckets.where("bucket = 0").withColumnRenamed("dim", "dim2"))
@@ -244,4 +248,4 @@ def exact_top_k(
     sent = durable(sent.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")))
     copies = sent.select("bucket", "salt").distinct().join(buckets.withColumnRenamed("dim", "dim2"), "bucket")
     rest = _search(sent.join(copies, ["bucket", "salt"]).where("dim = dim2"), k)
-    return _top(first.select("query_id", "vec_id", "score").union(rest), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return _top(first.select("query_row", "query_id", "vec_id", "score").union(rest), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
