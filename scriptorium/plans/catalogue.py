@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as X
 from scriptorium.functions import tokens as T
-from scriptorium.operators import audit, chunking, extraction, intent, merging, ordering, report, retrieval, sections, tagging
+from scriptorium.operators import audit, chunking, extraction, intent, merging, ordering, postings, report, retrieval, sections, tagging
 from scriptorium.sources import files
 from scriptorium.streaming import append
 
@@ -43,10 +43,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.tokens(F.lower("text")).alias("tokens"))
-    corpus = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), T.tokens(F.lower("text")).alias("tokens"), F.lit(0.5).alias("priority"))
-    return retrieval.lexical_scores(questions, corpus, noise=NOISE)
+def word_array(text: str):
+    """All words of a text, in lower case."""
+    return F.regexp_extract_all(F.lower(X.text_or_empty(F.col(text))), F.lit(T.LATIN_TOKEN), F.lit(0))
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> postings.Index:
+    """The stored index of the documents' words."""
+    return postings.index(table(spark, sf_dir, "documents"), "doc_id", word_array("text"), "words")
+
+
+def _overlaps(spark: SparkSession, sf_dir: str, k: int) -> dict[str, DataFrame]:
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(word_array("text")).alias("terms"))
+    return postings.overlaps(questions, document_index(spark, sf_dir), k, noise=tuple(NOISE))
 
 
 _LEXICAL = r"""
@@ -62,7 +71,7 @@ _LEXICAL = r"""
 @query(f"WITH {_LEXICAL} SELECT query_id, item_id, overlap, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM lexical) WHERE rank <= 4")
 def token_overlap_topk(spark, sf_dir):
     """The 4 best documents for each benchmark text."""
-    return retrieval.ranked(_document_scores(spark, sf_dir), "query_id", "item_id", "score", 4)
+    return _overlaps(spark, sf_dir, 4)["scored"]
 
 
 @query(r"""
@@ -120,10 +129,7 @@ def retrieval_eval(spark, sf_dir):
 SELECT query_id, item_id, score, branches, rank::INTEGER AS rank FROM r WHERE rank <= 4""")
 def rrf_fusion(spark, sf_dir):
     """Two rankings of the documents, fused."""
-    n = retrieval.branch_limit(4)
-    scores = _document_scores(spark, sf_dir)
-    plain = scores.select("query_id", "item_id", F.col("overlap").cast("double").alias("score"))
-    return retrieval.fused({"scored": retrieval.ranked(scores, "query_id", "item_id", "score", n), "overlap": retrieval.ranked(plain, "query_id", "item_id", "score", n)}, limit=4)
+    return retrieval.fused(_overlaps(spark, sf_dir, retrieval.branch_limit(4)), limit=4)
 
 
 @query("""WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
