@@ -2,8 +2,8 @@
 
 A case is a row: case_id, title, summary, conflict, actor, kind, pattern (texts), tags, roles, views (arrays of texts), priority. The texts
 that are searched are columns made once (`indexed`). A question is a row: query_id, text, tokens, terms. Questions are few and cases
-many, so every case meets all questions inside its task (`retrieval.small_side`), and rankings keep partial top-k before they are
-shuffled by question.
+many, so the questions come to the tasks, in blocks of QUESTIONS: a case is read once, by one automaton over the terms of all questions and one look-up for
+each of its tokens, and a task keeps the best cases of each question. Nothing else is shuffled.
 
 Nulls: a null text is empty, a null list too, a null priority is DEFAULT_PRIORITY. A case without texts scores by its priority alone.
 """
@@ -20,6 +20,7 @@ from scriptorium.functions import lexicon
 from scriptorium.functions import tokens as T
 from scriptorium.functions.text import compact, shortened, text_or_empty
 
+from .patterns import found
 from .retrieval import ranked, small_side, spread
 
 DEFAULT_PRIORITY = 0.5
@@ -28,6 +29,8 @@ SPARSE, DENSE = (1.15, 0.75, 4.8, 0.3), (1.35, 0.9, 5.0, 0.25)
 #: What a tag, a role, a view and the kind of a case add, and a phrase of the dense text.
 TAG, ROLE, VIEW, KIND, PHRASE = 0.45, 0.4, 0.35, 0.25, 0.8
 LONG_TERM, SHOWN_TERMS, FUSED_TERMS = 3, 6, 8
+#: Questions that meet a case at once, and cases whose scores are ranked at once.
+QUESTIONS, CASES = 2_000, 256
 TEXTS, LISTS = ("title", "summary", "conflict", "actor", "kind", "pattern"), ("tags", "roles", "views")
 
 
@@ -58,11 +61,6 @@ def asked(questions: DataFrame, text: str = "text", noise: Iterable[str] = (), c
     return questions.select("query_id", text_or_empty(F.col(text)).alias("text"), T.tokens(F.col(text), pattern).alias("tokens"), terms.alias("terms"))
 
 
-def term_bonus(found: Column, long: float, short: float, cap: float) -> Column:
-    """Capped bonus of the terms that were found."""
-    return F.least(F.lit(cap), F.aggregate(found, F.lit(0.0), lambda a, t: a + F.when(F.length(t) >= LONG_TERM, long).otherwise(short)))
-
-
 def _any_term(terms: Column, text: Column) -> Column:
     return F.exists(terms, lambda t: F.contains(text, t))
 
@@ -78,26 +76,19 @@ def _fields(named: dict[str, Column], otherwise: str) -> Column:
 
 def sparse_hits(questions: DataFrame, index: DataFrame, limit: int, names: dict[str, str] = lexicon.FIELD_NAMES, template: str = lexicon.REASON) -> DataFrame:
     """query_id, case_id, score, terms, fields, reason and rank: the `limit` best cases by tokens, terms, tags, roles, views, kind and priority."""
-    long, short, cap, weight = SPARSE
     question, hit = F.col("question"), F.col("hit")
     viewed = F.filter("views", lambda v: _any_term(hit, v))
     of_kind = (F.col("kind") != "") & F.contains(question, F.col("kind"))
     named = lambda c: F.size(_within(F.col(c), question))
-    parts = [
-        F.log1p(F.size(F.array_intersect("tokens", "sparse_tokens")).cast("double")), term_bonus(hit, long, short, cap),
-        named("tags") * TAG, named("roles") * ROLE, F.size(viewed) * VIEW, F.when(of_kind, KIND).otherwise(0.0), F.col("priority") * weight,
-    ]
     fields = _fields({names["detail"]: F.size(hit) > 0, names["tag"]: named("tags") > 0, names["role"]: named("roles") > 0, names["view"]: F.size(viewed) > 0, names["kind"]: of_kind}, names["sparse"])
-    return _explained(_best(questions, index, "sparse_compact", reduce(lambda a, b: a + b, parts), limit), questions, index, "sparse_compact", fields, template)
+    best = _best(questions, index, "sparse", SPARSE, limit, {"tags": TAG, "roles": ROLE, "kinds": KIND}, F.struct("tags", "roles", F.array("kind").alias("kinds")), "views", VIEW)
+    return _explained(best, questions, index, "sparse_compact", fields, template)
 
 
 def dense_text_hits(questions: DataFrame, index: DataFrame, limit: int, names: dict[str, str] = lexicon.FIELD_NAMES, template: str = lexicon.REASON) -> DataFrame:
     """As sparse_hits, over the dense text: what stands in for a vector search where there is none."""
-    long, short, cap, weight = DENSE
-    hit = F.col("hit")
-    phrase = _any_term(F.filter(hit, lambda t: F.length(t) >= LONG_TERM), F.col("dense_text"))
-    score = F.log1p(F.size(F.array_intersect("tokens", "dense_tokens")).cast("double")) + term_bonus(hit, long, short, cap) + F.when(phrase, PHRASE).otherwise(0.0) + F.col("priority") * weight
-    return _explained(_best(questions, index, "dense_compact", score, limit), questions, index, "dense_compact", dense_fields(hit, names), template)
+    best = _best(questions, index, "dense", DENSE, limit, phrases=F.array("dense_text"), phrase=PHRASE)
+    return _explained(best, questions, index, "dense_compact", dense_fields(F.col("hit"), names), template)
 
 
 def vector_hits(questions: DataFrame, index: DataFrame, scores: DataFrame, limit: int, names: dict[str, str] = lexicon.FIELD_NAMES, template: str = lexicon.REASON) -> DataFrame:
@@ -115,10 +106,99 @@ def _with_hit(rows: DataFrame, text: str) -> DataFrame:
     return rows.withColumn("hit", F.filter("terms", lambda t: F.contains(F.col(text), t)))
 
 
-def _best(questions: DataFrame, index: DataFrame, text: str, score: Column, limit: int) -> DataFrame:
-    """query_id, case_id, score, rank: every case meets every question inside its task; only these four columns are ranked and shuffled."""
-    rows = _with_hit(spread(index, "case_id").crossJoin(small_side(questions.withColumnRenamed("text", "question"))), text)
-    return ranked(rows.select("query_id", "case_id", F.round(score, 4).alias("score")), "query_id", "case_id", "score", limit).where("score > 0")
+class _Asked:
+    """A block of questions, by term, by token, and by what their texts contain."""
+
+    def __init__(self, rows: list, long: float, short: float):
+        import numpy as np
+
+        self.ids, self.texts = [r["query_id"] for r in rows], [r["text"] for r in rows]
+        self.terms = tuple(dict.fromkeys(t for r in rows for t in r["terms"] if t))
+        place = {t: i for i, t in enumerate(self.terms)}
+        self.of_term, self.of_token = [[] for _ in self.terms], {}
+        for n, r in enumerate(rows):
+            for t in dict.fromkeys(r["terms"]):
+                if t:
+                    self.of_term[place[t]].append(n)
+            for t in set(r["tokens"]):
+                self.of_token.setdefault(t, []).append(n)
+        self.of_term = [np.array(x, np.int64) for x in self.of_term]
+        self.of_token = {t: np.array(x, np.int64) for t, x in self.of_token.items()}
+        self.worth = np.array([long if len(t) >= LONG_TERM else short for t in self.terms])
+        self.long = np.array([len(t) >= LONG_TERM for t in self.terms], bool)
+        self.named: dict[str, object] = {}
+
+    def counted(self, lists: list, weights=None):
+        """Sum over questions of what each of the lists is worth (1)."""
+        import numpy as np
+
+        if not lists:
+            return np.zeros(len(self.ids))
+        return np.bincount(np.concatenate(lists), None if weights is None else np.repeat(weights, [len(x) for x in lists]), len(self.ids))
+
+    def naming(self, value: str):
+        """Which questions contain a value."""
+        import numpy as np
+
+        if value not in self.named:
+            if len(self.named) > 10_000:
+                self.named.clear()
+            self.named[value] = np.array([value in text for text in self.texts], float) if value else np.zeros(len(self.texts))
+        return self.named[value]
+
+
+def _best(questions: DataFrame, index: DataFrame, branch: str, worth: tuple[float, float, float, float], limit: int, lists: dict[str, float] | None = None, values: Column | None = None, phrases: Column | str | None = None, each: float = 0.0, phrase: float = 0.0) -> DataFrame:
+    """query_id, case_id, score, rank of the best cases by shared tokens, capped terms and priority; by what is in the question's text (lists: weights of
+    the arrays in `values`); by how many of the texts `phrases` hold a term that was found (`each`), or whether one holds a long one (`phrase`)."""
+    long, short, cap, weight = worth
+    lists = lists or {}
+    given = spread(index, "case_id").select("case_id", F.col(f"{branch}_compact").alias("compact"), F.col(f"{branch}_tokens").alias("tokens"), "priority", (values if values is not None else F.struct(F.lit(0))).alias("values"), (F.col(phrases) if isinstance(phrases, str) else phrases).alias("phrases"))
+    kinds = questions.schema["query_id"].dataType.simpleString(), index.schema["case_id"].dataType.simpleString()
+
+    def against(asked_rows: list) -> DataFrame:
+        def run(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            asked = _Asked(asked_rows, long, short)
+            best: list[tuple] = [(np.empty(0), np.empty(0)) for _ in asked.ids]
+
+            def scores(case: dict):
+                hits = found(asked.terms, case["compact"])
+                at = np.fromiter(hits, np.int64, len(hits))
+                total = np.log1p(asked.counted([asked.of_token[t] for t in case["tokens"] if t in asked.of_token])) + np.minimum(cap, asked.counted([asked.of_term[i] for i in at], asked.worth[at]))
+                for name, value in lists.items():
+                    for x in case["values"][name]:
+                        total = total + value * asked.naming(x)
+                seen = np.zeros(len(asked.ids))
+                for text in case["phrases"]:
+                    met = [i for i in found(asked.terms, text) & hits if not phrase or asked.long[i]]
+                    seen += asked.counted([asked.of_term[i] for i in met]) > 0
+                return total + (each * seen if each else phrase * (seen > 0)) + case["priority"] * weight
+
+            def keep(cases: list[dict]) -> None:
+                ids = np.array([c["case_id"] for c in cases], object if isinstance(cases[0]["case_id"], str) else None)
+                table = np.floor(np.array([scores(c) for c in cases]) * 1e4 + 0.5)
+                for q, (s, i) in enumerate(best):
+                    both, names = np.append(s, table[:, q]), np.append(i, ids) if len(i) else ids
+                    order = np.lexsort((names, -both))[:limit]
+                    best[q] = both[order], names[order]
+
+            for batch in batches:
+                rows = batch.to_pylist()
+                for at in range(0, len(rows), CASES):
+                    keep(rows[at : at + CASES])
+            for q, (s, i) in zip(asked.ids, best):
+                if len(s):
+                    yield pa.RecordBatch.from_pylist([{"query_id": q, "case_id": n, "score": float(x / 1e4)} for x, n in zip(s.tolist(), i.tolist())])
+
+        return given.mapInArrow(run, f"query_id {kinds[0]}, case_id {kinds[1]}, score double")
+
+    slim = questions.select("query_id", "text", "tokens", "terms")
+    blocks = max(1, -(-questions.count() // QUESTIONS))
+    of_block = [slim.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).collect() for n in range(blocks)]
+    rows = reduce(lambda a, b: a.union(b), [against([r.asDict() for r in block]) for block in of_block])
+    return ranked(rows, "query_id", "case_id", "score", limit).where("score > 0")
 
 
 def _explained(best: DataFrame, questions: DataFrame, index: DataFrame, text: str, fields: Column, template: str) -> DataFrame:

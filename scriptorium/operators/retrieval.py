@@ -131,10 +131,14 @@ def expanded(hits: DataFrame, members: DataFrame, query: str = "query_id", item:
 
 def excerpt(sentences: Column, terms: Column, around: int = 1) -> Column:
     """The first sentence with the first term that any has (terms longest first), and its neighbours; the first sentence if none."""
-    hit = F.get(F.filter(terms, lambda t: F.exists(sentences, lambda s: F.contains(s, t))), F.lit(0))
-    place = F.array_position(F.transform(sentences, lambda s: F.contains(s, hit)), F.lit(True))
-    window = F.slice(sentences, F.greatest(place - around, F.lit(1)).cast("int"), (F.least(place - 1, F.lit(around)) + around + 1).cast("int"))
-    return F.when(hit.isNull(), F.get(sentences, F.lit(0))).otherwise(F.array_join(window, " "))
+    def shown(given: Column, hit: Column) -> Column:
+        place = F.array_position(F.transform(given["s"], lambda s: F.contains(s, hit)), F.lit(True))
+        window = F.slice(given["s"], F.greatest(place - around, F.lit(1)).cast("int"), (F.least(place - 1, F.lit(around)) + around + 1).cast("int"))
+        return F.when(hit.isNull(), F.get(given["s"], F.lit(0))).otherwise(F.array_join(window, " "))
+
+    # An expression inside a lambda is worked out for each element, so what is looked through and what was found are bound to values first.
+    bound = F.transform(F.array(F.struct(sentences.alias("s"), terms.alias("t"))), lambda x: F.struct(x.alias("x"), F.get(F.filter(x["t"], lambda t: F.exists(x["s"], lambda s: F.contains(s, t))), F.lit(0)).alias("hit")))
+    return F.get(F.transform(bound, lambda y: shown(y["x"], y["hit"])), F.lit(0))
 
 
 def matched(text: Column, terms: Iterable[str], limit: int = 6) -> Column:

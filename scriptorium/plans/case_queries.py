@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as X
 from scriptorium.functions import tokens as T
-from scriptorium.operators import case_merging, cases, intent, retrieval, sections
+from scriptorium.operators import case_merging, cases, intent, patterns, postings, retrieval, sections
 
 from . import workflow
-from .catalogue import INTENT, MARKERS, _VECTORS, _any, query, table
+from .catalogue import INTENT, MARKERS, _VECTORS, _any, document_index, query, table, word_array
 
 NAMES = {"detail": "detail", "tag": "tag", "role": "role", "view": "view", "kind": "kind", "sparse": "words", "pattern": "pattern", "title": "title", "dense": "meaning"}
 TERM_NOISE = ["that", "with", "the", "and"]
@@ -146,12 +146,12 @@ def dense_best_per_item(spark, sf_dir):
 SELECT query_id, item_id, 0::INTEGER AS branch FROM held UNION ALL SELECT query_id, item_id, 1 FROM t""")
 def search_with_fallback(spark, sf_dir):
     """Documents that hold the whole question; for questions without one, those that share most tokens."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lower("text").alias("needle"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lower("text").alias("pattern"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.lower("text").alias("hay"))
-    whole = docs.join(retrieval.small_side(items), F.contains("hay", F.col("needle"))).select("query_id", "item_id", F.lit(1).alias("score"))
-    tokens = items.select("query_id", T.tokens(F.col("needle")).alias("tokens"))
-    shared = retrieval.lexical_scores(tokens, docs.select("item_id", T.tokens(F.col("hay")).alias("tokens"), F.lit(0.0).alias("priority")))
-    branches = [retrieval.ranked(whole, "query_id", "item_id", "score", 4), retrieval.ranked(shared.withColumn("score", F.col("overlap")), "query_id", "item_id", "score", 4)]
+    whole = patterns.contained(docs, "item_id", "hay", items, "pattern").join(items, "pattern").select("query_id", "item_id", F.lit(1).alias("score"))
+    words = items.select("query_id", F.array_distinct(word_array("pattern")).alias("terms"))
+    shared = postings.overlaps(words, document_index(spark, sf_dir), 4)["overlap"]
+    branches = [retrieval.ranked(whole, "query_id", "item_id", "score", 4), shared]
     return retrieval.first_with_hits([rows.select("query_id", "item_id") for rows in branches]).select("query_id", "item_id", "branch")
 
 

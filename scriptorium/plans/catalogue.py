@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as X
 from scriptorium.functions import tokens as T
-from scriptorium.operators import audit, chunking, extraction, intent, merging, ordering, postings, report, retrieval, sections, tagging
+from scriptorium.operators import audit, chunking, extraction, intent, merging, ordering, patterns, postings, report, retrieval, sections, tagging
 from scriptorium.sources import files
 from scriptorium.streaming import append
 
@@ -180,20 +180,11 @@ def near_dup_pairs(spark, sf_dir):
 
 @query("SELECT item_id, count(doc_id) AS documents, min(doc_id) AS first_doc FROM benchmark LEFT JOIN documents ON contains(lower(documents.text), lower(benchmark.text)) GROUP BY item_id")
 def benchmark_containment(spark, sf_dir):
-    """The containment join of section 2.8: documents that hold a whole benchmark text. The longest inner word of a text makes it an equality join on
-    (document, word); the containment itself is checked on the texts of the documents that are left."""
+    """The containment join of section 2.8: documents that hold a whole benchmark text, by one automaton over all of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("hay"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("needle"))
-    words = lambda c: F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0))
-    inner = items.withColumn("w", words(F.col("needle")))
-    # An inner word of the item (one with a blank on both sides) is a whole word of any document that contains the item.
-    best = F.array_max(F.transform(F.slice(F.col("w"), F.lit(2), F.greatest(F.size("w") - 2, F.lit(0))), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    inner = inner.withColumn("word", best)
-    long = inner.where("word is not null").select("item_id", "needle", "word")
-    met = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("hay")))).alias("word")).join(retrieval.small_side(long.select("item_id", "word")), "word").drop("word")
-    by_word = docs.join(met.join(long.select("item_id", "needle"), "item_id"), "doc_id").where(F.contains("hay", F.col("needle"))).select("item_id", "doc_id")
-    short = docs.join(retrieval.small_side(inner.where("word is null")), F.contains("hay", F.col("needle"))).select("item_id", "doc_id")
-    return items.join(by_word.union(short), "item_id", "left").groupBy("item_id").agg(F.count("doc_id").alias("documents"), F.min("doc_id").alias("first_doc"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("pattern"))
+    held = patterns.contained(docs, "doc_id", "hay", items, "pattern").groupBy("pattern").agg(F.count("doc_id").alias("n"), F.min("doc_id").alias("first"))
+    return items.join(held, "pattern", "left").groupBy("item_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("documents"), F.min("first").alias("first_doc"))
 
 
 @query("""SELECT doc_id, s AS start, length(substring(text, s::BIGINT + 1, 1400))::INTEGER AS chars, md5(substring(text, s::BIGINT + 1, 1400)) AS text_md5

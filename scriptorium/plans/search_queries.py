@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as X
-from scriptorium.operators import postings, tagging
+from scriptorium.operators import postings, retrieval, tagging
+from scriptorium.streaming import append
+
+from . import workflow
 
 from .catalogue import EVENTS, TOPICS, document_index, query, table, word_array
 
@@ -53,3 +56,44 @@ def label_recall(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), labels().alias("terms"))
     of = postings.index(table(spark, sf_dir, "documents"), "doc_id", labels(), "labels")
     return postings.by_label(asked, of, 8, {"event:": 1.0, "topic:": 0.6})
+
+
+#: Latin stand-ins for the groups of words in which a question may be put anew.
+EXPANSIONS = [(["der", "die"], ["und", "der", "die", "von"]), (["les", "que"], ["les", "de", "que"]), (["the", "and"], ["the", "of", "and", "to"])]
+#: Share of a question's words that an answer must hold.
+ENOUGH = 0.7
+_PUT_ANEW = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(text, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{' '.join(other)}'" for words, other in EXPANSIONS) + " ELSE text END"
+
+
+def _attempt(name: str, asked: str) -> str:
+    return rf"""
+  {name}_words AS (SELECT query_id, unnest(list_distinct({_WORDS})) AS token, len(list_distinct({_WORDS})) AS n FROM {asked}),
+  {name}_shared AS (SELECT query_id, item_id, count(*) AS overlap FROM {name}_words JOIN (SELECT DISTINCT doc_id AS item_id, unnest({_WORDS}) AS token FROM documents) USING (token) GROUP BY ALL),
+  {name}_best AS (SELECT * FROM {name}_shared QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, item_id) = 1),
+  {name} AS (SELECT a.query_id, b.item_id, coalesce(b.overlap, 0) AS overlap, coalesce(b.overlap, 0) >= {ENOUGH}::DOUBLE * len(list_distinct({_WORDS})) AND b.item_id IS NOT NULL AS passed FROM {asked} a LEFT JOIN {name}_best b USING (query_id))"""
+
+
+@query(f"""WITH asked AS (SELECT item_id AS query_id, text FROM benchmark), {_attempt("one", "asked")},
+  anew AS (SELECT query_id, {_PUT_ANEW} AS text FROM asked JOIN one USING (query_id) WHERE NOT passed), {_attempt("two", "anew")}
+SELECT query_id, item_id, overlap, passed, 1::INTEGER AS attempts FROM one WHERE passed UNION ALL SELECT query_id, item_id, overlap, passed, 2 FROM two""")
+def retried_answers(spark, sf_dir):
+    """Benchmark texts answered by the document that holds most of their words; those without one that holds enough are put in other words and asked once more."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.array_distinct(word_array("text")).alias("tokens"))
+    of = document_index(spark, sf_dir)
+
+    def attempt(rows: DataFrame, turn: int) -> DataFrame:
+        best = postings.overlaps(rows.select("query_id", F.col("tokens").alias("terms")), of, 1)["overlap"].select("query_id", "item_id", "overlap")
+        held = F.coalesce(F.col("overlap"), F.lit(0)).cast("long")
+        return rows.join(best, "query_id", "left").select("query_id", "item_id", held.alias("overlap"), (F.col("item_id").isNotNull() & (held >= ENOUGH * F.size("tokens"))).alias("passed"))
+
+    anew = lambda rows, turn: workflow.rewritten(rows.withColumn("text", F.coalesce("text", F.lit(""))), EXPANSIONS, most=1)
+    return workflow.retried(asked, attempt, anew)
+
+
+@query("""WITH e AS (SELECT user_id, ts, value, coalesce(ts > lag(ts) OVER w + INTERVAL 6 HOUR, TRUE)::INT AS new FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, new DESC ROWS UNBOUNDED PRECEDING) AS s FROM e)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n, round(sum(value), 2) AS value FROM s GROUP BY user_id, s""")
+def user_sessions(spark, sf_dir):
+    """Session windows over the events of a user, six hours apart; the stream form is the same function."""
+    found = append.sessions(table(spark, sf_dir, "events"), "ts", ["user_id"], "6 hours", sums={"value": F.col("value")})
+    return found.withColumn("value", F.round("value", 2))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions import lexicon
 from scriptorium.functions import tokens as T
 from scriptorium.operators import intent, report, retrieval
+from scriptorium.sources.store import durable
 
 
 def answered(questions: DataFrame, cases: DataFrame, members: DataFrame, limit: int = 4, per_item: int = 2, in_all: int = 6, pattern: str = T.LATIN_TOKEN, vocabulary=intent.VOCABULARY, rerank: DataFrame | None = None) -> DataFrame:
@@ -37,14 +41,47 @@ def answered(questions: DataFrame, cases: DataFrame, members: DataFrame, limit:
     return out.select("query_id", "intent", "scene", "queries", "conflicts", "constraints", "cases", "evidence", "diagram", "notes", "passed")
 
 
-def routed(questions: DataFrame, look_ups: dict[str, DataFrame], case_hits: DataFrame, members: DataFrame, limit: int = 4, per_item: int = 2, in_all: int = 6, attempts: int = 2) -> DataFrame:
+def retried(questions: DataFrame, attempt: Callable[[DataFrame, int], DataFrame], rewrite: Callable[[DataFrame, int], DataFrame], turns: int = 2, query: str = "query_id") -> DataFrame:
+    """The answers of attempt(questions, turn) with the turn they are from (`attempts`). Those that did not pass are asked again, as rewrite(questions, turn) puts
+    them, `turns` times in all; the last answer stays, passed or not.
+
+    attempt gives one row a question with `passed`. A turn works on the open questions alone; its answers and the next questions are written to the
+    shared folder, so a turn is done once. Ends early when nothing is open. Questions have an id of their own that is not null.
+    """
+    asked, out = questions, None
+    for turn in range(1, turns + 1):
+        got = durable(attempt(asked, turn).withColumn("attempts", F.lit(turn)))
+        done = got if turn == turns else got.where("passed")
+        out = done if out is None else out.unionByName(done)
+        if turn < turns:
+            asked = durable(rewrite(asked.join(got.where("not passed").select(query), query, "left_semi"), turn))
+            if asked.isEmpty():
+                break
+    return out
+
+
+def rewritten(questions: DataFrame, table=lexicon.EXPANSIONS, pattern: str = T.LATIN_TOKEN, most: int = 3) -> DataFrame:
+    """questions with `text` and `tokens` of the words that its expansion groups stand for; those that no group meets stay as they are."""
+    other = intent.expansions(F.col("text"), table, most)
+    text = F.when(F.size(other) > 0, F.array_join(other, " ")).otherwise(F.col("text"))
+    return questions.withColumn("text", text).withColumn("tokens", T.tokens(F.lower("text"), pattern))
+
+
+def routed(questions: DataFrame, look_ups: dict[str, DataFrame], case_hits: DataFrame, members: DataFrame, limit: int = 4, per_item: int = 2, in_all: int = 6, attempts: int = 2, expansions=lexicon.EXPANSIONS) -> DataFrame:
     """query_id, intent, items, evidence, passed and attempts: each question answered by the branch that its intent names.
 
     questions: query_id, text, tokens, intent. look_ups: corpora (item_id, tokens, priority) by the intent of the questions that look something
     up in them; their hits are the evidence themselves. Questions of intent `analysis` take case_hits (query_id, case_id, score, rank) and
     expand them to members (item_id, members). Others, out of scope, retrieve nothing and pass. An answer without evidence does not
-    pass, and is attempted again, `attempts` times in all.
+    pass; a look-up without one is asked again in the words of its expansions, `attempts` times in all.
     """
+    case_hits = durable(case_hits.where(F.col("rank") <= limit))  # a few a question; every turn needs them
+    ask = lambda asked, _: _routed(asked, look_ups, case_hits, members, limit, per_item, in_all)
+    return retried(questions, ask, lambda asked, _: rewritten(asked, expansions), attempts)
+
+
+def _routed(questions: DataFrame, look_ups: dict[str, DataFrame], case_hits: DataFrame, members: DataFrame, limit: int, per_item: int, in_all: int) -> DataFrame:
+    """One turn of routed()."""
     found = []
     for of, corpus in look_ups.items():
         asked = questions.where(F.col("intent") == of).select("query_id", "tokens")
@@ -61,5 +98,4 @@ def routed(questions: DataFrame, look_ups: dict[str, DataFrame], case_hits: Data
     lists = every.groupBy("query_id").agg(listed("rank", "item").alias("items"), listed("place", "member").alias("evidence"))
     none = F.array().cast("array<string>")
     out = questions.select("query_id", "intent").join(lists, "query_id", "left").withColumns({"items": F.coalesce("items", none), "evidence": F.coalesce("evidence", none)})
-    out = out.withColumn("passed", ~F.col("intent").isin("analysis", *look_ups) | (F.size("evidence") > 0))
-    return out.withColumn("attempts", F.when(F.col("passed"), 1).otherwise(attempts))
+    return out.withColumn("passed", ~F.col("intent").isin("analysis", *look_ups) | (F.size("evidence") > 0))
