@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as X
-from scriptorium.operators import postings, retrieval, tagging
+from scriptorium.operators import evidence, postings, tagging
 from scriptorium.streaming import append
 
 from . import workflow
 
-from .catalogue import EVENTS, TOPICS, document_index, query, table, word_array
+from .catalogue import EVENTS, SCENES, TOPICS, document_index, query, table, word_array
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(word_array("text")).alias("terms"))
@@ -97,3 +97,88 @@ def user_sessions(spark, sf_dir):
     """Session windows over the events of a user, six hours apart; the stream form is the same function."""
     found = append.sessions(table(spark, sf_dir, "events"), "ts", ["user_id"], "6 hours", sums={"value": F.col("value")})
     return found.withColumn("value", F.round("value", 2))
+
+
+def _first(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return postings.bm25(questions(spark, sf_dir), document_index(spark, sf_dir), k)
+
+
+@query(f"""WITH {_BM25}, hits AS (SELECT query_id, item_id, score, source AS chapter FROM bm25 JOIN documents ON doc_id = item_id WHERE rank <= 16),
+  m AS (SELECT *, coalesce((item_id - lag(item_id) OVER w > 60)::INT, 1) AS new FROM hits WINDOW w AS (PARTITION BY query_id, chapter ORDER BY item_id)),
+  n AS (SELECT *, sum(new) OVER (PARTITION BY query_id, chapter ORDER BY item_id ROWS UNBOUNDED PRECEDING) AS span FROM m),
+  s AS (SELECT query_id, chapter, min(item_id) AS first, max(item_id) AS last, count(*) AS hits, max(score) AS best FROM n GROUP BY query_id, chapter, span),
+  f AS (SELECT *, round(best * pow(0.8::DOUBLE, row_number() OVER (PARTITION BY query_id, chapter ORDER BY best DESC, first) - 1), 4) AS faded FROM s)
+SELECT query_id, chapter, first, last, hits, faded, row_number() OVER (PARTITION BY query_id ORDER BY faded DESC, first)::INTEGER AS rank FROM f QUALIFY rank <= 4""")
+def spanned_hits(spark, sf_dir):
+    """Adjacent hits of a chapter (here a source; sixty ordinals apart at most) joined, and further spans of a chapter held back."""
+    chapters = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("source").alias("chapter"))
+    found = evidence.spans(_first(spark, sf_dir, 16).join(chapters, "item_id"), "chapter", "item_id", gap=60)
+    return evidence.diverse(found, "chapter", "best", "first", 4).select("query_id", "chapter", "first", "last", "hits", "faded", "rank")
+
+
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null")
+    keys = F.array_compact(F.array(F.col("source"), F.concat(F.col("lang"), F.lit(":"), F.floor(F.col("doc_id") / 64).cast("string"))))
+    return docs.select(F.col("doc_id").alias("chunk_id"), F.explode(keys).alias("section")).distinct()
+
+
+@query(f"""WITH RECURSIVE {_BM25}, links AS (SELECT DISTINCT doc_id AS chunk_id, unnest(list_filter([source, lang || ':' || (doc_id // 64)], lambda x: x IS NOT NULL)) AS section FROM documents),
+  doors AS (SELECT * FROM links WHERE section IN (SELECT section FROM links GROUP BY section HAVING count(*) <= 40)),
+  walk AS (SELECT query_id, item_id AS chunk_id, 0 AS hop FROM bm25 WHERE rank <= 2 UNION SELECT w.query_id, b.chunk_id, w.hop + 1 FROM walk w JOIN doors a ON a.chunk_id = w.chunk_id JOIN doors b ON b.section = a.section WHERE w.hop < 2),
+  reached AS (SELECT query_id, chunk_id, min(hop) AS hop FROM walk GROUP BY ALL),
+  keys AS (SELECT query_id, count(DISTINCT section) AS sections, md5(string_agg(DISTINCT section, ',' ORDER BY section)) AS sections_md5 FROM reached JOIN links USING (chunk_id) GROUP BY query_id)
+SELECT query_id, string_agg(chunk_id::VARCHAR, ',' ORDER BY chunk_id) FILTER (hop = 0) AS seeds, count(*) FILTER (hop > 0) AS expanded, md5(coalesce(string_agg(chunk_id::VARCHAR, ',' ORDER BY hop, chunk_id) FILTER (hop > 0), '')) AS expanded_md5, coalesce(any_value(sections), 0) AS sections, coalesce(any_value(sections_md5), md5('')) AS sections_md5
+FROM reached LEFT JOIN keys USING (query_id) GROUP BY query_id""")
+def evidence_bundles(spark, sf_dir):
+    """Evidence across volumes: the two best documents of each benchmark text and what is within two steps of them through shared sections that are no hubs."""
+    seeds = _first(spark, sf_dir, 2).select("query_id", F.col("item_id").alias("chunk_id"))
+    sections = _sections(spark, sf_dir)
+    found = evidence.bundles(evidence.bundled(seeds, sections, hops=2, hub=40), sections)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return found.select("query_id", joined("seeds").alias("seeds"), F.size("expanded").cast("long").alias("expanded"), F.md5(joined("expanded")).alias("expanded_md5"), F.size("sections").cast("long").alias("sections"), F.md5(joined("sections")).alias("sections_md5"))
+
+
+def _scene_sql(text: str) -> str:
+    told = ", ".join(f"{{'n': {' + '.join(f'contains({text}, {chr(39)}{w}{chr(39)})::INT' for w in ws)}, 'name': '{name}'}}" for name, ws in SCENES.items())
+    return f"(SELECT CASE WHEN m.n > 0 THEN m.name ELSE 'none' END FROM (SELECT list_max([{told}]) AS m))"
+
+
+@query(f"""WITH {_BM25}, q AS (SELECT item_id AS query_id, {_labels_sql("coalesce(text, '')")} AS asked, {_scene_sql("text")} AS scene FROM benchmark),
+  d AS (SELECT doc_id AS item_id, {_labels_sql("coalesce(text, '')")} AS held, {_scene_sql("text")} AS scene, source, lang, n_chars % 10 / 10.0::DOUBLE AS priority FROM documents),
+  first AS (SELECT query_id, item_id, score, rank, round(score / max(score) OVER (PARTITION BY query_id), 4) AS likeness FROM bm25 WHERE rank <= 16),
+  f AS (SELECT first.*, (q.scene = d.scene)::INT::DOUBLE AS scene, round(len(list_intersect(asked, held)) / greatest(len(asked), 1)::DOUBLE, 4) AS labels, (((source IS NOT NULL)::INT + (lang IS NOT NULL)::INT) / 2)::DOUBLE AS coverage, round(priority, 4) AS priority FROM first JOIN q USING (query_id) JOIN d USING (item_id)),
+  s AS (SELECT *, round(likeness * 0.5::DOUBLE + scene * 0.15::DOUBLE + labels * 0.15::DOUBLE + coverage * 0.1::DOUBLE + priority * 0.1::DOUBLE, 6) AS second FROM f)
+SELECT query_id, item_id, likeness, scene, labels, coverage, priority, second, row_number() OVER (PARTITION BY query_id ORDER BY second DESC, rank, item_id)::INTEGER AS place FROM s QUALIFY place <= 4""")
+def second_stage_rank(spark, sf_dir):
+    """Second ranking: the first hits by likeness, scene, labels, covered sections and priority, weighted."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), labels().alias("asked"), tagging.best_group(F.col("text"), SCENES, "none").alias("asked_scene"))
+    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), labels().alias("held"), tagging.best_group(F.col("text"), SCENES, "none").alias("held_scene"), F.array_compact(F.array("source", "lang")).alias("sections"), (F.col("n_chars") % 10 / 10).alias("worth"))
+    hits = _first(spark, sf_dir, 16)
+    rows = items.join(F.broadcast(hits), "item_id").join(F.broadcast(asked), "query_id")  # 16 rows a question, and the questions
+    features = {
+        "likeness": (evidence.share_of_best(), 0.5), "scene": ((F.col("asked_scene") == F.col("held_scene")).cast("double"), 0.15),
+        "labels": (F.size(F.array_intersect("asked", "held")) / F.greatest(F.size("asked"), F.lit(1)), 0.15), "coverage": (F.size("sections") / 2, 0.1), "priority": (F.col("worth"), 0.1),
+    }
+    return evidence.reordered(rows, features, 4).select("query_id", "item_id", *features, "second", "place")
+
+
+#: Latin stand-ins for the label pools of perspectives.
+POOLS = [("manager", "the"), ("manager", "and"), ("manager", "les"), ("subordinate", "der"), ("subordinate", "und"), ("subordinate", "que"), ("peer", "con"), ("peer", "los"), ("peer", "of"), ("observer", "ing"), ("observer", "tion"), ("observer", "ment")]
+
+
+def _votes(name: str, of: str, text: str) -> str:
+    return f"""
+  {name}_votes AS (SELECT x.id, perspective, count(*) AS n, array_to_string(list_sort(list(term))[1:3], ',') AS terms FROM ({of}) x JOIN pools ON contains(x.text, term) GROUP BY ALL),
+  {name} AS (SELECT id, CASE WHEN round(max(n) / sum(n)::DOUBLE, 4) >= 0.4 THEN arg_min(perspective, {{'n': -n, 'p': perspective}}) ELSE 'unknown' END AS perspective, round(max(n) / sum(n)::DOUBLE, 4) AS confidence, arg_min(terms, {{'n': -n, 'p': perspective}}) AS reason FROM {name}_votes GROUP BY id)"""
+
+
+@query(f"""WITH {_BM25}, pools(perspective, term) AS (VALUES {", ".join(f"('{p}', '{t}')" for p, t in POOLS)}), {_votes("asked_by", "SELECT item_id AS id, text FROM benchmark", "text")}, {_votes("held_by", "SELECT doc_id AS id, text FROM documents", "text")},
+  h AS (SELECT b.query_id, b.item_id, b.rank, coalesce(a.perspective, 'unknown') AS perspective, coalesce(a.confidence, 0) AS confidence, coalesce(a.reason, '') AS reason, coalesce(a.perspective <> 'unknown' AND a.perspective = coalesce(d.perspective, 'unknown'), FALSE) AS matched
+    FROM bm25 b LEFT JOIN asked_by a ON a.id = b.query_id LEFT JOIN held_by d ON d.id = b.item_id WHERE b.rank <= 8)
+SELECT query_id, item_id, rank::INTEGER AS rank, perspective, confidence, reason, matched FROM h QUALIFY matched OR NOT bool_or(matched) OVER (PARTITION BY query_id)""")
+def perspective_hits(spark, sf_dir):
+    """Perspectives by label pools, of questions and documents; hits of the question's perspective, or all where there is none."""
+    pools = spark.createDataFrame(POOLS, "perspective string, term string")
+    asked = evidence.perspectives(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id", "text", pools, least=0.4)
+    items = evidence.perspectives(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text"), "item_id", "text", pools, least=0.4)
+    return evidence.of_perspective(_first(spark, sf_dir, 8), asked, items).join(asked, "query_id").select("query_id", "item_id", "rank", "perspective", "confidence", "reason", "matched")
