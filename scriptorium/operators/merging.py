@@ -10,10 +10,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from scriptorium.functions import lexicon
 from scriptorium.functions import tokens as T
 from scriptorium.functions.text import comparable, contains_any, unique_filled
+from scriptorium.sources.store import durable
 
 UNKNOWN_ORDINAL = 10**9
 
@@ -97,26 +99,94 @@ def merge_pairs(rows: DataFrame, order: str, section: str, grams: str, block: li
     return told.where((F.col("similarity") >= near) | (F.col("overlap") & (F.col("similarity") >= overlapping))).select("a", "b", "overlap", F.round("similarity", 6).alias("similarity"))
 
 
+def _grams(text: str) -> set[str]:
+    return {text} if 0 < len(text) <= 2 else {text[i : i + 2] for i in range(len(text) - 1)}
+
+
+def _folded(rows: list[tuple], kept: list[tuple], look_back: int, threshold: float) -> tuple[list, list[tuple]]:
+    """Into which ordinal each (ordinal, text) merges, given the (ordinal, text) rows kept before; and the last ones kept."""
+    last = [(o, t, _grams(t)) for o, t in kept]
+    into = []
+    for o, t in rows:
+        grams = _grams(t)
+        near = lambda g: grams and g and min(len(grams), len(g)) >= threshold * max(len(grams), len(g)) and len(grams & g) / len(grams | g) >= threshold  # noqa: B023, E731
+        found = next((k for k in reversed(last) if near(k[2])), None)
+        into.append(o if found is None else found[0])
+        if found is None:
+            last = [*last, (o, t, grams)][-look_back:]
+    return into, [(o, t) for o, t, _ in last]
+
+
 def folded_near_duplicates(rows: DataFrame, group: str, order: str, text: str, look_back: int = 5, threshold: float = 0.82) -> DataFrame:
     """group, order, merged_into: each row of a group, in order, merges into the nearest of the last `look_back` kept rows that is
-    similar enough, else it is kept (merged_into = order). The fold is Python over one ordered group at a time."""
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[int, set]] = []
-        into = []
-        pdf = pdf.sort_values(order)
-        for o, t in zip(pdf[order], pdf["__c"]):
-            grams = {t} if 0 < len(t) <= 2 else {t[i : i + 2] for i in range(len(t) - 1)}
-            found = next((k for k, g in reversed(kept[-look_back:]) if grams and g and len(grams & g) / len(grams | g) >= threshold), None)
-            if found is None:
-                kept.append((o, grams))
-            into.append(o if found is None else found)
-        return pd.DataFrame({group: pdf[group], order: pdf[order], "merged_into": into})
+    similar enough, else it is kept (merged_into = order).
 
+    Rows are dealt by ranges of (group, order), so a group of any size is spread over tasks. The fold of a piece depends on what came before by the last
+    `look_back` kept rows alone. Groups that lie in several partitions are folded in rounds: all their pieces at once, each with what the piece before it kept in
+    the last round, until no piece hands on anything new. After n rounds the first n pieces are right; as a piece that keeps `look_back` rows of its own seldom passes on a
+    change, few rounds do. Between rounds `look_back` rows a piece, at most two pieces a partition, come to the driver. Equal ordinals go by a digest of the text. Null groups and ordinals come first.
+    """
     kinds = dict(rows.dtypes)
-    ready = rows.select(group, order, comparable(F.col(text)).alias("__c"))
-    return ready.groupBy(group).applyInPandas(fold, f"{group} {kinds[group]}, {order} {kinds[order]}, merged_into {kinds[order]}")
+    keys = [F.col("g").asc_nulls_first(), F.col("o").asc_nulls_first(), F.md5("t"), F.col("row")]
+    slim = rows.select(F.col(group).alias("g"), F.col(order).alias("o"), comparable(F.col(text)).alias("t"), F.monotonically_increasing_id().alias("row"))
+    dealt = durable(slim.repartitionByRange(*keys).sortWithinPartitions(*keys).select("g", "o", "t", F.spark_partition_id().alias("part")))
+    known = F.struct(F.col("g").isNotNull().alias("known"), "g")
+    edges = sorted(dealt.groupBy("part").agg(F.min(known)["g"].alias("first"), F.max(known)["g"].alias("last")).collect())  # one short row a partition
+    cut = {b["first"] for a, b in zip(edges, edges[1:]) if a["last"] == b["first"]}
+
+    def pieces(batches):
+        key, held = None, []
+        for batch in batches:
+            for g, o, t, part in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and (part, g) != key:
+                    yield key, held
+                    held = []
+                key = part, g
+                held.append((o, t or ""))
+        if held:
+            yield key, held
+
+    def last_kept(of: DataFrame, before: dict) -> dict:
+        def run(batches):
+            import pyarrow as pa
+
+            for (part, g), held in pieces(batches):
+                _, last = _folded(held, before.get((part, g), []), look_back, threshold)
+                yield pa.RecordBatch.from_pylist([{"part": part, "g": g, "os": [o for o, _ in last], "ts": [t for _, t in last]}], pa.schema([("part", pa.int32()), ("g", of_group), ("os", pa.list_(of_order)), ("ts", pa.list_(pa.string()))]))
+
+        of_group, of_order = (to_arrow_type(of.schema[c].dataType) for c in "go")
+        return {(r["part"], r["g"]): list(zip(r["os"], r["ts"])) for r in of.mapInArrow(run, f"part int, g {kinds[group]}, os array<{kinds[order]}>, ts array<string>").collect()}
+
+    before: dict = {}
+    if cut:
+        spark = rows.sparkSession
+        named = F.broadcast(spark.createDataFrame([(g,) for g in cut], f"__g {kinds[group]}"))  # fewer than partitions
+        own = dealt.join(named, F.col("g").eqNullSafe(F.col("__g")), "left_semi")
+        after = last_kept(own, {})
+        following = {p: n for g in cut for parts in [sorted(p for p, h in after if h == g)] for p, n in zip([(x, g) for x in parts], [(x, g) for x in parts[1:]])}
+        while True:
+            changed = {n for p, n in following.items() if before.get(n, []) != after[p]}
+            if not changed:
+                break
+            before |= {n: after[p] for p, n in following.items() if n in changed}
+            some = F.broadcast(spark.createDataFrame(list(changed), f"__part int, __g {kinds[group]}"))
+            after |= last_kept(own.join(some, (F.col("part") == F.col("__part")) & F.col("g").eqNullSafe(F.col("__g")), "left_semi"), before)
+
+    def fold(batches):
+        import pyarrow as pa
+
+        out: list[tuple] = []
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, types)], names=[group, order, "merged_into"])
+        for (part, g), held in pieces(batches):
+            into, _ = _folded(held, before.get((part, g), []), look_back, threshold)
+            out += [(g, o, x) for (o, _), x in zip(held, into)]
+            if len(out) >= 10_000:
+                yield made()
+                out = []
+        yield made()
+
+    types = tuple(to_arrow_type(dealt.schema[c].dataType) for c in "goo")
+    return dealt.mapInArrow(fold, f"{group} {kinds[group]}, {order} {kinds[order]}, merged_into {kinds[order]}")
 
 
 def merged_actors(rows: DataFrame, key: str, name: str = "name", role: str = "role", order: str = "position", most: int = 5) -> DataFrame:
