@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from scriptorium.functions.text import filled_template, numbered, safe_double, slug, text_or_empty, unique_filled
 
@@ -55,6 +56,88 @@ def answered(rows: DataFrame, model: Callable[[list[str]], list[str]], prompt: s
     return rows.withColumn("__a", call.asNondeterministic()(F.col(prompt))).withColumns({"answer": F.col("__a.answer"), "error": F.col("__a.error")}).drop("__a")
 
 
+def parsed_object(answer: str) -> dict:
+    """The JSON object in an answer, as json_text finds it; raises where there is none."""
+    import json
+    import re
+
+    bare = re.sub(r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", "", answer or "").strip(" ")
+    inner = bare if bare.startswith("{") and bare.endswith("}") else (re.search(r"(?s)\{.*\}", bare) or [""])[0]
+    found = json.loads(inner)
+    if not isinstance(found, dict):
+        raise ValueError("not an object")
+    return found
+
+
+def answered_together(rows: DataFrame, model: Callable[[list[str]], list[str]], prompt: str = "prompt", tries: int = 3, concurrency: int = 4, check: Callable[[str], object] = parsed_object) -> DataFrame:
+    """rows with answer, error_type, error and tries: a task asks the model for up to `concurrency` rows at once, and again, up to `tries` times in all, for those alone whose call
+    failed or whose answer check() does not accept. The last answer is kept with its error.
+
+    model is called from several threads. A null prompt is not asked: answer null, tries 0, error_type NoPrompt. A task works through its rows in windows, so few answers are in memory.
+    """
+    kinds = rows.schema
+
+    def run(batches):
+        from concurrent.futures import ThreadPoolExecutor
+
+        import pyarrow as pa
+
+        def ask(text: str) -> tuple[str | None, str | None, str | None]:
+            answer = None
+            try:
+                answer = model([text])[0]
+                check(answer)
+            except Exception as e:  # noqa: BLE001  whatever a client or its answer raises is data here
+                return answer, type(e).__name__, str(e)
+            return answer, None, None
+
+        with ThreadPoolExecutor(max_workers=concurrency) as pool:
+            for batch in batches:
+                texts = batch.column(batch.schema.get_field_index(prompt)).to_pylist()
+                for at in range(0, len(texts), 16 * concurrency):
+                    part = texts[at : at + 16 * concurrency]
+                    found = [(None, "NoPrompt", "no prompt")] * len(part)
+                    times = [0] * len(part)
+                    left = [i for i, text in enumerate(part) if text is not None]
+                    for _ in range(tries):
+                        for i, told in zip(left, pool.map(ask, [part[i] for i in left])):
+                            found[i], times[i] = told, times[i] + 1
+                        left = [i for i in left if found[i][1] is not None]
+                    window = batch.slice(at, len(part))
+                    more = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.string()), pa.array(times, pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*window.columns, *more], names=[*window.schema.names, "answer", "error_type", "error", "tries"])
+
+    fresh = rows.drop("answer", "error_type", "error", "tries")
+    return fresh.mapInArrow(run, StructType([*[f for f in kinds.fields if f.name not in ("answer", "error_type", "error", "tries")], *StructType.fromDDL("answer string, error_type string, error string, tries int").fields]))
+
+
+def extraction_run(asked: DataFrame, model: Callable[[list[str]], list[str]], folder: str, chunk: str = "chunk_id", tries: int = 3, concurrency: int = 4) -> DataFrame:
+    """One run over the chunks that no earlier run in `folder` finished: answers, accepted cases, errors and a summary, each appended to a table there. Returns the summary row.
+
+    Tables: answers (chunk, answer, tries), cases, errors (chunk, error_type, error, tries, run), summary. A chunk is finished when its answer parsed; one that failed is asked again by the next
+    run. Answers are written first, so a run that is broken off costs nothing that was paid for: the next one takes up the rest, and cases are made from written answers.
+    """
+    spark = asked.sparkSession
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    held = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = lambda name: held.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/_SUCCESS"))
+    done = spark.read.parquet(f"{folder}/answers").where("error_type is null").select(chunk) if there("answers") else None
+    number = spark.read.parquet(f"{folder}/summary").count() if there("summary") else 0
+    pending = asked if done is None else asked.join(done.distinct(), chunk, "left_anti")
+    told = answered_together(pending, model, tries=tries, concurrency=concurrency).withColumn("run", F.lit(number))
+    told.select(*[c for c in told.columns if c != "prompt"]).write.mode("append").parquet(f"{folder}/answers")
+    own = spark.read.parquet(f"{folder}/answers").where(F.col("run") == number)
+    own.where("error_type is not null").select(chunk, "error_type", "error", "tries", "run").write.mode("append").parquet(f"{folder}/errors")
+    made = cases(own.where("error_type is null"), chunk).withColumn("run", F.lit(number))
+    made.write.mode("append").parquet(f"{folder}/cases")
+    kept = spark.read.parquet(f"{folder}/cases").where(F.col("run") == number).agg(F.count("*").alias("accepted_cases"))
+    counts = own.agg(F.count(F.when(F.col("error_type").isNull(), 1)).alias("completed"), F.count("error_type").alias("failed"), F.coalesce(F.sum("tries"), F.lit(0)).alias("calls"))
+    total = asked.agg(F.count("*").alias("chunks"))
+    row = total.crossJoin(counts).crossJoin(kept).select(F.lit(number).alias("run"), "chunks", (F.col("chunks") - F.col("completed") - F.col("failed")).alias("skipped"), "completed", "failed", "calls", "accepted_cases")
+    row.write.mode("append").parquet(f"{folder}/summary")
+    return spark.read.parquet(f"{folder}/summary").where(F.col("run") == number)
+
+
 def json_text(answer: Column) -> Column:
     """The JSON object in an answer: fences and prose around it dropped."""
     bare = F.trim(F.regexp_replace(text_or_empty(answer), r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", ""))

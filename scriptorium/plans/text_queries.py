@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as X
 from scriptorium.functions import tokens as T
-from scriptorium.operators import audit, case_merging, chunking, intent, merging, ordering, report, retrieval, sections, tagging
+from scriptorium.operators import audit, case_merging, chunking, extraction, intent, merging, ordering, report, retrieval, sections, tagging
 from scriptorium.sources import corpus, files
 
 from . import build
@@ -218,3 +218,23 @@ def changed_headings(spark, sf_dir):
     """An export of the documents of a source in which the language stands only where it changes."""
     rows = table(spark, sf_dir, "documents").withColumn("text", X.text_or_empty(F.col("text")))
     return files.with_changed_headings(rows, "source", "doc_id", ["lang"], "text").select("source", "doc_id", "place", F.md5("line").alias("line_md5"))
+
+
+@query("""WITH d AS (SELECT length(text) % 4 AS k FROM documents WHERE text IS NOT NULL)
+SELECT CASE WHEN k = 3 THEN 'JSONDecodeError' ELSE 'ok' END AS status, CASE WHEN k = 3 THEN 3 ELSE k + 1 END::INTEGER AS tries, count(*) AS chunks FROM d GROUP BY ALL""")
+def extraction_retries(spark, sf_dir):
+    """A model that fails by turns (a call that raises, an answer that does not parse, or none ever), asked by several threads a task, failed rows alone again."""
+    chunks = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("\n"), F.col("text")).alias("prompt"))
+    times: dict[str, int] = {}
+
+    def model(texts: list[str]) -> list[str]:
+        text = texts[0].split("\n", 1)[1]
+        k = times[texts[0]] = times.get(texts[0], -1) + 1
+        if len(text) % 4 == 3 or k < len(text) % 4 - 1:
+            return ["{no object"]
+        if k < len(text) % 4:
+            raise TimeoutError("no answer")
+        return ['{"cases": []}']
+
+    told = extraction.answered_together(chunks, model)
+    return told.groupBy(F.coalesce("error_type", F.lit("ok")).alias("status"), "tries").agg(F.count("*").alias("chunks"))
