@@ -1,8 +1,8 @@
 """Licence scan with a trained paragraph classifier.
 
 A multinomial logistic regression over binary word 1- and 2-grams with an L1 penalty (so most weights are zero) tells the
-licence family of a paragraph, or that it is none. It is trained on the notices below, each varied by dropping words, and on
-at most about `negatives` paragraphs of the corpus without a licence cue. The unknown class is calibrated on notices that a first
+licence family of a paragraph, or that it is none. It is trained on the notices below and on names of licences in common forms, each varied by dropping words, and on
+at most about `negatives` paragraphs of the corpus without a licence cue or name. The unknown class is calibrated on notices that a first
 model has not seen in any form, and on corpus paragraphs it has not seen: the least probability from which `precision` of the
 predictions that the seen notices confirm are right. A prediction is confirmed by comparison with
 the notices of its family: the share of the smaller bigram set that both have must reach `overlap`.
@@ -33,7 +33,7 @@ from .common import durable
 #: Notices of licence families.
 NOTICES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", "SPDX-License-Identifier: MIT", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, express or implied", "MIT licensed.", "Distributed under MIT."],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the Apache License, Version 2.0. You may obtain a copy of the License at apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0", "Released under Apache-2.0.", "Available under the terms of Apache 2.0."],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the Apache License, Version 2.0. You may obtain a copy of the License at apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0", "Released under Apache-2.0.", "Available under the terms of Apache 2.0.", "Released under Apache.", "Licensed under Apache."],
     "MIT OR Apache-2.0": ["Dual MIT/Apache-2.0.", "Dual licensed under MIT and Apache-2.0.", "Licensed under either of Apache-2.0 or MIT at your option.", "SPDX-License-Identifier: MIT OR Apache-2.0"],
     "GPL": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version", "SPDX-License-Identifier: GPL-3.0-or-later", "Released under the GNU GPL version 2 license", "Distributed under GPLv3 or later.", "Released under GPLv2.", "Available under the terms of the GPL 3.0.", "Released under GPL-3.0."],
     "LGPL": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-2.1-or-later", "Distributed under LGPLv3 or later.", "Available under the terms of the LGPL 2.1.", "Released under LGPL-2.1."],
@@ -45,11 +45,40 @@ NOTICES = {
     "public-domain": ["This is free and unencumbered software released into the public domain.", "Released under CC0 1.0 Universal: no copyright, dedicated to the public domain.", "SPDX-License-Identifier: CC0-1.0"],
     "proprietary": ["Copyright. All rights reserved.", "No part of this publication may be reproduced without the prior written permission of the publisher. All rights reserved."],
 }
+#: Names of licences by family.
+NAMES = {
+    "MIT": ["MIT License", "MIT licence", "Expat License"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License Version 2.0, January 2004", "Apache License 2.0", "Apache 2.0", "Apache-2.0"],
+    "GPL": ["GNU General Public License v2", "GNU General Public License version 3", "GNU General Public License", "GNU GPL", "GNU GPL v3", "GPL", "GPL v2", "GPLv2", "GPLv3", "GPL-2.0", "GPL-3.0"],
+    "LGPL": ["GNU Lesser General Public License", "GNU Lesser General Public License v2.1", "GNU LGPL", "LGPL", "LGPL v3", "LGPLv2.1", "LGPLv3", "LGPL-2.1", "LGPL-3.0"],
+    "AGPL": ["GNU Affero General Public License", "GNU Affero General Public License v3", "Affero GPL", "GNU AGPL", "AGPL", "AGPL v3", "AGPLv3", "AGPL-3.0"],
+    "BSD": ["BSD 3-Clause License", "BSD 2-Clause License", "BSD License", "BSD licence", "3-clause BSD license", "BSD-3-Clause", "BSD-2-Clause"],
+    "MPL": ["Mozilla Public License 2.0", "Mozilla Public License", "MPL 2.0", "MPL-2.0", "MPLv2"],
+    "ISC": ["ISC License", "ISC licence"],
+    "EPL": ["Eclipse Public License 2.0", "Eclipse Public License", "EPL 2.0", "EPL-2.0"],
+    "EUPL": ["European Union Public Licence", "European Union Public Licence v1.2", "EUPL", "EUPL 1.2", "EUPL-1.2"],
+    "CC-BY": ["Creative Commons Attribution 4.0 International License", "Creative Commons Attribution License", "CC BY 4.0", "CC-BY 4.0", "CC-BY-4.0"],
+    "CC-BY-NC": ["Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0", "CC-BY-NC 4.0", "CC-BY-NC-4.0"],
+    "CC-BY-SA": ["Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0", "CC-BY-SA 4.0", "CC-BY-SA-4.0"],
+    "public-domain": ["CC0 1.0 Universal", "CC0", "CC0-1.0", "Unlicense"],
+}
+#: What stands around a name in a notice.
+FORMS = ["{}", "{}.", "Released under {}", "Released under the {}.", "Licensed under the {}.", "License: {}", "Licence: {}", "Distributed under the terms of the {}.", "This program is released under the terms of the {}.", "This software is available under {}."]
+
+
+def notices() -> dict[str, list[str]]:
+    """The notices of each family: those above, and every name in every form."""
+    made = {family: [form.format(name) for name in names for form in FORMS] for family, names in NAMES.items()}
+    return {family: list(dict.fromkeys([*NOTICES.get(family, []), *made.get(family, [])])) for family in sorted({*NOTICES, *NAMES})}
+
+
 #: Sentences with a cue or a word of a short form (in German, mit) that are no licence notices.
 OTHERS = [
     "Their driving license was renewed last week at the office.", "She asked for permission to leave the room early.", "The warranty of the washing machine ended in spring.",
     "A licensed guide led the group over the pass.", "The story is in the public library of the town.", "The copyright lawyer gave a talk about music.", "He got a fishing licence for the lake.",
     "Er kam mit dem Zug und ging mit ihr in die Stadt.", "Mit der Zeit ist das nicht mehr so.", "Wir sind mit dem Wagen auf dem Weg.", "Das ist mit und ohne ihn gut.", "Mit ist.", "Was du mit von auch für.",
+    "He kept all rights reserved for the king.", "The crown had all rights reserved to itself in those lands.", "All rights reserved to the elders were given up.", "With all rights reserved by the guild, no trader came.", "The Apache people lived in the hills.", "The eclipse was seen by the public.",
+    "The public was under the terms of the treaty.", "Under the terms of the general peace they left.", "The European Union met in public.", "Universal terms of trade were released in May.", "The program is available at the door.", "Version 2.0 of the program was released in January 2004.",
     "It was written by hand at the end of this year.", "This is one or the other of them.", "They were under the bridge by the river.",
 ]
 CUE = r"(?i)licen[cs]|copyright|public domain|all rights reserved|permission is hereby|redistribut|\bspdx\b|creative commons|\bcc0\b|\bcc by\b|\bgnu\b"
@@ -66,9 +95,9 @@ def _words(text: str) -> list[str]:
 
 
 def _pairs(text: str) -> set[str]:
-    """bigrams() of a text."""
+    """compared() of a text."""
     w = _words(text)
-    return {" ".join(p) for p in zip(w, w[1:])}
+    return {" ".join(p) for p in zip(w, w[1:])} | {x for x in w if x in SINGLE}
 
 
 def bigrams(w: Column) -> Column:
@@ -80,6 +109,15 @@ def grams(w: Column) -> Column:
     return F.array_distinct(F.concat(w, bigrams(w)))
 
 
+#: Names of one word: they are compared as they stand, all else by its word pairs.
+SINGLE = sorted({w[0] for names in NAMES.values() for name in names for w in [_words(name)] if len(w) == 1})
+
+
+def compared(w: Column) -> Column:
+    """What paragraphs and notices are compared by: word pairs, and names of one word."""
+    return F.concat(bigrams(w), F.filter(w, lambda x: x.isin(SINGLE)))
+
+
 @dataclass
 class LicenseModel:
     families: list[str]
@@ -116,23 +154,23 @@ class LicenseModel:
 
 def _variants(spark: SparkSession, copies: int) -> DataFrame:
     """text and family of the notices, each with `copies` variants from which words are dropped."""
-    rows = [(t, f) for f, ts in NOTICES.items() for t in ts] + [(t, NONE) for t in OTHERS]
+    rows = [(t, f) for f, ts in notices().items() for t in ts] + [(t, NONE) for t in OTHERS]
     base = spark.createDataFrame(rows, "paragraph string, family string").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies))))
     kept = F.filter(F.split("paragraph", " "), lambda w, i: (F.col("copy") == 0) | (F.pmod(F.xxhash64(w, i, F.col("copy")), F.lit(100)) >= 12))
     return base.select(F.array_join(kept, " ").alias("paragraph"), "family", F.pmod(F.xxhash64("paragraph"), F.lit(4)).alias("fold"))  # all forms of a notice are in one fold
 
 
-def train(docs: DataFrame, text_col: str = "text", negatives: int = 4000, vocabulary: int = 4096, copies: int = 24, precision: float = 0.99, overlap: float = 0.5) -> LicenseModel:
-    """Fit on the notices and on about `negatives` paragraphs of the corpus without a cue (one line of a sampled document)."""
+def train(docs: DataFrame, text_col: str = "text", negatives: int = 4000, vocabulary: int = 4096, copies: int = 8, precision: float = 0.99, overlap: float = 0.5) -> LicenseModel:
+    """Fit on the notices and on about `negatives` paragraphs of the corpus without a cue or a licence's one-word name (one line of a sampled document)."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizer
 
     n = max(1, docs.count())
     some = docs.select(F.col(text_col).cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < min(1.0, negatives / n) * (1 << 20))
     line = F.split("text", "\n")[0]
-    plain = some.select(line.alias("paragraph"), F.lit(NONE).alias("family"), F.pmod(F.xxhash64("text", F.lit(3)), F.lit(4)).alias("fold")).where(F.col("paragraph").isNotNull() & ~F.col("paragraph").rlike(CUE))
+    plain = some.select(line.alias("paragraph"), F.lit(NONE).alias("family"), F.pmod(F.xxhash64("text", F.lit(3)), F.lit(4)).alias("fold")).where(F.col("paragraph").isNotNull() & ~F.col("paragraph").rlike(CUE) & ~F.exists(words(F.col("paragraph")), lambda w: w.isin(SINGLE)))
     rows = durable(_variants(docs.sparkSession, copies).union(plain).withColumn("grams", grams(words(F.col("paragraph")))).coalesce(4))
-    families = sorted([*NOTICES, NONE])
+    families = sorted([*notices(), NONE])
     number = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")).cast("double") - 1
     vector = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=vocabulary, minDF=3, binary=True).fit(rows)
     ready = durable(vector.transform(rows.withColumn("label", number)).select("fold", "label", "features"))
@@ -168,31 +206,31 @@ def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col:
     lines = rows.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
     cue = F.col("paragraph").rlike(CUE)
     # Lines that share some word pairs with a notice only complete a wrapped notice.
-    pairs = sorted({" ".join(p) for ts in NOTICES.values() for t in ts for w in [_words(t)] for p in zip(w, w[1:])})
+    pairs = sorted({p for ts in notices().values() for t in ts for p in _pairs(t)})
     near = lambda b: F.size(F.filter(b, lambda g: g.isin(pairs))) >= F.greatest(F.least(F.size(b), F.lit(3)), F.lit(1))
     # Names bound by lambdas are evaluated once a line, wherever the optimizer puts the filter.
-    judged = F.transform(F.array(words(F.col("paragraph"))), lambda w: F.transform(F.array(bigrams(w)), lambda b: model.other_than_none(w, b) | near(b))[0])[0]
+    judged = F.transform(F.array(words(F.col("paragraph"))), lambda w: F.transform(F.array(bigrams(w)), lambda b: model.other_than_none(w, b) | near(F.concat(b, F.filter(w, lambda x: x.isin(SINGLE)))))[0])[0]
     some = lines.where(cue | judged).select("row", "doc_id", "line", "paragraph", cue.alias("cue"))
     # Candidates only, so a document's window holds few lines.
     some = durable(some.withColumn("run", F.col("line") - F.row_number().over(Window.partitionBy("row").orderBy("line"))))
     joined = some.groupBy("row", "doc_id", "run").agg(F.array_sort(F.collect_list(F.struct("line", "paragraph"))).alias("of")).where(F.size("of") > 1)
     joined = durable(joined.select("row", "run", F.array_join(F.transform("of", lambda x: x["paragraph"]), "\n").alias("paragraph")))
 
-    notices = spark.createDataFrame([(f, t) for f, ts in NOTICES.items() for t in ts], "predicted string, notice string")
-    notices = notices.groupBy("predicted").agg(F.collect_list(F.array_distinct(bigrams(words(F.col("notice"))))).alias("notices"))
-    mine = lambda p: F.array_distinct(bigrams(words(F.col(p))))
+    told = spark.createDataFrame([(f, t) for f, ts in notices().items() for t in ts], "predicted string, notice string")
+    known = told.groupBy("predicted").agg(F.collect_set(F.array_sort(F.array_distinct(compared(words(F.col("notice")))))).alias("notices"))
+    mine = lambda p: F.array_distinct(compared(words(F.col(p))))
     share = lambda t: F.size(F.array_intersect("mine", t)) / F.greatest(F.least(F.size("mine"), F.size(t)), F.lit(1))
     scored = model.scored(some.select("paragraph").union(joined.select("paragraph")).distinct())
-    compared = scored.join(F.broadcast(notices), "predicted", "left").withColumn("mine", mine("paragraph"))
-    compared = compared.withColumns({"likeness": F.coalesce(F.array_max(F.transform("notices", share)), F.lit(0.0)), "shared": F.coalesce(F.array_max(F.transform("notices", lambda t: F.size(F.array_intersect("mine", t)))), F.lit(0))})
+    likened = scored.join(F.broadcast(known), "predicted", "left").withColumn("mine", mine("paragraph"))
+    likened = likened.withColumns({"likeness": F.coalesce(F.array_max(F.transform("notices", share)), F.lit(0.0)), "shared": F.coalesce(F.array_max(F.transform("notices", lambda t: F.size(F.array_intersect("mine", t)))), F.lit(0))})
     sure = (F.col("predicted") != NONE) & (F.col("probability") >= model.least) & (F.col("likeness") >= overlap)
-    decided = durable(compared.select("paragraph", "predicted", F.when(sure, F.col("predicted")).alias("family"), "probability", "likeness", "shared"))
+    decided = durable(likened.select("paragraph", "predicted", F.when(sure, F.col("predicted")).alias("family"), "probability", "likeness", "shared"))
 
     single = some.join(decided, "paragraph")
     runs = joined.join(decided.where("family IS NOT NULL"), "paragraph").select("row", "run", *[F.col(c).alias(f"run_{c}") for c in ("family", "probability", "likeness", "shared")])
     best = single.groupBy("row", "run").agg(F.max("shared").alias("best"))
     runs = runs.join(best, ["row", "run"]).where(F.col("run_shared") > F.col("best") + 2).drop("best")
-    both = single.join(runs, ["row", "run"], "left").join(F.broadcast(notices.select(F.col("predicted").alias("run_family"), F.col("notices").alias("run_notices"))), "run_family", "left")
+    both = single.join(runs, ["row", "run"], "left").join(F.broadcast(known.select(F.col("predicted").alias("run_family"), F.col("notices").alias("run_notices"))), "run_family", "left")
     like_run = F.coalesce(F.array_max(F.transform("run_notices", share)), F.lit(0.0))
     both = both.withColumn("mine", F.when(F.col("run_family").isNotNull(), mine("paragraph"))).withColumn("covered", F.col("run_family").isNotNull() & (F.col("family").isNull() | (like_run >= F.col("likeness")))).drop("mine", "run_notices")
     alone = both.where(~F.col("covered") & (F.col("cue") | (F.col("predicted") != NONE))).select("doc_id", "line", "paragraph", "family", "probability", "likeness")

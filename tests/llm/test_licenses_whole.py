@@ -48,3 +48,33 @@ def test_scores_are_plain_sums_of_weights(spark):
     assert 0 < model.least <= 0.95 and licenses.scan(spark.createDataFrame([], "doc_id long, text string, `row` string, line string, `run` string"), model).count() == 0
     clash = spark.createDataFrame([(1, "Released under the MIT License.", "a", "b", "c"), (2, None, "a", "b", "c")], "doc_id long, text string, `row` string, line string, `run` string")
     assert [(r["doc_id"], r["family"]) for r in licenses.scan(clash, model).collect()] == [(1, "MIT")]
+
+
+#: Wordings that no notice of the module has.
+HELD_OUT = ["The code is published under the {}", "Use of this package is governed by the {}", "Source files are covered by {}, see below", "{} applies to all of it", "Unless noted, everything here is under {}"]
+
+
+def test_wordings_that_are_not_among_the_notices(spark):
+    rng = random.Random(8)
+    prose = lambda: " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) for _ in range(20))
+    rows = [(i, f"{prose()}\n{prose()}", None) for i in range(80)]
+    model = licenses.train(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"))
+    wanted = []
+    for family, names in licenses.NAMES.items():
+        for name in names:
+            for form in HELD_OUT:
+                wanted.append((1000 + len(wanted), form.format(name), family))
+    wanted += [(5000, "This program is released under the terms of the GNU General Public License v2", "GPL"), (5001, "released under Apache", "Apache-2.0"), (5002, "Apache License\nVersion 2.0, January 2004", "Apache-2.0"), (5003, "Licence: LGPL v3", "LGPL"), (5004, "AGPL-3.0", "AGPL"), (5005, "GPL", "GPL")]
+    plain = ["he kept all rights reserved for the king", "The guide kept all rights reserved until noon", "mit", "Mit dem Zug", "An Apache helicopter flew over the town", "The general public was not told", "They moved to the public domain of the town hall", "a lesser general of the union", "Version 2.0 came in January 2004", "isc", "The terms of the contract were clear"]
+    rows += wanted + [(9000 + i, t, None) for i, t in enumerate(plain)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, family string")
+    found = {}
+    for r in licenses.scan(docs.drop("family"), model).collect():
+        found.setdefault(r["doc_id"], set()).add(r["family"])
+    right = sum(family in found.get(i, set()) for i, _, family in wanted)
+    wrong = [(i, t, found[i]) for i, t, family in wanted if found.get(i, {None}) - {None, family}]
+    assert all(w[2] in found.get(w[0], set()) for w in wanted if w[0] >= 5000), [(w[1], found.get(w[0])) for w in wanted if w[0] >= 5000]
+    assert right / len(wanted) >= 0.9, (right, len(wanted), [(t, f, found.get(i)) for i, t, f in wanted if f not in found.get(i, set())][:40])
+    assert len(wrong) <= 0.02 * len(wanted), wrong[:20]
+    assert not [(t, found[9000 + i]) for i, t in enumerate(plain) if found.get(9000 + i, set()) - {None}]
+    assert not any(found.get(i, set()) - {None} for i in range(80))
