@@ -160,3 +160,17 @@ def evaluated(hits: DataFrame, truth: DataFrame, groups: list[str], query: str =
     return first.rollup(*groups).agg(
         F.count("*").alias("n"), F.round(F.avg(F.col("rank").isNotNull().cast("double")), 6).alias("hit_rate"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr")
     )
+
+
+def evaluation_rows(hits: DataFrame, truth: DataFrame, query: str = "query_id", item: str = "item_id", shown: int = 4) -> DataFrame:
+    """query, expected, hit, rank (-1: a miss), reciprocal_rank and top (the first `shown` items) of every question of truth (query, item: what is expected, once a question)."""
+    listed = hits.where(F.col("rank") <= shown).groupBy(query).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(item).alias("i")))), lambda x: x["i"]).alias("top"))
+    found = truth.select(query, F.col(item).alias("expected")).join(hits.select(query, F.col(item).alias("expected"), "rank"), [query, "expected"], "left")
+    rows = found.groupBy(query, "expected").agg(F.min("rank").alias("rank")).join(listed, query, "left")
+    told = rows.select(query, "expected", F.col("rank").isNotNull().alias("hit"), F.coalesce("rank", F.lit(-1)).cast("int").alias("rank"), F.round(F.coalesce(1 / F.col("rank"), F.lit(0.0)), 6).alias("reciprocal_rank"), "top")
+    return told.withColumn("top", F.coalesce("top", F.array().cast(told.schema["top"].dataType)))
+
+
+def misses(rows: DataFrame, group: str, first: int = 10, query: str = "query_id") -> DataFrame:
+    """Of evaluation_rows with a group column: the first misses of each group, by query."""
+    return rows.where("not hit").withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(query))).where(F.col("place") <= first)

@@ -512,10 +512,18 @@ def extracted_cases(spark, sf_dir):
 
 @query()
 def answered_questions(spark, sf_dir):
-    """User turns answered from the documents."""
-    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    """Benchmark texts answered from the documents: whole texts (sparse) and first and last sentences (dense), each by a stored index."""
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lower("text").alias("text"))
     docs = table(spark, sf_dir, "documents")
-    cases = docs.select(F.col("doc_id").alias("item_id"), F.lower("text").alias("sparse"), F.lower("text").alias("dense"), F.lit(0.5).alias("priority"))
+    cases = docs.select(F.col("doc_id").alias("item_id"))
     members = docs.select(F.col("doc_id").alias("item_id"), F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / 1400).cast("int")), lambda i: F.concat(F.col("doc_id").cast("string"), F.lit(":"), i.cast("string"))).alias("members"))
-    found = workflow.answered(questions, cases, members, vocabulary=INTENT)
+    ends = F.transform(F.array(X.sentences(X.text_or_empty(F.col("text")))), lambda s: F.concat_ws(" ", F.get(s, F.lit(0)), F.get(s, F.size(s) - 1)))[0]
+    dense = postings.index(docs, "doc_id", F.regexp_extract_all(F.lower(ends), F.lit(T.LATIN_TOKEN), F.lit(0)), "first and last sentence")
+
+    def searched(search: DataFrame, k: int) -> dict[str, DataFrame]:
+        asked = search.select("query_id", F.col("tokens").alias("terms"))
+        of = {"sparse": (document_index(spark, sf_dir), (1.15, 0.75, 4.8, 0.3)), "dense": (dense, (1.35, 0.9, 5.0, 0.25))}
+        return {name: postings.overlaps(asked, index, k, long_bonus=long, short_bonus=short, cap=cap, priority_weight=weight)["scored"] for name, (index, (long, short, cap, weight)) in of.items()}
+
+    found = workflow.answered(questions, cases, members, vocabulary=INTENT, searched=searched)
     return found.select("query_id", "intent", "scene", F.size("cases").alias("n_cases"), F.array_join("evidence", ",").alias("evidence"), "passed")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as X
-from scriptorium.operators import evidence, postings, tagging
+from scriptorium.operators import evidence, patterns, postings, retrieval, tagging
 from scriptorium.streaming import append
 
 from . import workflow
@@ -182,3 +182,31 @@ def perspective_hits(spark, sf_dir):
     asked = evidence.perspectives(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id", "text", pools, least=0.4)
     items = evidence.perspectives(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text"), "item_id", "text", pools, least=0.4)
     return evidence.of_perspective(_first(spark, sf_dir, 8), asked, items).join(asked, "query_id").select("query_id", "item_id", "rank", "perspective", "confidence", "reason", "matched")
+
+
+_EXPECTED = "expected AS (SELECT item_id AS query_id, min(doc_id) AS expected FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)) GROUP BY item_id)"
+_DETAILS = """{0}, {1},
+  top AS (SELECT query_id, string_agg(item_id::VARCHAR, ',' ORDER BY rank) AS top FROM bm25 WHERE rank <= {2} GROUP BY query_id),
+  details AS (SELECT e.query_id, e.expected, r.rank IS NOT NULL AS hit, coalesce(r.rank, -1)::INTEGER AS rank, round(coalesce(1.0::DOUBLE / r.rank, 0), 6) AS reciprocal_rank, coalesce(top, '') AS top
+    FROM expected e LEFT JOIN bm25 r ON r.query_id = e.query_id AND r.item_id = e.expected AND r.rank <= {2} LEFT JOIN top t ON t.query_id = e.query_id)"""
+
+
+def _details(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("hay"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lower("text").alias("pattern"))
+    truth = patterns.contained(docs, "doc_id", "hay", items, "pattern").join(items, "pattern").groupBy("query_id").agg(F.min("doc_id").alias("item_id"))
+    return retrieval.evaluation_rows(_first(spark, sf_dir, k), truth)
+
+
+@query(f"WITH {_DETAILS.format(_BM25, _EXPECTED, 4)} SELECT * FROM details")
+def retrieval_details(spark, sf_dir):
+    """For every benchmark text that some document holds whether BM25 finds the first of them among its four best, with what it found."""
+    return _details(spark, sf_dir, 4).withColumn("top", F.array_join(F.transform("top", lambda x: x.cast("string")), ","))
+
+
+@query(f"""WITH {_DETAILS.format(_BM25, _EXPECTED, 1)}, m AS (SELECT query_id, expected, coalesce(lang, '') AS lang, row_number() OVER (PARTITION BY coalesce(lang, '') ORDER BY query_id)::INTEGER AS place FROM details JOIN documents ON doc_id = expected WHERE NOT hit)
+SELECT * FROM m WHERE place <= 10""")
+def retrieval_misses(spark, sf_dir):
+    """The first ten texts of each language for which another document comes first."""
+    langs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("expected"), F.coalesce("lang", F.lit("")).alias("lang"))
+    return retrieval.misses(langs.join(F.broadcast(_details(spark, sf_dir, 1)), "expected"), "lang").select("query_id", "expected", "lang", "place")

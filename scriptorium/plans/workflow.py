@@ -13,16 +13,17 @@ from scriptorium.operators import intent, report, retrieval
 from scriptorium.sources.store import durable
 
 
-def answered(questions: DataFrame, cases: DataFrame, members: DataFrame, limit: int = 4, per_item: int = 2, in_all: int = 6, pattern: str = T.LATIN_TOKEN, vocabulary=intent.VOCABULARY, rerank: DataFrame | None = None) -> DataFrame:
+def answered(questions: DataFrame, cases: DataFrame, members: DataFrame, limit: int = 4, per_item: int = 2, in_all: int = 6, pattern: str = T.LATIN_TOKEN, vocabulary=intent.VOCABULARY, rerank: DataFrame | None = None, searched: Callable[[DataFrame, int], dict[str, DataFrame]] | None = None) -> DataFrame:
     """query_id, intent, scene, queries, cases, evidence, confidence, diagram, notes and passed.
 
     questions: query_id, text. cases: item_id, sparse and dense (texts), priority. members: item_id, members (chunk ids in order).
-    Questions that are out of scope retrieve nothing.
+    Questions that are out of scope retrieve nothing. searched: a search of one's own, from questions (query_id, tokens) and a number of hits to branches (query_id, item_id, rank) by
+    name, in place of scoring the texts of cases.
     """
     asked = intent.analyzed(questions, "text", vocabulary)
     search = asked.where("intent <> 'out_of_scope'").select("query_id", T.tokens(F.concat_ws(" ", "queries"), pattern).alias("tokens"))
-    branches = {}
-    for name, text, worth in (("sparse", "sparse", (1.15, 0.75, 4.8, 0.3)), ("dense", "dense", (1.35, 0.9, 5.0, 0.25))):
+    branches = searched(search, retrieval.branch_limit(50)) if searched else {}
+    for name, text, worth in () if searched else (("sparse", "sparse", (1.15, 0.75, 4.8, 0.3)), ("dense", "dense", (1.35, 0.9, 5.0, 0.25))):
         corpus = cases.select("item_id", T.tokens(F.col(text), pattern).alias("tokens"), "priority")
         scores = retrieval.lexical_scores(search, corpus, long_bonus=worth[0], short_bonus=worth[1], cap=worth[2], priority_weight=worth[3])
         branches[name] = retrieval.ranked(scores, "query_id", "item_id", "score", retrieval.branch_limit(50))

@@ -62,3 +62,14 @@ def test_perspectives_vote_and_fall_back(spark):
     asked = spark.createDataFrame([(1, "manager"), (2, "peer"), (3, "unknown")], "query_id long, perspective string")
     items = spark.createDataFrame([(10, "manager"), (11, "observer")], "item_id long, perspective string")
     assert sorted(tuple(r) for r in evidence.of_perspective(hits, asked, items).select("query_id", "item_id", "matched").collect()) == [(1, 10, True), (2, 10, False), (3, 11, False)]
+
+
+def test_evaluation_rows_and_misses(spark):
+    from scriptorium.operators import retrieval
+
+    hits = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 12, 1), (2, 10, 2), (2, 13, 5)], "query_id long, item_id long, rank int")
+    truth = spark.createDataFrame([(1, 11), (2, 99), (3, 5)], "query_id long, item_id long")
+    rows = retrieval.evaluation_rows(hits, truth)
+    got = {r["query_id"]: (r["expected"], r["hit"], r["rank"], r["reciprocal_rank"], r["top"]) for r in rows.collect()}
+    assert got == {1: (11, True, 2, 0.5, [10, 11]), 2: (99, False, -1, 0.0, [12, 10]), 3: (5, False, -1, 0.0, [])}
+    assert [(r["query_id"], r["place"]) for r in retrieval.misses(rows.withColumn("g", F.lit("x")), "g", first=1).collect()] == [(2, 1)]
