@@ -43,7 +43,7 @@ NOTICES = {
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0", "CC-BY-NC 4.0", "Available under CC-BY-NC-4.0."],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0", "CC-BY-SA 4.0", "Available under CC-BY-SA-4.0."],
     "public-domain": ["This is free and unencumbered software released into the public domain.", "Released under CC0 1.0 Universal: no copyright, dedicated to the public domain.", "SPDX-License-Identifier: CC0-1.0"],
-    "proprietary": ["Copyright. All rights reserved.", "No part of this publication may be reproduced without the prior written permission of the publisher. All rights reserved."],
+    "proprietary": ["All rights reserved.", "Copyright. All rights reserved.", "Copyright (c) 2020 by the authors. All rights reserved.", "(c) 2019 Example Ltd. All rights reserved.", "Copyright 2021 The Company, all rights reserved.", "All rights reserved worldwide.", "All content is copyright of its owners. All rights reserved.", "No part of this publication may be reproduced without the prior written permission of the publisher. All rights reserved."],
 }
 #: Names of licences by family.
 NAMES = {
@@ -77,7 +77,7 @@ OTHERS = [
     "Their driving license was renewed last week at the office.", "She asked for permission to leave the room early.", "The warranty of the washing machine ended in spring.",
     "A licensed guide led the group over the pass.", "The story is in the public library of the town.", "The copyright lawyer gave a talk about music.", "He got a fishing licence for the lake.",
     "Er kam mit dem Zug und ging mit ihr in die Stadt.", "Mit der Zeit ist das nicht mehr so.", "Wir sind mit dem Wagen auf dem Weg.", "Das ist mit und ohne ihn gut.", "Mit ist.", "Was du mit von auch für.",
-    "He kept all rights reserved for the king.", "The crown had all rights reserved to itself in those lands.", "All rights reserved to the elders were given up.", "With all rights reserved by the guild, no trader came.", "The Apache people lived in the hills.", "The eclipse was seen by the public.",
+    "He kept all rights reserved for the king.", "The crown had all rights reserved to itself in those lands.", "All rights reserved to the elders were given up.", "With all rights reserved by the guild, no trader came.", "The town kept all rights reserved for its own people.", "She kept all rights reserved until the autumn.", "He had kept all rights reserved for a year.", "The Apache people lived in the hills.", "The eclipse was seen by the public.",
     "The public was under the terms of the treaty.", "Under the terms of the general peace they left.", "The European Union met in public.", "Universal terms of trade were released in May.", "The program is available at the door.", "Version 2.0 of the program was released in January 2004.",
     "It was written by hand at the end of this year.", "This is one or the other of them.", "They were under the bridge by the river.",
 ]
@@ -205,11 +205,11 @@ def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col:
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     lines = rows.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
     cue = F.col("paragraph").rlike(CUE)
-    # Lines that share some word pairs with a notice only complete a wrapped notice.
-    pairs = sorted({p for ts in notices().values() for t in ts for p in _pairs(t)})
+    # Lines that share some word pairs with a notice only complete a wrapped notice; names in short forms are not wrapped.
+    pairs = sorted({" ".join(p) for ts in NOTICES.values() for t in ts for w in [_words(t)] for p in zip(w, w[1:])})
     near = lambda b: F.size(F.filter(b, lambda g: g.isin(pairs))) >= F.greatest(F.least(F.size(b), F.lit(3)), F.lit(1))
     # Names bound by lambdas are evaluated once a line, wherever the optimizer puts the filter.
-    judged = F.transform(F.array(words(F.col("paragraph"))), lambda w: F.transform(F.array(bigrams(w)), lambda b: model.other_than_none(w, b) | near(F.concat(b, F.filter(w, lambda x: x.isin(SINGLE)))))[0])[0]
+    judged = F.transform(F.array(words(F.col("paragraph"))), lambda w: F.transform(F.array(bigrams(w)), lambda b: model.other_than_none(w, b) | near(b))[0])[0]
     some = lines.where(cue | judged).select("row", "doc_id", "line", "paragraph", cue.alias("cue"))
     # Candidates only, so a document's window holds few lines.
     some = durable(some.withColumn("run", F.col("line") - F.row_number().over(Window.partitionBy("row").orderBy("line"))))
