@@ -510,7 +510,30 @@ def extracted_cases(spark, sf_dir):
     return extraction.cases(extraction.answered(asked, model)).select("case_id", "chunk_id", "title", F.md5("summary").alias("summary_md5"), "case_type", "score", "source_priority", F.array_join("section_keys", ",").alias("section_keys"))
 
 
-@query()
+def _answer_branch(name: str, words: str, long: float, short: float, cap: float, weight: float) -> str:
+    return rf"""
+  {name}_words AS (SELECT doc_id AS item_id, unnest(list_distinct(regexp_extract_all(lower({words}), '[\p{{L}}\p{{N}}_]+'))) AS token FROM d),
+  {name}_sums AS (SELECT query_id, item_id, ln(1 + count(*)::DOUBLE) + least({cap}::DOUBLE, sum(CASE WHEN length(token) >= 3 THEN {long}::DOUBLE WHEN length(token) = 2 THEN {short}::DOUBLE ELSE 0 END)) + 0.5::DOUBLE * {weight}::DOUBLE AS total FROM asked JOIN {name}_words USING (token) GROUP BY ALL),
+  {name} AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY round(total, 4) DESC, item_id) AS rank FROM {name}_sums QUALIFY rank <= 200)"""
+
+
+_ANSWERED = rf"""WITH q AS (SELECT item_id AS query_id, lower(text) AS text FROM benchmark),
+  r AS (SELECT query_id, text, CASE WHEN {_any(INTENT['out_of_scope'])} AND NOT {_any(INTENT['domain'])} THEN 'out_of_scope' WHEN {_any(INTENT['commentary'])} THEN 'commentary_lookup' WHEN {_any(INTENT['analysis'])} OR {_any(INTENT['first_person'])} THEN 'analysis'
+    WHEN {_any(INTENT['lookup'])} THEN 'factual_lookup' WHEN {_any(INTENT['factual'])} AND length(text) <= 36 THEN 'factual_lookup' ELSE 'analysis' END AS intent FROM q),
+  asked AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'))) AS token FROM r WHERE intent <> 'out_of_scope'),
+  d AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^.!?;
+]+[.!?;]?'), lambda x: trim(x, ' ')), lambda x: x <> '') AS s FROM documents),
+  {_answer_branch("sparse", "text", 1.15, 0.75, 4.8, 0.3)}, {_answer_branch("dense", "concat_ws(' ', s[1], s[-1])", 1.35, 0.9, 5.0, 0.25)},
+  f AS (SELECT query_id, item_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT * FROM sparse UNION ALL SELECT * FROM dense) GROUP BY ALL),
+  hits AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM f QUALIFY rank <= 4),
+  m AS (SELECT query_id, rank, doc_id, unnest(range(0, least(2, length(text) // 1400 + 1))) AS part FROM hits JOIN d ON doc_id = item_id),
+  e AS (SELECT query_id, rank, doc_id || ':' || part AS member, part FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank, part) <= 6),
+  shown AS (SELECT query_id, string_agg(member, ',' ORDER BY rank, part) AS evidence FROM e GROUP BY query_id),
+  counts AS (SELECT query_id, count(*)::INTEGER AS n_cases FROM hits GROUP BY query_id)
+SELECT r.query_id, intent, '向上管理' AS scene, n_cases, coalesce(evidence, '') AS evidence, intent = 'out_of_scope' OR (evidence IS NOT NULL AND n_cases >= 2) AS passed FROM r LEFT JOIN counts USING (query_id) LEFT JOIN shown USING (query_id)"""
+
+
+@query(_ANSWERED)
 def answered_questions(spark, sf_dir):
     """Benchmark texts answered from the documents: whole texts (sparse) and first and last sentences (dense), each by a stored index."""
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lower("text").alias("text"))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +32,12 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> str:
-    """Of the files that df reads: paths, sizes, times of change and rows. A frame without files is like no other."""
-    if not df.inputFiles():
+    """Of the files that df reads: paths, sizes, times of change and rows. A frame that is not read from files, or no longer tells from which, is like no other."""
+    try:
+        known = bool(df.inputFiles()) and df.select("_metadata.file_path") is not None
+    except AnalysisException:
+        known = False
+    if not known:
         return uuid.uuid4().hex
     told = df.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time"), F.lit(1 << 31))).alias("files")).first()
     return f"{told['n']}-{told['files']}"

@@ -84,3 +84,5 @@ def test_tables_are_made_once_and_again_after_a_change(spark, tmp_path):
     assert second != first and second == store.fingerprint(spark.read.parquet(path))
     assert store.stored(spark, "kept", f"{path}|{second}", tables)["a"].count() == 12 and len(made) == 2
     assert store.fingerprint(spark.range(3)) != store.fingerprint(spark.range(3))
+    derived = spark.read.parquet(path).selectExpr("id + 1 as id").groupBy("id").count()
+    assert store.fingerprint(derived) != store.fingerprint(derived)
