@@ -43,7 +43,7 @@ NOTICES = {
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0", "CC-BY-NC 4.0", "Available under CC-BY-NC-4.0."],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0", "CC-BY-SA 4.0", "Available under CC-BY-SA-4.0."],
     "public-domain": ["This is free and unencumbered software released into the public domain.", "Released under CC0 1.0 Universal: no copyright, dedicated to the public domain.", "SPDX-License-Identifier: CC0-1.0"],
-    "proprietary": ["All rights reserved.", "Copyright. All rights reserved.", "Copyright (c) 2020 by the authors. All rights reserved.", "(c) 2019 Example Ltd. All rights reserved.", "Copyright 2021 The Company, all rights reserved.", "All rights reserved worldwide.", "All content is copyright of its owners. All rights reserved.", "No part of this publication may be reproduced without the prior written permission of the publisher. All rights reserved."],
+    "proprietary": ["All rights reserved.", "All rights reserved", "All rights are reserved.", "Alle Rechte vorbehalten. All rights reserved.", "All rights reserved by the copyright holder.", "Proprietary and confidential. All rights reserved.", "Copyright. All rights reserved.", "Copyright (c) 2020 by the authors. All rights reserved.", "(c) 2019 Example Ltd. All rights reserved.", "Copyright 2021 The Company, all rights reserved.", "All rights reserved worldwide.", "All content is copyright of its owners. All rights reserved.", "No part of this publication may be reproduced without the prior written permission of the publisher. All rights reserved."],
 }
 #: Names of licences by family.
 NAMES = {
@@ -170,6 +170,9 @@ def train(docs: DataFrame, text_col: str = "text", negatives: int = 4000, vocabu
     line = F.split("text", "\n")[0]
     plain = some.select(line.alias("paragraph"), F.lit(NONE).alias("family"), F.pmod(F.xxhash64("text", F.lit(3)), F.lit(4)).alias("fold")).where(F.col("paragraph").isNotNull() & ~F.col("paragraph").rlike(CUE) & ~F.exists(words(F.col("paragraph")), lambda w: w.isin(SINGLE)))
     rows = durable(_variants(docs.sparkSession, copies).union(plain).withColumn("grams", grams(words(F.col("paragraph")))).coalesce(4))
+    # Grams of every day (in more than a hundredth of the corpus paragraphs) tell nothing, and would be looked up in every line. There are at most a hundred times a paragraph's grams.
+    usual = plain.select(F.explode(grams(words(F.col("paragraph")))).alias("gram")).groupBy("gram").count().where(F.col("count") > max(5.0, plain.count() / 100)).select("gram")
+    rows = durable(rows.withColumn("grams", F.filter("grams", lambda g: ~g.isin([r["gram"] for r in usual.collect()]))))
     families = sorted([*notices(), NONE])
     number = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")).cast("double") - 1
     vector = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=vocabulary, minDF=3, binary=True).fit(rows)
