@@ -4,7 +4,7 @@ A case is a row: case_id, actor, kind, title, conflict, pattern, summary (texts)
 priority, and its place in the corpus: ordinal (of its first chunk) and position (of its first section). Near duplicates are found by
 a fold over the cases of a book in corpus order that looks back at the LOOK_BACK cases it kept last. The fold is cut wherever no later
 case can merge with an earlier one (the ordinals are too far apart and no section is on both sides), so what one task folds is a
-stretch of neighbouring cases, not a book.
+stretch of neighbouring cases, not a book, and it passes through the task: a stretch as long as a book takes one task's time, but no more memory than LOOK_BACK cases.
 
 Nulls: a null text is empty and equal to empty, a null list empty, a null score 0. A case without chunks merges with none; one without an
 ordinal only over a common section.
@@ -14,9 +14,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from scriptorium.functions import tokens as T
 from scriptorium.functions.text import comparable, text_or_empty
+from scriptorium.sources.store import durable
+
+from .ordering import matched, with_cell
+from .retrieval import spread
 
 UNKNOWN = 10**9
 #: Kept cases that a case is compared with, similarity from which it merges, and with a section in common, greatest distance of ordinals otherwise.
@@ -25,6 +30,11 @@ LOOK_BACK, ALIKE, ALIKE_OVERLAPPING, DISTANCE = 5, 0.82, 0.72, 1
 LONGER = 20
 TEXTS = ("title", "summary", "conflict", "pattern")
 LISTS = ("sections", "chunks", "tags")
+STATE = ("actor", "kind", "score", "case_id", *TEXTS, *LISTS, "priority", "ordinal", "position", "merged")
+#: Texts by which near duplicates are told.
+TOLD = ("title", "conflict", "pattern")
+#: Cases that are Python objects at once.
+ROWS = 256
 
 
 def compare_text(title: Column, conflict: Column, pattern: Column) -> Column:
@@ -76,18 +86,86 @@ def exact_merged(cases: DataFrame, by: list[str]) -> DataFrame:
     return folded.select(*by, "s.*").drop("told", "size")
 
 
-def near(a: Column, b: Column) -> Column:
-    """Whether two states are near duplicates: one actor and kind, neighbours, similar."""
-    overlap = F.arrays_overlap(a["sections"], b["sections"])
-    same = (a["actor"] == b["actor"]) & (a["kind"] == b["kind"])
-    close = overlap | (F.abs(a["ordinal"] - b["ordinal"]) <= DISTANCE)
-    alike = T.jaccard(T.bigrams(comparable(_told(a))), T.bigrams(comparable(_told(b))))
-    some = (F.size(a["chunks"]) > 0) & (F.size(b["chunks"]) > 0)
-    return F.coalesce(same & some & close & ((alike >= ALIKE) | (overlap & (alike >= ALIKE_OVERLAPPING))), F.lit(False))
-
+def stretches(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, place and stretch: the ordinal at which the stretch of a place begins. A new one begins where the ordinals are too far apart and no section lies on both sides.
 
-def _told(s: Column) -> Column:
-    return compare_text(s["title"], s["conflict"], s["pattern"])
+    One row a book and place, dealt into ranges of places; what lies before and after a range comes from one row a book and range.
+    """
+    ends = rows.groupBy(*by, F.coalesce("ordinal", F.lit(UNKNOWN)).alias("place")).agg(F.min(F.array_min("sections")).alias("low"), F.max(F.array_max("sections")).alias("high"))
+    places, cell = with_cell(ends, "place"), [*by, "__cell"]
+    up, down = (Window.partitionBy(*by).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("__cell"), F.desc("__cell")))
+    known = places.groupBy(*cell).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("place").alias("place"))
+    known = known.select(*cell, F.max("high").over(up).alias("__reach"), F.max("place").over(up).alias("__last"), F.min("low").over(down).alias("__ahead"))
+    w, back = (Window.partitionBy(*cell).orderBy(o) for o in (F.asc("place"), F.desc("place")))
+    reach = F.greatest(F.max("high").over(w.rowsBetween(Window.unboundedPreceding, -1)), "__reach")
+    ahead = F.least(F.min("low").over(back.rowsBetween(Window.unboundedPreceding, 0)), "__ahead")
+    told = matched(places, known, cell).withColumns({"reach": reach, "ahead": ahead, "last": F.coalesce(F.lag("place").over(w), "__last")})
+    parted = F.col("last").isNull() | ((F.col("place") - F.col("last") > DISTANCE) & F.coalesce(F.col("ahead") > F.col("reach"), F.lit(True)))
+    cut = told.select(*cell, "place", F.when(parted, F.col("place")).alias("cut"))
+    begun = cut.groupBy(*cell).agg(F.max("cut").alias("cut"))
+    begun = begun.select(*cell, F.max("cut").over(up).alias("__begun"))
+    within = F.max("cut").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return matched(cut, begun, cell).select(*by, "place", F.coalesce(within, "__begun").alias("stretch"))
+
+
+class _Kept:
+    """A case of the fold, with its sections and chunks as ordered sets once others went into it."""
+
+    def __init__(self, row: dict):
+        self.row, self.plain, self.twice = row, dict(zip(TOLD, row.pop("__plain"))), dict(zip(TOLD, row.pop("__twice")))
+        self.sections, self.chunks = dict.fromkeys(row["sections"]), dict.fromkeys(row["chunks"])
+        self.known = set(self.sections) - {None}
+        self._measure()
+
+    def _measure(self) -> None:
+        self.told, self.size, self.grams = len(" ".join(self.plain[t] for t in TOLD).strip(" ")), len(self.row["summary"]), _grams("".join(self.twice[t] for t in TOLD))
+
+    def rank(self) -> tuple:
+        score = self.row["score"]
+        return score != score, 0.0 if score != score else score, self.told, self.size
+
+    def place(self) -> tuple:
+        return tuple(UNKNOWN if self.row[c] is None else self.row[c] for c in ("ordinal", "position"))
+
+    def near(self, new: _Kept) -> bool:
+        """Whether the two are near duplicates: one actor and kind, neighbours, similar."""
+        a, b = self.row, new.row
+        if a["actor"] != b["actor"] or a["kind"] != b["kind"] or not self.chunks or not new.chunks:
+            return False
+        overlap = any(x in self.known for x in new.known)
+        if not overlap and (a["ordinal"] is None or b["ordinal"] is None or abs(a["ordinal"] - b["ordinal"]) > DISTANCE):
+            return False
+        if not self.grams or not new.grams:
+            return False
+        common = len(self.grams & new.grams)
+        return common / (len(self.grams) + len(new.grams) - common) >= (ALIKE_OVERLAPPING if overlap else ALIKE)
+
+    def unite(self, new: _Kept) -> None:
+        """What _united() gives; sections and chunks are put in order when the case is done."""
+        a, b = self.row, new.row
+        first, second = (new, self) if new.rank() > self.rank() else (self, new)
+        texts = {t: first if not (first.row[t] == "" or (second.row[t] != "" and len(second.row[t]) > len(first.row[t]) + LONGER)) else second for t in TEXTS}
+        taken = {t: (x.row[t], x.plain.get(t), x.twice.get(t)) for t, x in texts.items()}
+        place = new if new.place() < self.place() else self
+        more = {"case_id": first.row["case_id"], "tags": list(dict.fromkeys(first.row["tags"] + second.row["tags"])), "ordinal": place.row["ordinal"], "position": place.row["position"], "merged": a["merged"] + b["merged"] + 1}
+        most = {c: max(a[c], b[c], key=lambda x: (x != x, x)) for c in ("score", "priority")}
+        self.sections |= new.sections
+        self.chunks |= new.chunks
+        self.known |= new.known
+        a |= more | most | {t: x[0] for t, x in taken.items()} | {"sections": None, "chunks": None}
+        for t in TOLD:
+            self.plain[t], self.twice[t] = taken[t][1:]
+        self._measure()
+
+    def done(self) -> dict:
+        for c in ("sections", "chunks"):
+            if self.row[c] is None:
+                self.row[c] = sorted(getattr(self, c), key=lambda x: (x is None, x or ""))
+        return self.row
+
+
+def _grams(text: str) -> set[str]:
+    return {text} if 0 < len(text) <= 2 else {text[i : i + 2] for i in range(len(text) - 1)}
 
 
 def merged_cases(cases: DataFrame, by: list[str]) -> DataFrame:
@@ -95,28 +173,44 @@ def merged_cases(cases: DataFrame, by: list[str]) -> DataFrame:
 
     A case merges into the nearest of the last LOOK_BACK kept ones that is near, else it is kept itself.
     """
-    rows = exact_merged(cases, by)
-    order = sort_key(F.col("ordinal"), F.col("position"), F.col("actor"), F.col("score")) + [F.col("case_id")]
-    w = Window.partitionBy(*by).orderBy(*order)
+    rows = durable(exact_merged(cases, by))
     place = F.coalesce("ordinal", F.lit(UNKNOWN))
-    ends = rows.withColumns({"low": F.array_min("sections"), "high": F.array_max("sections")})
-    reach = F.max("high").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    ahead = F.min("low").over(w.rowsBetween(0, Window.unboundedFollowing))
-    parted = (place - F.lag(place).over(w) > DISTANCE) & ((ahead > reach) | ahead.isNull() | reach.isNull())
-    cut = ends.withColumn("stretch", F.sum(F.coalesce(parted, F.lit(True)).cast("int")).over(w))
-    keyed = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], _state(rows).alias("s"))
-    listed = cut.groupBy(*by, "stretch").agg(F.array_sort(F.collect_list(keyed)).alias("of"))
-    none = F.slice(F.transform("of", lambda x: x["s"]), 1, 0)
-
-    def step(kept: Column, x: Column) -> Column:
-        new, n = x["s"], F.size(kept)
-        look = F.filter(F.transform(F.sequence(F.lit(0), F.lit(LOOK_BACK - 1)), lambda i: n - i), lambda i: i > 0)
-        first = F.get(F.filter(look, lambda i: near(F.get(kept, i - 1), new)), F.lit(0))
-        into = lambda at: F.when(at.isNull(), F.concat(kept, F.array(new))).otherwise(F.transform(kept, lambda s, i: F.when(i + 1 == at, _united(s, new)).otherwise(s)))
-        return F.get(F.transform(F.array(first), into), F.lit(0))  # worked out once
-
-    folded = listed.select(*by, F.explode(F.aggregate("of", none, step)).alias("s"))
-    return folded.select(*by, "s.*").drop("told", "size")
+    order = sort_key(F.col("ordinal"), F.col("position"), F.col("actor"), F.col("score")) + [F.col("case_id")]
+    plain = F.array(*[comparable(F.col(t)) for t in TOLD])
+    held = matched(rows.withColumn("place", place), stretches(rows, by), [*by, "place"])
+    # A stretch lies in one task, in order, and is passed through: of it no more than LOOK_BACK cases are held.
+    dealt = spread(held, *by, "stretch").sortWithinPartitions(*by, "stretch", *order, _state(held))
+    given = dealt.select(*by, "stretch", *STATE, plain.alias("__plain"), F.transform(plain, comparable).alias("__twice"))
+    kinds = StructType([given.schema[c] for c in (*by, *STATE)])
+    types = to_arrow_schema(kinds)
+
+    def fold(batches):
+        import pyarrow as pa
+
+        key, kept, out = None, [], []
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                for row in batch.slice(at, ROWS).to_pylist():
+                    of = (*(row[c] for c in by), row.pop("stretch"))
+                    if of != key:
+                        out += [k.done() for k in kept]
+                        key, kept = of, []
+                    new = _Kept(row)
+                    into = next((k for k in reversed(kept) if k.near(new)), None)
+                    if into is not None:
+                        into.unite(new)
+                    else:
+                        kept.append(new)
+                        if len(kept) > LOOK_BACK:
+                            out.append(kept.pop(0).done())
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, types)
+                    out = []
+        out += [k.done() for k in kept]
+        if out:
+            yield pa.RecordBatch.from_pylist(out, types)
+
+    return given.mapInArrow(fold, kinds)
 
 
 def consolidated_runs(runs: list[DataFrame], by: list[str]) -> DataFrame:

@@ -38,15 +38,15 @@ def run_numbers(rows: DataFrame, partition: list[str], order: str, keys: list[st
     by = Window.partitionBy(*partition).orderBy("__cell")
     ends = ends.select(*cell, F.lag("__last").over(by).alias("__before"), (F.row_number().over(by) == 1).alias("__start"))
     w = Window.partitionBy(*cell).orderBy(order)
-    joined = _matched(rows, ends, cell)
+    joined = matched(rows, ends, cell)
     changed = F.when(F.row_number().over(w) == 1, F.col("__start") | ~own.eqNullSafe(F.col("__before"))).otherwise(~own.eqNullSafe(F.lag(own).over(w)))
     marked = joined.withColumn("__new", changed.cast("int")).drop("__before", "__start").withColumn(name, F.sum("__new").over(w))
     totals = marked.groupBy(*cell).agg(F.sum("__new").alias("__n"))
     base = totals.select(*cell, F.coalesce(F.sum("__n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    return _matched(marked, base, cell).withColumn(name, F.col(name) + F.col("__base")).drop("__cell", "__new", "__base")
+    return matched(marked, base, cell).withColumn(name, F.col(name) + F.col("__base")).drop("__cell", "__new", "__base")
 
 
-def _matched(rows: DataFrame, per_cell: DataFrame, keys: list[str]) -> DataFrame:
+def matched(rows: DataFrame, per_cell: DataFrame, keys: list[str]) -> DataFrame:
     """rows with what is known of their cell; null keys are equal."""
     named = per_cell.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *[c for c in per_cell.columns if c not in keys])
     same = F.lit(True)

@@ -26,10 +26,10 @@ def small_side(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
+def spread(rows: DataFrame, *key: str) -> DataFrame:
     """rows dealt by a key to at least as many tasks as there are cores: what follows costs far more time than its bytes suggest."""
     spark = rows.sparkSession
-    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *key)
 
 
 def ranked(scores: DataFrame, query: str, item: str, score: str, limit: int) -> DataFrame:

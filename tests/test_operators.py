@@ -305,3 +305,44 @@ def test_cases_merge_as_in_a_plain_fold(spark):
     shown = lambda c: (c["case_id"], c["actor"], c["kind"], c["title"], c["summary"], tuple(c["sections"]), tuple(c["chunks"]), tuple(c["tags"]), c["score"], c["ordinal"], c["position"], c["merged"])
     assert sorted(map(shown, got)) == sorted(map(shown, want)) and any(c["merged"] for c in want)
     assert case_merging.merged_cases(frame.where("false"), ["book"]).count() == 0
+
+
+def test_stretches_of_cases_do_not_look_ahead_row_by_row(spark):
+    import random
+
+    rng = random.Random(7)
+    rows = [(book, o, sorted({f"{o // 6:05d}", f"{o // 6 + rng.choice([0, 0, 0, 0, 9]):05d}"}) if rng.random() < 0.9 else None) for book in ("a", None) for o in sorted(rng.sample(range(4000), 1500)) for _ in range(rng.choice([1, 1, 2]))]
+    rows += [("a", None, ["00000"]), ("c", None, None)]
+    frame = spark.createDataFrame(rows, "book string, ordinal int, sections array<string>")
+    want = {}
+    for book in ("a", None, "c"):
+        own = sorted((10**9 if o is None else o, s or []) for b, o, s in rows if b == book)
+        begun = reach = last = None
+        lows, low = [], None
+        for _, s in reversed(own):
+            low = min(x for x in (low, *s) if x is not None) if low or s else None
+            lows.append(low)
+        for (o, s), ahead in zip(own, reversed(lows)):
+            if last is None or (o - last > 1 and (ahead is None or reach is None or ahead > reach)):
+                begun = o
+            want[book, o], last = begun, o
+            reach = max(x for x in (reach, *s) if x is not None) if reach or s else None
+    found = case_merging.stretches(frame, ["book"])
+    assert {(r["book"], r["place"]): r["stretch"] for r in found.collect()} == want and 5 < len(set(want.values())) < 1500
+    plan = found._jdf.queryExecution().toString().lower()
+    assert "unboundedfollowing" not in plan
+
+
+def test_a_long_stretch_of_cases_merges_as_in_a_plain_fold(spark):
+    rows = [
+        {"case_id": f"c{i:04d}", "actor": "a", "kind": "x", "title": f"{'the same old story of a king' if i % 3 else 'others'} {i % 7 if i % 3 else i * 7919}", "conflict": "", "pattern": "İ" * (i % 2), "summary": "s" * (i % 50), "sections": [f"{i // 4:04d}", f"{i // 4 + 1:04d}"], "chunks": [f"k{i:04d}"],
+         "tags": [f"t{i % 3}"], "score": i % 5 / 10, "priority": 0.85, "ordinal": i, "position": i % 2}
+        for i in range(2000)
+    ]
+    kinds = "case_id string, actor string, kind string, title string, conflict string, pattern string, summary string, sections array<string>, chunks array<string>, tags array<string>, score double, priority double, ordinal int, position int, book string"
+    frame = spark.createDataFrame([[*r.values(), "b"] for r in rows], kinds)
+    assert case_merging.stretches(frame, ["book"]).select("stretch").distinct().count() == 1
+    shown = lambda c: (c["case_id"], c["title"], c["summary"], tuple(c["sections"]), tuple(c["chunks"]), tuple(c["tags"]), c["score"], c["ordinal"], c["position"], c["merged"])
+    found = case_merging.merged_cases(frame, ["book"])
+    assert "MapInArrow" in found._jdf.queryExecution().toString()  # a stretch is not gathered into one row
+    assert sorted(shown(r.asDict()) for r in found.collect()) == sorted(map(shown, _plain_merged(rows)))
