@@ -19,6 +19,8 @@ from scriptorium.functions.text import words_in
 
 #: Tokens, or vectors, of questions that may be sent to all executors (some 20 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Vectors of a block, and pairs that are added up at once.
+VECTORS, PAIRS = 1024, 500_000
 
 
 def small_side(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -71,7 +73,7 @@ def tag_bonus(tags: Column, question: Column, each: float) -> Column:
 def dense_scores(queries: DataFrame, corpus: DataFrame, query: str = "query_id", item: str = "item_id", digits: int = 6) -> DataFrame:
     """query, item, score: largest inner product over a query's vectors (arrays `vector`) with each item's vector.
 
-    A stated set of queries against all rows of the corpus, which has one vector an item: nothing is shuffled here but the queries.
+    A stated set of queries against all rows of the corpus, which has one vector an item: nothing is shuffled here but the queries. For the best items of each query see dense_ranked.
     """
     asked = queries.groupBy(query).agg(F.collect_list("vector").alias("q"))  # the few vectors of one question
     best = F.array_max(F.transform("q", lambda q: T.dot(F.col("v"), q)))
@@ -79,6 +81,160 @@ def dense_scores(queries: DataFrame, corpus: DataFrame, query: str = "query_id",
     return both.select(query, item, F.round(best, digits).alias("score"))
 
 
+def _vector_blocks(rows: DataFrame, item: str) -> DataFrame:
+    """Rows of (item, vector) in blocks of up to VECTORS: ids, dims (-1: a vector that is null or holds a null) and the components as doubles, end to end."""
+    given = rows.select(item, F.col("vector").cast("array<double>").alias("vector"))
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, VECTORS):
+                ids, lists = (batch.slice(at, VECTORS).column(i) for i in range(2))
+                whole = pc.if_else(pc.is_in(pa.array(range(len(lists))), pc.list_parent_indices(lists).filter(pc.is_null(pc.list_flatten(lists)))), None, lists)
+                dims = pc.fill_null(pc.list_value_length(whole), -1).cast(pa.int32())
+                data = pc.list_flatten(whole).to_numpy(zero_copy_only=False).tobytes()
+                one = pa.array([0, len(ids)], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(one, ids), pa.ListArray.from_arrays(one, dims), pa.array([data], pa.binary())], names=["ids", "dims", "data"])
+
+    return given.mapInArrow(run, f"ids array<{given.schema[item].dataType.simpleString()}>, dims array<int>, data binary")
+
+
+def dense_ranked(queries: DataFrame, corpus: DataFrame, limit: int, query: str = "query_id", item: str = "item_id", digits: int = 6, but_own: bool = False) -> DataFrame:
+    """query, item, score, rank: what ranked(dense_scores(...), limit) gives; but_own leaves out items with their query's own id (and null ids).
+
+    All pairs are scored, in blocks: a block of items meets a block of query vectors as one matrix product, and a task keeps `limit` items a query vector. A product
+    in another order of addition may differ in its last places, so it only tells which pairs can be among the best; those are added up in order, as dense_scores does, and
+    rounded half up, before any is dropped. A task holds its blocks' scores and its best; the driver holds nothing.
+    """
+    spark = corpus.sparkSession
+    kinds = queries.schema[query].dataType.simpleString(), corpus.schema[item].dataType.simpleString()
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    asked = _vector_blocks(queries, query).select(F.monotonically_increasing_id().alias("block"), F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("data").alias("q_data"))
+    both = _vector_blocks(corpus, item).repartition(tasks).crossJoin(small_side(asked, BROADCAST_ROWS // VECTORS)).select("ids", "dims", "data", "block", "q_ids", "q_dims", "q_data")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        best: dict = {}  # block of query vectors: their ids, and (vector, item, score) of the best so far
+        least: dict = {}  # the score that an item has to reach
+
+        def unpacked(ids, dims, data):
+            dims, flat = dims.values.to_numpy(), np.frombuffer(data.as_py(), float)
+            ends = np.cumsum(np.maximum(dims, 0))
+            return ids.values, dims, {d: (at := np.flatnonzero(dims == d), flat[(ends[at] - d)[:, None] + np.arange(d)]) for d in np.unique(dims) if d >= 0}
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = [batch.column(i)[r] for i in range(7)]
+                ids, dims, held = unpacked(*row[:3])
+                q_ids, q_dims, q_held = unpacked(*row[4:])
+                block, n = row[3].as_py(), len(q_dims)
+                limits = least.get(block, np.full(n, -np.inf))
+                # Pairs without a score come last, as -inf; those whose score is no number first.
+                rough, error = np.full((n, len(dims)), -np.inf), np.zeros((n, 1))
+                with np.errstate(all="ignore"):
+                    for d, (q_at, q) in q_held.items():
+                        if d in held:
+                            at, v = held[d]
+                            rough[np.ix_(q_at, at)] = np.nan_to_num(q @ v.T, nan=np.inf, posinf=np.inf, neginf=-np.inf)
+                            error[q_at, 0] = 4 * (d + 1) * np.finfo(float).eps * np.nan_to_num(np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1)).max(initial=0), nan=np.inf)
+                    if but_own:
+                        own = _codes(q_ids, ids)
+                        own = (own[0][:, None] == own[1][None, :]) | (own[0] < 0)[:, None] | (own[1] < 0)[None, :]
+                    else:
+                        own = np.zeros((1, 1), bool)
+                    open_ = np.isneginf(limits)
+                    reach = limits.copy()
+                    if open_.any() and len(dims) > limit:
+                        of_open = np.where(own, -np.inf, rough)[open_]
+                        reach[open_] = np.partition(of_open, len(dims) - limit, axis=1)[:, len(dims) - limit]
+                    floor = reach[:, None] - (1.01 * 10.0**-digits + 2 * error)
+                    some = ~(rough < floor) & ~own
+                q_of, i_of = np.nonzero(some)
+                scores = np.empty(len(q_of))
+                for at in range(0, len(q_of), PAIRS):
+                    scores[at : at + PAIRS] = _in_order(q_of[at : at + PAIRS], i_of[at : at + PAIRS], q_dims, dims, q_held, held)
+                names = ids.take(pa.array(i_of))
+                before = best.get(block)
+                if before is not None:
+                    q_of, scores, names = np.append(before[1], q_of), np.append(before[3], scores), pa.concat_arrays([before[2], names])
+                keys = _round_half_up(scores, digits)
+                empty = np.isnan(scores) & (np.signbit(scores))  # no score at all
+                order = np.lexsort((_codes(names)[0], -np.where(np.isnan(keys), np.inf, keys), np.where(empty, 2, np.where(np.isnan(scores), 0, 1)), q_of))
+                q_of, keys, empty = q_of[order], keys[order], empty[order]
+                place = np.arange(len(q_of)) - np.searchsorted(q_of, q_of)
+                kept = place < limit
+                best[block] = q_ids, q_of[kept], names.take(pa.array(order[kept])), scores[order][kept]
+                last = place == limit - 1
+                bounds = np.full(n, -np.inf)
+                bounds[q_of[last]] = np.where(empty[last], -np.inf, np.where(np.isnan(keys[last]), np.inf, keys[last]))
+                least[block] = bounds
+        for q_ids, q_of, names, scores in best.values():
+            shown = pa.array(scores, pa.float64(), mask=np.isnan(scores) & np.signbit(scores))
+            yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(q_of)), names, shown], names=[query, item, "score"])
+
+    found = both.mapInArrow(run, f"{query} {kinds[0]}, {item} {kinds[1]}, score double")
+    scores = found.groupBy(query, item).agg(F.round(F.max("score"), digits).alias("score"))  # a query may have several vectors
+    return ranked(scores, query, item, "score", limit)
+
+
+def _codes(*arrays):
+    """Numbers in order of the values of Arrow arrays of one kind, a list for each array; -1 for null."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    every = pa.concat_arrays(arrays) if len(arrays) > 1 and arrays[0].type == arrays[1].type else pa.concat_arrays([a.cast(arrays[0].type) for a in arrays])
+    if pa.types.is_integer(every.type) and not every.null_count and (not len(every) or pc.min(every).as_py() >= 0):
+        codes = every.to_numpy()
+    else:
+        coded = every.dictionary_encode()
+        rank = np.empty(len(coded.dictionary), np.int64)
+        rank[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(rank))
+        codes = np.full(len(every), -1, np.int64)
+        filled = coded.indices.is_valid().to_numpy(zero_copy_only=False)
+        codes[filled] = rank[coded.indices.drop_null().to_numpy()]
+    return np.split(codes, np.cumsum([len(a) for a in arrays])[:-1])
+
+
+def _in_order(q_of, i_of, q_dims, dims, q_held: dict, held: dict):
+    """Inner products of pairs, added up from the first component to the last; -nan where a vector is missing or the lengths differ."""
+    import numpy as np
+
+    out = np.full(len(q_of), -np.nan)
+    same = q_dims[q_of] == dims[i_of]
+    for d in np.intersect1d(list(q_held), list(held)):
+        (q_at, q), (at, v) = q_held[d], held[d]
+        some = np.flatnonzero(same & (q_dims[q_of] == d))
+        a, b = np.searchsorted(q_at, q_of[some]), np.searchsorted(at, i_of[some])
+        total = np.zeros(len(some))
+        with np.errstate(all="ignore"):
+            for j in range(int(d)):
+                total += q[a, j] * v[b, j]
+        out[some] = np.where(np.isnan(total), np.nan, total)
+    return out
+
+
+def _round_half_up(values, digits: int):
+    """As F.round, by the shortest decimal of a double; only what lies near a half is worked out in decimals."""
+    from decimal import ROUND_HALF_UP, Context, Decimal
+
+    import numpy as np
+
+    scale = 10.0**digits
+    with np.errstate(all="ignore"):
+        size = np.abs(values) * scale
+        out = np.copysign(np.floor(size + 0.5), values) / scale
+        near = np.flatnonzero(np.isfinite(size) & ((np.abs(size - np.floor(size) - 0.5) < 1e-6) | (size > 1e9)))
+    exact = Context(prec=400)
+    for i in near:
+        out[i] = float(Decimal(repr(float(values[i]))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP, exact))
+    return out
+
+
 def best_per_item(hits: DataFrame, request: str, item: str = "item_id", score: str = "score", limit: int = 12) -> DataFrame:
     """Rankings of several queries of one request as one: the best score of each item, the `limit` best items of a request."""
     return ranked(hits.groupBy(request, item).agg(F.max(score).alias(score)), request, item, score, limit)

@@ -91,8 +91,7 @@ _VECTORS = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::D
 def _dense(spark, sf_dir, limit):
     rows = table(spark, sf_dir, "embeddings")
     asked = rows.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    scores = retrieval.dense_scores(asked, rows.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), digits=4).where("query_id <> item_id")
-    return retrieval.ranked(scores, "query_id", "item_id", "score", limit)
+    return retrieval.dense_ranked(asked, rows.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), limit, digits=4, but_own=True)
 
 
 _DENSE = _VECTORS + """,

@@ -346,3 +346,30 @@ def test_a_long_stretch_of_cases_merges_as_in_a_plain_fold(spark):
     found = case_merging.merged_cases(frame, ["book"])
     assert "MapInArrow" in found._jdf.queryExecution().toString()  # a stretch is not gathered into one row
     assert sorted(shown(r.asDict()) for r in found.collect()) == sorted(map(shown, _plain_merged(rows)))
+
+
+def test_blocked_dense_ranking_gives_what_all_pairs_give(spark):
+    import random
+
+    rng = random.Random(11)
+    odd = [None, [], [0.5, None], [float("nan"), 1.0, 0.0], [float("inf"), 0.0, 1.0], [1.0, 2.0], [0.005, 0.01, 0.0]]
+    vector = lambda: rng.choice(odd) if rng.random() < 0.02 else [rng.choice([0.005, 0.01, 0.25, -0.5, rng.random()]) for _ in range(3)]
+    rows = [(i, f"v{i % 2500:04d}" if i % 97 else None, vector()) for i in range(2500)]
+    corpus = spark.createDataFrame(rows, "item_id long, name string, vector array<double>").repartition(2)
+    asked = corpus.where("item_id % 40 = 0").select(F.col("item_id").alias("query_id"), "vector").unionByName(corpus.where("item_id in (1, 2, 3)").select((F.col("item_id") * 40).alias("query_id"), "vector"))
+    every = retrieval.dense_scores(asked, corpus, digits=2)
+    shown = lambda rows: sorted(map(str, rows.select("query_id", rows.columns[1], "score", "rank").collect()))
+    for limit in (1, 7, 2000):
+        assert shown(retrieval.dense_ranked(asked, corpus, limit, digits=2)) == shown(retrieval.ranked(every, "query_id", "item_id", "score", limit))
+        assert shown(retrieval.dense_ranked(asked, corpus, limit, digits=2, but_own=True)) == shown(retrieval.ranked(every.where("query_id <> item_id"), "query_id", "item_id", "score", limit))
+    named = corpus.where("name is not null")
+    assert shown(retrieval.dense_ranked(asked, named, 5, item="name", digits=2)) == shown(retrieval.ranked(retrieval.dense_scores(asked, named, item="name", digits=2), "query_id", "name", "score", 5))
+    assert retrieval.dense_ranked(asked.where("false"), corpus, 5).count() == 0 == retrieval.dense_ranked(asked, corpus.where("false"), 5).count()
+
+
+def test_dense_queries_score_blocks_not_rows(spark):
+    from scriptorium.plans import catalogue
+
+    found = catalogue.dense_topk(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan
