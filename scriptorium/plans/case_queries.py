@@ -133,8 +133,8 @@ def dense_best_per_item(spark, sf_dir):
     """Several vectors of one request (here those of one label) searched one by one, the best score of each item kept."""
     rows = table(spark, sf_dir, "embeddings")
     asked = rows.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    scores = retrieval.dense_scores(asked, rows.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), digits=4).where("query_id <> item_id")
-    hits = retrieval.ranked(scores, "query_id", "item_id", "score", 12).join(rows.select(F.col("vec_id").alias("query_id"), F.col("label").alias("request")), "query_id")
+    best = retrieval.dense_ranked(asked, rows.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), 12, digits=4, but_own=True)
+    hits = best.join(rows.select(F.col("vec_id").alias("query_id"), F.col("label").alias("request")), "query_id")
     return retrieval.best_per_item(hits, "request")
 
 
