@@ -15,6 +15,8 @@ from pyspark.sql.types import StructType
 from scriptorium.functions.text import filled_template, numbered, safe_double, slug, text_or_empty, unique_filled
 
 CASE = "struct<title:string,summary:string,case_type:string,score:string,section_keys:array<string>,actors:array<struct<name:string,role:string,stance:string>>>"
+#: Answers that a worker holds at once.
+ANSWERS = 64
 ANSWER = f"struct<cases:array<{CASE}>,global_notes:array<string>>"
 
 
@@ -34,26 +36,29 @@ def prompts(chunks: DataFrame, template: str, values: dict[str, Column], name: s
 
 
 def answered(rows: DataFrame, model: Callable[[list[str]], list[str]], prompt: str = "prompt", retries: int = 2) -> DataFrame:
-    """rows with `answer` and `error`: a failing call is tried again, then its error is kept and the answer is null."""
+    """rows with `answer` and `error`: a failing call is tried again, then its error is kept and the answer is null. A worker holds ANSWERS answers at once."""
 
-    @F.pandas_udf("answer string, error string")
-    def call(texts):
-        import pandas as pd
+    fresh = rows.drop("answer", "error")
 
-        out = []
-        for text in texts:
+    def run(batches):
+        import pyarrow as pa
+
+        def call(text: str | None) -> tuple[str | None, str | None]:
             error = None
             for _ in range(retries + 1):
                 try:
-                    out.append((model([text])[0], None))
-                    break
+                    return model([text])[0], None
                 except Exception as e:  # noqa: BLE001  whatever a client raises is data here
                     error = f"{type(e).__name__}: {e}"
-            else:
-                out.append((None, error))
-        return pd.DataFrame(out, columns=["answer", "error"])
+            return None, error
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, ANSWERS):
+                part = batch.slice(at, ANSWERS)
+                told = [call(text.as_py()) for text in part.column(batch.schema.get_field_index(prompt))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([t[i] for t in told], pa.string()) for i in range(2))], names=[*part.schema.names, "answer", "error"])
 
-    return rows.withColumn("__a", call.asNondeterministic()(F.col(prompt))).withColumns({"answer": F.col("__a.answer"), "error": F.col("__a.error")}).drop("__a")
+    return fresh.mapInArrow(run, StructType([*fresh.schema.fields, *StructType.fromDDL("answer string, error string").fields]))
 
 
 def parsed_object(answer: str) -> dict:

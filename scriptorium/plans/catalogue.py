@@ -506,7 +506,8 @@ def extracted_cases(spark, sf_dir):
         told = {"title": " ".join(words[:6]), "summary": max(found.get("text", "").split("\n"), key=len), "score": str(score), "section_keys": [k for k, t in parts.items() if t.split()], "actors": []}
         return ["```json\n" + json.dumps({"cases": [told], "global_notes": []}) + "\n```"]
 
-    return extraction.cases(extraction.answered(asked, model)).select("case_id", "chunk_id", "title", F.md5("summary").alias("summary_md5"), "case_type", "score", "source_priority", F.array_join("section_keys", ",").alias("section_keys"))
+    told = extraction.answered(asked.select("chunk_id", "section_keys", "prompt"), model)
+    return extraction.cases(told).select("case_id", "chunk_id", "title", F.md5("summary").alias("summary_md5"), "case_type", "score", "source_priority", F.array_join("section_keys", ",").alias("section_keys"))
 
 
 def _answer_branch(name: str, words: str, long: float, short: float, cap: float, weight: float) -> str:

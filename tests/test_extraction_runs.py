@@ -4,6 +4,8 @@ import json
 import threading
 import time
 
+from pyspark.sql import functions as F
+
 from scriptorium.operators import extraction
 
 PROMPTS = [("a", "good"), ("b", "bad once"), ("c", "raises twice"), ("d", "never"), ("e", None), ("f", "")]
@@ -66,3 +68,13 @@ def test_a_run_resumes_where_the_last_one_failed(spark, tmp_path):
     assert sorted(r["chunk_id"] for r in spark.read.parquet(f"{folder}/cases").collect()) == ["a", "b", "c"]
     assert {tuple(r["section_keys"]) for r in spark.read.parquet(f"{folder}/cases").collect()} == {("s1",)}
     assert spark.read.parquet(f"{folder}/summary").count() == 2
+
+
+def test_a_worker_holds_few_answers_at_once(spark):
+    def model(texts):
+        with open("/proc/self/statm") as held:
+            return [f"{int(held.read().split()[1]) * 4096 >> 20} " + "x" * 500_000]
+
+    rows = spark.range(0, 800, 1, 1).select("id", F.concat(F.lit("p"), F.col("id").cast("string")).alias("prompt"))
+    told = [int(r["mb"]) for r in extraction.answered(rows, model).select("error", F.split("answer", " ")[0].alias("mb")).collect()]
+    assert len(told) == 800 and max(told) - min(told) < 200
