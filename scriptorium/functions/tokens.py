@@ -11,6 +11,8 @@ from .text import text_or_empty
 
 CJK_TOKEN = r"[一-鿿]{2,}|[a-zA-Z0-9_]+"
 LATIN_TOKEN = r"[\p{L}\p{N}_]+"
+#: What lies between Latin tokens.
+LATIN_GAP = r"[^\p{L}\p{N}_]+"
 
 
 def grams_of(text: Column, least: int, most: int) -> Column:

@@ -29,6 +29,8 @@ from scriptorium.sources.store import durable, fingerprint, stored
 from .retrieval import BROADCAST_ROWS, ranked
 
 BLOCK = 1024
+#: Terms of a block that are added up at once.
+TERMS = 512
 #: Saturation of the term frequency, and weight of the length.
 K1, B = 1.2, 0.75
 #: A bound may be this much below a sum of the same numbers in another order.
@@ -46,8 +48,9 @@ class Index:
         return F.log1p((F.lit(float(self.n)) - df + 0.5) / (df + 0.5))
 
 
-def made(corpus: DataFrame, item: str, tokens: Column) -> DataFrame:
-    """The postings of corpus by block, and for each block a row without a term that counts its items and tokens. tokens: an array column, repeats included."""
+def made(corpus: DataFrame, item: str, tokens: Column, gap: str | None = None) -> DataFrame:
+    """The postings of corpus by block, and for each block a row without a term that counts its items and tokens. tokens: an array column, repeats included; with
+    gap a text column, whose tokens are what lies between the matches of this pattern (RE2). Then texts, not lists of words, come to the tasks."""
 
     def run(batches):
         import pyarrow as pa
@@ -58,9 +61,16 @@ def made(corpus: DataFrame, item: str, tokens: Column) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                lists = part.column(1).fill_null(pa.scalar([], part.column(1).type))
-                lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-                coded = lists.flatten().dictionary_encode()
+                if gap is None:
+                    lists = part.column(1).fill_null(pa.scalar([], part.column(1).type))
+                    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+                    coded = lists.flatten().dictionary_encode()
+                else:
+                    lists = pc.split_pattern_regex(part.column(1).fill_null(""), gap)
+                    words = lists.flatten()
+                    filled = pc.not_equal(words, "")
+                    lengths = np.bincount(pc.list_parent_indices(lists).filter(filled).to_numpy(), minlength=part.num_rows)
+                    coded = words.filter(filled).dictionary_encode()
                 code, names = coded.indices.to_numpy(), coded.dictionary
                 place = np.repeat(np.arange(part.num_rows), lengths)
                 key, tf = np.unique(code.astype(np.int64) * BLOCK + place, return_counts=True)
@@ -84,11 +94,11 @@ def made(corpus: DataFrame, item: str, tokens: Column) -> DataFrame:
     return rows.mapInArrow(run, f"block long, term string, items array<{kind}>, places array<int>, tfs array<int>, lengths array<int>, most int, least int, n long, tokens long")
 
 
-def index(corpus: DataFrame, item: str, tokens: Column, name: str) -> Index:
-    """The index of corpus, made when it is first asked for and found again in the shared folder from then on. name: what tells its tokens apart."""
+def index(corpus: DataFrame, item: str, tokens: Column, name: str, gap: str | None = None) -> Index:
+    """The index of corpus, made when it is first asked for and found again in the shared folder from then on. name: what tells its tokens apart; gap: as in made()."""
     spark = corpus.sparkSession
-    told = f"{fingerprint(corpus)}|{name}|{item}"
-    postings = stored(spark, "postings", told, lambda: {"postings": made(corpus, item, tokens)})["postings"]
+    told = f"{fingerprint(corpus)}|{name}|{item}|{gap}"
+    postings = stored(spark, "postings", told, lambda: {"postings": made(corpus, item, tokens, gap)})["postings"]
 
     def counts() -> dict[str, DataFrame]:
         return {"terms": postings.where("term is not null").groupBy("term").agg(F.sum(F.size("items")).alias("df")), "stats": postings.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("tokens") / F.sum("n"), F.lit(0.0)).alias("mean"))}
@@ -124,32 +134,47 @@ def rankings(
         def rounded(values):
             return np.floor(values * scale + 0.5)
 
-        def finish(rows):
-            _, one, place = np.unique(np.concatenate([r[6] for r in rows]), return_index=True, return_inverse=True)
-            items = np.concatenate([r[0] for r in rows])[one]
-            asking, query_place = np.unique(np.concatenate([r[4] for r in rows]), return_inverse=True)
-            at = np.cumsum([0, *(len(r[4]) for r in rows)])
+        def finish(parts):
+            import pyarrow.compute as pc
+
+            flat = lambda i: np.concatenate([pc.list_flatten(p.column(i)).to_numpy(zero_copy_only=False) for p in parts])
+            sizes = lambda i: np.concatenate([pc.list_value_length(p.column(i)).to_numpy(zero_copy_only=False) for p in parts])
+            plain = lambda i: np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts]).astype(float)
+            _, one, place = np.unique(flat(2), return_index=True, return_inverse=True)
+            items, held_by, tfs, lengths = flat(1)[one], sizes(1), flat(3).astype(float), flat(4).astype(float)
+            asking, query_place = np.unique(flat(7), return_inverse=True)
+            asked_by = sizes(7)
+            # What a term adds is the same for all its questions, so sums are products of a matrix of questions and terms with one of terms and items.
+            at, q_at = np.cumsum([0, *held_by]), np.cumsum([0, *asked_by])
+            own_columns = [flat(i)[q_at[:-1]] for i in range(8, 8 + len(fields))]
+            most, least = plain(5), plain(6)
+            spans = [range(t, min(t + TERMS, len(held_by))) for t in range(0, len(held_by), TERMS)]
+
+            def asked_in(span):
+                m = np.zeros((len(asking), len(span)))
+                m[query_place[q_at[span.start] : q_at[span.stop]], np.repeat(np.arange(len(span)), asked_by[span.start : span.stop])] = 1
+                return m
+
             bounds = np.zeros((len(names), len(asking)))
-            for j, (_, _, _, (most, least), _, own_columns, _) in enumerate(rows):
-                q = query_place[at[j] : at[j + 1]]
+            for span in spans:
+                m, of = asked_in(span), slice(span.start, span.stop)
                 for i, name in enumerate(names):
-                    bounds[i, q] += sums[name](*own_columns, np.float64(most), np.float64(least))
+                    bounds[i] += m @ sums[name](*(c[of] for c in own_columns), most[of], least[of])
             limits = [np.array([best[r, q][0][-1] if (r, q) in best and len(best[r, q][0]) >= k else -np.inf for q in asking]) for r in range(len(functions))]
             each = [rounded(f(*bounds) + SLACK) >= limit for f, limit in zip(functions, limits)]
-            wanted = np.logical_or.reduce(each)
+            if not np.logical_or.reduce(each).any():
+                return
             total = np.zeros((len(names), len(asking), len(items)))
             held = np.zeros((len(asking), len(items)), bool)
-            start = 0
-            for j, (own_items, tfs, lengths, _, _, own_columns, _) in enumerate(rows):
-                here = place[start : start + len(own_items)]
-                start += len(own_items)
-                q = query_place[at[j] : at[j + 1]]
-                some = wanted[q]
-                if some.any():
-                    cells = np.ix_(q[some], here)
-                    held[cells] = True
-                    for i, name in enumerate(names):
-                        total[i][cells] += sums[name](*(c[some, None] for c in own_columns), tfs[None, :], lengths[None, :])
+            for span in spans:
+                m, of = asked_in(span), slice(at[span.start], at[span.stop])
+                row = np.repeat(np.arange(len(span)), held_by[span.start : span.stop])
+                added = np.zeros((len(span), len(items)))
+                added[row, place[of]] = 1
+                held |= m @ added > 0
+                for i, name in enumerate(names):
+                    added[row, place[of]] = sums[name](*(c[span.start : span.stop][row] for c in own_columns), tfs[of], lengths[of])
+                    total[i] += m @ added
             for r, (f, limit, open_) in enumerate(zip(functions, limits, each)):
                 found_scores = np.where(held, rounded(f(*total)), -np.inf)
                 for i in np.flatnonzero(open_):
@@ -162,20 +187,19 @@ def rankings(
                         order = np.lexsort((n, -s))[:k]
                         best[r, asking[i]] = s[order], n[order], x[:, order]
 
-        block, rows = None, []
+        block, parts = None, []
         for batch in batches:
             kinds = kinds or (batch.schema.field(1).type.value_type, batch.schema.field(7).type.value_type)
-            columns = [batch.column(i) for i in range(batch.num_columns)]
-            for r, b in enumerate(columns[0].to_pylist()):
-                if b != block and rows:
-                    finish(rows)
-                    rows = []
-                block = b
-                values = [columns[i][r] for i in range(1, len(columns))]
-                array = lambda x: x.values.to_numpy(zero_copy_only=False)
-                rows.append((array(values[0]), array(values[2]).astype(float), array(values[3]).astype(float), (values[4].as_py(), values[5].as_py()), array(values[6]), [array(v) for v in values[7:]], array(values[1])))
-        if rows:
-            finish(rows)
+            numbers = batch.column(0).to_numpy()
+            starts = [*np.flatnonzero(np.diff(numbers, prepend=numbers[:1] - 1)), len(numbers)] if len(numbers) else []
+            for start, end in zip(starts, starts[1:]):
+                if parts and numbers[start] != block:
+                    finish(parts)
+                    parts = []
+                block = numbers[start]
+                parts.append(batch.slice(start, end - start))
+        if parts:
+            finish(parts)
         if best:
             asking = [key for key, x in best.items() for _ in x[1]]
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in asking], pa.int32()), pa.array([q for _, q in asking], kinds[1]), pa.array(np.concatenate([x[1] for x in best.values()]), kinds[0]), *(pa.array(np.concatenate([x[2][i] for x in best.values()])) for i in range(len(names)))], names=["ranking", query, item, *names])

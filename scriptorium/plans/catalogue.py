@@ -50,7 +50,7 @@ def word_array(text: str):
 
 def document_index(spark: SparkSession, sf_dir: str) -> postings.Index:
     """The stored index of the documents' words."""
-    return postings.index(table(spark, sf_dir, "documents"), "doc_id", word_array("text"), "words")
+    return postings.index(table(spark, sf_dir, "documents"), "doc_id", F.lower(X.text_or_empty(F.col("text"))), "words", T.LATIN_GAP)
 
 
 def _overlaps(spark: SparkSession, sf_dir: str, k: int) -> dict[str, DataFrame]:

@@ -86,3 +86,16 @@ def test_tables_are_made_once_and_again_after_a_change(spark, tmp_path):
     assert store.fingerprint(spark.range(3)) != store.fingerprint(spark.range(3))
     derived = spark.read.parquet(path).selectExpr("id + 1 as id").groupBy("id").count()
     assert store.fingerprint(derived) != store.fingerprint(derived)
+
+
+def test_texts_split_in_the_tasks_give_the_index_of_word_lists(spark):
+    from scriptorium.functions import tokens as T
+
+    texts = [(1, "Été, the_river -- и 3 men"), (2, None), (3, ""), (4, " .,"), (5, "the the　the\n北方 men!"), (6, "ǅ x²  'twas")] + [(i, f"the w{i} w{i % 7}.") for i in range(7, 2600)]
+    corpus = spark.createDataFrame(texts, "id long, text string").repartition(1)
+    low = F.lower(F.coalesce("text", F.lit("")))
+    shown = lambda rows: sorted(map(str, rows.select("block", "term", "items", "tfs", "lengths", "n", "tokens").collect()))
+    lists = postings.made(corpus, "id", F.regexp_extract_all(low, F.lit(T.LATIN_TOKEN), F.lit(0)))
+    assert shown(postings.made(corpus, "id", low, T.LATIN_GAP)) == shown(lists)
+
+
