@@ -207,8 +207,7 @@ def rankings(
     kind = lambda rows, c: rows.schema[c].dataType.simpleString()
     given = met.select("block", "items", "places", "tfs", "lengths", "most", "least", f"q_{query}", *[f"q_{c}" for c in fields])
     found = given.mapInArrow(run, f"ranking int, {query} {kind(asked, query)}, {item} {of.postings.schema['items'].dataType.elementType.simpleString()}, {', '.join(f'{n} double' for n in names)}")
-    if len(scores) > 1:
-        found = durable(found)  # k items a question, task and ranking
+    found = durable(found)  # k items a question, task and ranking, so that who reads them twice has one pass
     return {name: ranked(found.where(F.col("ranking") == r).drop("ranking").withColumn("score", F.round(shown, digits)), query, item, "score", k) for r, (name, (_, shown)) in enumerate(scores.items())}
 
 

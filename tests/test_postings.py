@@ -99,3 +99,7 @@ def test_texts_split_in_the_tasks_give_the_index_of_word_lists(spark):
     assert shown(postings.made(corpus, "id", low, T.LATIN_GAP)) == shown(lists)
 
 
+def test_a_ranking_is_worked_out_once_however_often_it_is_read(spark):
+    of = postings.index(spark.createDataFrame(_corpus(), "id long, tokens array<string>"), "id", F.col("tokens"), "once")
+    hits = postings.bm25(spark.createDataFrame(QUESTIONS, "query_id long, terms array<string>"), of, 4)
+    assert "MapInArrow" not in hits._jdf.queryExecution().toString()
