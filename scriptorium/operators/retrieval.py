@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import tokens as T
 from scriptorium.functions.text import words_in
+from scriptorium.sources.store import durable
 
 
 #: Tokens, or vectors, of questions that may be sent to all executors (some 20 MB); more are joined by a shuffle.
@@ -245,6 +246,7 @@ def first_with_hits(branches: list[DataFrame | None], query: str = "query_id") -
     usable = [(i, rows.withColumn("branch", F.lit(i))) for i, rows in enumerate(branches) if rows is not None]
     found = usable[0][1]
     for _, rows in usable[1:]:
+        found = durable(found)  # a few hits a question: given as they are, and kept from the next branch
         found = found.unionByName(rows.join(found.select(query).distinct(), query, "left_anti"))
     return found
 

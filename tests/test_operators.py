@@ -373,3 +373,10 @@ def test_dense_queries_score_blocks_not_rows(spark):
     found = catalogue.dense_topk(spark, "/root/testdata/sf0.001")
     plan = found._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "zip_with" not in plan
+
+
+def test_a_branch_is_worked_out_once_though_it_gives_hits_and_stops_the_next(spark):
+    slow = spark.range(4).mapInArrow(lambda batches: batches, "id long").select(F.col("id").alias("query_id"), F.lit(1).alias("item_id"))
+    found = retrieval.first_with_hits([slow, None, spark.createDataFrame([(2, 7), (9, 8)], "query_id long, item_id int")])
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
+    assert sorted(tuple(r) for r in found.select("query_id", "item_id", "branch").collect()) == [(0, 1, 0), (1, 1, 0), (2, 1, 0), (3, 1, 0), (9, 8, 2)]
