@@ -29,7 +29,7 @@ SPARSE, DENSE = (1.15, 0.75, 4.8, 0.3), (1.35, 0.9, 5.0, 0.25)
 #: What a tag, a role, a view and the kind of a case add, and a phrase of the dense text.
 TAG, ROLE, VIEW, KIND, PHRASE = 0.45, 0.4, 0.35, 0.25, 0.8
 LONG_TERM, SHOWN_TERMS, FUSED_TERMS = 3, 6, 8
-#: Questions that meet a case at once, and cases whose scores are ranked at once.
+#: Questions that meet a case at once, and cases that are Python objects, and whose scores are ranked, at once.
 QUESTIONS, CASES = 2_000, 256
 TEXTS, LISTS = ("title", "summary", "conflict", "actor", "kind", "pattern"), ("tags", "roles", "views")
 
@@ -185,9 +185,8 @@ def _best(questions: DataFrame, index: DataFrame, branch: str, worth: tuple[floa
                     best[q] = both[order], names[order]
 
             for batch in batches:
-                rows = batch.to_pylist()
-                for at in range(0, len(rows), CASES):
-                    keep(rows[at : at + CASES])
+                for at in range(0, batch.num_rows, CASES):
+                    keep(batch.slice(at, CASES).to_pylist())
             for q, (s, i) in zip(asked.ids, best):
                 if len(s):
                     yield pa.RecordBatch.from_pylist([{"query_id": q, "case_id": n, "score": float(x / 1e4)} for x, n in zip(s.tolist(), i.tolist())])
