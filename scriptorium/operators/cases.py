@@ -2,16 +2,17 @@
 
 A case is a row: case_id, title, summary, conflict, actor, kind, pattern (texts), tags, roles, views (arrays of texts), priority. The texts
 that are searched are columns made once (`indexed`). A question is a row: query_id, text, tokens, terms. Questions are few and cases
-many, so the questions come to the tasks, in blocks of QUESTIONS: a case is read once, by one automaton over the terms of all questions and one look-up for
-each of its tokens, and a task keeps the best cases of each question. Nothing else is shuffled.
+many, so the questions come to the tasks, in blocks (`retrieval.asked_blocks`): a case is read once, whatever the branches, by one automaton over the terms of all questions and one look-up
+for each of its tokens, and a task keeps the best cases of each question. Only those few are made again to be explained. Nothing else is shuffled.
 
 Nulls: a null text is empty, a null list too, a null priority is DEFAULT_PRIORITY. A case without texts scores by its priority alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +20,10 @@ from pyspark.sql import functions as F
 from scriptorium.functions import lexicon
 from scriptorium.functions import tokens as T
 from scriptorium.functions.text import compact, shortened, text_or_empty
+from scriptorium.sources.store import durable
 
-from .patterns import found
-from .retrieval import ranked, small_side, spread
+from .patterns import automaton, contained
+from .retrieval import Asking, Best, Naming, asked_blocks, ranked, small_side, spread
 
 DEFAULT_PRIORITY = 0.5
 #: Bonus of a long and of a short exact term, their cap, and the weight of the priority, by branch.
@@ -29,8 +31,8 @@ SPARSE, DENSE = (1.15, 0.75, 4.8, 0.3), (1.35, 0.9, 5.0, 0.25)
 #: What a tag, a role, a view and the kind of a case add, and a phrase of the dense text.
 TAG, ROLE, VIEW, KIND, PHRASE = 0.45, 0.4, 0.35, 0.25, 0.8
 LONG_TERM, SHOWN_TERMS, FUSED_TERMS = 3, 6, 8
-#: Questions that meet a case at once, and cases that are Python objects, and whose scores are ranked, at once.
-QUESTIONS, CASES = 2_000, 256
+#: Cases that are Python objects, and whose scores are ranked, at once.
+CASES = 256
 TEXTS, LISTS = ("title", "summary", "conflict", "actor", "kind", "pattern"), ("tags", "roles", "views")
 
 
@@ -76,137 +78,141 @@ def _fields(named: dict[str, Column], otherwise: str) -> Column:
 
 def sparse_hits(questions: DataFrame, index: DataFrame, limit: int, names: dict[str, str] = lexicon.FIELD_NAMES, template: str = lexicon.REASON) -> DataFrame:
     """query_id, case_id, score, terms, fields, reason and rank: the `limit` best cases by tokens, terms, tags, roles, views, kind and priority."""
-    question, hit = F.col("question"), F.col("hit")
-    viewed = F.filter("views", lambda v: _any_term(hit, v))
-    of_kind = (F.col("kind") != "") & F.contains(question, F.col("kind"))
-    named = lambda c: F.size(_within(F.col(c), question))
-    fields = _fields({names["detail"]: F.size(hit) > 0, names["tag"]: named("tags") > 0, names["role"]: named("roles") > 0, names["view"]: F.size(viewed) > 0, names["kind"]: of_kind}, names["sparse"])
-    best = _best(questions, index, "sparse", SPARSE, limit, {"tags": TAG, "roles": ROLE, "kinds": KIND}, F.struct("tags", "roles", F.array("kind").alias("kinds")), "views", VIEW)
-    return _explained(best, questions, index, "sparse_compact", fields, template)
+    return branches(questions, index, limit, names, template, ("sparse",))["sparse"]
 
 
 def dense_text_hits(questions: DataFrame, index: DataFrame, limit: int, names: dict[str, str] = lexicon.FIELD_NAMES, template: str = lexicon.REASON) -> DataFrame:
     """As sparse_hits, over the dense text: what stands in for a vector search where there is none."""
-    best = _best(questions, index, "dense", DENSE, limit, phrases=F.array("dense_text"), phrase=PHRASE)
-    return _explained(best, questions, index, "dense_compact", dense_fields(F.col("hit"), names), template)
+    return branches(questions, index, limit, names, template, ("dense",))["dense"]
+
+
+def branches(questions: DataFrame, index: DataFrame, limit: int, names: dict[str, str] = lexicon.FIELD_NAMES, template: str = lexicon.REASON, of: tuple[str, ...] = ("sparse", "dense"), only: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """sparse_hits and dense_text_hits by name, from one pass over the cases. only: the index of given cases alone (case_id), where that is less work than to take them from the index."""
+    question, hit = F.col("question"), F.col("hit")
+    viewed = F.exists("views", lambda v: _any_term(hit, v))
+    of_kind = (F.col("kind") != "") & F.contains(question, F.col("kind"))
+    named = lambda c: F.size(_within(F.col(c), question))
+    fields = {
+        "sparse": _fields({names["detail"]: F.size(hit) > 0, names["tag"]: named("tags") > 0, names["role"]: named("roles") > 0, names["view"]: viewed, names["kind"]: of_kind}, names["sparse"]),
+        "dense": dense_fields(hit, names),
+    }
+    best = durable(_best(questions, index, of, limit))  # `limit` cases a question, branch and task
+    top = {b: ranked(best.where(F.col("branch") == b).drop("branch"), "query_id", "case_id", "score", limit).where("score > 0") for b in of}
+    met = _hit(reduce(lambda a, b: a.union(b), [rows.select("case_id") for rows in top.values()]), index, only)
+    return {b: _explained(rows, questions, met, f"{b}_compact", fields[b], template) for b, rows in top.items()}
 
 
 def vector_hits(questions: DataFrame, index: DataFrame, scores: DataFrame, limit: int, names: dict[str, str] = lexicon.FIELD_NAMES, template: str = lexicon.REASON) -> DataFrame:
     """The same columns from the scores (query_id, case_id, score) of a vector search."""
-    best = ranked(scores.select("query_id", "case_id", F.round("score", 4).alias("score")), "query_id", "case_id", "score", limit).where("score > 0")
-    return _explained(best, questions, index, "dense_compact", dense_fields(F.col("hit"), names), template)
+    best = durable(ranked(scores.select("query_id", "case_id", F.round("score", 4).alias("score")), "query_id", "case_id", "score", limit).where("score > 0"))
+    return _explained(best, questions, _hit(best, index), "dense_compact", dense_fields(F.col("hit"), names), template)
 
 
 def dense_fields(terms: Column, names: dict[str, str] = lexicon.FIELD_NAMES) -> Column:
-    return _fields({names["pattern"]: _any_term(terms, compact(F.col("pattern"))), names["title"]: _any_term(terms, compact(F.col("title")))}, names["dense"])
+    # An expression inside a lambda is worked out for each term, so the texts are bound to values first.
+    texts = F.array(F.struct(compact(F.col("pattern")).alias("pattern"), compact(F.col("title")).alias("title")))
+    return F.transform(texts, lambda x: _fields({names["pattern"]: _any_term(terms, x["pattern"]), names["title"]: _any_term(terms, x["title"])}, names["dense"]))[0]
 
 
-def _with_hit(rows: DataFrame, text: str) -> DataFrame:
-    """`hit`: the question's terms that the case's text without blanks holds. A term that any field holds is among them, so all else is asked of these few."""
-    return rows.withColumn("hit", F.filter("terms", lambda t: F.contains(F.col(text), t)))
+def _with_hit(rows: DataFrame, index: DataFrame, questions: DataFrame, text: str) -> DataFrame:
+    """`hit`: the question's terms that the case's text without blanks holds. A term that any field holds is among them, so all else is asked of these few. A text is read once for all
+    questions, as one long case may be the best for most of them."""
+    terms = questions.select("query_id", F.posexplode("terms").alias("at", "pattern"))
+    held = contained(index, "case_id", text, terms, "pattern")
+    hits = rows.select("query_id", "case_id").join(small_side(terms), "query_id").join(held, ["case_id", "pattern"])
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "pattern"))), lambda x: x["pattern"])  # no more than the question has
+    found = rows.join(hits.groupBy("query_id", "case_id").agg(listed.alias("hit")), ["query_id", "case_id"], "left")
+    return found.withColumn("hit", F.coalesce("hit", F.array().cast("array<string>")))
 
 
 class _Asked:
     """A block of questions, by term, by token, and by what their texts contain."""
 
-    def __init__(self, rows: list, long: float, short: float):
+    def __init__(self, rows: list[dict]):
         import numpy as np
 
-        self.ids, self.texts = [r["query_id"] for r in rows], [r["text"] for r in rows]
-        self.terms = tuple(dict.fromkeys(t for r in rows for t in r["terms"] if t))
-        place = {t: i for i, t in enumerate(self.terms)}
-        self.of_term, self.of_token = [[] for _ in self.terms], {}
-        for n, r in enumerate(rows):
-            for t in dict.fromkeys(r["terms"]):
-                if t:
-                    self.of_term[place[t]].append(n)
-            for t in set(r["tokens"]):
-                self.of_token.setdefault(t, []).append(n)
-        self.of_term = [np.array(x, np.int64) for x in self.of_term]
-        self.of_token = {t: np.array(x, np.int64) for t, x in self.of_token.items()}
-        self.worth = np.array([long if len(t) >= LONG_TERM else short for t in self.terms])
-        self.long = np.array([len(t) >= LONG_TERM for t in self.terms], bool)
-        self.named: dict[str, object] = {}
-
-    def counted(self, lists: list, weights=None):
-        """Sum over questions of what each of the lists is worth (1)."""
-        import numpy as np
-
-        if not lists:
-            return np.zeros(len(self.ids))
-        return np.bincount(np.concatenate(lists), None if weights is None else np.repeat(weights, [len(x) for x in lists]), len(self.ids))
+        self.ids, self.terms, self.tokens, self.naming = [r["query_id"] for r in rows], Asking(r["terms"] for r in rows), Asking(r["tokens"] for r in rows), Naming([r["text"] for r in rows])
+        self.long = np.array([len(t) >= LONG_TERM for t in self.terms.values], bool)
 
-    def naming(self, value: str):
-        """Which questions contain a value."""
+    def holding(self, texts: list[str]):
+        """Rows of texts and places of the terms that they hold."""
         import numpy as np
 
-        if value not in self.named:
-            if len(self.named) > 10_000:
-                self.named.clear()
-            self.named[value] = np.array([value in text for text in self.texts], float) if value else np.zeros(len(self.texts))
-        return self.named[value]
+        if not self.terms.values:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        look = automaton(self.terms.values)
+        each = [{i for _, i in look.iter(text)} for text in texts]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        return np.repeat(np.arange(len(texts)), sizes), np.fromiter(chain.from_iterable(each), np.int64, sizes.sum())
 
-
-def _best(questions: DataFrame, index: DataFrame, branch: str, worth: tuple[float, float, float, float], limit: int, lists: dict[str, float] | None = None, values: Column | None = None, phrases: Column | str | None = None, each: float = 0.0, phrase: float = 0.0) -> DataFrame:
-    """query_id, case_id, score, rank of the best cases by shared tokens, capped terms and priority; by what is in the question's text (lists: weights of
-    the arrays in `values`); by how many of the texts `phrases` hold a term that was found (`each`), or whether one holds a long one (`phrase`)."""
-    long, short, cap, weight = worth
-    lists = lists or {}
-    given = spread(index, "case_id").select("case_id", F.col(f"{branch}_compact").alias("compact"), F.col(f"{branch}_tokens").alias("tokens"), "priority", (values if values is not None else F.struct(F.lit(0))).alias("values"), (F.col(phrases) if isinstance(phrases, str) else phrases).alias("phrases"))
+    def scores(self, part, branch: str):
+        """Cases x questions: shared tokens, capped terms and priority; sparse: with tags, roles and kinds that the question names, and views that hold one of its terms; dense: with a
+        long term as it stands in the text."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        n, (long, short, cap, weight) = part.num_rows, SPARSE if branch == "sparse" else DENSE
+        column = lambda name: part.column(part.schema.get_field_index(name))
+        rows, codes = self.holding(column(f"{branch}_compact").to_pylist())
+        is_long = self.long[codes]
+        bonus = long * self.terms.tallied(rows[is_long], codes[is_long], n) + short * self.terms.tallied(rows[~is_long], codes[~is_long], n)
+        total = np.log1p(self.tokens.tallied(*self.tokens.met(column(f"{branch}_tokens")), n)) + np.minimum(cap, bonus)
+        if branch == "sparse":
+            for name, worth in (("tags", TAG), ("roles", ROLE)):
+                self.naming.added(total, column(name).to_pylist(), worth)
+            self.naming.added(total, ([kind] for kind in column("kind").to_pylist()), KIND)
+        texts = column("views" if branch == "sparse" else "phrases")
+        of, (rows, codes) = pc.list_parent_indices(texts).to_numpy(), self.holding(texts.flatten().to_pylist())
+        if branch == "dense":
+            rows, codes = rows[self.long[codes]], codes[self.long[codes]]
+        held, first = np.zeros((n, self.terms.n)), np.flatnonzero(np.diff(of, prepend=-1))
+        if len(first):
+            held[of[first]] = np.add.reduceat((self.terms.tallied(rows, codes, len(of)) > 0).astype(float), first)
+        return total + (VIEW * held if branch == "sparse" else PHRASE * (held > 0)) + column("priority").to_numpy(zero_copy_only=False)[:, None] * weight
+
+
+def _best(questions: DataFrame, index: DataFrame, of: tuple[str, ...], limit: int) -> DataFrame:
+    """branch, query_id, case_id and score of cases among which are the `limit` best of each branch."""
+    # A term holds no line break, so what the dense text holds is what one of its parts holds.
+    more = {"sparse": ["tags", "roles", "views", "kind"], "dense": [F.array_distinct(F.array("title", "pattern", "summary", "conflict")).alias("phrases")]}
+    given = spread(index, "case_id").select("case_id", "priority", *[c for b in of for c in (f"{b}_compact", f"{b}_tokens", *more[b])])
     kinds = questions.schema["query_id"].dataType.simpleString(), index.schema["case_id"].dataType.simpleString()
 
-    def against(asked_rows: list) -> DataFrame:
+    def against(block: list[dict]) -> DataFrame:
         def run(batches):
             import numpy as np
             import pyarrow as pa
 
-            asked = _Asked(asked_rows, long, short)
-            best: list[tuple] = [(np.empty(0), np.empty(0)) for _ in asked.ids]
-
-            def scores(case: dict):
-                hits = found(asked.terms, case["compact"])
-                at = np.fromiter(hits, np.int64, len(hits))
-                total = np.log1p(asked.counted([asked.of_token[t] for t in case["tokens"] if t in asked.of_token])) + np.minimum(cap, asked.counted([asked.of_term[i] for i in at], asked.worth[at]))
-                for name, value in lists.items():
-                    for x in case["values"][name]:
-                        total = total + value * asked.naming(x)
-                seen = np.zeros(len(asked.ids))
-                for text in case["phrases"]:
-                    met = [i for i in found(asked.terms, text) & hits if not phrase or asked.long[i]]
-                    seen += asked.counted([asked.of_term[i] for i in met]) > 0
-                return total + (each * seen if each else phrase * (seen > 0)) + case["priority"] * weight
-
-            def keep(cases: list[dict]) -> None:
-                ids = np.array([c["case_id"] for c in cases], object if isinstance(cases[0]["case_id"], str) else None)
-                table = np.floor(np.array([scores(c) for c in cases]) * 1e4 + 0.5)
-                for q, (s, i) in enumerate(best):
-                    both, names = np.append(s, table[:, q]), np.append(i, ids) if len(i) else ids
-                    order = np.lexsort((names, -both))[:limit]
-                    best[q] = both[order], names[order]
-
+            asked = _Asked(block)
+            best = {b: Best(len(block), limit) for b in of}
             for batch in batches:
                 for at in range(0, batch.num_rows, CASES):
-                    keep(batch.slice(at, CASES).to_pylist())
-            for q, (s, i) in zip(asked.ids, best):
-                if len(s):
-                    yield pa.RecordBatch.from_pylist([{"query_id": q, "case_id": n, "score": float(x / 1e4)} for x, n in zip(s.tolist(), i.tolist())])
+                    part = batch.slice(at, CASES)
+                    for b in of:
+                        best[b].add(np.floor(asked.scores(part, b) * 1e4 + 0.5), part.column(0).to_pylist())
+            found = [{"branch": b, "query_id": q, "case_id": i, "score": s / 1e4} for b in of for q, kept in zip(asked.ids, best[b].kept) for s, i, _ in kept]
+            if found:
+                yield pa.RecordBatch.from_pylist(found)
 
-        return given.mapInArrow(run, f"query_id {kinds[0]}, case_id {kinds[1]}, score double")
+        return given.mapInArrow(run, f"branch string, query_id {kinds[0]}, case_id {kinds[1]}, score double")
 
-    slim = questions.select("query_id", "text", "tokens", "terms")
-    blocks = max(1, -(-questions.count() // QUESTIONS))
-    of_block = [slim.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).collect() for n in range(blocks)]
-    rows = reduce(lambda a, b: a.union(b), [against([r.asDict() for r in block]) for block in of_block])
-    return ranked(rows, "query_id", "case_id", "score", limit).where("score > 0")
+    none = questions.sparkSession.createDataFrame([], f"branch string, query_id {kinds[0]}, case_id {kinds[1]}, score double")
+    return reduce(lambda a, b: a.union(b), [against(block) for block in asked_blocks(questions.select("query_id", "text", "tokens", "terms"), "query_id")] or [none])
 
 
 def _explained(best: DataFrame, questions: DataFrame, index: DataFrame, text: str, fields: Column, template: str) -> DataFrame:
-    """The few best hits with what explains them."""
-    rows = _with_hit(index.join(best, "case_id").join(small_side(questions.withColumnRenamed("text", "question")), "query_id"), text)
+    """The few best hits with what explains them. index: the cases that were hit, at least."""
+    rows = _with_hit(index.join(best, "case_id").join(small_side(questions.withColumnRenamed("text", "question")), "query_id"), index, questions, text)
     shown = rows.withColumns({"found_terms": F.slice("hit", 1, SHOWN_TERMS), "fields": fields})
     return shown.select("query_id", "case_id", "score", F.col("found_terms").alias("terms"), "fields", reason(F.col("fields"), F.col("found_terms"), template).alias("reason"), "rank")
 
 
+def _hit(best: DataFrame, index: DataFrame, only: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The index of the cases that were hit, a few a question, so that all else is not made again."""
+    ids = small_side(best.select("case_id").distinct())
+    return durable(only(ids) if only else index.join(ids, "case_id", "left_semi"))
+
+
 def reason(fields: Column, terms: Column, template: str = lexicon.REASON) -> Column:
     """Why a case was found: its fields, the terms that were met (its kind without any), its pattern or what else tells most."""
     pattern = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("pattern", "summary", "title")], F.lit(""))

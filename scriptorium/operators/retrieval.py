@@ -9,12 +9,14 @@ corpus ordinal.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from scriptorium.functions import tokens as T
-from scriptorium.functions.text import words_in
+from scriptorium.functions.text import text_or_empty, words_in
 from scriptorium.sources.store import durable
 
 
@@ -22,6 +24,8 @@ from scriptorium.sources.store import durable
 BROADCAST_ROWS = 200_000
 #: Vectors of a block, and pairs that are added up at once.
 VECTORS, PAIRS = 1024, 500_000
+#: Questions that meet an item at once, and texts that are split into words at once.
+QUESTIONS, TEXTS = 2_000, 256
 
 
 def small_side(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -66,6 +70,172 @@ def lexical_scores(
     return shared.select(query, item, "overlap", F.round(score, digits).alias("score"))
 
 
+class Asking:
+    """Questions of a block, as places, by the values (tokens, terms) that they have."""
+
+    def __init__(self, lists: Iterable[Iterable[str] | None]):
+        import numpy as np
+
+        of: dict[str, list[int]] = {}
+        self.n = 0
+        for values in lists:
+            for value in dict.fromkeys(values or ()):
+                if value:
+                    of.setdefault(value, []).append(self.n)
+            self.n += 1
+        self.values = tuple(of)
+        self.sizes = np.array([len(x) for x in of.values()], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.places = np.array([q for x in of.values() for q in x], np.int64)
+
+    def met(self, lists):
+        """Rows of an Arrow array of lists and places of the values that they hold, each pair once."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        codes, rows = pc.index_in(lists.flatten(), pa.array(self.values, pa.string())), pc.list_parent_indices(lists)
+        some = pc.is_valid(codes)
+        pairs = np.unique(rows.filter(some).to_numpy().astype(np.int64) * max(1, len(self.values)) + codes.filter(some).to_numpy())
+        return np.divmod(pairs, max(1, len(self.values)))
+
+    def tallied(self, rows, codes, n: int):
+        """For each of n rows and each question, how many of the row's values (pairs of a row and the place of a value) the question has."""
+        import numpy as np
+
+        total, sizes = np.zeros(n * self.n), self.sizes[codes]
+        ends = np.cumsum(sizes)
+        cuts = np.unique([0, *np.searchsorted(ends, np.arange(PAIRS, ends[-1] if len(ends) else 0, PAIRS)), len(codes)])
+        for at, end in zip(cuts, cuts[1:]):
+            size = sizes[at:end]
+            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - self.starts[codes[at:end]], size)
+            total += np.bincount(np.repeat(rows[at:end], size) * self.n + self.places[place], minlength=len(total))
+        return total.reshape(n, self.n)
+
+
+class Naming:
+    """Which questions contain a value."""
+
+    def __init__(self, texts: list[str]):
+        self.texts, self.every, self.known = texts, "\n".join(texts), {}
+
+    def __call__(self, value: str):
+        import numpy as np
+
+        if value not in self.known:
+            if len(self.known) > 10_000:
+                self.known.clear()
+            self.known[value] = np.array([value in text for text in self.texts], float) if value and value in self.every else None
+        return self.known[value]
+
+    def added(self, total, lists: Iterable[Iterable[str] | None], worth: float) -> None:
+        """Adds to total (rows x questions) what each value of a row's list is worth to the questions that contain it."""
+        for row, values in enumerate(lists):
+            for value in values or ():
+                if value is not None and (named := self(value)) is not None:
+                    total[row] += worth * named
+
+
+class Best:
+    """The `limit` items of each question with the highest keys so far, ties to the smaller item."""
+
+    def __init__(self, questions: int, limit: int):
+        import numpy as np
+
+        self.limit, self.least, self.kept = limit, np.full(questions, -np.inf), [[] for _ in range(questions)]
+
+    def add(self, keys, items: list, beside=None) -> None:
+        """keys: rows x questions (-inf: no hit); items: those of the rows; beside: as keys, a number that is kept with them."""
+        import numpy as np
+
+        open_ = (keys >= self.least) & (keys > -np.inf)
+        for q in np.flatnonzero(open_.any(0)):
+            at = np.flatnonzero(open_[:, q])
+            if len(at) > self.limit:
+                at = at[keys[at, q] >= np.partition(keys[at, q], -self.limit)[-self.limit]]
+            found = [(float(keys[i, q]), items[i], 0 if beside is None else int(beside[i, q])) for i in at]
+            self.kept[q] = sorted([*self.kept[q], *found], key=lambda x: (-x[0], x[1] is None, x[1]))[: self.limit]
+            if len(self.kept[q]) == self.limit:
+                self.least[q] = self.kept[q][-1][0]
+
+
+def asked_blocks(questions: DataFrame, query: str) -> list[list[dict]]:
+    """The questions, a stated set, in blocks of about QUESTIONS."""
+    blocks = max(1, -(-questions.count() // QUESTIONS))
+    of_block = (questions.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == n).collect() for n in range(blocks))
+    return [[r.asDict() for r in rows] for rows in of_block if rows]
+
+
+def text_ranked(
+    queries: DataFrame, corpus: DataFrame, texts: dict[str, str], limit: int, query: str = "query_id", item: str = "item_id", kind: str | None = None, gap: str = T.LATIN_GAP, pattern: str = T.LATIN_TOKEN,
+    long_bonus: float = 1.35, short_bonus: float = 0.9, cap: float = 4.5, priority_weight: float = 0.35, digits: int = 4, noise: Iterable[str] = (), tag_weight: float = 0.25,
+) -> DataFrame:
+    """query, item, overlap, score, rank: what ranked(lexical_scores(...), limit) gives where the corpus has texts in place of tokens.
+
+    texts: text columns of the corpus by name; a question searches the one that its column `kind` names (None: there is one text). A null or empty text holds nothing. What lies between
+    the matches of `gap` (RE2) are the tokens that `pattern` finds. Items have a priority that is not null.
+
+    The questions, a stated set, come to the tasks in blocks. A text is split once where it lies, only the words that are asked for are looked at, and a task keeps `limit`
+    items of each question: no text and no token is shuffled. Only items that share an id, which count as one, go through lexical_scores.
+    """
+    noise, tagged = set(noise), ["tags"] if "tags" in corpus.columns and "text" in queries.columns else []
+    kinds = queries.schema[query].dataType.simpleString(), corpus.schema[item].dataType.simpleString()
+    slim = queries.select(query, "tokens", *(["text"] if tagged else []), F.lit(next(iter(texts))).alias("kind") if kind is None else F.col(kind).alias("kind")).where(F.col("kind").isin(list(texts)))
+    none = slim.sparkSession.createDataFrame([], f"{query} {kinds[0]}, {item} {kinds[1]}, overlap long, score double")
+    blocks = asked_blocks(slim, query)
+    if not blocks:
+        return ranked(none, query, item, "score", limit)
+    again = durable(corpus.groupBy(item).agg(F.count("*").alias("n")).where(f"n > 1 or {item} is null").select(item))
+    repeated = not again.isEmpty()
+    given = corpus.where(F.col(item).isNotNull()).join(again, item, "left_anti") if repeated else corpus
+    given = given.select(item, "priority", *(tagged or [F.lit(None).cast("array<string>").alias("tags")]), *[text_or_empty(F.col(c)).alias(f"text_{i}") for i, c in enumerate(texts.values())])
+
+    def against(block: list[dict]) -> DataFrame:
+        def run(batches):
+            import numpy as np
+            import pyarrow as pa
+            import pyarrow.compute as pc
+
+            searches = []
+            for i, name in enumerate(texts):
+                rows = [r for r in block if r["kind"] == name]
+                asking = Asking(r["tokens"] for r in rows)
+                worth = np.array([0.0 if t in noise else long_bonus if len(t) >= 3 else short_bonus if len(t) == 2 else 0.0 for t in asking.values])
+                searches.append((3 + i, [r[query] for r in rows], asking, worth, Naming([r.get("text") or "" for r in rows]), Best(len(rows), limit)))
+            searches = [x for x in searches if x[1]]
+            for batch in batches:
+                for at in range(0, batch.num_rows, TEXTS):
+                    part = batch.slice(at, TEXTS)
+                    items, priority, tags = part.column(0).to_pylist(), part.column(1).to_numpy(zero_copy_only=False), part.column(2).to_pylist()
+                    for column, _, asking, worth, naming, best in searches:
+                        rows, codes = asking.met(pc.split_pattern_regex(part.column(column), gap))
+                        overlap, bonus = np.zeros((part.num_rows, asking.n)), np.zeros((part.num_rows, asking.n))
+                        for each in np.unique(worth):
+                            some = worth[codes] == each
+                            shared = asking.tallied(rows[some], codes[some], part.num_rows)
+                            overlap += shared
+                            bonus += each * shared
+                        score = np.log1p(overlap) + np.minimum(cap, bonus) + (priority * priority_weight)[:, None]
+                        if tagged:
+                            naming.added(score, tags, tag_weight)
+                        best.add(np.where(overlap > 0, np.floor(score * 10.0**digits + 0.5), -np.inf), items, overlap)
+            for _, ids, _, _, _, best in searches:
+                found = [{query: q, item: i, "overlap": n, "score": s / 10.0**digits} for q, kept in zip(ids, best.kept) for s, i, n in kept]
+                if found:
+                    yield pa.RecordBatch.from_pylist(found, pa.schema([(query, kinds_of[0]), (item, kinds_of[1]), ("overlap", pa.int64()), ("score", pa.float64())]))
+
+        return given.mapInArrow(run, f"{query} {kinds[0]}, {item} {kinds[1]}, overlap long, score double")
+
+    kinds_of = to_arrow_type(queries.schema[query].dataType), to_arrow_type(corpus.schema[item].dataType)
+    parts = [against(block) for block in blocks]
+    if repeated:
+        shared = corpus.join(again, item, "left_semi").unionByName(corpus.where(F.col(item).isNull()))
+        for name, c in texts.items():
+            rows = shared.withColumn("tokens", T.tokens(F.col(c), pattern))
+            parts.append(lexical_scores(slim.where(F.col("kind") == name), rows, query, item, long_bonus, short_bonus, cap, priority_weight, digits, noise, tag_weight))
+    return ranked(reduce(lambda a, b: a.unionByName(b), parts), query, item, "score", limit)
+
+
 def tag_bonus(tags: Column, question: Column, each: float) -> Column:
     """`each` for every tag that the question contains."""
     return each * F.size(F.filter(tags, lambda t: (t != "") & F.contains(question, t)))

@@ -16,9 +16,11 @@ NAMES = {"detail": "detail", "tag": "tag", "role": "role", "view": "view", "kind
 TERM_NOISE = ["that", "with", "the", "and"]
 
 
-def conversation_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation as a case: first turn (title), last turn (summary), first answer (pattern), first words (tags), roles, answers (views)."""
+def conversation_cases(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """Every conversation (only: those with these case_id) as a case: first turn (title), last turn (summary), first answer (pattern), first words (tags), roles, answers (views)."""
     turns = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    if only is not None:
+        turns = turns.join(only.select(F.col("case_id").alias("conv_id")), "conv_id", "left_semi")
     answer = F.col("role") == "assistant"
     views = F.transform(F.array_sort(F.collect_list(F.when(answer, F.struct("turn", "text")))), lambda x: x["text"])  # the turns of one conversation
     rows = turns.groupBy(F.col("conv_id").alias("case_id")).agg(
@@ -99,30 +101,26 @@ def _shown(hits: DataFrame) -> DataFrame:
     return hits.select("query_id", "case_id", "score", F.array_join("terms", " ").alias("terms"), F.array_join("fields", ",").alias("fields"), "reason", "rank")
 
 
-def _sparse(spark, sf_dir) -> DataFrame:
-    return cases.sparse_hits(_questions(spark, sf_dir), conversation_cases(spark, sf_dir), retrieval.branch_limit(4), NAMES, _TEMPLATE)
-
-
-def _dense(spark, sf_dir) -> DataFrame:
-    return cases.dense_text_hits(_questions(spark, sf_dir), conversation_cases(spark, sf_dir), retrieval.branch_limit(4), NAMES, _TEMPLATE)
+def _branches(spark, sf_dir, *of: str) -> dict[str, DataFrame]:
+    return cases.branches(_questions(spark, sf_dir), conversation_cases(spark, sf_dir), retrieval.branch_limit(4), NAMES, _TEMPLATE, of, lambda ids: conversation_cases(spark, sf_dir, ids))
 
 
 @query(f"WITH {_INDEX}, {_SPARSE} SELECT {_SHOWN} FROM sparse")
 def case_sparse_topk(spark, sf_dir):
     """The best conversations for each benchmark text, by tokens, terms, tags, roles, views, kind and priority."""
-    return _shown(_sparse(spark, sf_dir))
+    return _shown(_branches(spark, sf_dir, "sparse")["sparse"])
 
 
 @query(f"WITH {_INDEX}, {_DENSE_TEXT} SELECT {_SHOWN} FROM dense")
 def case_dense_text_topk(spark, sf_dir):
     """The best conversations by the weighted dense text, where there is no vector search."""
-    return _shown(_dense(spark, sf_dir))
+    return _shown(_branches(spark, sf_dir, "dense")["dense"])
 
 
 @query(f"WITH {_INDEX}, {_SPARSE}, {_DENSE_TEXT}, {_FUSED} SELECT {_SHOWN} FROM found WHERE rank <= 4")
 def case_search(spark, sf_dir):
     """Both rankings fused, with the terms and fields of both."""
-    return _shown(cases.fused({"sparse": _sparse(spark, sf_dir), "dense": _dense(spark, sf_dir)}, limit=4))
+    return _shown(cases.fused(_branches(spark, sf_dir, "sparse", "dense"), limit=4))
 
 
 @query(f"""WITH {_VECTORS},
@@ -184,12 +182,14 @@ def routed_answers(spark, sf_dir):
     """Questions by intent to facts, to commentaries, to cases and their turns, or to nothing."""
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", T.tokens(F.lower("text")).alias("tokens"), intent.rule_intent(F.col("text"), INTENT).alias("intent"))
     cut = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), sections.fact_and_comment(X.text_or_empty(F.col("text")), MARKERS).alias("c"))
-    corpora = {of: cut.where(F.col(f"c.{part}") != "").select("item_id", T.tokens(F.lower(f"c.{part}")).alias("tokens"), F.lit(0.5).alias("priority")) for of, part in (("factual_lookup", "fact"), ("commentary_lookup", "comment"))}
-    hits = retrieval.reranked(cases.fused({"sparse": _sparse(spark, sf_dir), "dense": _dense(spark, sf_dir)}, limit=4), None)
+    corpus = cut.select("item_id", F.lower("c.fact").alias("fact"), F.lower("c.comment").alias("comment"), F.lit(0.5).alias("priority"))
+    texts = {"factual_lookup": "fact", "commentary_lookup": "comment"}
+    look_up = lambda asked, k: retrieval.text_ranked(asked, corpus, texts, k, kind="intent")  # noqa: E731  both parts of a document in one pass
+    hits = retrieval.reranked(cases.fused(_branches(spark, sf_dir, "sparse", "dense"), limit=4), None)
     turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
     listed = F.transform(F.array_sort(F.collect_list("turn")), lambda t: F.concat(F.col("item_id").cast("string"), F.lit(":"), t.cast("string")))
     members = turns.groupBy(F.col("conv_id").alias("item_id")).agg(listed.alias("members"))  # the answers of one conversation
-    found = workflow.routed(questions, corpora, hits, members)
+    found = workflow.routed(questions, list(texts), hits, members, searched=look_up)
     return found.select("query_id", "intent", F.array_join("items", ",").alias("items"), F.array_join("evidence", ",").alias("evidence"), "passed", "attempts")
 
 
@@ -225,8 +225,8 @@ SELECT query_id, item_id, overlap, score, row_number() OVER (PARTITION BY query_
 def tagged_topk(spark, sf_dir):
     """The best documents by tokens, exact terms, priority and the tags (here the language) that a question names."""
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", T.tokens(F.lower("text")).alias("tokens"))
-    corpus = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), T.tokens(F.lower("text")).alias("tokens"), F.lit(0.9).alias("priority"), F.array_compact(F.array("lang")).alias("tags"))
-    return retrieval.ranked(retrieval.lexical_scores(questions, corpus), "query_id", "item_id", "score", 4)
+    corpus = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.lower("text").alias("words"), F.lit(0.9).alias("priority"), F.array_compact(F.array("lang")).alias("tags"))
+    return retrieval.text_ranked(questions, corpus, {"words": "words"}, 4)
 
 
 @query()

@@ -68,25 +68,29 @@ def rewritten(questions: DataFrame, table=lexicon.EXPANSIONS, pattern: str = T.L
     return questions.withColumn("text", text).withColumn("tokens", T.tokens(F.lower("text"), pattern))
 
 
-def routed(questions: DataFrame, look_ups: dict[str, DataFrame], case_hits: DataFrame, members: DataFrame, limit: int = 4, per_item: int = 2, in_all: int = 6, attempts: int = 2, expansions=lexicon.EXPANSIONS) -> DataFrame:
+def routed(questions: DataFrame, look_ups: dict[str, DataFrame] | list[str], case_hits: DataFrame, members: DataFrame, limit: int = 4, per_item: int = 2, in_all: int = 6, attempts: int = 2, expansions=lexicon.EXPANSIONS, searched: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """query_id, intent, items, evidence, passed and attempts: each question answered by the branch that its intent names.
 
     questions: query_id, text, tokens, intent. look_ups: corpora (item_id, tokens, priority) by the intent of the questions that look something
     up in them; their hits are the evidence themselves. Questions of intent `analysis` take case_hits (query_id, case_id, score, rank) and
     expand them to members (item_id, members). Others, out of scope, retrieve nothing and pass. An answer without evidence does not
-    pass; a look-up without one is asked again in the words of its expansions, `attempts` times in all.
+    pass; a look-up without one is asked again in the words of its expansions, `attempts` times in all. searched: a search of one's own, from questions (query_id, tokens, intent) that look
+    something up and a number of hits to query_id, item_id and rank, in place of scoring corpora; look_ups then only names the intents.
     """
     case_hits = durable(case_hits.where(F.col("rank") <= limit))  # a few a question; every turn needs them
-    ask = lambda asked, _: _routed(asked, look_ups, case_hits, members, limit, per_item, in_all)
+    ask = lambda asked, _: _routed(asked, look_ups, case_hits, members, limit, per_item, in_all, searched)
     return retried(questions, ask, lambda asked, _: rewritten(asked, expansions), attempts)
 
 
-def _routed(questions: DataFrame, look_ups: dict[str, DataFrame], case_hits: DataFrame, members: DataFrame, limit: int, per_item: int, in_all: int) -> DataFrame:
+def _routed(questions: DataFrame, look_ups: dict[str, DataFrame] | list[str], case_hits: DataFrame, members: DataFrame, limit: int, per_item: int, in_all: int, searched=None) -> DataFrame:
     """One turn of routed()."""
-    found = []
-    for of, corpus in look_ups.items():
+    found, bests = [], []
+    if searched:
+        bests.append(searched(questions.where(F.col("intent").isin(list(look_ups))).select("query_id", "tokens", "intent"), limit))
+    for of, corpus in () if searched else look_ups.items():
         asked = questions.where(F.col("intent") == of).select("query_id", "tokens")
-        best = retrieval.ranked(retrieval.lexical_scores(asked, corpus), "query_id", "item_id", "score", limit)
+        bests.append(retrieval.ranked(retrieval.lexical_scores(asked, corpus), "query_id", "item_id", "score", limit))
+    for best in bests:
         found.append(best.select("query_id", F.col("item_id").cast("string").alias("item"), "rank", F.col("item_id").cast("string").alias("member"), F.col("rank").alias("place")))
     cases_of = case_hits.join(questions.where("intent = 'analysis'").select("query_id"), "query_id").where(F.col("rank") <= limit).select("query_id", F.col("case_id").alias("item_id"), "score", "rank")
     shown = retrieval.expanded(cases_of, members, per_item=per_item, in_all=in_all)
