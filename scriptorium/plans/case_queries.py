@@ -21,6 +21,8 @@ def conversation_cases(spark: SparkSession, sf_dir: str, only: DataFrame | None
     turns = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
     if only is not None:
         turns = turns.join(only.select(F.col("case_id").alias("conv_id")), "conv_id", "left_semi")
+    else:
+        turns = retrieval.spread(turns, "conv_id")  # once, as cases are dealt for their search
     answer = F.col("role") == "assistant"
     views = F.transform(F.array_sort(F.collect_list(F.when(answer, F.struct("turn", "text")))), lambda x: x["text"])  # the turns of one conversation
     rows = turns.groupBy(F.col("conv_id").alias("case_id")).agg(
